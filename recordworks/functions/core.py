@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable, Iterable
 from itertools import zip_longest
@@ -93,6 +94,13 @@ def contains_any(column: Column, texts: Iterable[str]) -> Column:
     return column.rlike("|".join(quote(t) for t in texts))
 
 
+def moment(value: Column | dt.datetime | str | None) -> Column:
+    """A point in time as a TIMESTAMP column: the current time when none is given."""
+    if value is None:
+        return F.current_timestamp()
+    return (value if isinstance(value, Column) else F.lit(value)).cast("timestamp")
+
+
 def add_columns(df: DataFrame, *pipelines: Stages) -> DataFrame:
     """Run staged columns in lockstep: one projection per stage for all pipelines together, so the plan depth does not
     grow with the number of fields.  Helper columns start with `__` and are dropped at the end."""

@@ -65,18 +65,26 @@ def _without_dots(path: Column) -> Column:
     return F.when(bare.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(closed, "/"), rest)).otherwise(path)
 
 
+def resolve_url(text: Column, base: Column) -> Column:
+    """A reference merged with its base (RFC 3986)."""
+    link = F.trim(text)
+    origin = F.regexp_extract(base, _ORIGIN, 1)
+    base_path = F.regexp_extract(base, _ORIGIN + r"([^?#]*)", 2)
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.\\-]*:)", 1)
+    return (F.when(base.isNull() | link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+            .when(link == "", base)
+            .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, _without_dots(link)))
+            .when(F.startswith(link, F.lit("?")), F.concat(origin, base_path, link))
+            .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, link)))))
+
+
 def absolute_url(text: Column, base: Column | None = None) -> Column:
-    """A link made absolute against `base` (RFC 3986 merge); NULL unless it is http(s) with a host."""
+    """A link made absolute against `base`; NULL unless it is http(s) with a host."""
     trimmed = F.trim(text)
     link = F.when(F.startswith(trimmed, F.lit("//")), F.concat(F.lit("https:"), trimmed)).otherwise(trimmed)
     if base is not None:
-        origin = F.regexp_extract(base, _ORIGIN, 1)
-        base_path = F.regexp_extract(base, _ORIGIN + r"([^?#]*)", 2)
-        folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
-        link = (F.when(base.isNull() | link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-                .when(link == "", base)
-                .when(F.startswith(link, F.lit("/")), F.concat(origin, _without_dots(link)))
-                .when(F.startswith(link, F.lit("?")), F.concat(origin, base_path, link))
-                .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-                .otherwise(F.concat(origin, _without_dots(F.concat(folder, link)))))
+        link = resolve_url(link, base)
     return F.when(link.rlike("^(?i)https?://[^/?#]+") & (trimmed != ""), link)

@@ -21,7 +21,7 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the optimizer's own size estimate is under the limit; otherwise the join is left to
     shuffle (and to AQE)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit else df
+    return F.broadcast(df) if int(size) <= limit else df
 
 
 # ---------------------------------------------------------------------------------------------------------- countries
