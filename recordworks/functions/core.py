@@ -1,18 +1,14 @@
-"""Building blocks: regular expressions with Unicode classes, literal maps, let-bindings and staged columns."""
+"""Building blocks: regular expressions with Unicode classes, literal maps and let-bindings."""
 
 from __future__ import annotations
 
 import datetime as dt
 import re
 from collections.abc import Callable, Iterable
-from itertools import zip_longest
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# a stage maps column names to expressions over the columns of earlier stages
-Stages = list[dict[str, Column]]
-
 WORD = r"\p{L}\p{N}_"
 LETTER = r"\p{L}\p{Nl}\p{No}"
 BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -71,9 +67,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(columns: list[Column], body: Callable[[Column], Column]) -> Column:
+    """The same expression over several columns as one array: written, optimized and compiled once instead of per column."""
+    return F.transform(F.array(*columns), body)
+
+
+def beyond_ascii(text: Column) -> Column:
+    """A cheap test that spares plain texts the rarer replacements."""
+    return F.octet_length(text) > F.length(text)
+
+
+def filled(text: Column) -> Column:
+    """The text, NULL when it is empty; the argument is evaluated once."""
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def group(text: Column, pattern: str, index: int) -> Column:
     """A capture group of the first match, NULL when there is none or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, index))
 
 
 def all_groups(text: Column, pattern: str, index: int = 0) -> Column:
@@ -99,14 +110,3 @@ def moment(value: Column | dt.datetime | str | None) -> Column:
     if value is None:
         return F.current_timestamp()
     return (value if isinstance(value, Column) else F.lit(value)).cast("timestamp")
-
-
-def add_columns(df: DataFrame, *pipelines: Stages) -> DataFrame:
-    """Run staged columns in lockstep: one projection per stage for all pipelines together, so the plan depth does not
-    grow with the number of fields.  Helper columns start with `__` and are dropped at the end."""
-    helpers: list[str] = []
-    for level in zip_longest(*pipelines, fillvalue={}):
-        stage = {name: column for part in level for name, column in part.items()}
-        helpers += [name for name in stage if name.startswith("__")]
-        df = df.withColumns(stage)
-    return df.drop(*helpers)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import Stages, alternation, all_groups, group, let, look_up, no_letters_around, rx
+from .core import all_groups, alternation, beyond_ascii, group, let, look_up, no_letters_around, rx
 
 _MONTHS = {word: i + 1 for i, line in enumerate(K.MONTH_WORDS.strip().splitlines()) for word in line.split()}
 _NAMES = alternation(_MONTHS)
@@ -107,62 +107,82 @@ def _instant(ts: Column, date_only: bool) -> Column:
     return F.date_format(ts, "yyyy-MM-dd" if date_only else "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def datetime_stages(out: str, text: Column, country: Column | None = None, now: Column | None = None, date_only: bool = False,
-                    number_value: Column | None = None) -> Stages:
-    """Staged columns for a date or date-time as ISO text.  `number_value` holds an epoch (seconds or milliseconds)."""
+def _kind(t: Column, low: Column) -> Column:
+    """Which notation a text is in.  Relative words come before every notation but a full ISO text, which has none."""
+    today, yesterday = (rx(no_letters_around(alternation(K.words(w))), "") for w in (K.TODAY_WORDS, K.YESTERDAY_WORDS))
+    ago = low.rlike(_RELATIVE) & ((F.regexp_extract(low, _RELATIVE, 3) != "") | low.rlike(rx(K.AGO_BEFORE, "")))
+    worded = t.rlike(r"\p{L}")
+    return (F.when(t == "", None)
+            .when(t.rlike(_ISO) & _day(*(F.regexp_extract(t, _ISO, i) for i in (1, 2, 3))).isNotNull(), "iso")
+            .when(worded & low.rlike(today), "today")
+            .when(worded & low.rlike(yesterday), "yesterday")
+            .when(worded & ago, "ago")
+            .when(t.rlike(K.DATE_YEAR_FIRST), "ymd")
+            .when(t.rlike(K.DATE_YEAR_LAST), "dmy")
+            .when(beyond_ascii(t) & t.rlike(K.DATE_CJK), "cjk")
+            .when(worded & t.rlike(r"\d"), "named"))
+
+
+def _ago(low: Column, now: Column) -> Column:
+    unit, count = F.regexp_extract(low, _RELATIVE, 2), F.regexp_extract(low, _RELATIVE, 1)
+    seconds = (F.when(unit.isin(*K.AGO_MINUTES.split()), 60).when(unit.isin(*K.AGO_HOURS.split()), 3600)
+               .when(unit.isin(*K.AGO_WEEKS.split()), 7 * 86400).when(unit.isin(*K.AGO_MONTHS.split()), 30 * 86400).otherwise(86400))
+    return F.timestamp_seconds(F.unix_seconds(now) - count.try_cast("bigint") * seconds)
+
+
+def _iso(t: Column, zone: Column, date_only: bool) -> Column:
+    """A full ISO text, normalised: offset written as +hh:mm, a local time completed with its zone's offset."""
+    part = [F.regexp_extract(t, _ISO, i) for i in range(9)]
+    day = _day(*part[1:4])
+    if date_only:
+        return F.date_format(day, "yyyy-MM-dd")
+    clock = sum((F.coalesce(part[i].try_cast("int"), F.lit(0)) * size for i, size in ((4, 3600), (5, 60), (6, 1))), F.lit(0))
+    fraction = F.when(part[7].rlike("[1-9]"), F.concat(F.lit("."), F.rpad(F.substring(part[7], 1, 6), 6, "0"))).otherwise("")
+    digits = F.replace(part[8], F.lit(":"), F.lit(""))
+    given = F.concat(F.substring(digits, 1, 3), F.lit(":"), F.rpad(F.substring(digits, 4, 2), 2, "0"))
+    return let(F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + clock), lambda local: F.concat(
+        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), fraction,
+        F.when((part[8] == "") & (part[5] != ""), _offset(local, zone))
+        .when((part[8] == "") | (F.upper(part[8]) == "Z"), "+00:00").otherwise(given)))
+
+
+def _found(part: Column, zone: Column, date_only: bool) -> Column:
+    """Year, month, day and the rest of the text as ISO text; NULL for a day that does not exist."""
+    day = _day(part["y"], part["m"], part["d"])
+    if date_only:
+        return F.date_format(day, "yyyy-MM-dd")
+
+    def with_clock(d: Column) -> Column:
+        midnight = d.cast("timestamp")
+        timed = let(F.timestamp_seconds(F.unix_seconds(midnight) + _clock(part["rest"]) * 60),
+                    lambda local: F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), _offset(local, zone)))
+        return F.coalesce(F.when(part["rest"].rlike(r"\d"), timed), _instant(midnight, False))
+
+    return let(day, with_clock)
+
+
+def datetime_text(text: Column, country: Column | None = None, now: Column | None = None, date_only: bool = False,
+                  given: Column | None = None) -> Column:
+    """A date or date-time as ISO text.  `given` holds an epoch (seconds or milliseconds) when the raw value was a number."""
     country = F.lit(None).cast("string") if country is None else country
     now = F.current_timestamp() if now is None else now
-    given = F.lit(None).cast("double") if number_value is None else number_value
-    t, kind, part, day, clock = (F.col(f"__{out}_{k}") for k in ("t", "k", "p", "d", "c"))
-    low = F.lower(t)
-    days_back = F.when(low.rlike(rx(no_letters_around(alternation(K.words(K.TODAY_WORDS))), "")), 0).when(
-        low.rlike(rx(no_letters_around(alternation(K.words(K.YESTERDAY_WORDS))), "")), 1)
-    unit, count = F.regexp_extract(low, _RELATIVE, 2), F.regexp_extract(low, _RELATIVE, 1)
-    unit_seconds = (F.when(unit.isin(*K.AGO_MINUTES.split()), 60).when(unit.isin(*K.AGO_HOURS.split()), 3600)
-                    .when(unit.isin(*K.AGO_WEEKS.split()), 7 * 86400).when(unit.isin(*K.AGO_MONTHS.split()), 30 * 86400)
-                    .otherwise(86400))
-    is_ago = low.rlike(_RELATIVE) & ((F.regexp_extract(low, _RELATIVE, 3) != "") | low.rlike(rx(K.AGO_BEFORE, "")))
-    ago = F.timestamp_seconds(F.unix_seconds(now) - count.try_cast("bigint") * unit_seconds)
-    iso_day = _day(*(F.regexp_extract(t, _ISO, i) for i in (1, 2, 3)))
-    kinds = (F.when(given.isNotNull(), "epoch")
-             .when(t == "", None)
-             .when(days_back.isNotNull(), "word")
-             .when(is_ago, "ago")
-             .when(t.rlike(_ISO) & iso_day.isNotNull(), "iso")
-             .when(t.rlike(K.DATE_YEAR_FIRST), "ymd")
-             .when(t.rlike(K.DATE_YEAR_LAST), "dmy")
-             .when(t.rlike(K.DATE_CJK), "cjk")
-             .when(t.rlike(r"\d"), "named"))
-    year_first, cjk = ([F.regexp_extract(t, p, i) for i in (1, 2, 3)] for p in (K.DATE_YEAR_FIRST, K.DATE_CJK))
-    parts = (F.when(kind == "ymd", _part(*year_first, _tail(t, K.DATE_YEAR_FIRST)))
-             .when(kind == "dmy", _numeric_last(t, country))
-             .when(kind == "cjk", _part(*cjk, _tail(t, K.DATE_CJK)))
-             .when(kind == "named", _worded(t, now)))
+    given = F.lit(None).cast("double") if given is None else given
     zone = look_up(_ZONES, F.upper(country))
-    midnight = day.cast("timestamp")
-    local = F.timestamp_seconds(F.unix_seconds(midnight) + clock * 60)
-    iso = [F.regexp_extract(t, _ISO, i) for i in range(9)]
-    iso_local = F.timestamp_seconds(F.unix_seconds(iso_day.cast("timestamp")) + F.coalesce(iso[4].try_cast("int"), F.lit(0)) * 3600
-                                    + F.coalesce(iso[5].try_cast("int"), F.lit(0)) * 60 + F.coalesce(iso[6].try_cast("int"), F.lit(0)))
-    fraction = F.when(iso[7].rlike("[1-9]"), F.concat(F.lit("."), F.rpad(F.substring(iso[7], 1, 6), 6, "0"))).otherwise("")
-    digits = F.regexp_replace(iso[8], ":", "")
-    iso_offset = (F.when((iso[8] == "") & (iso[5] != ""), _offset(iso_local, zone))
-                  .when((iso[8] == "") | (F.upper(iso[8]) == "Z"), "+00:00")
-                  .otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.rpad(F.substring(digits, 4, 2), 2, "0"))))
     epoch = F.timestamp_micros((given / F.when(given > 1e11, 1000).otherwise(1) * 1000000).cast("bigint"))
-    iso_text = (F.date_format(iso_day, "yyyy-MM-dd") if date_only else
-                F.concat(F.date_format(iso_local, "yyyy-MM-dd'T'HH:mm:ss"), fraction, iso_offset))
-    found_text = (F.date_format(day, "yyyy-MM-dd") if date_only else
-                  F.when(clock.isNull(), _instant(midnight, False))
-                  .otherwise(F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), _offset(local, zone))))
-    return [
-        {f"__{out}_t": F.trim(F.translate(text, K.ARABIC_FROM, K.ARABIC_TO))},
-        {f"__{out}_k": kinds},
-        {f"__{out}_p": parts},
-        {f"__{out}_d": _day(part["y"], part["m"], part["d"]), f"__{out}_c": _clock(part["rest"])},
-        {out: F.when(kind == "epoch", _instant(epoch, date_only))
-              .when(kind == "word", _instant(F.timestamp_seconds(F.unix_seconds(now) - days_back * 86400), date_only))
-              .when(kind == "ago", _instant(ago, date_only))
-              .when(kind == "iso", iso_text)
-              .when(day.isNotNull(), found_text)},
-    ]
+
+    def parsed(t: Column) -> Column:
+        low = F.lower(t)
+        year_first, cjk = ([F.regexp_extract(t, p, i) for i in (1, 2, 3)] for p in (K.DATE_YEAR_FIRST, K.DATE_CJK))
+        return let(_kind(t, low), lambda kind: (
+            F.when(kind == "iso", _iso(t, zone, date_only))
+            .when(kind == "today", _instant(now, date_only))
+            .when(kind == "yesterday", _instant(F.timestamp_seconds(F.unix_seconds(now) - 86400), date_only))
+            .when(kind == "ago", _instant(_ago(low, now), date_only))
+            .otherwise(let(F.when(kind == "ymd", _part(*year_first, _tail(t, K.DATE_YEAR_FIRST)))
+                           .when(kind == "dmy", _numeric_last(t, country))
+                           .when(kind == "cjk", _part(*cjk, _tail(t, K.DATE_CJK)))
+                           .when(kind == "named", _worded(t, now)),
+                           lambda part: F.when(part.isNotNull(), _found(part, zone, date_only))))))
+
+    trimmed = F.when(beyond_ascii(text), F.translate(text, K.ARABIC_FROM, K.ARABIC_TO)).otherwise(text)
+    return F.when(given.isNotNull(), _instant(epoch, date_only)).when(text.isNotNull(), let(F.trim(trimmed), parsed))

@@ -6,57 +6,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import SPACE, Stages, WORD, all_groups, let, look_up, rx
+from .core import SPACE, all_groups, beyond_ascii, let, look_up, rx
 from .text import unescape
 
 _RUN = rf"\d[\d.,{SPACE}'’]*"
 _MULTIPLIER = "|".join(f"(?:{p})" for p, _ in K.MULTIPLIERS)
-_NUMBER = rx(rf"(?<![\w-])-?{_RUN}(?:[{SPACE}]*(?:{_MULTIPLIER}))?")
+# the look-ahead in front only makes the search cheaper
+_NUMBER = rx(rf"(?=[-\d])(?<![\w-])-?{_RUN}(?:[{SPACE}]*(?:{_MULTIPLIER}))?")
+_GROUPING = " \t\r\n\f\v'’\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 _SMALL, _LARGE = "".join(K.CJK_SMALL), "".join(K.CJK_LARGE)
 _CJK = rf"(\d[\d.,]*)[{SPACE}]*(?=[{_SMALL}{_LARGE}])([{_SMALL}]?)[{SPACE}]*([{_LARGE}]?)"
 
 
 def digits_text(text: Column) -> Column:
-    """Entities decoded and Arabic digits and marks turned into ASCII: the form the number parsers read."""
-    return F.translate(unescape(text), K.ARABIC_FROM, K.ARABIC_TO)
+    """Entities decoded and Arabic digits and marks turned into ASCII: the form the number parser reads."""
+    return let(unescape(text), lambda t: F.when(beyond_ascii(t), F.translate(t, K.ARABIC_FROM, K.ARABIC_TO)).otherwise(t))
 
 
 def squeeze_run(run: Column) -> Column:
-    """A numeric run without grouping blanks and apostrophes, and without trailing marks."""
-    return F.regexp_replace(F.regexp_replace(run, f"[{SPACE}'’]", ""), "[.,]+$", "")
+    """A numeric run without sign, grouping blanks and apostrophes, and without trailing marks."""
+    return F.rtrim(F.translate(run, "-" + _GROUPING, ""), F.lit(".,"))
 
 
 def plain_number(run: Column) -> Column:
     """The value of a squeezed run.  With both marks present the later one is decimal; with one kind it groups when it
     occurs twice or is followed by exactly three last digits."""
-    both = F.contains(run, F.lit(",")) & F.contains(run, F.lit("."))
-    ascii_form = (F.when(both & run.rlike(",[^.]*$"), F.translate(run, ",.", "."))
-                  .when(both, F.translate(run, ",", ""))
-                  .when(run.rlike(r"[.,]\d{3}$") | run.rlike("[.,].*[.,]"), F.translate(run, ",.", ""))
-                  .otherwise(F.translate(run, ",", ".")))
+    comma, dot = F.contains(run, F.lit(",")), F.contains(run, F.lit("."))
+    comma_last = F.length(F.substring_index(run, ",", -1)) < F.length(F.substring_index(run, ".", -1))
+    several = F.length(run) - F.length(F.translate(run, ",.", "")) > 1
+    ascii_form = (F.when(comma & dot, F.when(comma_last, F.translate(run, ",.", ".")).otherwise(F.translate(run, ",", "")))
+                  .when(comma | dot, F.when(several | F.substring(run, -4, 1).isin(",", "."), F.translate(run, ",.", ""))
+                        .otherwise(F.translate(run, ",", ".")))
+                  .otherwise(run))
     return ascii_form.try_cast("double")
 
 
-def number_match(text: Column) -> Column:
-    """The first amount with its sign and multiplier word; '' when there is none."""
-    return F.regexp_extract(text, _NUMBER, 0)
-
-
 def _factor(match: Column) -> Column:
     word = F.lower(F.regexp_extract(match, rf"([\p{{L}}][^\d]*)$", 1))
-    chain = F.when(word == "", F.lit(1.0))
-    for pattern, value in K.MULTIPLIERS:
-        chain = chain.when(word.rlike("^(?:" + pattern.replace(r"\b", "") + ")$"), F.lit(value))
-    return chain.otherwise(F.lit(1.0))
-
+    chain = F.lit(1.0)
+    for pattern, value in reversed(K.MULTIPLIERS):
+        chain = F.when(word.rlike("^(?:" + pattern.replace(r"\b", "") + ")$"), F.lit(value)).otherwise(chain)
+    return F.when(match.rlike(r"\p{L}"), chain).otherwise(F.lit(1.0))
 
-def _signed(match: Column, run: Column) -> Column:
-    sign = F.when(F.startswith(match, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return plain_number(run) * _factor(match) * sign
 
+def _generic(text: Column) -> Column:
+    """The first amount with its sign and multiplier word."""
+    def value(match: Column) -> Column:
+        run = F.when(match.rlike(r"\p{L}"), F.regexp_extract(match, rf"^-?({_RUN})", 1)).otherwise(match)
+        sign = F.when(F.startswith(match, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+        return let(squeeze_run(run), lambda r: plain_number(r) * _factor(match) * sign)
 
-def _run_of(match: Column) -> Column:
-    return squeeze_run(F.regexp_extract(match, rf"^-?({_RUN})", 1))
+    return let(F.regexp_extract(text, _NUMBER, 0), lambda m: F.when(m != "", value(m)))
 
 
 def _cjk_sum(text: Column) -> Column:
@@ -69,25 +69,15 @@ def _cjk_sum(text: Column) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda total, p: total + p))
 
 
-def has_cjk_unit(text: Column) -> Column:
-    return text.rlike(f"[{_SMALL}{_LARGE}]")
+def number_in(text: Column) -> Column:
+    """The amount of a text that `digits_text` has prepared."""
+    cjk = F.when(beyond_ascii(text) & text.rlike(f"[{_SMALL}{_LARGE}]"), _cjk_sum(text))
+    return F.coalesce(cjk, _generic(text))
 
 
 def number(text: Column) -> Column:
-    """An amount as one expression, for use inside lambdas; `number_stages` is the form for table columns."""
-    generic = let(number_match(text), lambda m: let(_run_of(m), lambda run: _signed(m, run)))
-    return F.when(has_cjk_unit(text), F.coalesce(_cjk_sum(text), generic)).otherwise(generic)
-
-
-def number_stages(out: str, text: Column, prepared: bool = False) -> Stages:
-    """Staged columns for an amount: text, match, run, value."""
-    t, m, r = (F.col(f"__{out}_{k}") for k in "tmr")
-    return [
-        {f"__{out}_t": text if prepared else digits_text(text)},
-        {f"__{out}_m": number_match(t)},
-        {f"__{out}_r": _run_of(m)},
-        {out: F.when(has_cjk_unit(t), F.coalesce(_cjk_sum(t), _signed(m, r))).otherwise(_signed(m, r))},
-    ]
+    """The amount in a raw text, NULL when there is none."""
+    return let(digits_text(text), number_in)
 
 
 def integer_of(value: Column) -> Column:
@@ -98,5 +88,5 @@ def integer_of(value: Column) -> Column:
 def price_range(text: Column) -> Column:
     """struct(low, high) over the parts around a dash or a 'to' word."""
     parts = F.filter(F.split(digits_text(text), rx(K.RANGE_SPLIT)), lambda p: p.rlike(r"\d"))
-    found = F.filter(F.transform(parts, number), lambda n: n.isNotNull())
-    return F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high"))
+    return let(F.filter(F.transform(parts, lambda p: number_in(p)), lambda n: n.isNotNull()),
+               lambda found: F.struct(F.array_min(found).alias("low"), F.array_max(found).alias("high")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import Stages, alternation, best_ranked, group, look_up, no_letters_around, rx
+from .core import alternation, best_ranked, group, let, look_up, no_letters_around, rx
 
 WORDS = {word: period for period, text in K.PERIOD_WORDS.items() for word in K.words(text)}
 _LONG = sorted((w for w in WORDS if len(w) >= 3), key=len, reverse=True)
@@ -14,19 +14,18 @@ _LONG_PATTERN = no_letters_around(alternation(_LONG))
 _LONG_RANKS = {word: rank for rank, word in enumerate(_LONG)}
 
 
-def period_stages(out: str, text: Column, default: Column | None = None) -> Stages:
+def period(text: Column, default: Column | None = None) -> Column:
     """Exact word, then the word without a 'per' prefix, then the longest word inside the text, then a short unit after a
     slash (never a square or cubic metre), then the default."""
-    t = F.col(f"__{out}_t")
-    bare = F.regexp_replace(F.regexp_replace(t, rx(K.PERIOD_PREFIX, ""), ""), r"^[ ./]+|[ ./]+$", "")
-    by_rank = look_up({str(i): WORDS[w] for i, w in enumerate(_LONG)},
-                      best_ranked(t, _LONG_PATTERN, _LONG_RANKS).cast("string"))
-    short = look_up(WORDS, group(t, rx(K.PERIOD_AFTER_SLASH, ""), 1))
-    return [
-        {f"__{out}_t": F.lower(F.trim(text))},
-        {out: F.coalesce(look_up(WORDS, t), look_up(WORDS, bare), by_rank, short,
-                         F.lit(None).cast("string") if default is None else default)},
-    ]
+    def found(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, rx(K.PERIOD_PREFIX, ""), ""), r"^[ ./]+|[ ./]+$", "")
+        inside = look_up({str(i): WORDS[w] for i, w in enumerate(_LONG)},
+                         best_ranked(t, _LONG_PATTERN, _LONG_RANKS).cast("string"))
+        short = look_up(WORDS, group(t, rx(K.PERIOD_AFTER_SLASH, ""), 1))
+        return F.coalesce(look_up(WORDS, t), look_up(WORDS, bare), F.when(t.rlike(r"[\p{L}]"), F.coalesce(inside, short)))
+
+    known = F.when(text.isNotNull(), let(F.lower(F.trim(text)), found))
+    return known if default is None else F.coalesce(known, default)
 
 
 def convert_period(amount: Column, source: Column, target: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import SPACE, all_groups, look_up, rx
+from .core import SPACE, all_groups, filled, let, look_up, rx
 
 _AMPERSAND = r"&(?:(?:amp|AMP);?|#0*38;|#[xX]0*26;)"
 _ENTITY = (r"&(?!(?:amp|AMP);?|#0*38;|#[xX]0*26;)(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,8};?)")
@@ -44,22 +44,26 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.regexp_replace(decoded, _AMPERSAND, "&")).otherwise(text)
 
 
+# one blank needs no replacement, so only other or repeated white space is matched
+_BLANKS = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
 def clean_text(text: Column, limit: int = K.TEXT_LIMIT) -> Column:
     """Hidden blocks dropped with their content, tags removed, entities decoded, white space collapsed, length capped."""
-    bare = F.when(F.contains(text, F.lit("<")),
-                  F.regexp_replace(F.regexp_replace(text, rx(K.HIDDEN_BLOCK_TO_END, "is"), " "), K.TAG, " ")).otherwise(text)
-    return F.nullif(F.substring(squeeze(unescape(bare)), 1, limit), F.lit(""))
+    without_tags = F.regexp_replace(F.regexp_replace(text, rx(K.HIDDEN_BLOCK_TO_END, "is"), " "), K.TAG, " ")
+    bare = F.when(F.contains(text, F.lit("<")), without_tags).otherwise(text)
+    return filled(F.substring(squeeze(let(bare, unescape)), 1, limit))
 
 
 def visible_text(html: Column) -> Column:
     """What a reader sees of a page: hidden blocks and every tag removed, entities decoded."""
     bare = F.regexp_replace(F.regexp_replace(html, rx(K.HIDDEN_BLOCK, "is"), " "), "<[^>]+>", " ")
-    return squeeze(unescape(F.coalesce(bare, F.lit(""))))
+    return squeeze(let(F.coalesce(bare, F.lit("")), unescape))
 
 
 @lru_cache(maxsize=1)

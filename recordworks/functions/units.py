@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import SPACE, Stages, all_groups, look_up, rx
-from .numbers import digits_text, number_stages
+from .core import SPACE, all_groups, let, look_up, rx
+from .numbers import number
 from .text import unescape
 
 _BEFORE = rx(rf"\d[\d.,{SPACE}'’]*(?:\s*(?:{K.UNIT_AMOUNT_SUFFIX}))?")
+# kind -> (units in order, unit when none is shown, decimals)
 KINDS = {
     "area": (K.AREA_UNITS, "sqm", 2),
     "distance": (K.DISTANCE_UNITS, "km", 1),
@@ -18,39 +19,33 @@ KINDS = {
 }
 
 
-def _first_unit(text: Column, units) -> Column:
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for unit, pattern, _ in units:
-        chain = chain.when(text.rlike(rx(pattern)), unit)
+def _shown(text: Column, units) -> Column:
+    """struct(unit, before): the first unit of the list that occurs, and the text in front of it."""
+    chain = F.lit(None).cast("struct<unit:string,before:string>")
+    for unit, pattern, _ in reversed(units):
+        chain = F.when(text.rlike(rx(pattern)), F.struct(
+            F.lit(unit).alias("unit"), F.regexp_extract(text, rx(f"^(.*?)(?:{pattern})", "isu"), 1).alias("before"))).otherwise(chain)
     return chain
 
 
-def _text_before(text: Column, unit: Column, units) -> Column:
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern, _ in units:
-        chain = chain.when(unit == name, F.regexp_extract(text, rx(f"^(.*?)(?:{pattern})", "isu"), 1))
-    return chain
-
-
-def unit_stages(out: str, kind: str, text: Column, hint: Column | None = None, number_value: Column | None = None) -> Stages:
-    """Staged columns `out` (canonical unit) and `<out>_unit` (unit as shown).  The first unit of the list that occurs
-    wins; the amount is the last numeric run before it.  A unit without a factor gives a NULL value."""
+def measure(kind: str, text: Column, hint: Column | None = None, given: Column | None = None) -> Column:
+    """struct(value, unit) in the canonical unit of `kind`.  The amount is the last numeric run before the unit; `hint` is the
+    unit when the text shows none and `given` the amount when the raw value was a number.  A unit without a factor gives a
+    NULL value."""
     units, default, digits = KINDS[kind]
     factors = {u: f for u, _, f in units if f is not None}
-    raw, shown, amount_text = F.col(f"__{out}_x"), F.col(f"__{out}_u"), F.col(f"__{out}_b")
-    unit, amount = F.col(out + "_unit"), F.col(f"__{out}_n")
-    given = F.lit(None).cast("double") if number_value is None else number_value
     hint = F.lit(None).cast("string") if hint is None else hint
-    run = F.try_element_at(all_groups(_text_before(raw, shown, units), _BEFORE), F.lit(-1))
-    parsed = number_stages(f"__{out}_n", digits_text(amount_text))
-    factor = look_up(factors, unit).cast("double")
-    return [
-        {f"__{out}_x": F.when(given.isNull(), unescape(text))},
-        {f"__{out}_u": _first_unit(raw, units)},
-        {f"__{out}_b": F.coalesce(run, raw)},
-        *parsed[:-1],
-        {**parsed[-1], out + "_unit": F.when(text.isNotNull() | given.isNotNull(),
-                                             F.coalesce(shown, hint, F.lit(default)))},
-        {out: F.round(F.coalesce(given, amount) * factor, digits)},
-    ]
+    given = F.lit(None).cast("double") if given is None else given
+
+    def result(amount: Column, unit: Column) -> Column:
+        factor = look_up(factors, unit).cast("double")
+        return F.struct(F.round(amount * factor, digits).alias("value"), unit.alias("unit"))
+
+    def parsed(raw: Column) -> Column:
+        def with_unit(shown: Column) -> Column:
+            run = F.try_element_at(all_groups(shown["before"], _BEFORE), F.lit(-1))
+            return result(number(F.coalesce(run, raw)), F.coalesce(shown["unit"], hint, F.lit(default)))
+        return let(_shown(raw, units), with_unit)
 
+    stated = F.coalesce(hint, F.lit(default))
+    return F.when(given.isNotNull(), result(given, stated)).when(text.isNotNull(), let(unescape(text), parsed))

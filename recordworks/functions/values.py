@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..templates import Field
-from .core import BOUNDARY, Stages, alternation, best_ranked, look_up, no_word_around, quote, rx
+from .core import BOUNDARY, alternation, best_ranked, let, look_up, no_word_around, quote, rx
 from .text import clean_text
 
 
@@ -16,27 +16,25 @@ def boolean(text: Column) -> Column:
     return F.when(low.isin(*K.TRUE_WORDS.split()), True).when(low.isin(*K.FALSE_WORDS.split()), False)
 
 
-def enum_stages(out: str, text: Column, field: Field) -> Stages:
+def enum(text: Column, field: Field) -> Column:
+    """Allowed value of a raw wording; `enum_of` over the cleaned, lower-cased text."""
+    return F.when(text.isNotNull(), let(F.lower(F.coalesce(clean_text(text), F.lit(""))), lambda low: enum_of(low, field)))
+
+
+def enum_of(low: Column, field: Field) -> Column:
     """Allowed value, the value with underscores, exact synonym, longest synonym as a whole word, allowed value as a word,
     'other' when the field has it."""
-    low = F.col(f"__{out}_l")
     ranked = sorted(field.synonyms, key=len, reverse=True)
     underscored = F.translate(low, "- ", "__")
-    chain = (F.when(low.isin(*field.allowed), low)
-             .when(underscored.isin(*field.allowed), underscored))
-    tail = F.when(F.lit(False), F.lit(None).cast("string"))
-    for value in field.allowed:
-        tail = tail.when(low.rlike(f"(?iu){BOUNDARY}{quote(value.replace('_', ' '))}{BOUNDARY}"), value)
-    fallback = tail.otherwise(F.lit("other" if "other" in field.allowed else None).cast("string"))
-    choices = [chain]
+    tail = F.lit("other" if "other" in field.allowed else None).cast("string")
+    for value in reversed(field.allowed):
+        tail = F.when(low.rlike(f"(?iu){BOUNDARY}{quote(value.replace('_', ' '))}{BOUNDARY}"), value).otherwise(tail)
+    choices = [F.when(low.isin(*field.allowed), low).when(underscored.isin(*field.allowed), underscored)]
     if ranked:
         rank = best_ranked(low, no_word_around(alternation(ranked)), {w: i for i, w in enumerate(ranked)})
         choices += [look_up(field.synonyms, low),
                     look_up({str(i): field.synonyms[w] for i, w in enumerate(ranked)}, rank.cast("string"))]
-    return [
-        {f"__{out}_l": F.when(text.isNotNull(), F.lower(F.coalesce(clean_text(text), F.lit(""))))},
-        {out: F.when(low.isNotNull(), F.coalesce(*choices, fallback))},
-    ]
+    return F.when(low.isNotNull(), F.coalesce(*choices, tail))
 
 
 def text_list(text: Column) -> Column:

@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.core import Stages, add_columns, moment
-from ..functions.dates import datetime_stages
+from ..functions.core import each, moment
+from ..functions.dates import datetime_text
 from ..functions.identity import fingerprint, record_uid
-from ..functions.money import detect_currency, money_stages, price_basis
-from ..functions.numbers import integer_of, number_stages, digits_text
-from ..functions.periods import convert_period, period_stages
+from ..functions.money import detect_currency, money, price_basis
+from ..functions.numbers import integer_of, number
+from ..functions.periods import convert_period, period
 from ..functions.text import clean_text
-from ..functions.units import unit_stages
-from ..functions.values import absolute_url, boolean, enum_stages, matches, text_list
+from ..functions.units import measure
+from ..functions.values import absolute_url, boolean, enum_of, matches, text_list
 from ..operators import quality
 from ..operators.lookups import canonical_city, city_dim, resolve_region
 from ..sources.dims import country_code, country_currency, currency_codes, currency_of
@@ -130,8 +130,8 @@ def _regions(df: DataFrame, template: Template, ctx: Context, places: DataFrame
     only = F.get("__regions", F.lit(0))
     if given is not None and len(given) <= 1:
         home = given[0] if given else None
-        money = ctx.default_currency or (country_currency(spark).get(home) if home else None)
-        return df.withColumns({"__region": F.lit(home).cast("string"), "__dcur": F.lit(money).cast("string"), "__several": F.lit(False)})
+        currency = ctx.default_currency or (country_currency(spark).get(home) if home else None)
+        return df.withColumns({"__region": F.lit(home).cast("string"), "__dcur": F.lit(currency).cast("string"), "__several": F.lit(False)})
     several = F.size("__regions") > 1
     stated = country_code(_raw("country"), spark) if "country" in template.fields else F.lit(None).cast("string")
     df = df.withColumns({"__several": several, "__stated": F.when(several, stated)})
@@ -146,41 +146,72 @@ def _regions(df: DataFrame, template: Template, ctx: Context, places: DataFrame
         found = F.col("__placed")
     country = F.when(F.col("__several"), F.coalesce("__stated", found)).otherwise(only)
     df = df.withColumn("__region", country)
-    moneys = F.array_distinct(F.transform("__regions", lambda r: currency_of(r, spark)))
-    shared = F.when(F.col("__several") & (F.size(moneys) == 1), moneys[0])
+    currencies = F.array_distinct(F.transform("__regions", lambda r: currency_of(r, spark)))
+    shared = F.when(F.col("__several") & (F.size(currencies) == 1), currencies[0])
     return df.withColumn("__dcur", F.coalesce(explicit, currency_of(F.col("__region"), spark), F.when(F.col("__region").isNull(), shared)))
 
 
-def _field_stages(f: Field, ctx: Context, codes: list[str], now: Column, base: Column | None) -> Stages:
-    name, text = f.name, _raw(f.name)
-    out = f.name
-    if f.type in ("string", "text"):
-        value = clean_text(text, K.STRING_LIMIT if f.type == "string" else K.TEXT_LIMIT)
-        return [{out: F.replace(F.upper(value), F.lit(" "), F.lit("")) if f.upper else value}]
-    if f.type == "integer":
-        parsed = number_stages(f"__{out}_i", digits_text(text))
-        return [*parsed, {out: integer_of(F.coalesce(_num(name), F.col(f"__{out}_i")))}]
-    if f.type == "number":
-        parsed = number_stages(f"__{out}_f", digits_text(text))
-        return [*parsed, {out: F.coalesce(_num(name), F.col(f"__{out}_f"))}]
-    if f.type == "money":
-        explicit = F.col(f"__cur_{f.currency_field}")
-        return money_stages(out, f"cur_of_{out}", text, explicit, codes, _num(name))
-    if f.type in ("area", "distance", "weight"):
-        return unit_stages(out, f.type, text, F.col(f"__hint_{name}"), _num(name))
-    if f.type in ("date", "datetime"):
-        return datetime_stages(out, text, F.col("__region"), now, f.type == "date", _num(name))
-    if f.type == "url":
-        return [{out: absolute_url(F.when(text != "", text), base)}]
-    if f.type == "enum":
-        return enum_stages(out, text, f)
-    if f.type == "boolean":
-        return [{out: boolean(text)}]
-    if f.type == "period":
-        return period_stages(out, text)
-    if f.type == "list":
-        return [{out: F.coalesce(F.col(f"__arr_{name}"), text_list(text))}]
-    return [{out: F.col(f"__obj_{name}")}]
+def _parse_fields(df: DataFrame, template: Template, ctx: Context, codes: list[str], now: Column, base: Column | None) -> DataFrame:
+    """Every field to its type.  Fields of one kind are parsed by one expression over an array (`each`), so the plan and the
+    generated code stay small however many fields the template has."""
+    def of(*types: str) -> list[Field]:
+        return template.of_type(*types)
+
+    texts, moneys, dates = of("string", "text", "enum"), of("money"), of("date", "datetime")
+    plain = of("integer", "number")
+    inputs: dict[str, Column] = {}
+    if texts:
+        inputs["__texts"] = each([_raw(f.name) for f in texts], lambda t: clean_text(t))
+    if plain:
+        inputs["__plain"] = each([F.when(_num(f.name).isNull(), _raw(f.name)) for f in plain], lambda t: number(t))
+    if moneys:
+        pairs = [F.struct(F.when(_num(f.name).isNull(), _raw(f.name)).alias("t"), F.col(f"__cur_{f.currency_field}").alias("c"))
+                 for f in moneys]
+        inputs["__money"] = each(pairs, lambda p: money(p["t"], p["c"], codes))
+    readers = {True: lambda p: datetime_text(p["t"], F.col("__region"), now, True, p["n"]),
+               False: lambda p: datetime_text(p["t"], F.col("__region"), now, False, p["n"])}
+    for day, reader in readers.items():
+        chosen = [f for f in dates if (f.type == "date") is day]
+        if chosen:
+            inputs[f"__dates_{day}"] = each([F.struct(_raw(f.name).alias("t"), _num(f.name).alias("n")) for f in chosen], reader)
+    if of("url"):
+        inputs["__urls"] = each([F.nullif(_raw(f.name), F.lit("")) for f in of("url")], lambda u: absolute_url(u, base))
+    if of("period"):
+        inputs["__stated"] = each([_raw(f.name) for f in of("period")], lambda t: period(t))
+    for f in of("area", "distance", "weight"):
+        inputs[f"__unit_{f.name}"] = measure(f.type, _raw(f.name), F.col(f"__hint_{f.name}"), _num(f.name))
+    df = df.withColumns(inputs)
+    out: dict[str, Column] = {}
+    for i, f in enumerate(texts):
+        value = F.get("__texts", F.lit(i))
+        if f.type == "enum":
+            out[f.name] = enum_of(F.when(_raw(f.name).isNotNull(), F.lower(F.coalesce(value, F.lit("")))), f)
+        else:
+            value = F.substring(value, 1, K.STRING_LIMIT) if f.type == "string" else value
+            out[f.name] = F.replace(F.upper(value), F.lit(" "), F.lit("")) if f.upper else value
+    for i, f in enumerate(plain):
+        value = F.coalesce(_num(f.name), F.get("__plain", F.lit(i)))
+        out[f.name] = integer_of(value) if f.type == "integer" else value
+    for i, f in enumerate(moneys):
+        parsed = F.get("__money", F.lit(i))
+        out[f.name] = F.coalesce(_num(f.name), parsed["amount"])
+        out[f"cur_of_{f.name}"] = F.when(_num(f.name).isNull(), parsed["currency"]).otherwise(F.col(f"__cur_{f.currency_field}"))
+    for day in readers:
+        for i, f in enumerate(f for f in dates if (f.type == "date") is day):
+            out[f.name] = F.get(f"__dates_{day}", F.lit(i))
+    for i, f in enumerate(of("url")):
+        out[f.name] = F.get("__urls", F.lit(i))
+    for i, f in enumerate(of("period")):
+        out[f.name] = F.get("__stated", F.lit(i))
+    for f in of("area", "distance", "weight"):
+        out[f.name], out[f.name + "_unit"] = F.col(f"__unit_{f.name}.value"), F.col(f"__unit_{f.name}.unit")
+    for f in of("boolean"):
+        out[f.name] = boolean(_raw(f.name))
+    for f in of("list"):
+        out[f.name] = F.coalesce(F.col(f"__arr_{f.name}"), text_list(_raw(f.name)))
+    for f in of("object"):
+        out[f.name] = F.col(f"__obj_{f.name}")
+    return df.withColumns(out).drop(*inputs)
 
 
 def _currencies(template: Template, spark_codes: list[str], ctx: Context) -> dict[str, Column]:
@@ -251,10 +282,8 @@ def normalise_records(raw: DataFrame, template: Template, ctx: Context | None =
     base = F.lit(ctx.base_url) if ctx.base_url else F.col("base_url") if "base_url" in raw.columns else None
     df = _regions(_extract(raw, template, ctx.field_map), template, ctx, places)
     df = df.withColumns(_currencies(template, codes, ctx))
-    parsed = [f for f in template.fields.values() if f.type not in ("currency", "country")]
-    prefixed = df.withColumns({f"__pass_{c}": F.col(c) for c in passing if c in template.fields})
-    # stages name their helpers with `__`; those of the extraction stay until the end
-    df = add_columns(prefixed, *[_field_stages(f, ctx, codes, now, base) for f in parsed])
+    df = df.withColumns({f"__pass_{c}": F.col(c) for c in passing if c in template.fields})
+    df = _parse_fields(df, template, ctx, codes, now, base)
     stated = country_code(_raw("country"), spark) if "country" in template.fields else F.lit(None).cast("string")
     late: dict[str, Column] = {"country": F.coalesce(stated, F.when(_raw("country").isNull(), F.col("__region")))} \
         if "country" in template.fields else {}
@@ -278,8 +307,8 @@ def normalise_records(raw: DataFrame, template: Template, ctx: Context | None =
     df = df.withColumn("__notes", F.array(*_warnings(template), *notes))
     df = df.withColumns({n: F.when(~condition, F.col(n)) for n, condition in bad.items()})
     df = _periods(df, template)
-    df, usd_rate, money = _reports(df, template, ctx, fx)
-    checks = [*quality.check_required(template), *quality.check_bounds(template, usd_rate, money)]
+    df, usd_rate, currency = _reports(df, template, ctx, fx)
+    checks = [*quality.check_required(template), *quality.check_bounds(template, usd_rate, currency)]
     if places is not None and "city" in template.fields and "country" in template.fields:
         clash = (F.size("__homes") > 0) & ~F.array_contains("__homes", F.col("country"))
         checks.append(F.when(clash, F.concat(F.lit("city "), F.col("city"), F.lit(" is in "),
@@ -309,32 +338,32 @@ def normalise_records(raw: DataFrame, template: Template, ctx: Context | None =
 def _periods(df: DataFrame, template: Template) -> DataFrame:
     """Period from its field, else from an amount's text, else the default; no amount, no period."""
     for p in template.periods:
-        df = add_columns(df, *[period_stages(f"per_{a}", F.when(_is_text(a), _raw(a))) for a in p.amounts])
-        stated = F.coalesce(p.field, *[F.col(f"per_{a}") for a in p.amounts])
+        df = df.withColumn("__per", each([F.when(_is_text(a), _raw(a)) for a in p.amounts], lambda t: period(t)))
+        stated = F.coalesce(p.field, F.get(F.array_compact("__per"), F.lit(0)))
         some = F.coalesce(*[F.col(a) for a in p.amounts]).isNotNull()
         df = df.withColumn(p.field, F.when(stated.isNotNull(), stated).when(some, F.lit(p.default)))
         df = df.withColumns({a + p.suffix: convert_period(F.col(a), F.col(p.field), p.canonical) for a in p.amounts})
-        df = df.drop(*[f"per_{a}" for a in p.amounts])
+        df = df.drop("__per")
     return df
 
 
 def _reports(df: DataFrame, template: Template, ctx: Context, fx: DataFrame | None) -> tuple[DataFrame, Column | None, Column]:
     """`<money>_report` in the report currency.  All money of a row shares one currency, so one broadcast lookup of its rate is
     enough; the rates of the report currency and of the dollar are read once on the driver."""
-    money = template.of_type("money")
-    if not money:
+    amounts = template.of_type("money")
+    if not amounts:
         return df, None, F.lit(None).cast("string")
-    currency = F.coalesce(money[0].currency_field, "__dcur")
+    currency = F.coalesce(amounts[0].currency_field, "__dcur")
     report = ctx.report_currency.upper()
     if fx is None:
-        same = {f.name + "_report": F.when(currency == report, F.round(F.col(f.name), 2)) for f in money}
+        same = {f.name + "_report": F.when(currency == report, F.round(F.col(f.name), 2)) for f in amounts}
         return df.withColumns(same), F.when(currency == "USD", F.lit(1.0)), currency
     known = {r["currency"]: r["rate"] for r in fx.filter(F.col("currency").isin(report, "USD")).collect()}
     rates = F.broadcast(fx.select(F.col("currency").alias("__fx"), F.col("rate").alias("__rate")))
     df = df.withColumn("__money", currency).join(rates, F.upper("__money") == F.col("__fx"), "left")
     target, dollar = (F.lit(known.get(c)).cast("double") for c in (report, "USD"))
     values = {f.name + "_report": F.round(F.when(F.col("__money") == report, F.col(f.name)).otherwise(
-        F.col(f.name) / F.col("__rate") * target), 2) for f in money}
+        F.col(f.name) / F.col("__rate") * target), 2) for f in amounts}
     usd_rate = F.when(F.col("__money") == "USD", F.lit(1.0)).otherwise(F.col("__rate") / dollar)
     return df.withColumns(values), usd_rate, F.col("__money")
 

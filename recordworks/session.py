@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     """A local session for tests and the benchmark."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("recordworks")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in SETTINGS.items():

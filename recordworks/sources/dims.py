@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import lru_cache
@@ -24,6 +25,13 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(size) <= limit else df
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few constant rows as a DataFrame that stays inside the JVM (no Python worker)."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 # ---------------------------------------------------------------------------------------------------------- countries
 @lru_cache(maxsize=4)
 def _countries(app: str) -> tuple[tuple[str, str, str], ...]:
@@ -69,9 +77,9 @@ def region_tokens(spark: SparkSession) -> dict[str, list[str]]:
 
 def region_dims(spark: SparkSession) -> dict[str, DataFrame]:
     """The region dimensions as DataFrames: country, token (token, position, code)."""
-    country = spark.createDataFrame(countries(spark), "code string, name string, currency string")
+    country = small_table(spark, countries(spark), "code string, name string, currency string")
     rows = [(t, i, c) for t, codes in region_tokens(spark).items() for i, c in enumerate(codes)]
-    return {"country": country, "token": spark.createDataFrame(rows, "token string, position int, code string")}
+    return {"country": country, "token": small_table(spark, rows, "token string, position int, code string")}
 
 
 def country_code(text: Column, spark: SparkSession) -> Column:
@@ -123,7 +131,7 @@ def read_gazetteer(spark: SparkSession, json_path: str | None = None, geonames_p
                    seed: bool = True) -> DataFrame:
     """gazetteer(country, key, canonical).  JSON files hold {country: {canonical: [aliases]}}; a GeoNames dump counts
     populated places and administrative areas only.  Earlier sources win per (country, key)."""
-    names = spark.createDataFrame(_seed_rows() if seed else [], "country string, name string, canonical string, load int")
+    names = small_table(spark, _seed_rows() if seed else [], "country string, name string, canonical string, load int")
     if json_path:
         by_country = (spark.read.text(json_path, wholetext=True)
                       .select(F.explode(F.from_json("value", "map<string,map<string,array<string>>>")).alias("country", "cities"))
@@ -181,4 +189,4 @@ def read_fx(spark: SparkSession, path: str) -> DataFrame:
 
 
 __all__ = ["bounded_broadcast", "countries", "currency_codes", "country_currency", "region_tokens", "region_dims", "country_code",
-           "currency_of", "read_gazetteer", "read_suffixes", "check_rates", "fx_dim", "read_fx"]
+           "currency_of", "small_table", "read_gazetteer", "read_suffixes", "check_rates", "fx_dim", "read_fx"]

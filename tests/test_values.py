@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from recordworks.functions import dates, identity, money, numbers, periods, sites, text, units, values
-from recordworks.functions.core import add_columns
 from recordworks.sources import dims
 from recordworks.templates import template
 
@@ -31,7 +30,7 @@ NUMBERS = [
 
 
 def test_numbers(spark):
-    df = add_columns(table(spark, [n for n, _ in NUMBERS]), numbers.number_stages("value", F.col("raw")))
+    df = table(spark, [n for n, _ in NUMBERS]).withColumn("value", numbers.number(F.col("raw")))
     got = dict(outputs(df, "raw", "value"))
     assert got == dict(NUMBERS)
 
@@ -64,9 +63,8 @@ def test_currency_and_money(spark):
     df = table(spark, [c[:2] for c in CURRENCIES], "raw string, d string").select(
         money.detect_currency(F.col("raw"), F.col("d"), codes).alias("c"))
     assert outputs(df, "c") == [c[2] for c in CURRENCIES]
-    df = add_columns(table(spark, [m[:2] for m in MONEY], "raw string, d string"),
-                     money.money_stages("a", "c", F.col("raw"), F.col("d"), codes))
-    assert outputs(df, "a", "c") == [m[2:] for m in MONEY]
+    df = table(spark, [m[:2] for m in MONEY], "raw string, d string").select(money.money(F.col("raw"), F.col("d"), codes).alias("m")).select("m.*")
+    assert outputs(df, "amount", "currency") == [m[2:] for m in MONEY]
 
 
 AREAS = [
@@ -77,14 +75,14 @@ AREAS = [
 
 
 def test_units(spark):
-    df = add_columns(table(spark, [a[0] for a in AREAS]), units.unit_stages("v", "area", F.col("raw")))
-    assert outputs(df, "v", "v_unit") == [a[1:] for a in AREAS]
-    df = add_columns(table(spark, ["150 тыс. км", "3.5万公里", "60,000 miles"]), units.unit_stages("v", "distance", F.col("raw")))
-    assert outputs(df, "v") == [150000, 35000, 96560.6]
-    df = add_columns(table(spark, ["2.5 lbs", "500 g"]), units.unit_stages("v", "weight", F.col("raw")))
-    assert outputs(df, "v") == [1.134, 0.5]
-    df = add_columns(spark.createDataFrame([(750.0, "sqft")], "n double, u string"),
-                     units.unit_stages("v", "area", F.lit(None).cast("string"), F.col("u"), F.col("n")))
+    def measured(kind, rows):
+        return table(spark, rows).select(units.measure(kind, F.col("raw")).alias("m")).select("m.*")
+
+    assert outputs(measured("area", [a[0] for a in AREAS]), "value", "unit") == [a[1:] for a in AREAS]
+    assert outputs(measured("distance", ["150 тыс. км", "3.5万公里", "60,000 miles"]), "value") == [150000, 35000, 96560.6]
+    assert outputs(measured("weight", ["2.5 lbs", "500 g"]), "value") == [1.134, 0.5]
+    df = spark.createDataFrame([(750.0, "sqft")], "n double, u string").select(
+        units.measure("area", F.lit(None).cast("string"), F.col("u"), F.col("n"))["value"].alias("v"))
     assert outputs(df, "v") == [69.68]
 
 
@@ -97,7 +95,7 @@ PERIODS = [
 
 
 def test_periods(spark):
-    df = add_columns(table(spark, [p for p, _ in PERIODS]), periods.period_stages("p", F.col("raw")))
+    df = table(spark, [p for p, _ in PERIODS]).withColumn("p", periods.period(F.col("raw")))
     assert outputs(df, "raw", "p") == PERIODS
     got = spark.range(1).select(periods.convert_period(F.lit(100.0), F.lit("week"), "month").alias("a"),
                                 periods.convert_period(F.lit(50.0), F.lit("hour"), "year").alias("b"))
@@ -123,13 +121,12 @@ DATES = [
 
 def test_dates(spark):
     now = F.lit(dt.datetime(2026, 10, 1, 12, 0)).cast("timestamp")
-    df = add_columns(table(spark, [d[:2] for d in DATES], "raw string, c string"),
-                     dates.datetime_stages("v", F.col("raw"), F.col("c"), now),
-                     dates.datetime_stages("day", F.col("raw"), F.col("c"), now, date_only=True))
+    df = table(spark, [d[:2] for d in DATES], "raw string, c string").withColumns({
+        "v": dates.datetime_text(F.col("raw"), F.col("c"), now), "day": dates.datetime_text(F.col("raw"), F.col("c"), now, date_only=True)})
     assert outputs(df, "raw", "v") == [(d[0], d[2]) for d in DATES]
     assert dict(outputs(df, "raw", "day"))["Tue, 14 Oct 2026, 18:30"] == "2026-10-14"
-    epoch = add_columns(spark.createDataFrame([(1758800000.0,), (1758800000000.0,)], "n double"),
-                        dates.datetime_stages("v", F.lit(None).cast("string"), number_value=F.col("n")))
+    epoch = spark.createDataFrame([(1758800000.0,), (1758800000000.0,)], "n double").withColumn(
+        "v", dates.datetime_text(F.lit(None).cast("string"), given=F.col("n")))
     assert outputs(epoch, "v") == ["2025-09-25T11:33:20+00:00"] * 2
 
 
@@ -137,7 +134,7 @@ def test_enums_and_booleans(spark):
     fuel = template("vehicles").fields["fuel_type"]
     cases = [("Бензин", "petrol"), ("Gasolina", "petrol"), ("Diesel", "diesel"), ("Plug-in hybrid", "plugin_hybrid"),
              ("steam", "other"), ("дизель турбо", "diesel"), (None, None), ("plugin-hybrid", "plugin_hybrid")]
-    df = add_columns(table(spark, [c for c, _ in cases]), values.enum_stages("v", F.col("raw"), fuel))
+    df = table(spark, [c for c, _ in cases]).withColumn("v", values.enum(F.col("raw"), fuel))
     assert outputs(df, "raw", "v") == cases
     df = table(spark, ["Yes", "нет", "maybe"]).select(values.boolean(F.col("raw")).alias("b"))
     assert outputs(df, "b") == [True, False, None]
