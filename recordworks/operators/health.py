@@ -72,7 +72,8 @@ def health_findings(runs: DataFrame, sources: DataFrame, now: Column, cadence: f
         _found(enabled & (F.col("hours") > 0) & (at - reference > 2 * 3600 * F.col("hours")), "stale", None, reference),
     ))
     stuck = F.transform(F.coalesce("stuck", F.array().cast(state.schema["stuck"].dataType)),
-                        lambda r: F.struct(F.lit("stuck").alias("kind"), r["run_id"].alias("key"), r["run_id"].alias("detail")))
+                        lambda r: F.struct(F.lit("stuck").alias("kind"), r["run_id"].cast("string").alias("key"),
+                                           r["run_id"].cast("string").alias("detail")))
     return state.select("source", F.inline(F.concat(single, stuck)))
 
 
