@@ -273,7 +273,7 @@ SELECT site, CASE WHEN blocked THEN CASE WHEN n <= 10 THEN 'blocked' ELSE 'rejec
 def deferred_set(spark, sf):
     parts = T.table(spark, sf, "part").withColumn("site", F.concat_ws("-", "p_name", "p_partkey"))
     old, batch = parts.filter("p_size < 20").select("site"), parts.filter("p_size > 15").select("site")
-    return coverage.readmit(coverage.defer(old, batch), parts.filter("p_retailprice < 1000").select("site"))
+    return coverage.readmit(coverage.defer(old, batch), parts.filter("p_retailprice < 950").select("site"))
 
 
 def merge_candidates(spark, sf):
@@ -362,7 +362,7 @@ QUERIES = {
         SELECT sources, empty_cells, dry_streak, sources >= 100000 AS budget_reached, dry_streak >= 2 AND empty_cells = 0 AND sources < 100000 AS saturated FROM s, e, d"""),
     "known_sites": (known_sites, f"SELECT DISTINCT site FROM {T.REGISTRY_SQL}"),
     "admit": (admit, ADMIT_SQL),
-    "deferred_set": (deferred_set, "SELECT p_name || '-' || p_partkey AS site FROM part WHERE NOT p_retailprice < 1000"),
+    "deferred_set": (deferred_set, "SELECT p_name || '-' || p_partkey AS site FROM part WHERE NOT p_retailprice < 950"),
     "merge_candidates": (merge_candidates, MERGE_SQL),
     "site_slugs": (site_slugs, """WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size % 2 = 0 THEN '.x' ELSE '-x' END AS site FROM part),
         s AS (SELECT site, substr(trim(regexp_replace(lower(site), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug FROM n),
