@@ -36,7 +36,8 @@ def _feeds(spark, sf):
             .when(kind == 1, F.concat(F.lit("<entry><title>T &amp; "), "doc_id", F.lit('</title><link href="'), link, F.lit('"/><id>'), "doc_id", F.lit("</id></entry>")))
             .otherwise(F.to_json(F.struct(F.concat(F.lit("T & "), "doc_id").alias("title"), link.alias("url"), F.col("doc_id").cast("string").alias("id")))))
     grouped = docs.withColumn("item", item).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
-    body = F.array_join(F.transform("items", lambda i: i["item"]), F.when(F.crc32("source") % 3 == 2, ",").otherwise(""))
+    texts = F.transform("items", lambda i: i["item"])
+    body = F.when(F.crc32("source") % 3 == 2, F.array_join(texts, ",")).otherwise(F.array_join(texts, ""))
     kind = F.crc32("source") % 3
     feed = (F.when(kind == 0, F.concat(F.lit("<rss><channel><title>c</title>"), body, F.lit("</channel></rss>")))
             .when(kind == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), body, F.lit("</feed>")))
@@ -181,7 +182,8 @@ def visible_pages(spark, sf):
 
 
 # the pages hold these entities only
-_DECODED = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_DECODED = ("replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'),"
+            " '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&')")
 _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), {tag}, ' ', 'g')"
 CLEAN_SQL = "trim(regexp_replace(" + _DECODED.format(x=_BARE.format(tag="'</?[A-Za-z!?][^>]*>'")) + ", '\\s+', ' ', 'g'))"
 VISIBLE_SQL = "trim(regexp_replace(" + _DECODED.format(x=_BARE.format(tag="'<[^>]+>'")) + ", '\\s+', ' ', 'g'))"
@@ -273,9 +275,9 @@ def pattern_search(spark, sf):
 
 GREP_SQL = """
 WITH m AS (SELECT page_id, html, regexp_extract_all(html, '(?i)th[ae][\\p{L}\\p{N}_]+') AS found FROM pages),
-f AS (SELECT *, length(regexp_extract(html, '(?is)^(.*?)th[ae][\\p{L}\\p{N}_]+', 1)) AS at FROM m WHERE len(found) > 0)
-SELECT page_id, least(len(found), 10000) AS matches, least(len(found), 8) AS shown, at,
-  md5(substr(html, CAST(greatest(0, at - 20) + 1 AS BIGINT), CAST(at + length(found[1]) + 20 - greatest(0, at - 20) AS BIGINT))) AS digest FROM f"""
+f AS (SELECT *, length(regexp_extract(html, '(?is)^(.*?)th[ae][\\p{L}\\p{N}_]+', 1)) AS pos FROM m WHERE len(found) > 0)
+SELECT page_id, least(len(found), 10000) AS matches, least(len(found), 8) AS shown, pos AS "at",
+  md5(substr(html, CAST(greatest(0, pos - 20) + 1 AS BIGINT), CAST(pos + length(found[1]) + 20 - greatest(0, pos - 20) AS BIGINT))) AS digest FROM f"""
 
 
 def page_summary(spark, sf):

@@ -218,8 +218,8 @@ def fx_conversion(spark, sf):
 
 
 FX_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 3 = 1 AND c_nationkey = 1 THEN round(c_acctbal, 2)
-  WHEN c_custkey % 3 = 0 THEN CAST(round(CAST(c_acctbal / (c_nationkey + 1) AS DECIMAL(30, 8)), 2) AS DOUBLE)
-  ELSE CAST(round(CAST(c_acctbal / (c_nationkey + 1) * 2 AS DECIMAL(30, 8)), 2) AS DOUBLE) END AS value FROM customer"""
+  WHEN c_custkey % 3 = 0 THEN CAST(round(CAST(CAST(c_acctbal / (c_nationkey + 1) AS VARCHAR) AS DECIMAL(38, 14)), 2) AS DOUBLE)
+  ELSE CAST(round(CAST(CAST(c_acctbal / (c_nationkey + 1) * 2 AS VARCHAR) AS DECIMAL(38, 14)), 2) AS DOUBLE) END AS value FROM customer"""
 
 
 def fx_rates(spark, sf):
@@ -307,7 +307,7 @@ def normalise_vehicles(spark, sf):
 NORMALISE_SQL = """
 SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'https://cars.example.kz/cars/' || o_orderkey AS url, 'Car ' || o_orderpriority AS title,
   CASE WHEN o_custkey % 10 <> 0 THEN ['BMW', 'Lada', 'Toyota'][CAST(o_orderkey % 3 + 1 AS INT)] END AS make, o_totalprice AS price, 'KZT' AS currency,
-  CAST(round(CAST(o_totalprice / 500 AS DECIMAL(30, 8)), 2) AS DOUBLE) AS price_report, year(o_orderdate) AS year, CAST((o_custkey % 300) * 1000 AS DOUBLE) AS mileage,
+  CAST(round(CAST(CAST(o_totalprice / 500 AS VARCHAR) AS DECIMAL(38, 14)), 2) AS DOUBLE) AS price_report, year(o_orderdate) AS year, CAST((o_custkey % 300) * 1000 AS DOUBLE) AS mileage,
   ['petrol', 'petrol', 'diesel', 'plugin_hybrid', 'other', 'plugin_hybrid', 'diesel'][CAST(o_orderkey % 7 + 1 AS INT)] AS fuel_type,
   'Almaty' AS city, 'KZ' AS country, strftime(o_orderdate, '%Y-%m-%dT00:00:00+00:00') AS posted_at,
   concat_ws('; ', CASE WHEN o_custkey % 10 = 0 THEN 'missing required field make' END,
@@ -329,7 +329,7 @@ QUERIES = {
     "weight_units": (_measured("weight", WEIGHT), _measured_sql(WEIGHT, 4)),
     "period_lookup": (period_lookup, f"SELECT o_orderkey, {pick_sql('o_orderkey % 8', [p for _, p in PER])} AS period FROM orders"),
     "period_conversion": (period_conversion, """SELECT l_orderkey, l_linenumber,
-        CAST(round(CAST(l_extendedprice * [2080.0, 365.0, 52.0, 12.0, 1.0][CAST(l_orderkey % 5 + 1 AS INT)]::DOUBLE / 12 AS DECIMAL(30, 8)), 2) AS DOUBLE) AS value FROM lineitem"""),
+        CAST(round(CAST(CAST(l_extendedprice * [2080.0, 365.0, 52.0, 12.0, 1.0][CAST(l_orderkey % 5 + 1 AS INT)]::DOUBLE / 12 AS VARCHAR) AS DECIMAL(38, 14)), 2) AS DOUBLE) AS value FROM lineitem"""),
     "price_basis": (price_basis, f"SELECT o_orderkey, {pick_sql('o_orderkey % 5', ['per_person', 'per_area', 'per_area', None, 'per_person'])} AS basis FROM orders"),
     "enum_lookup": (enum_lookup, f"SELECT o_orderkey, {pick_sql('o_orderkey % 7', ['petrol', 'petrol', 'diesel', 'plugin_hybrid', 'other', 'plugin_hybrid', 'diesel'])} AS fuel FROM orders"),
     "boolean_words": (boolean_words, "SELECT o_orderkey, [true, false, true, false, NULL][CAST(o_orderkey % 5 + 1 AS INT)] AS flag FROM orders"),
