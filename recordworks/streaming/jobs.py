@@ -5,6 +5,7 @@ The DataFrame functions are the batch ones; state lives in Spark's state store.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,21 +26,21 @@ def ingest_batch(batch: DataFrame, batch_id: int, template: Template, ctx: Conte
     """Normalise one micro-batch of raw(source, run_id, raw) and store it.  Both writes can be repeated after a failure: the
     records are upserted by uid, the quarantine of a batch replaces its own partition."""
     spark = batch.sparkSession
-    now = F.lit(batch.select(F.current_timestamp()).first()[0]) if not batch.isEmpty() else None
-    if now is None:
-        return
+    now = F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
     checked = normalise_records(batch, template, ctx, gazetteer, fx).persist()
     try:
-        seq = F.monotonically_increasing_id().alias("seq")
+        # the last row of a batch wins; without a `seq` column the order is by content, which a repeated batch reproduces
+        seq = F.col("seq") if "seq" in batch.columns else F.xxhash64("raw").alias("seq")
         fresh = accepted(checked).withColumns({"project": F.lit(project), "first_seen": now, "last_seen": now})
         by = ["project", "source"]
+        stored = [c for c in fresh.columns if c not in ("raw", "seq")]
         try:
-            target = R.touched_partitions(spark, records_path, fresh, by).select(*fresh.columns)
+            target = R.touched_partitions(spark, records_path, fresh, by).select(*stored)
         except Exception as missing:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
                 raise
-            target = fresh.filter(F.lit(False))
-        R.write_partitions(R.upsert(target, fresh.select("*", seq), now), records_path, by)
+            target = fresh.filter(F.lit(False)).select(*stored)
+        R.write_partitions(R.upsert(target, fresh.select(*stored, seq), now), records_path, by)
         bad = R.quarantine_rows(quarantined(checked).withColumn("project", F.lit(project)), now)
         R.write_partitions(bad.withColumn("batch", F.lit(batch_id)), quarantine_path, ["batch"])
     finally:
