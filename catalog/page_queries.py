@@ -15,7 +15,7 @@ from .value_queries import pick
 
 
 def _pages(spark, sf):
-    return T.table(spark, sf, "pages")
+    return T.wide(spark, sf, "pages")
 
 
 def page_scan(spark, sf):
@@ -93,7 +93,7 @@ def _shops(spark, sf):
               '<script>window.__INITIAL_STATE__ = {"list":[{"id":"a","t":"x}y'), n, F.lit('"}]}; go();</script></head><body><div class="card big" data-id="'), n,
         F.lit('"><a href="/item/'), n, F.lit('">Seven <b>bold</b></a><img src="/i.jpg"><br></div><article class="card"><h2>'), name, F.lit('</h2><a href="/p/'), n,
         F.lit('">x</a></article><p>Hello<script>var x=1</script> world</p></body></html>'))
-    return T.table(spark, sf, "part").select(n.alias("page_id"), F.concat(F.lit("https://shop.test/"), n).alias("url"), html.alias("html"))
+    return T.wide(spark, sf, "part").select(n.alias("page_id"), F.concat(F.lit("https://shop.test/"), n).alias("url"), html.alias("html"))
 
 
 def embedded_json(spark, sf):

@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from recordworks.plans.cycle import run_cycle
 from recordworks.plans.normalise import Context
+from recordworks.session import shared_folder
 from recordworks.streaming import jobs
 from recordworks.templates import template
 
 from . import tables as T
 
 
-def shared_folder(spark) -> str:
-    """A new folder below the cluster's shared one; a local temporary one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/recordworks-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def _stream(spark, sf, name):
     return spark.readStream.schema(T.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}*.parquet")
 

@@ -27,7 +27,7 @@ def pick_sql(index, options):
 
 
 def _orders(spark, sf):
-    return T.table(spark, sf, "orders")
+    return T.wide(spark, sf, "orders")
 
 
 def _grouped(amount, group, decimal):
@@ -56,7 +56,7 @@ def number_cjk(spark, sf):
 
 def integer_rounding(spark, sf):
     halves = F.concat((F.col("l_partkey") % 1000).cast("string"), F.lit("."), pick(F.col("l_orderkey") % 3, ["5", "49", "51"]))
-    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", numbers.integer_of(numbers.number(halves)).alias("value"))
+    return T.wide(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", numbers.integer_of(numbers.number(halves)).alias("value"))
 
 
 SIGNS = [("€ ", "", "EUR"), ("", " ₸", "KZT"), ("RM", "", "MYR"), ("USD", "", "USD"), ("", " zł", "PLN"), ("kr ", "", "SEK"), ("$ ", "", "MXN"), ("", " CHF", "CHF")]
@@ -90,7 +90,7 @@ def _measured(kind, options):
     def build(spark, sf):
         shown = pick(F.col("l_orderkey") % len(options), [F.concat(F.lit("ca. "), F.col("l_quantity").cast("int"), F.lit(s)) for s, _, _ in options])
         parsed = units.measure(kind, shown)
-        return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("m")).select("l_orderkey", "l_linenumber", "m.value", "m.unit")
+        return T.wide(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("m")).select("l_orderkey", "l_linenumber", "m.value", "m.unit")
     return build
 
 
@@ -110,7 +110,7 @@ def period_lookup(spark, sf):
 
 def period_conversion(spark, sf):
     source = pick(F.col("l_orderkey") % 5, ["hour", "day", "week", "month", "year"])
-    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", periods.convert_period(F.col("l_extendedprice"), source, "month").alias("value"))
+    return T.wide(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", periods.convert_period(F.col("l_extendedprice"), source, "month").alias("value"))
 
 
 def price_basis(spark, sf):
@@ -159,7 +159,7 @@ def datetime_zones(spark, sf):
     ts = F.col("ts").cast("timestamp")
     shown = pick(F.col("event_id") % 3, [F.date_format(ts, "dd.MM.yyyy HH:mm"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")])
     country = pick(F.col("event_id") % 4, ["DE", "GB", "SG", "BR"])
-    return T.table(spark, sf, "events").select("event_id", dates.datetime_text(shown, country, moment(T.NOW)).alias("at"))
+    return T.wide(spark, sf, "events").select("event_id", dates.datetime_text(shown, country, moment(T.NOW)).alias("at"))
 
 
 ZONES_SQL = """
@@ -171,7 +171,7 @@ SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:00')
 def relative_dates(spark, sf):
     n = (F.col("event_id") % 50 + 2).cast("string")
     shown = pick(F.col("event_id") % 5, [F.concat(n, F.lit(" days ago")), F.concat(F.lit("hace "), n, F.lit(" horas")), "вчера", "today", F.concat(n, F.lit(" недель назад"))])
-    return T.table(spark, sf, "events").select("event_id", dates.datetime_text(shown, now=moment(T.NOW)).alias("at"))
+    return T.wide(spark, sf, "events").select("event_id", dates.datetime_text(shown, now=moment(T.NOW)).alias("at"))
 
 
 RELATIVE_SQL = f"""SELECT event_id, strftime(CASE event_id % 5 WHEN 0 THEN {T.NOW_SQL} - to_days(CAST(event_id % 50 + 2 AS INT))

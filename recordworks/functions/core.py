@@ -97,8 +97,9 @@ def best_ranked(text: Column, pattern: str, ranks: dict[str, int]) -> Column:
     return F.array_min(hits)
 
 
-def any_of(column: Column, values: Iterable[str]) -> Column:
-    return column.isin(*values)
+def one_of(value: Column, members: Iterable[str]) -> Column:
+    """Membership in a constant list of words, as one literal instead of one per word."""
+    return F.array_contains(F.split(F.lit(" ".join(members)), " "), value)
 
 
 def contains_any(column: Column, texts: Iterable[str]) -> Column:

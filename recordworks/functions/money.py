@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .core import all_groups, best_ranked, let, look_up, no_letters_around, quote, rx
+from .core import all_groups, best_ranked, let, look_up, no_letters_around, one_of, quote, rx
 from .numbers import number
 from .text import unescape
 
@@ -36,7 +36,7 @@ def _by_symbol(rank: Column, default: Column) -> Column:
     for i, (symbol, code) in enumerate(_SYMBOLS):
         if code == "?":
             fallback, members = K.CURRENCY_FAMILIES[symbol]
-            family = F.when(rank == i, F.when(default.isin(*members.split()), default).otherwise(F.lit(fallback))).otherwise(family)
+            family = F.when(rank == i, F.when(one_of(default, members.split()), default).otherwise(F.lit(fallback))).otherwise(family)
     fixed = look_up({str(i): c for i, (_, c) in enumerate(_SYMBOLS) if c != "?"}, rank.cast("string"))
     return F.when(rank.isNull(), default).otherwise(F.coalesce(fixed, family))
 
@@ -47,7 +47,7 @@ def detect_currency(text: Column, default: Column, currencies: list[str]) -> Col
     masked = F.when(text.rlike("(?i)sq|ft|psf"), F.regexp_replace(text, rx(K.NOT_MONEY), " ")).otherwise(text)
 
     def found(t: Column) -> Column:
-        codes = F.filter(all_groups(t, _CODE), lambda c: c.isin(*currencies))
+        codes = F.filter(all_groups(t, _CODE), lambda c: one_of(c, currencies))
         symbol = let(best_ranked(t, _SYMBOL_PATTERN, _SYMBOL_RANKS), lambda rank: _by_symbol(rank, default))
         return F.coalesce(F.get(codes, F.lit(0)), symbol)
 

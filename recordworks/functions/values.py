@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..templates import Field
-from .core import BOUNDARY, alternation, best_ranked, let, look_up, no_word_around, quote, rx
+from .core import BOUNDARY, alternation, best_ranked, let, look_up, no_word_around, one_of, quote, rx
 from .text import clean_text
 
 
 def boolean(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    return F.when(low.isin(*K.TRUE_WORDS.split()), True).when(low.isin(*K.FALSE_WORDS.split()), False)
+    return F.when(one_of(low, K.TRUE_WORDS.split()), True).when(one_of(low, K.FALSE_WORDS.split()), False)
 
 
 def enum(text: Column, field: Field) -> Column:
@@ -29,7 +29,7 @@ def enum_of(low: Column, field: Field) -> Column:
     tail = F.lit("other" if "other" in field.allowed else None).cast("string")
     for value in reversed(field.allowed):
         tail = F.when(low.rlike(f"(?iu){BOUNDARY}{quote(value.replace('_', ' '))}{BOUNDARY}"), value).otherwise(tail)
-    choices = [F.when(low.isin(*field.allowed), low).when(underscored.isin(*field.allowed), underscored)]
+    choices = [F.when(one_of(low, field.allowed), low).when(one_of(underscored, field.allowed), underscored)]
     if ranked:
         rank = best_ranked(low, no_word_around(alternation(ranked)), {w: i for i, w in enumerate(ranked)})
         choices += [look_up(field.synonyms, low),

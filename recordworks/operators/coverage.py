@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.sites import SuffixRules, host_of, site_key, slug
+from ..session import settled
 from ..sources.dims import bounded_broadcast
 from .keyed import first_per_key
 from .lookups import expand_regions
@@ -127,8 +128,8 @@ def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions
     registry(id, site, url, status, regions, angles, evidence ARRAY<STRUCT<url, observation>>),
     candidates(arrival, url, regions, angles, evidence, blocked, mirror_of)."""
     # the checked candidates feed every output below, so they are computed once
-    checked = candidate_reasons(candidates, project_regions, suffixes).select(
-        "arrival", "url", "site", "codes", "angles", "evidence", "blocked", "reason").persist()
+    checked = settled(candidate_reasons(candidates, project_regions, suffixes).select(
+        "arrival", "url", "site", "codes", "angles", "evidence", "blocked", "reason"))
     rejected = checked.filter("reason IS NOT NULL").select("arrival", "url", "reason")
     fine = checked.filter("reason IS NULL").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     known = registry.select("site", "id", F.lit(True).alias("known"))

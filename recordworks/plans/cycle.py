@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.core import moment
 from ..operators import records as R
 from ..operators import walk as W
+from ..session import settled
 from ..templates import Template
 from .normalise import Context, accepted, normalise_records, quarantined
 
@@ -46,13 +47,13 @@ def run_cycle(events: DataFrame, target: DataFrame, sources: DataFrame, history:
     history = earlier runs.  Returns the new record snapshot, quarantine entries, finished runs with their status, and the
     checked rows."""
     at = moment(now)
-    fresh = fresh_rows(events, max_rows)
-    checked = normalise_records(fresh.drop("key"), template, ctx, gazetteer, fx)
+    fresh = settled(fresh_rows(events, max_rows))
+    checked = settled(normalise_records(fresh.drop("key"), template, ctx, gazetteer, fx))
     good = accepted(checked)
     seq = F.struct("page", "pos").alias("seq")
     batch = good.withColumns({"project": F.lit(project), "first_seen": at, "last_seen": at}).select(
         *[c for c in target.columns if c in [*good.columns, "project", "first_seen", "last_seen"]], seq)
-    stored = R.upsert(target, batch, at)
+    stored = settled(R.upsert(target, batch, at))
     quarantine = R.quarantine_rows(quarantined(checked).withColumn("project", F.lit(project)), at)
     counters = W.run_counters(checked.select("run_id", "page", (F.size("reasons") == 0).alias("stored")))
     started = events.groupBy("run_id", "source").agg(F.min("started_at").alias("started_at"), F.max("error").alias("error"))
@@ -61,6 +62,7 @@ def run_cycle(events: DataFrame, target: DataFrame, sources: DataFrame, history:
     runs = runs.withColumns({"rows_stored": F.coalesce("rows_stored", F.lit(0)), "baseline": F.nullif("baseline", F.lit(0))})
     reference = F.coalesce("baseline", "recent_yield", F.lit(0))
     runs = runs.withColumn("status", W.run_status(F.col("stopped"), F.col("rows_stored"), F.col("complete"), F.col("error"), reference))
+    runs = settled(runs)
     final = R.finalize(stored, runs.select("source", "run_id", "started_at", "complete", F.col("rows_stored").alias("stored"), "baseline"),
                        at, prune_after_days)
     return Cycle(final.records, quarantine, runs.drop("baseline").join(final.summary, "source", "left"), checked)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.core import each, moment
+from ..functions.core import each, let, moment, one_of
 from ..functions.dates import datetime_text
 from ..functions.identity import fingerprint, record_uid
 from ..functions.money import detect_currency, money, price_basis
@@ -219,7 +219,7 @@ def _currencies(template: Template, spark_codes: list[str], ctx: Context) -> dic
     for f in template.of_type("currency"):
         code = F.upper(F.trim(_raw(f.name)))
         none = F.lit(None).cast("string")
-        out[f"__cur_{f.name}"] = F.when(code.isin(*spark_codes), code).when(
+        out[f"__cur_{f.name}"] = F.when(one_of(code, spark_codes), code).when(
             F.coalesce(_raw(f.name), F.lit("")) != "", detect_currency(_raw(f.name), none, spark_codes))
     return out
 
@@ -246,7 +246,7 @@ def _extra(template: Template, ctx: Context) -> Column:
     taken = [*template.fields, *{p.split(".")[0] for p in ctx.field_map.values() if not p.startswith("=")}]
     document = F.coalesce(F.try_variant_get("__doc", "$", "map<string,variant>"), F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<variant>")))
-    unknown = F.map_filter(document, lambda k, _: ~k.isin(*taken) & ~F.endswith(k, F.lit("_unit")) & ~F.startswith(k, F.lit("_")))
+    unknown = F.map_filter(document, lambda k, _: ~one_of(k, taken) & ~F.endswith(k, F.lit("_unit")) & ~F.startswith(k, F.lit("_")))
     kept = []
     for f in template.of_type("enum"):
         raw = _raw(f.name)
@@ -254,10 +254,12 @@ def _extra(template: Template, ctx: Context) -> Column:
         kept.append(F.when(unmapped, F.struct(F.lit(f.name + "_raw").alias("k"), clean_text(raw, K.RAW_ENUM_LIMIT).cast("variant").alias("v"))))
     if "city" in template.fields:
         kept.append(F.when(F.col("city") != F.col("__city"), F.struct(F.lit("city_raw").alias("k"), F.col("__city").cast("variant").alias("v"))))
+    def written(entries: Column) -> Column:
+        return let(F.to_json(entries), lambda text: F.when(F.length(text) <= K.EXTRA_LIMIT, text).otherwise(
+            F.to_json(F.struct(F.substring(text, 1, K.EXTRA_LIMIT).alias("_truncated")))))
+
     both = F.map_concat(unknown, F.map_from_entries(F.array_compact(F.array(*kept)))) if kept else unknown
-    text = F.to_json(both)
-    short = F.when(F.length(text) <= K.EXTRA_LIMIT, text).otherwise(F.to_json(F.struct(F.substring(text, 1, K.EXTRA_LIMIT).alias("_truncated"))))
-    return F.when(text != "{}", short)
+    return let(both, lambda entries: F.when(F.size(entries) > 0, written(entries)))
 
 
 def capture_extra(df: DataFrame, template: Template, raw: str = "raw", field_map: dict[str, str] | None = None) -> DataFrame:

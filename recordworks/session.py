@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps timestamps comparable; AQE re-plans joins and splits skewed partitions at run time
 SETTINGS = {
@@ -36,3 +39,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in `spark.checkpoint.dir`.  A local temporary folder serves only where
+    none is configured and the session is local (tests, benchmark)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/recordworks-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back.  Steps that need them several times start from the files:
+    nothing is computed twice, a lost executor costs no recomputation, and the plan stays short."""
+    path = shared_folder(df.sparkSession) + "/rows"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores (one small, unsplittable file) over all cores.  A large input
+    has more partitions than that already and is left alone, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

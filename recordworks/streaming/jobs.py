@@ -146,6 +146,9 @@ STUCK_SCHEMA = "run_id string, source string, last_heartbeat_ms long"
 class StuckRuns(StatefulProcessor):
     """A timer per running run; a heartbeat moves it, the end of the run removes it, silence lets it fire."""
 
+    def __init__(self, shortest_s: int) -> None:
+        self.shortest_s = shortest_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("beat", "source string, at long")
@@ -157,7 +160,7 @@ class StuckRuns(StatefulProcessor):
         newest = beats.iloc[-1]
         if newest["status"] == "running":
             now = timerValues.getCurrentProcessingTimeInMs()
-            silence = max(2 * int(newest["time_budget_s"]), K.STUCK_MIN_SECONDS) * 1000
+            silence = max(2 * int(newest["time_budget_s"]), self.shortest_s) * 1000
             self.state.update((newest["source"], int(now)))
             self.handle.registerTimer(now + silence)
         else:
@@ -174,10 +177,10 @@ class StuckRuns(StatefulProcessor):
         pass
 
 
-def stream_stuck(heartbeats: DataFrame) -> DataFrame:
-    """heartbeats(run_id, source, status, time_budget_s, ts) -> runs that went silent."""
+def stream_stuck(heartbeats: DataFrame, shortest_s: int = K.STUCK_MIN_SECONDS) -> DataFrame:
+    """heartbeats(run_id, source, status, time_budget_s, ts) -> runs silent for twice their budget (at least `shortest_s`)."""
     return heartbeats.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=StuckRuns(), outputStructType=STUCK_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=StuckRuns(shortest_s), outputStructType=STUCK_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
 
 
 # ------------------------------------------------------------------------------------------------------------------- alerts
