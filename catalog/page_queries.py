@@ -28,22 +28,22 @@ def record_scan(spark, sf):
 
 # ----------------------------------------------------------------------------------------------------- feeds and sitemaps
 def _feeds(spark, sf):
-    """One RSS, Atom or JSON feed per source, built from its documents; one source's feed is cut off."""
-    docs = T.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source")
+    """RSS, Atom or JSON feeds of at most 50 items per source, built from its documents; the feeds of one source are cut off."""
+    docs = T.table(spark, sf, "documents").select("doc_id", "source", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 50)).alias("feed"))
     kind = F.crc32("source") % 3
     link = F.concat(F.lit("https://x.example/"), "source", F.lit("/"), F.col("doc_id"))
     item = (F.when(kind == 0, F.concat(F.lit("<item><title>T &amp; "), "doc_id", F.lit("</title><link>"), link, F.lit("</link><guid isPermaLink='false'>"), "doc_id", F.lit("</guid></item>")))
             .when(kind == 1, F.concat(F.lit("<entry><title>T &amp; "), "doc_id", F.lit('</title><link href="'), link, F.lit('"/><id>'), "doc_id", F.lit("</id></entry>")))
             .otherwise(F.to_json(F.struct(F.concat(F.lit("T & "), "doc_id").alias("title"), link.alias("url"), F.col("doc_id").cast("string").alias("id")))))
-    grouped = docs.withColumn("item", item).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
+    grouped = docs.withColumn("item", item).groupBy("source", "feed").agg(F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
     texts = F.transform("items", lambda i: i["item"])
     body = F.when(F.crc32("source") % 3 == 2, F.array_join(texts, ",")).otherwise(F.array_join(texts, ""))
     kind = F.crc32("source") % 3
-    feed = (F.when(kind == 0, F.concat(F.lit("<rss><channel><title>c</title>"), body, F.lit("</channel></rss>")))
-            .when(kind == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), body, F.lit("</feed>")))
-            .otherwise(F.concat(F.lit('{"version":"https://jsonfeed.org/version/1.1","items":['), body, F.lit("]}"))))
-    cut = F.when(F.col("source") == "src7", F.substring(feed, F.lit(1), F.length(feed) - 9)).otherwise(feed)
-    return grouped.select(F.col("source").alias("page_id"), F.concat(F.lit("https://x.example/"), "source").alias("url"), cut.alias("html"))
+    whole = (F.when(kind == 0, F.concat(F.lit("<rss><channel><title>c</title>"), body, F.lit("</channel></rss>")))
+             .when(kind == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), body, F.lit("</feed>")))
+             .otherwise(F.concat(F.lit('{"version":"https://jsonfeed.org/version/1.1","items":['), body, F.lit("]}"))))
+    cut = F.when(F.col("source") == "src7", F.substring(whole, F.lit(1), F.length(whole) - 9)).otherwise(whole)
+    return grouped.select(F.col("feed").alias("page_id"), F.concat(F.lit("https://x.example/"), "source").alias("url"), cut.alias("html"))
 
 
 def feed_items(spark, sf):
@@ -53,8 +53,8 @@ def feed_items(spark, sf):
                         F.try_element_at("fields", F.lit("url"))).alias("link"), F.col("error").isNotNull().alias("broken"))
 
 
-FEED_SQL = """SELECT source AS page_id, CAST(doc_id AS VARCHAR) AS item, 'T & ' || doc_id AS title, 'https://x.example/' || source || '/' || doc_id AS link,
-  false AS broken FROM documents WHERE source <> 'src7' UNION ALL SELECT DISTINCT 'src7', NULL, NULL, NULL, true FROM documents WHERE source = 'src7'"""
+FEED_SQL = """SELECT source || '-' || (doc_id // 50) AS page_id, CAST(doc_id AS VARCHAR) AS item, 'T & ' || doc_id AS title, 'https://x.example/' || source || '/' || doc_id AS link,
+  false AS broken FROM documents WHERE source <> 'src7' UNION ALL SELECT DISTINCT source || '-' || (doc_id // 50), NULL, NULL, NULL, true FROM documents WHERE source = 'src7'"""
 
 
 def feed_rows(spark, sf):
@@ -65,7 +65,8 @@ def feed_rows(spark, sf):
 
 def sitemap_expansion(spark, sf):
     entry = F.concat(F.lit("<url><loc> https://x.example/?a=1&amp;n="), "p_partkey", F.lit(" </loc></url>"))
-    parts = T.table(spark, sf, "part").withColumn("entry", entry).groupBy("p_brand").agg(F.array_join(F.collect_list("entry"), "").alias("body"))
+    parts = T.table(spark, sf, "part").withColumn("entry", entry).groupBy("p_brand", F.floor(F.col("p_partkey") / 1000)).agg(
+        F.array_join(F.collect_list("entry"), "").alias("body"))
     index = F.col("p_brand") == "Brand#1"
     pages = parts.select(F.col("p_brand").alias("page_id"), F.when(index, F.concat(F.lit('<?xml version="1.0"?><sitemapindex xmlns="http://s">'), F.replace(
         F.replace("body", F.lit("<url>"), F.lit("<sitemap>")), F.lit("</url>"), F.lit("</sitemap>")), F.lit("</sitemapindex>"))).otherwise(
@@ -132,7 +133,7 @@ def tree_search(spark, sf):
 
 
 def json_records(spark, sf):
-    answers = T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey"))).alias("orders")).select(
+    answers = T.table(spark, sf, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 10000)).agg(F.sort_array(F.collect_list(F.struct("o_orderkey"))).alias("orders")).select(
         F.col("o_custkey").alias("page_id"), F.to_json(F.struct(F.lit(1).alias("page"), F.struct("orders").alias("data"))).alias("html"))
     return P.json_items(answers).select("page_id", F.try_variant_get("item", "$.o_orderkey", "bigint").alias("o_orderkey"))
 
@@ -303,7 +304,7 @@ QUERIES = {
     "page_scan": (page_scan, "SELECT page_id, url, length(html) AS chars FROM pages"),
     "record_scan": (record_scan, "SELECT CAST(doc_id AS VARCHAR) AS uid, lang FROM documents WHERE source = 'src3'"),
     "feed_items": (feed_items, FEED_SQL),
-    "feed_rows": (feed_rows, """SELECT source AS page_id, CAST(doc_id AS VARCHAR) AS source_id, 'https://x.example/' || source || '/' || doc_id AS url
+    "feed_rows": (feed_rows, """SELECT source || '-' || (doc_id // 50) AS page_id, CAST(doc_id AS VARCHAR) AS source_id, 'https://x.example/' || source || '/' || doc_id AS url
         FROM documents WHERE source <> 'src7'"""),
     "sitemap_expansion": (sitemap_expansion, """SELECT p_brand AS page_id, CASE p_brand WHEN 'Brand#1' THEN 'sitemap' ELSE 'page' END AS kind,
         'https://x.example/?a=1&n=' || p_partkey AS url FROM part"""),

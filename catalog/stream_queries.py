@@ -96,16 +96,19 @@ INGEST_SQL = """SELECT p_brand AS source, CAST(p_partkey AS VARCHAR) AS source_i
 
 
 def _cycle(spark, sf):
-    part = T.table(spark, sf, "part").withColumn("raw", _product("part"))
-    pages = part.groupBy("p_brand", (F.col("p_partkey") % 3 + 1).cast("int").alias("page")).agg(F.collect_list("raw").alias("rows"))
+    page = (F.floor(F.col("p_partkey") / 500) + 1).cast("int")
+    part = T.table(spark, sf, "part").withColumns({"raw": _product("part"), "page": page})
+    last = part.groupBy("p_brand").agg(F.max("page").alias("last"))
+    pages = part.groupBy("p_brand", "page").agg(F.collect_list("raw").alias("rows")).join(last, "p_brand")
     events = pages.select(F.concat(F.lit("run-"), "p_brand").alias("run_id"), F.col("p_brand").alias("source"), "page", "rows", F.lit(None).cast("string").alias("error"),
-                          F.lit(False).alias("http_failed"), ((F.col("page") == 3) & (F.col("p_brand") != "Brand#2")).alias("done"), F.lit(T.NOW).cast("timestamp").alias("started_at"))
+                          F.lit(False).alias("http_failed"), ((F.col("page") == F.col("last")) & (F.col("p_brand") != "Brand#2")).alias("done"),
+                          F.lit(T.NOW).cast("timestamp").alias("started_at"))
     old = part.select(F.lit("p").alias("project"), F.concat(F.lit("old"), "p_partkey").alias("uid"), F.col("p_brand").alias("source"), F.lit("t").alias("title"),
                       F.lit(dt.datetime(2024, 1, 20)).cast("timestamp").alias("first_seen"), F.lit(dt.datetime(2024, 1, 20)).cast("timestamp").alias("last_seen"),
                       F.lit("run-old").alias("run_id")).filter(F.col("source").isin("Brand#1", "Brand#2"))
     sources = part.select(F.col("p_brand").alias("source"), F.lit(None).cast("bigint").alias("baseline")).distinct()
     history = T.runs(spark, sf).filter(F.lit(False))
-    return run_cycle(events, old, sources, history, template("products"), Context(regions=["DE"], now=T.NOW), project="p", max_pages=3, max_rows=100000, now=T.NOW)
+    return run_cycle(events, old, sources, history, template("products"), Context(regions=["DE"], now=T.NOW), project="p", max_pages=10 ** 9, max_rows=10 ** 12, now=T.NOW)
 
 
 def cycle_runs(spark, sf):

@@ -58,7 +58,7 @@ def walk_verdict(pages: DataFrame, max_pages: int, max_rows: int) -> DataFrame:
     totals = marked.filter(~F.col("__stopped_before")).groupBy("run_id").agg(
         F.coalesce(F.max("__stop"), F.lit("max_pages")).alias("stopped"),
         F.max("page").alias("pages"),
-        F.least(F.max("__rows"), F.lit(max_rows)).alias("rows"),
+        F.least(F.max("__rows"), F.lit(max_rows).cast("bigint")).alias("rows"),
         F.count_if("__failed").alias("page_errors"),
         F.count_if("http_failed").alias("http_failures"))
     complete = F.col("stopped").isin("done", "empty_page", "repeating") & (F.col("page_errors") == 0) & (F.col("http_failures") == 0)
