@@ -242,7 +242,8 @@ def challenge_pages(spark, sf):
     return stub.select("page_id", classify.is_challenge(F.col("html")).alias("challenge"))
 
 
-CHALLENGE_SQL = """SELECT page_id, length(html) < 20000 - 16 AND page_id % 3 = 1 AND length(html) < 5984 AS challenge FROM pages
+CHALLENGE_SQL = f"""SELECT page_id, (page_id % 3 = 1 AND length(html) < 5989) OR
+    (page_id % 3 = 2 AND length(html) < 20000 - 44 AND length({VISIBLE_SQL}) < 300) AS challenge FROM pages
   UNION ALL SELECT -page_id - 1, true FROM pages"""
 
 

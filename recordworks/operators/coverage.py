@@ -152,7 +152,8 @@ def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions
         "site", F.lit(None).cast("string").alias("id"), "url", F.when(F.col("decision") == "blocked", "blocked").otherwise("candidate").alias("status"))
     base = registry.select("site", "id", "url", "status").unionByName(new)
     out = base.join(_ordered_union(both, "regions"), "site", "left").join(_ordered_union(both, "angles"), "site", "left").join(evidence, "site", "left")
-    out = with_slugs(out).select("id", "site", "url", "status", "regions", "angles", "evidence")
+    none = F.array().cast(registry.schema["evidence"].dataType)
+    out = with_slugs(out).select("id", "site", "url", "status", "regions", "angles", F.coalesce("evidence", none).alias("evidence"))
     deferred = first_per_key(placed.filter(F.col("decision") == "deferred"), ["site"], [F.col("arrival")]).select(
         "site", "url", F.col("codes").alias("regions"), "angles", "evidence", "blocked", "arrival")
     is_first = F.col("arrival") == F.col("__first")
