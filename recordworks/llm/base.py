@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordworks.session import settled
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,3 +47,29 @@ def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     in k1 and is told from an id of 0 by k2."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("k1"),
             F.xxhash64(F.col(doc_id).cast("string"), whole(text)).alias("k2")]
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Arrow batches bounded in rows and bytes, so that very long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+BLOCK_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+
+
+def bit_of(bitmap: Column, place: Column) -> Column:
+    """Whether a bit of such a bitmap is set; null without a bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))) != 0
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, rows: int, max_filter_mb: int = 32) -> DataFrame:
+    """The rows of `df` whose long `key` may be among those of `wanted(key)`: a Bloom filter of at most `max_filter_mb` that is broadcast.
+    It only spares shuffling rows that an exact join would drop; when it is full, it lets everything through."""
+    blocks = max(1, min(max_filter_mb * 256, -(-rows * 16 // BLOCK_BITS)))
+    cell = lambda h: F.pmod(F.xxhash64(h), F.lit(BLOCK_BITS))
+    bits = settled(wanted.select(F.pmod(key, F.lit(blocks)).alias("_block"), cell(F.col(key)).alias("_cell"))
+                   .groupBy("_block").agg(F.expr("bitmap_construct_agg(_cell)").alias("_bitmap")))
+    probed = df.withColumn("_block", F.pmod(key, F.lit(blocks))).join(F.broadcast(bits), "_block")
+    return probed.filter(bit_of(F.col("_bitmap"), cell(F.col(key)))).select(*df.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, merkle, mixing, quality_rules, secrets
+from . import bpe, classifier, exact_dedup, merkle, mixing, ngram_join, quality_rules, secrets
 from .base import documents
 
 
@@ -17,6 +18,11 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(records, merkle.damaged(records))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN, carry=["doc_id"])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), carry=["doc_id"])
 
@@ -25,15 +31,28 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(documents(spark, sf_dir), carry=["doc_id"]).drop("copies")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(documents(spark, sf_dir), k=3, pct=90, carry=["doc_id"])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir), carry=["doc_id"])
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.scored(docs, model, carry=["doc_id"])
+
+
 #: name -> (query, its SQL or None)
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_merkle_fixity": (op2_merkle_fixity, merkle.OP2_SQL),
+    "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, exact_dedup.OP4_SQL),
     "op5_source_mixing": (op5_source_mixing, mixing.OP5_SQL),
+    "op6_ngram_join": (op6_ngram_join, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op10_quality_classifier": (op10_quality_classifier, None),
 }
