@@ -64,12 +64,17 @@ def bit_of(bitmap: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))) != 0
 
 
-def maybe_in(df: DataFrame, key: str, wanted: DataFrame, rows: int, max_filter_mb: int = 32) -> DataFrame:
-    """The rows of `df` whose long `key` may be among those of `wanted(key)`: a Bloom filter of at most `max_filter_mb` that is broadcast.
-    It only spares shuffling rows that an exact join would drop; when it is full, it lets everything through."""
+def flagged(df: DataFrame, key: str, wanted: DataFrame, rows: int, max_filter_mb: int = 32) -> DataFrame:
+    """`df` with `_maybe`: whether its long `key` may be among those of `wanted(key)`, by a Bloom filter of at most `max_filter_mb` that is
+    broadcast.  It only spares shuffling rows that an exact join would find nothing for; when it is full, it flags everything."""
     blocks = max(1, min(max_filter_mb * 256, -(-rows * 16 // BLOCK_BITS)))
     cell = lambda h: F.pmod(F.xxhash64(h), F.lit(BLOCK_BITS))
     bits = settled(wanted.select(F.pmod(key, F.lit(blocks)).alias("_block"), cell(F.col(key)).alias("_cell"))
                    .groupBy("_block").agg(F.expr("bitmap_construct_agg(_cell)").alias("_bitmap")))
-    probed = df.withColumn("_block", F.pmod(key, F.lit(blocks))).join(F.broadcast(bits), "_block")
-    return probed.filter(bit_of(F.col("_bitmap"), cell(F.col(key)))).select(*df.columns)
+    probed = df.withColumn("_block", F.pmod(key, F.lit(blocks))).join(F.broadcast(bits), "_block", "left")
+    return probed.select(*df.columns, F.coalesce(bit_of(F.col("_bitmap"), cell(F.col(key))), F.lit(False)).alias("_maybe"))
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, rows: int) -> DataFrame:
+    """The flagged rows of `df`."""
+    return flagged(df, key, wanted, rows).filter("_maybe").select(*df.columns)
