@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, bpe, classifier, exact_dedup, merkle, mixing, ngram_join, quality_rules, secrets
+from . import block_dedup, bpe, classifier, exact_dedup, merkle, mixing, ngram_join, quality_rules, secrets, suffix_dedup
 from .base import documents
 
 
@@ -39,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir), carry=["doc_id"])
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), carry=["doc_id"])
+
+
 def op9_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.without_repeats(documents(spark, sf_dir), carry=["doc_id"])
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_source_mixing": (op5_source_mixing, mixing.OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_block_dedup": (op9_block_dedup, block_dedup.OP9_SQL),
     "op10_quality_classifier": (op10_quality_classifier, None),
 }
