@@ -13,10 +13,14 @@ alike.  Other columns are carried; one with the name of a result column gives wa
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, let, packed, unpacked, whole
+from recordworks.session import settled
+
+from .base import SPACES, WORD, let, packed, unpacked, whole
 
 # fixed values: frequent function words of each reference language
 COMMON_WORDS = {
@@ -26,11 +30,11 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
 }
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
-# fixed values: character classes, each the complement that a replacement removes
-CLASSES = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "letter": r"[^\p{L}&&[^\p{Ll}\p{Lu}]]+", "digit": r"[^\p{N}]+",
-           "space": r"[^\x20\x09-\x0D]+", "mark": r"[^.,;:!?'\"()-]+"}
+# fixed values: character classes, each the complement that a replacement removes; white space, symbols and all others are counted besides
+CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^\p{N}]+", "mark": r"[^.,;:!?'\"()-]+"}
+LONGEST = max(len(w) for w in VOCABULARY)
 MIN_WORDS, MAX_REPEATED_PCT = 50, 50
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.3, 200
 MAX_WORD_DISTANCE, MIN_COUNTED_WORDS = 0.5, 100
 BOTH_CHAR_DISTANCE, BOTH_WORD_DISTANCE = 0.13, 0.28  # a text that is somewhat far in both
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
@@ -56,54 +60,62 @@ def _repeat_words(words: Column) -> Column:
     return let(words, of).cast("long")
 
 
-def _word_counts(text: Column) -> Column:
-    """How often each word of VOCABULARY occurs, and all other words.  Places in the vocabulary are sorted between markers 1..n+1, so
-    that each count is the distance of two markers."""
-    n = len(VOCABULARY)
-    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
+def _slots() -> tuple[int, list[str]]:
+    """The least table size at which the words of VOCABULARY have slots of their own by CRC-32, and the words by slot."""
+    size = len(VOCABULARY)
+    while len({crc32(w.encode()) % size for w in VOCABULARY}) < len(VOCABULARY):
+        size += 1
+    words = [""] * size
+    for w in VOCABULARY:
+        words[crc32(w.encode()) % size] = w
+    return size, words
+
 
-    def of(words: Column) -> Column:
-        places = F.filter(F.transform(words, lambda w: F.array_position(vocabulary, w).cast("int")), lambda p: p > 0)
-        ordered = F.sort_array(F.concat(places, F.sequence(F.lit(1), F.lit(n + 1))))
-        counts = let(ordered, lambda s: F.transform(F.sequence(F.lit(1), F.lit(n)),
-                                                    lambda k: F.array_position(s, k + 1) - F.array_position(s, k) - 1))
-        return let(counts, lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
+def _word_counts(text: Column, n_words: Column) -> Column:
+    """How often the word of each slot occurs, and then all other words.  Longer words than any of VOCABULARY go before the text is split.
+    Slots are sorted together with a marker for each of them, so that a count is the distance between two changes of value."""
+    size, slots = _slots()
+    table = F.array(*[F.lit(w) for w in slots])
+    short = F.split(F.regexp_replace(F.lower(text), rf"{WORD[:-1]}{{{LONGEST + 1},}}", " "), SPACES, -1)
+    places = F.transform(short, lambda w: let(F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"), lambda p: F.when(F.get(table, p) == w, p).otherwise(-1)))
+    ordered = F.sort_array(F.concat(places, F.sequence(F.lit(-1), F.lit(size))))
 
-    return let(F.filter(F.split(F.lower(text), SPACES, -1), lambda w: w != ""), of)
+    def ends(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.get(s, i) != F.get(s, i + 1))
 
+    counts = let(let(ordered, ends), lambda e: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: (F.get(e, k) - F.get(e, k - 1) - 1).cast("long")))
+    return let(counts, lambda c: F.concat(c, F.array(n_words - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
 
-def _class_counts(text: Column) -> Column:
-    counts = F.array(*[F.length(F.regexp_replace(text, pattern, "")).cast("long") for pattern in CLASSES.values()])
+
+def _class_counts(text: Column, spaces: Column, symbols: Column) -> Column:
+    counts = F.array(*[F.length(F.regexp_replace(text, pattern, "")).cast("long") for pattern in CLASSES.values()], spaces, symbols)
     return let(counts, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
 
 
-def counted(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """The base counts and the histograms of each row."""
     t = whole(text)
-    words = F.filter(F.split(t, SPACES, -1), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.select(
-        packed(docs, carry).alias("row"),
-        F.size(words).cast("long").alias("n_words"), F.length(F.regexp_replace(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).alias("n_repeat_words"), F.length(t).alias("n_chars0"),
-        _class_counts(t).alias("classes"), _word_counts(t).alias("words"))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    words = F.filter(F.split(F.col("t"), SPACES, -1), lambda w: w != "")
+    out = docs.select(packed(docs, carry).alias("row"), F.col(f"`{lang}`").alias("lang"), t.alias("t"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    out = out.withColumn("n_chars0", F.length("t").cast("long")).withColumn("word_chars", F.length(F.regexp_replace("t", SPACES, "")).cast("long"))
+    out = out.withColumn("n_symbols", F.col("n_chars0") - F.length(F.translate("t", "#*$%&|<>", ""))).withColumn("n_words", F.regexp_count("t", F.lit(WORD)).cast("long"))
+    out = out.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words(words).alias("n_repeat_words"), "n_chars0",
+                     _class_counts(F.col("t"), F.col("n_chars0") - F.col("word_chars"), F.col("n_symbols")).alias("classes"), _word_counts(F.col("t"), F.col("n_words")).alias("words"))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PCT * F.col("n_words")))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Histograms of each language over all its documents of at least MIN_WORDS words: at most one row a reference language is collected."""
-    t = whole(text)
-    rows = docs.filter(F.col(lang).isin(list(COMMON_WORDS))).select(F.col(lang).alias("lang"), _class_counts(t).alias("c"), _word_counts(t).alias("w"))
-    rows = rows.filter(F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b) >= MIN_WORDS)
-    nc, nw = len(CLASSES) + 1, len(VOCABULARY) + 1
-    sums = rows.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(nw)])
+def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """counted rows -> histograms of each language over all its documents of at least MIN_WORDS words: at most one row a reference language
+    is collected.  Reads only the columns of the histograms, so that the other counts aren't computed for it."""
+    rows = rows.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
+    nc, nw = len(CLASSES) + 3, _slots()[0] + 1
+    sums = rows.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(nw)])
     found = {}
     for r in sums.collect():
         c, w = [float(r[f"c{i}"]) for i in range(nc)], [float(r[f"w{i}"]) for i in range(nw)]
         found[r["lang"]] = ([x / sum(c) for x in c], [x / sum(w) for x in w])
-    return found
+    return dict(sorted(found.items()))
 
 
 def _distance(counts: Column, reference: list[float]) -> Column:
@@ -123,10 +135,13 @@ def _distance(counts: Column, reference: list[float]) -> Column:
     return let(counts, of)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None, known: dict | None = None) -> DataFrame:
-    """Each row with its counts, the verdict of the base rules, the distances to the nearest reference and whether it is kept."""
-    known = references(docs, text, lang) if known is None else known
-    rows = counted(docs, text, carry)
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """Each row with its counts, the verdict of the base rules, the distances to the nearest reference and whether it is kept.  When
+    few columns are carried the counts are written once and serve both the references and the verdict; else the references read the texts first."""
+    rows = counted(docs, text, lang, carry)
+    if carry is not None:
+        rows = settled(rows)
+    known = references(rows)
     if known:
         near = lambda name, i: F.array_min(F.array(*[_distance(F.col(name), ref[i]) for ref in known.values()]))
         rows = rows.withColumn("char_distance", near("classes", 0)).withColumn("word_distance", near("words", 1))
@@ -143,5 +158,5 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that the rules keep, with their own columns."""
     names = docs.columns
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return judged(renamed, carry=["row"]).filter("kept").select("row.*")
+    return judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+                  .select("row", "text", "lang"), carry=None).filter("kept").select("row.*")
