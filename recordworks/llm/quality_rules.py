@@ -65,7 +65,7 @@ def _slots() -> tuple[int, list[str]]:
     size = len(VOCABULARY)
     while len({crc32(w.encode()) % size for w in VOCABULARY}) < len(VOCABULARY):
         size += 1
-    words = [""] * size
+    words = [" "] * size  # no word, not even an empty one, equals an unused slot
     for w in VOCABULARY:
         words[crc32(w.encode()) % size] = w
     return size, words
