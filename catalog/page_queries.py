@@ -15,7 +15,7 @@ from .value_queries import pick
 
 
 def _pages(spark, sf):
-    return T.wide(spark, sf, "pages")
+    return T.table(spark, sf, "pages")
 
 
 def page_scan(spark, sf):
@@ -94,7 +94,7 @@ def _shops(spark, sf):
               '<script>window.__INITIAL_STATE__ = {"list":[{"id":"a","t":"x}y'), n, F.lit('"}]}; go();</script></head><body><div class="card big" data-id="'), n,
         F.lit('"><a href="/item/'), n, F.lit('">Seven <b>bold</b></a><img src="/i.jpg"><br></div><article class="card"><h2>'), name, F.lit('</h2><a href="/p/'), n,
         F.lit('">x</a></article><p>Hello<script>var x=1</script> world</p></body></html>'))
-    return T.wide(spark, sf, "part").select(n.alias("page_id"), F.concat(F.lit("https://shop.test/"), n).alias("url"), html.alias("html"))
+    return T.table(spark, sf, "part").select(n.alias("page_id"), F.concat(F.lit("https://shop.test/"), n).alias("url"), html.alias("html"))
 
 
 def embedded_json(spark, sf):
@@ -278,7 +278,7 @@ def pattern_search(spark, sf):
 GREP_SQL = """
 WITH m AS (SELECT page_id, html, regexp_extract_all(html, '(?i)th[ae][\\p{L}\\p{N}_]+') AS found FROM pages),
 f AS (SELECT *, length(regexp_extract(html, '(?is)^(.*?)th[ae][\\p{L}\\p{N}_]+', 1)) AS pos FROM m WHERE len(found) > 0)
-SELECT page_id, least(len(found), 10000) AS matches, least(len(found), 8) AS shown, pos AS "at",
+SELECT page_id, len(found) AS matches, len(found) AS shown, pos AS "at",
   md5(substr(html, CAST(greatest(0, pos - 20) + 1 AS BIGINT), CAST(pos + length(found[1]) + 20 - greatest(0, pos - 20) AS BIGINT))) AS digest FROM f"""
 
 
@@ -290,7 +290,7 @@ def page_summary(spark, sf):
 
 SUMMARY_SQL = f"""SELECT page_id, regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*["'']?([\\w-]+)', 1) AS lang,
   CAST(least(40, len(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1)))) AS INT) AS links,
-  CAST(least(1000, length({VISIBLE_SQL})) AS INT) AS shown, md5(substr(html, 101, 4000)) AS slice, length(html) AS html_total,
+  CAST(length({VISIBLE_SQL}) AS INT) AS shown, md5(substr(html, 101, 4000)) AS slice, length(html) AS html_total,
   CASE WHEN length(html) > 4100 THEN 4100 END AS next_offset FROM pages"""
 
 

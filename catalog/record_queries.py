@@ -19,7 +19,7 @@ def record_page(spark, sf):
 
 
 def record_page_distinct(spark, sf):
-    return query.query(T.records(spark, sf), columns=COLUMNS, fields=["doc_id", "lang"], order_by="last_seen", desc=False, limit=5000,
+    return query.query(T.records(spark, sf), columns=COLUMNS, fields=["doc_id", "lang"], order_by="last_seen", desc=False, limit=None,
                        filters={"lang": {"ne": "de"}, "n_chars": {"gt": 50}}, distinct=True).rows
 
 
@@ -50,11 +50,11 @@ def output_columns(spark, sf):
 
 
 def latest_runs(spark, sf):
-    return query.list_latest(T.runs(spark, sf), [F.col("started_at").desc(), F.col("run_id").desc()], limit=5000, status="ok").select("run_id", "source")
+    return query.list_latest(T.runs(spark, sf), [F.col("started_at").desc(), F.col("run_id").desc()], status="ok").select("run_id", "source")
 
 
 def registry_by_status(spark, sf):
-    return query.list_latest(T.registry(spark, sf), [F.col("source")], limit=1000, status="enabled", enabled=True).select("source", "site")
+    return query.list_latest(T.registry(spark, sf), [F.col("source")], status="enabled", enabled=True).select("source", "site")
 
 
 def distinct_latest(spark, sf):
@@ -159,7 +159,7 @@ WITH rej AS (
   UNION ALL
   SELECT d.*, 'r2' AS run_id, '2024-02-02 00:00:00' AS created_at FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 0),
 keyed AS (SELECT 'q' || substr(sha256('p' || chr(31) || source || chr(31) || '["bad","' || lang || '"]' || chr(31) ||
-    CASE WHEN length(text) > 8000 THEN CAST(to_json({'_truncated': substr(text, 1, 8000)}) AS VARCHAR) ELSE text END), 1, 24) AS qid,
+    text), 1, 24) AS qid,
   run_id, created_at, 'bad,' || lang AS reasons FROM rej)
 SELECT qid, max(run_id) AS run_id, max(created_at) AS created_at, any_value(reasons) AS reasons FROM keyed GROUP BY qid"""
 
@@ -274,7 +274,7 @@ QUERIES = {
         ORDER BY n_chars DESC NULLS LAST, uid LIMIT 200 OFFSET 10"""),
     "record_page_distinct": (record_page_distinct, f"""SELECT doc_id, lang, source, first_seen, last_seen, fingerprint FROM (
         SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY last_seen DESC, uid) AS n FROM {T.RECORDS_SQL})
-        WHERE n = 1 AND lang <> 'de' AND n_chars > 50 ORDER BY last_seen, uid LIMIT 5000"""),
+        WHERE n = 1 AND lang <> 'de' AND n_chars > 50 ORDER BY last_seen, uid"""),
     "record_total": (record_total, f"""SELECT count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint
         ORDER BY last_seen DESC, uid) AS n FROM {T.RECORDS_SQL}) WHERE n = 1 AND lang = 'en' AND source = 'src3'"""),
     "typed_filters": (typed_filters, """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 100000
@@ -284,8 +284,8 @@ QUERIES = {
     "output_columns": (output_columns, """SELECT CAST(p_partkey AS VARCHAR) AS source_id, p_name AS title, p_retailprice AS price,
         p_brand AS sku FROM part"""),
     "latest_runs": (latest_runs, f"""SELECT run_id, source FROM {T.RUNS_SQL} WHERE status = 'ok'
-        ORDER BY started_at DESC, run_id DESC LIMIT 1000"""),
-    "registry_by_status": (registry_by_status, f"SELECT source, site FROM {T.REGISTRY_SQL} WHERE status = 'enabled' AND enabled ORDER BY source LIMIT 1000"),
+        ORDER BY started_at DESC, run_id DESC"""),
+    "registry_by_status": (registry_by_status, f"SELECT source, site FROM {T.REGISTRY_SQL} WHERE status = 'enabled' AND enabled ORDER BY source"),
     "distinct_latest": (distinct_latest, f"""SELECT uid, source, fingerprint, last_seen FROM (SELECT *, row_number() OVER
         (PARTITION BY fingerprint ORDER BY last_seen DESC, uid) AS n FROM {T.RECORDS_SQL}) WHERE n = 1"""),
     "cross_source_duplicates": (cross_source_duplicates, f"""SELECT fingerprint, count(*) AS rows FROM {T.RECORDS_SQL}

@@ -365,7 +365,7 @@ QUERIES = {
     "deferred_set": (deferred_set, "SELECT p_name || '-' || p_partkey AS site FROM part WHERE NOT p_retailprice < 950"),
     "merge_candidates": (merge_candidates, MERGE_SQL),
     "site_slugs": (site_slugs, """WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size % 2 = 0 THEN '.x' ELSE '-x' END AS site FROM part),
-        s AS (SELECT site, substr(trim(regexp_replace(lower(site), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60) AS slug FROM n),
+        s AS (SELECT site, trim(regexp_replace(lower(site), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM n),
         k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY site) AS n FROM s)
         SELECT site, CASE WHEN n = 1 THEN slug ELSE slug || '_' || n END AS id FROM k"""),
 }

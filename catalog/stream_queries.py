@@ -129,7 +129,36 @@ CYCLE_RECORDS_SQL = """SELECT p_brand AS source, 'run-' || p_brand AS run_id, co
   UNION ALL SELECT p_brand, 'run-old', count(*) FROM part WHERE p_brand = 'Brand#2' GROUP BY 1"""
 
 
+def cycle_stops(spark, sf):
+    """Walks over pages of fifty parts each, with what may end them: Brand#1 finds an empty second page, Brand#2 is a browser lane that is done
+    on page 2, Brand#3 fails on its second and third page, Brand#5 gets no answer; four pages are allowed, and all brands have more."""
+    page = (F.floor((F.col("p_partkey") - 1) / 50) + 1).cast("int")
+    brand, n = F.col("p_brand"), F.col("page")
+    events = (T.table(spark, sf, "part").withColumns({"raw": _product("part"), "page": page}).groupBy("p_brand", "page").agg(F.collect_list("raw").alias("raws"))
+              .select(F.concat(F.lit("run-"), brand).alias("run_id"), brand.alias("source"), "page",
+                      F.when(((brand == "Brand#1") & (n == 2)) | (brand == "Brand#5"), F.array().cast("array<string>")).otherwise(F.col("raws")).alias("rows"),
+                      F.when((brand == "Brand#3") & n.isin(2, 3), F.concat(F.lit("problem on page "), 5 - n)).alias("error"),
+                      (brand == "Brand#5").alias("http_failed"), ((brand == "Brand#2") & (n == 2)).alias("done"), F.lit(T.NOW).cast("timestamp").alias("started_at")))
+    sources = T.table(spark, sf, "part").select(brand.alias("source"), F.lit(None).cast("bigint").alias("baseline"),
+                                                F.when(brand == "Brand#2", "browser").otherwise("html").alias("lane")).distinct()
+    target = events.select(F.lit("p").alias("project"), "run_id", "source", F.lit("u").alias("uid"), F.lit("t").alias("title"),
+                           F.col("started_at").alias("first_seen"), F.col("started_at").alias("last_seen")).filter("false")
+    runs = run_cycle(events, target, sources, T.runs(spark, sf).filter("false"), template("products"), Context(regions=["DE"], now=T.NOW), project="p", max_pages=4,
+                     max_rows=10 ** 12, now=T.NOW, capped=True).runs
+    return runs.select("source", "status", "stopped", "complete", "rows_stored", "rows_quarantined", "error")
+
+
+CYCLE_STOPS_SQL = """WITH p AS (SELECT *, (p_partkey - 1) // 50 + 1 AS page FROM part),
+  r AS (SELECT p_brand AS source, count(*) FILTER (reached AND p_size <> 7) AS good, count(*) FILTER (reached AND p_size = 7) AS bad FROM (SELECT *,
+      CASE p_brand WHEN 'Brand#1' THEN page = 1 WHEN 'Brand#2' THEN page <= 2 WHEN 'Brand#3' THEN page = 1 WHEN 'Brand#5' THEN false ELSE page <= 4 END AS reached FROM p) GROUP BY 1)
+  SELECT source, CASE source WHEN 'Brand#1' THEN 'ok' WHEN 'Brand#3' THEN 'error' WHEN 'Brand#5' THEN 'error' ELSE 'partial' END AS status,
+    CASE source WHEN 'Brand#1' THEN 'empty_page' WHEN 'Brand#2' THEN 'page1_only' WHEN 'Brand#3' THEN 'errors' WHEN 'Brand#5' THEN 'fetch_failed' ELSE 'max_pages' END AS stopped,
+    source = 'Brand#1' AS complete, good AS rows_stored, CASE WHEN good + bad > 0 THEN bad END AS rows_quarantined,
+    CASE source WHEN 'Brand#3' THEN 'problem on page 2' WHEN 'Brand#5' THEN 'no rows: 1 request(s) failed' END AS error FROM r"""
+
+
 QUERIES = {
+    "cycle_stops": (cycle_stops, CYCLE_STOPS_SQL),
     "cycle_runs": (cycle_runs, CYCLE_SQL),
     "cycle_records": (cycle_records, CYCLE_RECORDS_SQL),
     "stream_ingest": (stream_ingest, INGEST_SQL),

@@ -10,8 +10,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordworks.session import spread
-
 NOW = dt.datetime(2024, 1, 30)
 NOW_SQL = "TIMESTAMP '2024-01-30 00:00:00'"
 EPOCH = 1704067200
@@ -22,11 +20,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def wide(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose rows cost CPU time: spread over the cores when it is one small file."""
-    return spread(table(spark, sf, name))
-
-
 def now():
     return F.lit(NOW).cast("timestamp")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .core import all_groups, alternation, beyond_ascii, group, let, look_up, no_letters_around, rx
 
-_MONTHS = {word: i + 1 for i, line in enumerate(K.MONTH_WORDS.strip().splitlines()) for word in line.split()}
+_MONTHS = {word: i + 1 for i, names in enumerate(K.MONTH_WORDS) for word in names}
 _NAMES = alternation(_MONTHS)
 _DAY_FIRST = K.DATE_WITH_DAY_FIRST.replace("{months}", _NAMES)
 _MONTH_FIRST = K.DATE_WITH_MONTH_FIRST.replace("{months}", _NAMES)
@@ -21,7 +21,7 @@ _WORDED = [(rx(_DAY_FIRST), 1, 2, 3), (rx(_MONTH_FIRST), 2, 1, 3), (rx(_DAY_FIRS
 _RELATIVE = rx(K.DATE_RELATIVE.replace("{ago}", K.AGO_UNITS).replace("{after}", K.AGO_AFTER))
 _ISO = (r"^(\d{4})-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])"
         r"(?:[^\d](?:([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d)(?:[.,](\d{1,9}))?)?)?)(Z|z|[+-]\d{2}(?::?\d{2})?)?)?$")
-_ZONES = {z.split()[0]: z.split()[1] for z in K.words(K.COUNTRY_ZONES)}
+_ZONES = K.COUNTRY_ZONES
 
 
 def _part(y: Column, m: Column, d: Column, rest: Column) -> Column:
@@ -51,7 +51,7 @@ def _infer_year(month: Column, day: Column, now: Column) -> Column:
 def _numeric_last(text: Column, country: Column) -> Column:
     """a.b.yyyy: day first, month first in a few countries when written with a slash; swapped when it must be."""
     a, b, y = (F.regexp_extract(text, K.DATE_YEAR_LAST, i) for i in (1, 2, 3))
-    month_first = F.upper(country).isin(*K.MONTH_FIRST_COUNTRIES.split()) & F.contains(
+    month_first = F.upper(country).isin(*K.MONTH_FIRST_COUNTRIES) & F.contains(
         F.regexp_extract(text, K.DATE_YEAR_LAST, 0), F.lit("/"))
     year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
     first, second = a.cast("int"), b.cast("int")
@@ -109,7 +109,7 @@ def _instant(ts: Column, date_only: bool) -> Column:
 
 def _kind(t: Column, low: Column) -> Column:
     """Which notation a text is in.  Relative words come before every notation but a full ISO text, which has none."""
-    today, yesterday = (rx(no_letters_around(alternation(K.words(w))), "") for w in (K.TODAY_WORDS, K.YESTERDAY_WORDS))
+    today, yesterday = (rx(no_letters_around(alternation(w)), "") for w in (K.TODAY_WORDS, K.YESTERDAY_WORDS))
     ago = low.rlike(_RELATIVE) & ((F.regexp_extract(low, _RELATIVE, 3) != "") | low.rlike(rx(K.AGO_BEFORE, "")))
     worded = t.rlike(r"\p{L}")
     return (F.when(t == "", None)
@@ -125,8 +125,8 @@ def _kind(t: Column, low: Column) -> Column:
 
 def _ago(low: Column, now: Column) -> Column:
     unit, count = F.regexp_extract(low, _RELATIVE, 2), F.regexp_extract(low, _RELATIVE, 1)
-    seconds = (F.when(unit.isin(*K.AGO_MINUTES.split()), 60).when(unit.isin(*K.AGO_HOURS.split()), 3600)
-               .when(unit.isin(*K.AGO_WEEKS.split()), 7 * 86400).when(unit.isin(*K.AGO_MONTHS.split()), 30 * 86400).otherwise(86400))
+    seconds = (F.when(unit.isin(*K.AGO_MINUTES), 60).when(unit.isin(*K.AGO_HOURS), 3600)
+               .when(unit.isin(*K.AGO_WEEKS), 7 * 86400).when(unit.isin(*K.AGO_MONTHS), 30 * 86400).otherwise(86400))
     return F.timestamp_seconds(F.unix_seconds(now) - count.try_cast("bigint") * seconds)
 
 

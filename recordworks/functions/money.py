@@ -10,7 +10,7 @@ from .core import all_groups, best_ranked, let, look_up, no_letters_around, one_
 from .numbers import number
 from .text import unescape
 
-_SYMBOLS = list(K.pairs(K.CURRENCY_SYMBOLS).items())
+_SYMBOLS = list(K.CURRENCY_SYMBOLS.items())
 
 
 def _symbol_pattern() -> str:
@@ -36,7 +36,7 @@ def _by_symbol(rank: Column, default: Column) -> Column:
     for i, (symbol, code) in enumerate(_SYMBOLS):
         if code == "?":
             fallback, members = K.CURRENCY_FAMILIES[symbol]
-            family = F.when(rank == i, F.when(one_of(default, members.split()), default).otherwise(F.lit(fallback))).otherwise(family)
+            family = F.when(rank == i, F.when(one_of(default, members), default).otherwise(F.lit(fallback))).otherwise(family)
     fixed = look_up({str(i): c for i, (_, c) in enumerate(_SYMBOLS) if c != "?"}, rank.cast("string"))
     return F.when(rank.isNull(), default).otherwise(F.coalesce(fixed, family))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .core import alternation, best_ranked, group, let, look_up, no_letters_around, rx
 
-WORDS = {word: period for period, text in K.PERIOD_WORDS.items() for word in K.words(text)}
+WORDS = {word: period for period, names in K.PERIOD_WORDS.items() for word in names}
 _LONG = sorted((w for w in WORDS if len(w) >= 3), key=len, reverse=True)
 _LONG_PATTERN = no_letters_around(alternation(_LONG))
 _LONG_RANKS = {word: rank for rank, word in enumerate(_LONG)}

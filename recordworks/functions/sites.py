@@ -24,7 +24,7 @@ class SuffixRules:
 
 
 def builtin_suffixes() -> SuffixRules:
-    tokens = K.EXTRA_SUFFIXES.split()
+    tokens = K.EXTRA_SUFFIXES
     return SuffixRules(frozenset(t for t in tokens if t[0] not in "*!"),
                        frozenset(t[2:] for t in tokens if t.startswith("*.")),
                        frozenset(t[1:] for t in tokens if t.startswith("!")))
@@ -81,7 +81,7 @@ def _suffix_size(host: Column, labels: Column, s: SuffixRules) -> Column:
     if s.full:
         return F.coalesce(ruled, F.lit(1))
     generic = ((last >= 3) & (F.length(F.element_at(labels, -1)) == 2)
-               & F.try_element_at(labels, F.lit(-2)).isin(*K.GENERIC_SECOND_LEVEL.split()))
+               & F.try_element_at(labels, F.lit(-2)).isin(*K.GENERIC_SECOND_LEVEL))
     return F.when(F.coalesce(ruled, F.lit(1)) > 1, ruled).when(generic, 2).otherwise(F.coalesce(ruled, F.lit(1)))
 
 
@@ -110,7 +110,7 @@ def owner_key(url: Column, host: Column) -> Column:
     parent = F.when(F.size(F.split(host, r"\.")) >= 3, F.regexp_extract(host, r"^[^.]*\.(.*)$", 1))
     return (F.when(depth.isNotNull(), F.when(F.size(parts) >= depth,
                    F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), depth), "/"))))
-            .when(parent.isin(*K.OWNER_IN_SUBDOMAIN.split()), host))
+            .when(parent.isin(*K.OWNER_IN_SUBDOMAIN), host))
 
 
 def site_key(url: Column, suffixes: SuffixRules | None = None) -> Column:
@@ -126,9 +126,10 @@ def site_key(url: Column, suffixes: SuffixRules | None = None) -> Column:
 
 
 def slug(key: Column) -> Column:
-    """A site key as an identifier of at most 60 characters."""
+    """A site key as an identifier; a key without Latin letters or digits keeps apart from others by its hash."""
     text = F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.coalesce(F.nullif(F.substring(text, 1, 60), F.lit("")), F.lit("source"))
+    hashed = F.when(key.isNull() | (F.trim(key) == ""), "source").otherwise(F.concat(F.lit("source_"), F.substring(F.sha1(key), 1, 12)))
+    return F.coalesce(F.nullif(text, F.lit("")), hashed)
 
 
 def path_of(url: Column) -> Column:

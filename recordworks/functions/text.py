@@ -53,11 +53,12 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
-def clean_text(text: Column, limit: int = K.TEXT_LIMIT) -> Column:
-    """Hidden blocks dropped with their content, tags removed, entities decoded, white space collapsed, length capped."""
+def clean_text(text: Column, limit: int | None = None) -> Column:
+    """Hidden blocks dropped with their content, tags removed, entities decoded, white space collapsed; at most `limit` characters, if given."""
     without_tags = F.regexp_replace(F.regexp_replace(text, rx(K.HIDDEN_BLOCK_TO_END, "is"), " "), K.TAG, " ")
     bare = F.when(F.contains(text, F.lit("<")), without_tags).otherwise(text)
-    return filled(F.substring(squeeze(let(bare, unescape)), 1, limit))
+    whole = squeeze(let(bare, unescape))
+    return filled(whole if limit is None else F.substring(whole, 1, limit))
 
 
 def visible_text(html: Column) -> Column:

@@ -13,7 +13,7 @@ from .text import clean_text
 
 def boolean(text: Column) -> Column:
     low = F.lower(F.trim(text))
-    return F.when(one_of(low, K.TRUE_WORDS.split()), True).when(one_of(low, K.FALSE_WORDS.split()), False)
+    return F.when(one_of(low, K.TRUE_WORDS), True).when(one_of(low, K.FALSE_WORDS), False)
 
 
 def enum(text: Column, field: Field) -> Column:

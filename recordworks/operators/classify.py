@@ -51,7 +51,7 @@ def link_table(pages: DataFrame, pattern: str | None = None) -> DataFrame:
 def feed_links(html: Column, base: Column) -> Column:
     """Addresses of the alternate feeds a page announces."""
     tags = all_groups(html, r"(?is)<link\b([^>]+)>", 1)
-    alternate = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?alternate") & contains_any(F.lower(t), K.FEED_TYPES.split()))
+    alternate = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?alternate") & contains_any(F.lower(t), K.FEED_TYPES))
     found = F.transform(alternate, lambda t: group(t, r"(?i)href\s*=\s*[\"']([^\"']+)", 1))
     return F.transform(F.filter(found, lambda h: h.isNotNull()), lambda h: resolve_url(h, base))
 
@@ -83,7 +83,7 @@ def business_listings(html: Column, url: Column) -> Column:
         return F.concat(F.array(o), inner)
 
     own = registrable_domain(url)
-    kinds = F.array(*[F.lit(t) for t in K.BUSINESS_TYPES.split()])
+    kinds = F.array(*[F.lit(t) for t in K.BUSINESS_TYPES])
 
     def counts(o: Column) -> Column:
         stated = F.coalesce(F.nullif(F.try_variant_get(o, "$.url", "string"), F.lit("")),
@@ -102,20 +102,20 @@ def is_challenge(html: Column, visible: Column | None = None) -> Column:
     text = F.coalesce(html, F.lit(""))
     shown = visible_text(text) if visible is None else visible
     head = F.lower(F.substring(text, 1, K.CHALLENGE_HEAD_CHARS))
-    stub = contains_any(F.lower(text), K.words(K.STUB_MARKERS)) & (F.length(shown) < K.STUB_MAX_TEXT)
-    return (F.length(text) < K.CHALLENGE_MAX_CHARS) & (contains_any(head, K.words(K.CHALLENGE_MARKERS)) | stub)
+    stub = contains_any(F.lower(text), K.STUB_MARKERS) & (F.length(shown) < K.STUB_MAX_TEXT)
+    return (F.length(text) < K.CHALLENGE_MAX_CHARS) & (contains_any(head, K.CHALLENGE_MARKERS) | stub)
 
 
 def access_class(status: Column, headers: Column, html: Column) -> Column:
     """What stands between the reader and the page: challenge, auth, login, paywall, ip_block, rate_limited, other or ok.
     headers is a MAP with lower-case names."""
     body = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, K.ACCESS_BODY_CHARS))
-    names = F.array(*[F.lit(h) for h in K.ACCESS_CHALLENGE_HEADERS.split()])
+    names = F.array(*[F.lit(h) for h in K.ACCESS_CHALLENGE_HEADERS])
     walled = F.coalesce(F.arrays_overlap(F.map_keys(headers), names), F.lit(False))
     guarded = F.contains(F.lower(F.coalesce(F.try_element_at(headers, F.lit("server")), F.lit(""))), F.lit("ddos-guard"))
     large = (status < 400) & (F.length(html) >= K.CHALLENGE_MAX_CHARS) & ~walled
     return (F.when(F.coalesce(large, F.lit(False)), "ok")
-            .when(walled | guarded | contains_any(body, K.words(K.ACCESS_CHALLENGE_BODY)), "challenge")
+            .when(walled | guarded | contains_any(body, K.ACCESS_CHALLENGE_BODY), "challenge")
             .when((status == 401) & F.try_element_at(headers, F.lit("www-authenticate")).isNotNull(), "auth")
             .when(body.rlike(rx(K.LOGIN_BODY)), "login")
             .when((status == 402) | body.rlike(rx(K.PAYWALL_BODY)), "paywall")
@@ -142,8 +142,8 @@ def classify_lane(pages: DataFrame, documents: DataFrame | None = None, record_t
     documents(page_id, kind, url, item_links ARRAY, n INT) describes what was landed beside a page: `feed` (with its item
     links), `sitemap` (n page addresses), `openapi`.  The rules are tried in order."""
     html, url = F.col("html"), F.col("url")
-    wanted = K.ITEM_TYPES.split() + (K.BUSINESS_TYPES.split() if record_type == "businesses" else [])
-    plain = [t for t in wanted if t not in K.BUSINESS_TYPES.split()]
+    wanted = K.ITEM_TYPES + (K.BUSINESS_TYPES if record_type == "businesses" else [])
+    plain = [t for t in wanted if t not in K.BUSINESS_TYPES]
     beside = pages
     if documents is not None:
         per_page = documents.groupBy("page_id").agg(
@@ -154,14 +154,15 @@ def classify_lane(pages: DataFrame, documents: DataFrame | None = None, record_t
     else:
         beside = pages.withColumns({"feed": F.lit(None).cast("struct<url:string,item_links:array<string>>"),
                                     "sitemap_pages": F.lit(0), "openapi": F.lit(False)})
-    own_head = F.lower(F.substring(F.regexp_replace(html, r"^\s+", ""), 1, 400))
-    is_feed = own_head.rlike(r"^<\?xml|^<rss|^<feed") & (own_head.rlike("<rss|<feed|<rdf") | F.lower(F.substring(html, 1, 4000)).contains("<channel"))
+    # the name of the root element, whatever comes before it; a document may also start with JSON
+    root = F.lower(F.regexp_extract(html, r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*(<(?:[\w.\-]+:)?[\w.\-]+|[{\[])", 1))
+    is_feed = root.rlike(r"^<(?:[\w.\-]+:)?(?:rss|feed|rdf|channel)$")
     own_items = F.size(all_groups(html, r"(?i)<(?:[\w.\-]+:)?(?:item|entry)[\s>]"))
     facts = beside.withColumns({
         "visible": visible_text(html),
         "links": page_links(html, url),
         "types": jsonld_types(html),
-        "doc": F.when(own_head.rlike(r"^[{\[]"), F.try_parse_json(html)),
+        "doc": F.when(root.isin("{", "["), F.try_parse_json(html)),
         "own_feed": F.when(is_feed, own_items).otherwise(0),
         "business": business_listings(html, url) if record_type == "businesses" else F.lit(0),
     }).withColumns({
@@ -173,7 +174,7 @@ def classify_lane(pages: DataFrame, documents: DataFrame | None = None, record_t
                                            F.transform("links", path_of)), F.lit(False)),
     })
     ld = F.arrays_overlap("types", F.array(*[F.lit(t) for t in plain])) | (F.col("business") > 0)
-    states = [window_state(html, v).isNotNull() for v in K.STATE_VARIABLES.split()]
+    states = [window_state(html, v).isNotNull() for v in K.STATE_VARIABLES]
     embedded = next_state(html).isNotNull() | nuxt_state(html).isNotNull() | ld
     for state in states:
         embedded = embedded | state
@@ -199,14 +200,13 @@ def classify_lane(pages: DataFrame, documents: DataFrame | None = None, record_t
     return facts.select("page_id", F.inline(F.array(verdict)))
 
 
-def grep_pages(pages: DataFrame, pattern: str, context: int = 80) -> DataFrame:
-    """page_id, matches (counted up to 10000), snippets of the first eight matches with their position (from 0)."""
-    if len(pattern) > K.GREP_MAX_PATTERN:
-        raise ValueError(f"pattern longer than {K.GREP_MAX_PATTERN} characters")
-    context = max(0, min(int(context), K.GREP_MAX_CONTEXT))
+def grep_pages(pages: DataFrame, pattern: str, context: int = 80, snippets: int | None = None) -> DataFrame:
+    """page_id, number of matches, and snippets of all of them (or the first `snippets`) with their position (from 0)."""
+    context = max(0, int(context))
     regex, html = rx(pattern, "iu"), F.coalesce("html", F.lit(""))
-    found = F.slice(all_groups(html, regex), 1, K.GREP_SNIPPETS)
-    between = F.slice(F.split(html, regex, K.GREP_SNIPPETS + 1), F.lit(1), F.size(found))
+    found = all_groups(html, regex)
+    found = found if snippets is None else F.slice(found, 1, snippets)
+    between = F.slice(F.split(html, regex, -1 if snippets is None else snippets + 1), F.lit(1), F.size(found))
     lengths = F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
 
     def snippet(hit: Column, i: Column) -> Column:
@@ -214,5 +214,4 @@ def grep_pages(pages: DataFrame, pattern: str, context: int = 80) -> DataFrame:
         start = F.greatest(F.lit(0), at - context)
         return F.struct(at.alias("at"), F.substring("html", start + 1, at + F.length(hit) + context - start).alias("text"))
 
-    counted = F.least(F.regexp_count(html, F.lit(regex)), F.lit(K.GREP_MAX_MATCHES))
-    return pages.select("page_id", counted.alias("matches"), F.transform(found, snippet).alias("snippets")).filter("matches > 0")
+    return pages.select("page_id", F.regexp_count(html, F.lit(regex)).alias("matches"), F.transform(found, snippet).alias("snippets")).filter("matches > 0")

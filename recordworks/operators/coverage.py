@@ -15,7 +15,7 @@ from .keyed import first_per_key
 from .lookups import expand_regions
 from .records import merge_evidence
 
-ANGLES = K.ANGLES.split()
+ANGLES = K.ANGLES
 
 
 def _grid(spark: SparkSession, regions: list[str], angles: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def dry_streak(rounds: DataFrame, keys: list[str]) -> DataFrame:
 
 def coverage_verdict(sources: DataFrame, rounds: DataFrame, matrix: DataFrame, max_sources: int) -> DataFrame:
     """One row: sources, empty_cells, dry_streak, budget_reached, saturated."""
-    counted = sources.filter(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS.split()))
+    counted = sources.filter(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS))
     streak = dry_streak(rounds.withColumn("__all", F.lit(1)), ["__all"])
     facts = (counted.agg(F.count("*").alias("v")).withColumn("name", F.lit("sources"))
              .unionByName(matrix.agg(F.count_if(F.col("sources") == 0).alias("v")).withColumn("name", F.lit("empty_cells")))
@@ -134,7 +134,7 @@ def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions
     fine = checked.filter("reason IS NULL").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     known = registry.select("site", "id", F.lit(True).alias("known"))
     first = first_per_key(fine, ["site"], [F.col("arrival")]).join(bounded_broadcast(known), "site", "left")
-    budget = registry.agg(F.count_if(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS.split())).alias("live"),
+    budget = registry.agg(F.count_if(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS)).alias("live"),
                           F.count_if(F.col("status") == "blocked").alias("blocked")).first()
     decided = admit(first.filter("known IS NULL"), budget["live"], max_sources, budget["blocked"]).select("site", "decision")
     placed = fine.join(bounded_broadcast(known.drop("id")), "site", "left").join(decided, "site", "left").withColumn(
@@ -144,8 +144,8 @@ def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions
     after = entering.select("site", F.col("arrival").cast("bigint").alias("at"), F.col("codes").alias("regions"), "angles", "evidence")
     both = before.unionByName(after)
     proof = both.select("site", "at", F.posexplode("evidence").alias("pos", "e")).select(
-        "site", F.struct("at", "pos").alias("seq"), F.substring("e.url", 1, 500).alias("url"),
-        F.substring(F.coalesce("e.observation", F.lit("")), 1, 500).alias("observation"))
+        "site", F.struct("at", "pos").alias("seq"), F.col("e.url").alias("url"),
+        F.coalesce("e.observation", F.lit("")).alias("observation"))
     evidence = merge_evidence(proof.filter("url IS NOT NULL")).select("site", F.transform(
         "evidence", lambda e: F.struct(e["url"].alias("url"), e["observation"].alias("observation"))).alias("evidence"))
     new = first.filter("known IS NULL").join(decided.filter(F.col("decision").isin("added", "blocked")), "site").select(
@@ -190,5 +190,5 @@ def readmit(deferred: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def site_name(url: Column) -> Column:
-    return F.substring(host_of(url), 1, 200)
+    return host_of(url)
 

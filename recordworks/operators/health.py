@@ -125,7 +125,7 @@ def suppress_alerts(findings: DataFrame, alerts: DataFrame, runs: DataFrame, now
     healthy = runs.filter(F.col("status").isin("ok", "partial")).groupBy("source").agg(
         F.max(F.col("finished_at").cast("timestamp")).alias("__healthy"))
     joined = findings.join(keyed, ["source", "kind", "key"], "left").join(last, ["source", "kind"], "left").join(healthy, "source", "left")
-    over = F.col("kind").isin(*K.INCIDENT_KINDS.split()) & F.coalesce(F.col("__healthy") > F.col("__last"), F.lit(False))
+    over = F.col("kind").isin(*K.INCIDENT_KINDS) & F.coalesce(F.col("__healthy") > F.col("__last"), F.lit(False))
     held = F.when(F.col("key").isNotNull(), F.col("__seen").isNotNull()).otherwise(
         F.coalesce(F.unix_seconds("__last") > recent, F.lit(False)) & ~over)
     return joined.filter(~held).select(*findings.columns)

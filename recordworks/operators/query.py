@@ -1,4 +1,4 @@
-"""Record queries: filters, distinct view, order, page and total; list views with clamped sizes."""
+"""Record queries: filters, distinct view, order, page and total; list views."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..templates import Template
 from .keyed import distinct_latest
 
@@ -67,9 +66,9 @@ def conditions(df: DataFrame, filters: dict[str, Any] | None, allowed: list[str]
 
 def query(records: DataFrame, *, columns: list[str] | Template, filters: dict[str, Any] | None = None,
           fields: list[str] | None = None, source: str | None = None, order_by: str | None = None, desc: bool = True,
-          limit: int = 100, offset: int = 0, distinct: bool = False) -> Page:
+          limit: int | None = 100, offset: int = 0, distinct: bool = False) -> Page:
     """Filtered, ordered, paged records.  The distinct view is taken over all records first: when the newest row of a
-    fingerprint fails the filters, the whole group is gone."""
+    fingerprint fails the filters, the whole group is gone.  `limit` None gives all rows from `offset` on."""
     known = [*columns.output_columns(), "extra"] if isinstance(columns, Template) else list(columns)
     order = order_by or "last_seen"
     if order not in META and order not in known:
@@ -81,17 +80,20 @@ def query(records: DataFrame, *, columns: list[str] | Template, filters: dict[st
     matching = base.filter(reduce(lambda a, b: a & b, where)) if where else base
     key = F.col(order).desc() if desc else F.col(order).asc()
     shown = fields or [c for c in known if c in records.columns]
-    page = (matching.orderBy(key, F.col("uid").asc()).offset(max(0, int(offset))).limit(max(1, min(int(limit), K.MAX_QUERY)))
-            .select(*shown, *[m for m in META if m not in shown]))
+    page = _limited(matching.orderBy(key, F.col("uid").asc()).offset(max(0, int(offset))), limit).select(*shown, *[m for m in META if m not in shown])
     return Page(page, matching.agg(F.count("*").alias("total")))
 
 
-def list_latest(table: DataFrame, order: list[Column], *, limit: int = 50, **equals: Any) -> DataFrame:
-    """The latest rows of a history or registry table; conditions that are None are left out; the size is clamped."""
+def _limited(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(max(1, int(limit)))
+
+
+def list_latest(table: DataFrame, order: list[Column], *, limit: int | None = None, **equals: Any) -> DataFrame:
+    """The rows of a history or registry table, latest first, at most `limit`; conditions that are None are left out."""
     for name, value in equals.items():
         if value is not None:
             table = table.filter(F.col(name) == F.lit(value))
-    return table.orderBy(*order).limit(max(1, min(int(limit), K.MAX_LIST)))
+    return _limited(table.orderBy(*order), limit)
 
 
 def usage_since(usage: DataFrame, day: str | None = None) -> DataFrame:

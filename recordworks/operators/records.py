@@ -82,9 +82,8 @@ def prune(target: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def quarantine_rows(rejected: DataFrame, now: Column) -> DataFrame:
-    """rejected(project, source, run_id, reasons ARRAY, raw) as quarantine rows under a content-hash id."""
-    blob = F.when(F.length("raw") > K.QUARANTINE_LIMIT,
-                  F.to_json(F.struct(F.substring("raw", 1, K.QUARANTINE_LIMIT).alias("_truncated")))).otherwise(F.col("raw"))
+    """rejected(project, source, run_id, reasons ARRAY, raw) as quarantine rows, whole, under a hash of their content."""
+    blob = F.col("raw")
     why = F.to_json("reasons")
     digest = F.sha2(F.concat_ws("\x1f", "project", F.coalesce("source", F.lit("")), why, blob), 256)
     return rejected.select(F.concat(F.lit("q"), F.substring(digest, 1, 24)).alias("qid"), "project", "source", "run_id", "reasons",
@@ -120,11 +119,11 @@ def union_sources(*outputs: DataFrame) -> DataFrame:
     return first
 
 
-def merge_evidence(evidence: DataFrame, keep: int = K.EVIDENCE_TAIL) -> DataFrame:
-    """evidence(site, seq, url, observation, ..): first occurrence per link, the last `keep` per site, in order."""
+def merge_evidence(evidence: DataFrame, keep: int | None = None) -> DataFrame:
+    """evidence(site, seq, url, observation, ..): first occurrence per link in order, all of a site or its last `keep`."""
     first = F.min_by(F.struct(*evidence.columns), F.col("seq")).alias("row")
     unique = evidence.groupBy("site", "url").agg(first).select("row.*")
-    tail = top_per_key(unique, ["site"], [F.col("seq").desc()], keep)
+    tail = unique if keep is None else top_per_key(unique, ["site"], [F.col("seq").desc()], keep)
     entry = F.struct("seq", *[c for c in evidence.columns if c not in ("site", "seq")])
     return tail.groupBy("site").agg(F.sort_array(F.collect_list(entry)).alias("evidence"))
 

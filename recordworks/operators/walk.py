@@ -86,7 +86,7 @@ def run_status(stopped: Column, stored: Column, complete: Column, error: Column,
     capped = F.lit(capped) if isinstance(capped, bool) else capped
     low = ((baseline >= K.MIN_BASELINE_FOR_DEGRADED) & (stored < K.DEGRADED_FRACTION * baseline)
            & ~(capped & (stopped == "max_pages")))
-    return (F.when(stopped.isin(*K.FAILED_STOPS.split()), "error")
+    return (F.when(stopped.isin(*K.FAILED_STOPS), "error")
             .when((stopped == "time_budget") & (stored == 0), "timeout")
             .when((stored == 0) & error.isNotNull(), "error")
             .when(stored == 0, "empty")

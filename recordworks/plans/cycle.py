@@ -8,10 +8,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.core import moment
 from ..operators import records as R
 from ..operators import walk as W
 from ..session import settled
+from ..sources.dims import bounded_broadcast
 from ..templates import Template
 from .normalise import Context, accepted, normalise_records, quarantined
 
@@ -23,6 +25,7 @@ class Cycle(NamedTuple):
     quarantine: DataFrame
     runs: DataFrame
     checked: DataFrame
+    findings: DataFrame
 
 
 def fresh_rows(events: DataFrame, max_rows: int) -> DataFrame:
@@ -42,12 +45,17 @@ def verdicts(events: DataFrame, fresh: DataFrame, max_pages: int, max_rows: int)
 
 def run_cycle(events: DataFrame, target: DataFrame, sources: DataFrame, history: DataFrame, template: Template, ctx: Context, *,
               project: str, max_pages: int, max_rows: int, gazetteer: DataFrame | None = None, fx: DataFrame | None = None,
-              now: Column | dt.datetime | None = None, prune_after_days: float = 30) -> Cycle:
-    """events(run_id, source, page, rows, error, http_failed, done, started_at), sources(source, baseline),
-    history = earlier runs.  Returns the new record snapshot, quarantine entries, finished runs with their status, and the
-    checked rows."""
+              now: Column | dt.datetime | None = None, prune_after_days: float = 30, capped: bool = False) -> Cycle:
+    """events(run_id, source, page, rows, error, http_failed, done, started_at), sources(source, baseline, and `lane` if known),
+    history = earlier runs; `capped`: the caller limited the number of pages.  Returns the new record snapshot, quarantine entries,
+    finished runs with their status, the checked rows and what to alert about.
+
+    Only what a walk has reached counts: rows of failed pages and of pages after the one it stopped at are left out."""
     at = moment(now)
-    fresh = settled(fresh_rows(events, max_rows))
+    walked = settled(fresh_rows(events.filter("error IS NULL"), max_rows))
+    walks = settled(verdicts(events, walked, max_pages, max_rows))
+    reached = bounded_broadcast(walks.select("run_id", F.col("pages").alias("__last")))
+    fresh = walked.join(reached, "run_id").filter("page <= __last").drop("__last")
     checked = settled(normalise_records(fresh.drop("key"), template, ctx, gazetteer, fx))
     good = accepted(checked)
     seq = F.struct("page", "pos").alias("seq")
@@ -56,13 +64,22 @@ def run_cycle(events: DataFrame, target: DataFrame, sources: DataFrame, history:
     stored = settled(R.upsert(target, batch, at))
     quarantine = R.quarantine_rows(quarantined(checked).withColumn("project", F.lit(project)), at)
     counters = W.run_counters(checked.select("run_id", "page", (F.size("reasons") == 0).alias("stored")))
-    started = events.groupBy("run_id", "source").agg(F.min("started_at").alias("started_at"), F.max("error").alias("error"))
-    runs = (verdicts(events, fresh, max_pages, max_rows).drop("pages").join(started, "run_id").join(counters, "run_id", "left")
-            .join(sources.select("source", "baseline"), "source", "left").join(W.recent_yield(history), "source", "left"))
+    seen = events.join(reached, "run_id").filter("page <= __last")
+    started = seen.groupBy("run_id", "source").agg(F.min("started_at").alias("started_at"),
+                                                   F.max_by("error", F.when(F.col("error").isNotNull(), F.col("page"))).alias("error"))
+    known = [c for c in ("baseline", "lane") if c in sources.columns]
+    runs = (walks.drop("pages").join(started, "run_id").join(counters, "run_id", "left")
+            .join(sources.select("source", *known), "source", "left").join(W.recent_yield(history), "source", "left"))
     runs = runs.withColumns({"rows_stored": F.coalesce("rows_stored", F.lit(0)), "baseline": F.nullif("baseline", F.lit(0))})
+    if "lane" in known:  # such a lane shows the first page only, so its walk never stands for the whole inventory
+        first_only = F.coalesce(F.col("complete") & F.col("lane").isin(*K.FIRST_PAGE_LANES), F.lit(False))
+        runs = runs.withColumns({"stopped": F.when(first_only, "page1_only").otherwise(F.col("stopped")), "complete": F.col("complete") & ~first_only}).drop("lane")
+    unanswered = F.when((F.col("rows_stored") == 0) & (F.col("http_failures") > 0), F.concat(F.lit("no rows: "), "http_failures", F.lit(" request(s) failed")))
     reference = F.coalesce("baseline", "recent_yield", F.lit(0))
-    runs = runs.withColumn("status", W.run_status(F.col("stopped"), F.col("rows_stored"), F.col("complete"), F.col("error"), reference))
-    runs = settled(runs)
+    runs = runs.withColumn("error", F.coalesce("error", unanswered)).withColumn("reference", reference)
+    runs = settled(runs.withColumn("status", W.run_status(F.col("stopped"), F.col("rows_stored"), F.col("complete"), F.col("error"), F.col("reference"), capped)))
+    findings = runs.filter("status = 'degraded'").select("source", F.lit("degraded").alias("kind"), F.format_string(
+        "%d rows, under %d%% of the baseline %d", "rows_stored", F.lit(round(100 * K.DEGRADED_FRACTION)), F.col("reference").cast("bigint")).alias("message"))
     final = R.finalize(stored, runs.select("source", "run_id", "started_at", "complete", F.col("rows_stored").alias("stored"), "baseline"),
                        at, prune_after_days)
-    return Cycle(final.records, quarantine, runs.drop("baseline").join(final.summary, "source", "left"), checked)
+    return Cycle(final.records, quarantine, runs.drop("baseline", "reference").join(final.summary, "source", "left"), checked, findings)

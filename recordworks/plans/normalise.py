@@ -187,7 +187,6 @@ def _parse_fields(df: DataFrame, template: Template, ctx: Context, codes: list[s
         if f.type == "enum":
             out[f.name] = enum_of(F.when(_raw(f.name).isNotNull(), F.lower(F.coalesce(value, F.lit("")))), f)
         else:
-            value = F.substring(value, 1, K.STRING_LIMIT) if f.type == "string" else value
             out[f.name] = F.replace(F.upper(value), F.lit(" "), F.lit("")) if f.upper else value
     for i, f in enumerate(plain):
         value = F.coalesce(_num(f.name), F.get("__plain", F.lit(i)))
@@ -230,7 +229,7 @@ def _warnings(template: Template) -> list[Column]:
         if f.type in ("currency", "period", "country"):
             continue
         given = F.coalesce(_raw(name), F.lit("")).isin("", "[]", "{}")
-        out.append(F.when(~given & F.col(name).isNull(), F.concat(F.lit(f"{name}: could not parse "), F.substring(_raw(name), 1, 60))))
+        out.append(F.when(~given & F.col(name).isNull(), F.concat(F.lit(f"{name}: could not parse "), _raw(name))))
         if f.type == "area":
             out.append(F.when(_raw(name).isNotNull() & F.col(name).isNull() & F.col(name + "_unit").isNotNull(),
                               F.concat(F.lit(f"{name}: unit "), F.col(name + "_unit"), F.lit(" is not converted (regional definitions vary)"))))
@@ -242,7 +241,7 @@ def _warnings(template: Template) -> list[Column]:
 
 
 def _extra(template: Template, ctx: Context) -> Column:
-    """Keys the template does not know, plus the wording of unmapped enums and cities, as bounded JSON."""
+    """Keys the template does not know, plus the wording of unmapped enums and cities, as JSON."""
     taken = [*template.fields, *{p.split(".")[0] for p in ctx.field_map.values() if not p.startswith("=")}]
     document = F.coalesce(F.try_variant_get("__doc", "$", "map<string,variant>"), F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<variant>")))
@@ -251,19 +250,18 @@ def _extra(template: Template, ctx: Context) -> Column:
     for f in template.of_type("enum"):
         raw = _raw(f.name)
         unmapped = F.coalesce(F.col(f.name), F.lit("other")).isin("other") & (raw != "") & (F.lower(F.trim(raw)) != "other")
-        kept.append(F.when(unmapped, F.struct(F.lit(f.name + "_raw").alias("k"), clean_text(raw, K.RAW_ENUM_LIMIT).cast("variant").alias("v"))))
+        kept.append(F.when(unmapped, F.struct(F.lit(f.name + "_raw").alias("k"), clean_text(raw).cast("variant").alias("v"))))
     if "city" in template.fields:
         kept.append(F.when(F.col("city") != F.col("__city"), F.struct(F.lit("city_raw").alias("k"), F.col("__city").cast("variant").alias("v"))))
     def written(entries: Column) -> Column:
-        return let(F.to_json(entries), lambda text: F.when(F.length(text) <= K.EXTRA_LIMIT, text).otherwise(
-            F.to_json(F.struct(F.substring(text, 1, K.EXTRA_LIMIT).alias("_truncated")))))
+        return F.to_json(entries)
 
     both = F.map_concat(unknown, F.map_from_entries(F.array_compact(F.array(*kept)))) if kept else unknown
     return let(both, lambda entries: F.when(F.size(entries) > 0, written(entries)))
 
 
 def capture_extra(df: DataFrame, template: Template, raw: str = "raw", field_map: dict[str, str] | None = None) -> DataFrame:
-    """Only the unknown keys of a JSON text column as bounded JSON."""
+    """Only the unknown keys of a JSON text column as JSON."""
     fields = {n: Field(n, "string") for n in template.fields if n != "city"}
     known_city = "city" in template.fields
     document = df.withColumn("__doc", F.try_parse_json(raw))

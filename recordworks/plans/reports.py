@@ -10,7 +10,6 @@ from ..operators.classify import jsonld_types, page_links, page_meta
 from ..operators.quality import cross_source_duplicates, status_counts
 from ..sources.pages import next_state
 
-STATE_KEYS, SAMPLE_LINKS = 40, 40
 
 
 def project_status(sources: DataFrame, records: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -38,16 +37,16 @@ def project_status(sources: DataFrame, records: DataFrame, quarantine: DataFrame
     return out
 
 
-def page_summary(pages: DataFrame, max_chars: int = 8000, offset: int = 0) -> DataFrame:
-    """What a reader needs to judge a page: meta data, JSON-LD types, state keys, first links, start of the visible text and a
-    slice of the HTML with the offset of the next one."""
+def page_summary(pages: DataFrame, max_chars: int | None = None, offset: int = 0) -> DataFrame:
+    """What a reader needs to judge a page: meta data, JSON-LD types, state keys, links, visible text and the HTML from `offset` on; with
+    `max_chars` a slice of it and the offset of the next one."""
     html = F.col("html")
     props = F.try_variant_get(next_state(html), "$.props.pageProps", "map<string,variant>")
     size = F.length(html)
     return pages.select(
         "page_id", "url", page_meta(html).alias("meta"), jsonld_types(html).alias("jsonld_types"),
-        F.slice(F.map_keys(props), 1, STATE_KEYS).alias("state_keys"),
-        F.slice(page_links(html, F.col("url")), 1, SAMPLE_LINKS).alias("links"),
-        F.substring(visible_text(html), 1, max_chars // 4).alias("visible_text"),
-        F.substring(html, offset + 1, max_chars).alias("html"), size.alias("html_total"),
-        F.when(size > offset + max_chars, F.lit(offset + max_chars)).alias("next_offset"))
+        F.map_keys(props).alias("state_keys"),
+        page_links(html, F.col("url")).alias("links"),
+        visible_text(html).alias("visible_text"),
+        F.substring(html, offset + 1, max_chars or (1 << 31) - 1 - offset).alias("html"), size.alias("html_total"),
+        F.when(size > offset + max_chars, F.lit(offset + max_chars)).alias("next_offset") if max_chars else F.lit(None).cast("int").alias("next_offset"))

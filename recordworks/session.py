@@ -59,9 +59,3 @@ def settled(df: DataFrame) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores (one small, unsplittable file) over all cores.  A large input
-    has more partitions than that already and is left alone, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -53,7 +53,7 @@ def countries(spark: SparkSession) -> list[tuple[str, str, str]]:
 
 
 def currency_codes(spark: SparkSession) -> list[str]:
-    return sorted({c for _, _, c in countries(spark)} | set(K.EXTRA_CURRENCIES.split()))
+    return sorted({c for _, _, c in countries(spark)} | set(K.EXTRA_CURRENCIES))
 
 
 def country_currency(spark: SparkSession) -> dict[str, str]:
@@ -63,13 +63,13 @@ def country_currency(spark: SparkSession) -> dict[str, str]:
 def region_tokens(spark: SparkSession) -> dict[str, list[str]]:
     """Every token a region can be given by (upper-case with underscores, or a lower-case name) -> its country codes."""
     known = countries(spark)
-    groups = {line.split(":")[0]: line.split(":")[1].split() for line in K.REGION_GROUPS.strip().splitlines()}
+    groups = {name: list(members) for name, members in K.REGION_GROUPS.items()}
     euro = {code for code, _, currency in known if currency == "EUR"}
     groups["EUROZONE"] = [c for c in groups["EU"] if c in euro]
     tokens = {name.lower(): [code] for code, name, _ in known}
-    tokens |= {name: [code] for name, code in K.pairs(K.REGION_NAMES).items()}
+    tokens |= {name: [code] for name, code in K.REGION_NAMES.items()}
     tokens |= groups
-    tokens |= {alias: [code] for alias, code in K.pairs(K.REGION_ALIASES).items()}
+    tokens |= {alias: [code] for alias, code in K.REGION_ALIASES.items()}
     tokens |= {code: [code] for code, _, _ in known}
     tokens[K.GLOBAL] = [K.GLOBAL]
     return tokens
@@ -96,35 +96,45 @@ def currency_of(country: Column, spark: SparkSession) -> Column:
 # ---------------------------------------------------------------------------------------------------------- gazetteer
 # A few large cities with their names in other languages, so that the jobs work without a file.  Real runs
 # pass a GeoNames dump or a JSON file to `read_gazetteer`.
-SEED_CITIES = """
-PT Lisbon: Lisboa, Lisbonne | PT Porto: Oporto | PT Setubal: Setúbal
-GE Tbilisi: Tiflis, Тбилиси, თბილისი | GE Batumi: Батуми, ბათუმი
-AZ Baku: Bakı, Баку | AM Yerevan: Ереван, Երևան
-KZ Almaty: Алматы, Алма-Ата | KZ Astana: Нур-Султан, Nur-Sultan, Астана
-ES Madrid: Мадрид | ES San Sebastian: Donostia | ES Valencia: València | ES Seville: Sevilla
-DE Munich: München | DE Berlin: Берлин | DE Cologne: Köln | DE Hamburg:
-FR Paris: Париж | FR Lyon: | NL Amsterdam: | NL The Hague: Den Haag | NL Utrecht:
-PL Warsaw: Warszawa | PL Wroclaw: Wrocław, Breslau | PL Krakow: Kraków, Cracow
-GB London: Greater London, City of London | GB Manchester: | GB Belfast: | GB Edinburgh:
-IE Dublin: Baile Átha Cliath | IE Cork: | IT Rome: Roma | IT Milan: Milano | AT Vienna: Wien | CH Zurich: Zürich
-CZ Prague: Praha | GR Athens: Αθήνα | TR Istanbul: İstanbul | EG Cairo: القاهرة
-AE Dubai: دبي | AE Abu Dhabi: أبو ظبي | SA Riyadh: الرياض | SA Khobar: Al Khobar
-MY Kuala Lumpur: KL | ID Jakarta: | ID South Jakarta: Jakarta Selatan | SG Singapore: 新加坡
-IN Bengaluru: Bangalore | IN Gurugram: Gurgaon | IN New Delhi: | IN Mumbai: Bombay
-JP Tokyo: 東京, 東京都 | KR Seoul: 서울 | CN Beijing: 北京 | HK Hong Kong: 香港
-US New York: New York City, NYC | US Los Angeles: LA | US San Francisco: SF
-BR Sao Paulo: São Paulo | BR Rio de Janeiro: | MX Mexico City: Ciudad de México, CDMX
-"""
+SEED_CITIES = {
+    "PT": {"Lisbon": ["Lisboa", "Lisbonne"], "Porto": ["Oporto"], "Setubal": ["Setúbal"]},
+    "GE": {"Tbilisi": ["Tiflis", "Тбилиси", "თბილისი"], "Batumi": ["Батуми", "ბათუმი"]},
+    "AZ": {"Baku": ["Bakı", "Баку"]},
+    "AM": {"Yerevan": ["Ереван", "Երևան"]},
+    "KZ": {"Almaty": ["Алматы", "Алма-Ата"], "Astana": ["Нур-Султан", "Nur-Sultan", "Астана"]},
+    "ES": {"Madrid": ["Мадрид"], "San Sebastian": ["Donostia"], "Valencia": ["València"], "Seville": ["Sevilla"]},
+    "DE": {"Munich": ["München"], "Berlin": ["Берлин"], "Cologne": ["Köln"], "Hamburg": []},
+    "FR": {"Paris": ["Париж"], "Lyon": []},
+    "NL": {"Amsterdam": [], "The Hague": ["Den Haag"], "Utrecht": []},
+    "PL": {"Warsaw": ["Warszawa"], "Wroclaw": ["Wrocław", "Breslau"], "Krakow": ["Kraków", "Cracow"]},
+    "GB": {"London": ["Greater London", "City of London"], "Manchester": [], "Belfast": [], "Edinburgh": []},
+    "IE": {"Dublin": ["Baile Átha Cliath"], "Cork": []},
+    "IT": {"Rome": ["Roma"], "Milan": ["Milano"]},
+    "AT": {"Vienna": ["Wien"]},
+    "CH": {"Zurich": ["Zürich"]},
+    "CZ": {"Prague": ["Praha"]},
+    "GR": {"Athens": ["Αθήνα"]},
+    "TR": {"Istanbul": ["İstanbul"]},
+    "EG": {"Cairo": ["القاهرة"]},
+    "AE": {"Dubai": ["دبي"], "Abu Dhabi": ["أبو ظبي"]},
+    "SA": {"Riyadh": ["الرياض"], "Khobar": ["Al Khobar"]},
+    "MY": {"Kuala Lumpur": ["KL"]},
+    "ID": {"Jakarta": [], "South Jakarta": ["Jakarta Selatan"]},
+    "SG": {"Singapore": ["新加坡"]},
+    "IN": {"Bengaluru": ["Bangalore"], "Gurugram": ["Gurgaon"], "New Delhi": [], "Mumbai": ["Bombay"]},
+    "JP": {"Tokyo": ["東京", "東京都"]},
+    "KR": {"Seoul": ["서울"]},
+    "CN": {"Beijing": ["北京"]},
+    "HK": {"Hong Kong": ["香港"]},
+    "US": {"New York": ["New York City", "NYC"], "Los Angeles": ["LA"], "San Francisco": ["SF"]},
+    "BR": {"Sao Paulo": ["São Paulo"], "Rio de Janeiro": []},
+    "MX": {"Mexico City": ["Ciudad de México", "CDMX"]},
+}
 
 
 def _seed_rows() -> list[tuple[str, str, str, int]]:
-    rows = []
-    for entry in K.words(SEED_CITIES):
-        head, _, aliases = entry.partition(":")
-        country, canonical = head.split(" ", 1)
-        for name in [canonical, *(a.strip() for a in aliases.split(",") if a.strip())]:
-            rows.append((country, name, canonical, 0))
-    return rows
+    return [(country, name, canonical, 0) for country, cities in SEED_CITIES.items() for canonical, aliases in cities.items()
+            for name in [canonical, *aliases]]
 
 
 def read_gazetteer(spark: SparkSession, json_path: str | None = None, geonames_path: str | None = None,
@@ -141,7 +151,7 @@ def read_gazetteer(spark: SparkSession, json_path: str | None = None, geonames_p
             "canonical", F.lit(1).alias("load")))
     if geonames_path:
         raw = spark.read.csv(geonames_path, sep="\t", quote="", inferSchema=False)
-        places = raw.filter(F.col("_c6").isin(*K.FEATURE_CLASSES.split()))
+        places = raw.filter(F.col("_c6").isin(*K.FEATURE_CLASSES))
         aliases = F.concat(F.array("_c1", "_c2"), F.split(F.coalesce("_c3", F.lit("")), ","))
         names = names.unionByName(places.select(
             F.upper("_c8").alias("country"), F.explode(aliases).alias("name"), F.col("_c1").alias("canonical"), F.lit(2).alias("load")))

@@ -214,7 +214,7 @@ class Incidents(StatefulProcessor):
         pass
 
 
-_INCIDENTS = frozenset(K.INCIDENT_KINDS.split())
+_INCIDENTS = frozenset(K.INCIDENT_KINDS)
 
 
 def stream_alerts(events: DataFrame) -> DataFrame:
