@@ -48,6 +48,8 @@ CURRENCY_FAMILIES = {
 EXTRA_CURRENCIES = ["USD", "EUR", "GBP", "JPY", "CNY", "CHF", "BTC", "XAU"]
 # area units whose letters look like a currency
 NOT_MONEY = r"\bsq\.?\s*f(?:ee|oo)?t\b|\bsquare\s+f(?:ee|oo)t\b|\bft[²2]|\bpsf\b"
+# keys of an offer object, in order of preference
+OFFER_AMOUNT_KEYS, OFFER_CURRENCY_KEYS = ["price", "amount", "value"], ["priceCurrency", "currency"]
 FREE_WORDS = r"\b(free|gratis|gratuit|kostenlos|бесплатно|無料|免费)\b"
 RANGE_SPLIT = r"\s[-–—]\s|–|—|\bto\b|\bbis\b|\bdo\b|\ba\b|\bдо\b"
 

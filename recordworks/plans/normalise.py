@@ -91,6 +91,23 @@ def _is_text(name: str) -> Column:
 _WITH_NUMBERS = {"integer", "number", "money", "area", "distance", "weight", "date", "datetime"}
 
 
+def _is_number(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+
+
+def _first_key(value: Column, *keys: str) -> Column:
+    return F.coalesce(*[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
+
+
+def _offer_text(value: Column) -> Column:
+    """An offer object (price / amount / value, priceCurrency / currency) as the text 'amount CURRENCY'.  A number keeps four decimals, so that
+    its point can't be read as a thousands mark."""
+    amount = _first_key(value, *K.OFFER_AMOUNT_KEYS)
+    number = F.format_string("%.4f", F.try_variant_get(amount, "$", "double"))
+    text = F.when(_is_number(amount), number).otherwise(F.try_variant_get(amount, "$", "string"))
+    return F.when(text.isNotNull(), F.concat_ws(" ", text, F.upper(F.try_variant_get(_first_key(value, *K.OFFER_CURRENCY_KEYS), "$", "string"))))
+
+
 def _extract(raw: DataFrame, template: Template, field_map: dict[str, str]) -> DataFrame:
     """One JSON parse per row, then text (and number, where the type cares) of every field."""
     df = raw.withColumn("__doc", F.try_parse_json("raw"))
@@ -102,10 +119,11 @@ def _extract(raw: DataFrame, template: Template, field_map: dict[str, str]) -> D
         if f.type in ("string", "text"):
             text = F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")),
                           F.array_join(F.try_variant_get(value, "$", "array<string>"), " ")).otherwise(text)
+        elif f.type == "money":
+            text = F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), _offer_text(value)).otherwise(text)
         columns[f"__raw_{name}"] = text
         if f.type in _WITH_NUMBERS:
-            is_number = F.schema_of_variant(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-            columns[f"__num_{name}"] = F.when(is_number, F.try_variant_get(value, "$", "double"))
+            columns[f"__num_{name}"] = F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
         elif f.type == "list":
             columns[f"__arr_{name}"] = F.try_variant_get(value, "$", "array<string>")
         elif f.type == "object":
