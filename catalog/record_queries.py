@@ -191,7 +191,7 @@ def merge_evidence(spark, sf):
 EVIDENCE_SQL = """
 WITH one AS (SELECT user_id AS site, event_type || '/' || CAST(floor(value) AS BIGINT) AS url, min(event_id) AS seq FROM events GROUP BY ALL),
 tail AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq DESC) AS n FROM one)
-SELECT site, string_agg(url, '|' ORDER BY seq) AS urls FROM tail WHERE n <= 30 GROUP BY site"""
+SELECT site, string_agg(url, '|' ORDER BY seq) AS urls FROM tail GROUP BY site"""
 
 
 def _checked(spark, sf):

@@ -306,6 +306,7 @@ VOID_TAGS = [
 HIDDEN_TAGS = ["script", "style", "noscript"]
 
 # ------------------------------------------------------------------------------------ runs and health (fixed values)
+DEFAULT_ANGLE = "vertical_portals"
 FIRST_PAGE_LANES = ["browser"]
 REPLACE_MIN_FRACTION = 0.6
 MIN_BASELINE_FOR_DEGRADED, DEGRADED_FRACTION = 20, 0.5

@@ -90,9 +90,15 @@ def admit(candidates: DataFrame, live: int, max_sources: int, recorded_blocked:
 
 
 def candidate_reasons(candidates: DataFrame, project_regions: list[str], suffixes: SuffixRules | None = None) -> DataFrame:
-    """Candidates with their site key, region codes and the first rule they break (NULL when none)."""
+    """Candidates with their site key, region codes and the first rule they break (NULL when none).  A candidate that states no region or angle
+    gets the project's regions and the usual angle."""
     site = site_key(F.col("url"), suffixes)
-    df = expand_regions(candidates.withColumns({"url": F.trim(F.col("url")), "site": site}), "regions", "codes")
+
+    def given(name: str, default: list[str]) -> Column:
+        return F.when(F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0, F.col(name)).otherwise(F.array(*map(F.lit, default)).cast("array<string>"))
+
+    stated = {"url": F.trim(F.col("url")), "site": site, "regions": given("regions", project_regions), "angles": given("angles", [K.DEFAULT_ANGLE])}
+    df = expand_regions(candidates.withColumns(stated), "regions", "codes")
     own = F.exists("evidence", lambda e: (site_key(e["url"], suffixes) == F.col("site")) & (F.coalesce(e["observation"], F.lit("")) != ""))
     angles = F.array(*map(F.lit, ANGLES))
     project = F.array(*map(F.lit, [*project_regions, K.GLOBAL]))
@@ -171,11 +177,19 @@ def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions
 
 
 def with_slugs(registry: DataFrame) -> DataFrame:
-    """Ids for rows without one: the slug of the site, with _2, _3 .. on a collision.  Collisions are numbered per slug."""
-    base = registry.withColumn("__slug", F.coalesce("id", slug(F.col("site"))))
-    window = Window.partitionBy("__slug").orderBy(F.col("id").isNull(), "site")
-    n = F.row_number().over(window)
-    return base.withColumn("id", F.coalesce("id", F.when(n == 1, F.col("__slug")).otherwise(F.concat_ws("_", "__slug", n)))).drop("__slug")
+    """Ids for rows without one: the slug of the site, or with the least free of _2, _3 .. when it is taken.  An id or slug like foo_2 takes the
+    number 2 of foo."""
+    base = registry.withColumn("__slug", slug(F.col("site")))
+    names = base.select(F.coalesce("id", "__slug").alias("name"), F.col("id").isNotNull().alias("fixed"))
+    number = F.regexp_extract("name", r"_(\d{1,9})$", 1)
+    taken = names.filter("fixed").select(F.col("name").alias("__slug"), F.lit(1).alias("n")).unionByName(
+        names.filter(number != "").select(F.regexp_replace("name", r"_\d+$", "").alias("__slug"), number.cast("int").alias("n")))
+    taken = taken.groupBy("__slug").agg(F.collect_set("n").alias("__taken"))
+    new = base.filter("id IS NULL").withColumn("__k", F.row_number().over(Window.partitionBy("__slug").orderBy("site"))).join(taken, "__slug", "left")
+    used = F.coalesce("__taken", F.array().cast("array<int>"))
+    n = F.get(F.array_except(F.sequence(F.lit(1), F.col("__k") + F.size(used)), used), F.col("__k") - 1)
+    named = new.withColumn("id", F.when(n == 1, F.col("__slug")).otherwise(F.concat_ws("_", "__slug", n.cast("string"))))
+    return base.filter("id IS NOT NULL").select(*registry.columns).unionByName(named.select(*registry.columns))
 
 
 def defer(deferred: DataFrame, batch: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def fresh_rows(events: DataFrame, max_rows: int) -> DataFrame:
     """events(run_id, source, page, rows ARRAY<JSON text>, ..) -> new rows of each walk in page order."""
     rows = events.select("run_id", "source", "page", F.posexplode("rows").alias("pos", "raw"))
     doc = F.try_parse_json("raw")
-    key = W.row_key(F.try_variant_get(doc, "$.source_id", "string"), F.try_variant_get(doc, "$.url", "string"), F.col("raw"))
+    key = W.row_key(F.try_variant_get(doc, "$.source_id", "string"), F.try_variant_get(doc, "$.url", "string"), F.coalesce(F.to_json(doc), F.col("raw")))  # keys sorted
     return W.dedup_walk(rows.withColumn("key", key), max_rows)
 
 

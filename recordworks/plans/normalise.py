@@ -347,7 +347,7 @@ def normalise_records(raw: DataFrame, template: Template, ctx: Context | None =
         F.array().cast("array<string>")), "extra": _extra(template, ctx)})
     df = df.withColumn("country", filled)
     df = df.withColumns({"fingerprint": fingerprint(template),
-                         "uid": record_uid(F.col("source"), F.col("source_id"), F.col("url"), F.col("raw"))})
+                         "uid": record_uid(F.col("source"), F.col("source_id"), F.col("url"), F.coalesce(F.to_json("__doc"), F.col("raw")))})
     columns = [c for c in template.output_columns() if c in df.columns]
     return df.select(*columns, "extra", "fingerprint", "uid", "reasons", "warnings",
                      *[F.col(f"__pass_{c}").alias(c) if c in template.fields else F.col(c) for c in passing if c not in columns])

@@ -59,10 +59,12 @@ def feed(pages: DataFrame, mapping: dict) -> DataFrame:
 @register("jsonld")
 def linked_data(pages: DataFrame, mapping: dict) -> DataFrame:
     """Items of JSON-LD objects (members of an ItemList included) with their first offer."""
-    objects = pages.select("page_id", F.col("url").alias("page_url"), F.explode(P.jsonld(F.col("html"))).alias("o"))
-    members = F.coalesce(F.try_variant_get("o", "$.itemListElement", "array<variant>"), F.array("o"))
-    is_list = F.try_variant_get("o", '$["@type"]', "string") == "ItemList"
-    items = objects.select("page_id", "page_url", F.explode(F.when(is_list, members).otherwise(F.array("o"))).alias("e"))
+    def members(o: Column) -> Column:
+        is_list = F.try_variant_get(o, '$["@type"]', "string") == "ItemList"
+        return F.when(is_list, F.coalesce(F.try_variant_get(o, "$.itemListElement", "array<variant>"), F.array(o))).otherwise(F.array(o))
+
+    found = F.flatten(F.transform(P.jsonld(F.col("html")), members))
+    items = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "e"))
     items = items.withColumn("i", F.coalesce(F.variant_get("e", "$.item", "variant"), F.col("e"))).filter(P.is_object(F.col("i")))
     offer = F.coalesce(F.try_variant_get("i", "$.offers[0]", "variant"), F.try_variant_get("i", "$.offers", "variant"))
     items = items.withColumn("offer", offer)
@@ -75,7 +77,7 @@ def linked_data(pages: DataFrame, mapping: dict) -> DataFrame:
               "price": text("offer", "$.price"), "currency": text("offer", "$.priceCurrency"),
               "image": F.when(F.schema_of_variant(image) == "STRING", F.try_variant_get(image, "$", "string"))}
     fields |= {name: text("i", f"$.{path}") for name, path in mapping.items()}
-    return items.select("page_id", "page_url", F.lit(0).alias("pos"), _row(fields).alias("raw"))
+    return items.select("page_id", "page_url", "pos", _row(fields).alias("raw"))
 
 
 @register("json_api")

@@ -140,36 +140,42 @@ def stream_walk_verdict(pages: DataFrame, max_pages: int, max_rows: int) -> Data
 
 
 # --------------------------------------------------------------------------------------------------------------- stuck runs
+STATE_TTL_MS = 7 * 86_400_000
 STUCK_SCHEMA = "run_id string, source string, last_heartbeat_ms long"
 
 
 class StuckRuns(StatefulProcessor):
-    """A timer per running run; a heartbeat moves it, the end of the run removes it, silence lets it fire."""
+    """A timer per running run; a heartbeat moves it, the end of the run removes it, silence lets it fire.  The newest event time and the
+    end are kept for STATE_TTL_MS, so that a late heartbeat doesn't start an ended run again."""
 
     def __init__(self, shortest_s: int) -> None:
         self.shortest_s = shortest_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("beat", "source string, at long")
+        self.state = handle.getValueState("beat", "source string, at long, seen double, ended boolean", STATE_TTL_MS)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         beats = pd.concat(list(rows)).sort_values("ts")
+        source, at, seen, ended = self.state.get() if self.state.exists() else ("", 0, float("-inf"), False)
+        newest = beats.iloc[-1]
+        ts = pd.Timestamp(newest["ts"]).timestamp()
+        if ended or ts < seen:
+            return iter([])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        newest = beats.iloc[-1]
         if newest["status"] == "running":
             now = timerValues.getCurrentProcessingTimeInMs()
             silence = max(2 * int(newest["time_budget_s"]), self.shortest_s) * 1000
-            self.state.update((newest["source"], int(now)))
+            self.state.update((newest["source"], int(now), ts, False))
             self.handle.registerTimer(now + silence)
         else:
-            self.state.clear()
+            self.state.update((newest["source"], int(at), ts, True))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            source, at = self.state.get()
+        source, at, _, ended = self.state.get() if self.state.exists() else ("", 0, 0.0, True)
+        if not ended:
             self.state.clear()
             yield pd.DataFrame([[key[0], source, at]], columns=["run_id", "source", "last_heartbeat_ms"])
 
