@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from recordworks.session import settled
 
-from .base import SPACES, packed, unpacked, whole
+from .base import BLOCK_BITS, SPACES, bit_of, packed, unpacked, whole
 
 PROBES = 2
-BLOCK_BITS = 32768  # of bitmap_construct_agg
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -37,11 +36,6 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int, max_filter_
     return settled(twice.groupBy("block").agg(F.expr("bitmap_construct_agg(cell)").alias("bitmap"))), blocks
 
 
-def _bit(bitmap: Column, cell: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (cell / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(cell, F.lit(8)).cast("int"))) != 0
-
-
 def _probed(docs: DataFrame, doc_id: str, text: str, carry: list[str] | None, bits_per_row: int, max_filter_mb: int) -> DataFrame:
     """row, id, sha and `hit`: whether another row may have the same text."""
     keyed = docs.select(packed(docs, carry).alias("row"), F.col(doc_id).alias("id"),
@@ -50,9 +44,9 @@ def _probed(docs: DataFrame, doc_id: str, text: str, carry: list[str] | None, bi
     repeated, blocks = repeated_filter(hashes, docs.count(), bits_per_row, max_filter_mb)
     h = F.xxhash64("sha")
     probed = keyed.withColumn("block", F.pmod(h, F.lit(blocks))).join(F.broadcast(repeated), "block", "left")
-    hit = _bit(F.col("bitmap"), _cells(h)[0])
+    hit = bit_of(F.col("bitmap"), _cells(h)[0])
     for cell in _cells(h)[1:]:
-        hit = hit & _bit(F.col("bitmap"), cell)
+        hit = hit & bit_of(F.col("bitmap"), cell)
     return probed.select("row", "id", "sha", F.coalesce(hit, F.lit(False)).alias("hit"))
 
 

@@ -160,3 +160,32 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     names = docs.columns
     return judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
                   .select("row", "text", "lang"), carry=None).filter("kept").select("row.*")
+
+_WORD_LIST = ", ".join(f"'{w}'" for w in VOCABULARY)
+_LANG_LIST = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+OP7_SQL = rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS p, unnest(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS h
+    FROM w WHERE len(words) >= 3),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g)
+    WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, length(t)::BIGINT AS n_chars, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS digit,
+    length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS mark FROM w LEFT JOIN r USING (doc_id)),
+hist AS (SELECT doc_id, lang, n_words, 'char' AS kind, unnest(['upper', 'digit', 'mark', 'space', 'symbol', 'rest']) AS bin,
+      unnest([upper, digit, mark, n_chars - word_chars, n_symbols, word_chars - n_symbols - upper - digit - mark]) AS n FROM c
+    UNION ALL SELECT c.doc_id, c.lang, c.n_words, 'word', x.bin, count(y.word) FROM c JOIN (SELECT unnest([{_WORD_LIST}]) AS bin) x ON true
+      LEFT JOIN (SELECT doc_id, unnest(list_transform(words, lambda v: lower(v))) AS word FROM w) y ON y.doc_id = c.doc_id AND y.word = x.bin GROUP BY ALL),
+h AS (SELECT * FROM hist UNION ALL SELECT doc_id, lang, n_words, 'word', '', n_words - sum(n) FROM hist WHERE kind = 'word' GROUP BY doc_id, lang, n_words),
+ref AS (SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE lang IN ({_LANG_LIST}) AND n_words >= {MIN_WORDS} GROUP BY lang, kind, bin),
+own AS (SELECT doc_id, kind, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1) AS p FROM h),
+d AS (SELECT doc_id, own.kind, ref.lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0))
+    AS x FROM own JOIN ref ON own.kind = ref.kind AND own.bin = ref.bin GROUP BY ALL),
+m AS (SELECT doc_id, min(x) FILTER (kind = 'char') AS char_distance, min(x) FILTER (kind = 'word') AS word_distance FROM d GROUP BY doc_id),
+v AS (SELECT c.*, char_distance, word_distance, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PCT} * n_words AS base_failed FROM c LEFT JOIN m USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
+  NOT base_failed AND NOT (n_chars >= {MIN_CHARS} AND coalesce(char_distance, 0) > {MAX_CHAR_DISTANCE} OR n_words >= {MIN_COUNTED_WORDS} AND
+    (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} OR coalesce(char_distance, 0) > {BOTH_CHAR_DISTANCE} AND coalesce(word_distance, 0) > {BOTH_WORD_DISTANCE})) AS kept FROM v"""

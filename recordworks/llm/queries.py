@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import block_dedup, bpe, classifier, exact_dedup, merkle, mixing, ngram_join, quality_rules, secrets, suffix_dedup
 from .base import documents
@@ -36,7 +37,8 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(documents(spark, sf_dir), carry=["doc_id"])
+    rows = quality_rules.judged(documents(spark, sf_dir), carry=["doc_id"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ QUERIES = {
     "op4_exact_dedup": (op4_exact_dedup, exact_dedup.OP4_SQL),
     "op5_source_mixing": (op5_source_mixing, mixing.OP5_SQL),
     "op6_ngram_join": (op6_ngram_join, None),
-    "op7_quality_rules": (op7_quality_rules, None),
+    "op7_quality_rules": (op7_quality_rules, quality_rules.OP7_SQL),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_block_dedup": (op9_block_dedup, block_dedup.OP9_SQL),
     "op10_quality_classifier": (op10_quality_classifier, None),
