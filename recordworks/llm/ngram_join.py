@@ -232,7 +232,19 @@ def _joined_chunks(groups: DataFrame, k: int, pct: int) -> DataFrame:
             root = {x[1]: x[2] for x in group}
             trees = [Tree([shingles(x[3], k) for x in part], [x[1] for x in part]) for side in (0, 1) if (part := [x for x in group if x[0] == side])]
             links = join_trees(trees[0], trees[0], pct, root) if group[0][4] else []
-            return links + (join_trees(trees[0], trees[1], pct, root) if len(trees) > 1 else [])
+            links += join_trees(trees[0], trees[1], pct, root) if len(trees) > 1 else []
+            # as stars, which is all that components need: every set of a joined component with its least set
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for u, v in links:
+                a, b = top(u), top(v)
+                parent[max(a, b)] = min(a, b)
+            return [(x, top(x)) for x in {x for link in links for x in link} if top(x) != x]
 
         key, group = None, []
         for frame in frames:
