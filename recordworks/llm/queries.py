@@ -62,7 +62,7 @@ QUERIES = {
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, exact_dedup.OP4_SQL),
     "op5_source_mixing": (op5_source_mixing, mixing.OP5_SQL),
-    "op6_ngram_join": (op6_ngram_join, None),
+    "op6_ngram_join": (op6_ngram_join, ngram_join.OP6_SQL),
     "op7_quality_rules": (op7_quality_rules, quality_rules.OP7_SQL),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_block_dedup": (op9_block_dedup, block_dedup.OP9_SQL),
