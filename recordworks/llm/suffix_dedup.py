@@ -220,17 +220,57 @@ def _binned(cut: DataFrame, length: int) -> DataFrame:
     return cut.repartition("h").sortWithinPartitions("h", "p").mapInArrow(run, "h long, p long, a long, b long")
 
 
-def _hashed_windows(cut: DataFrame, length: int) -> DataFrame:
-    """The same by counting windows: for anchors with very many different pieces."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ENTRY = np.dtype([("w", "<u8"), ("h", "<i8"), ("p", "<i8"), ("a", "<i8")])
+WINDOWS_PER_TASK = 500_000
+
+
+def _hashed_windows(cut: DataFrame, length: int, pieces_in_all: int) -> DataFrame:
+    """The same by comparing window hashes, for anchors with very many different pieces.  Windows that a batch of pieces has twice are told at
+    once; one of each hash travels, packed with the others of its range of hashes, to where ranges of all batches meet."""
+    parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces_in_all * length // WINDOWS_PER_TASK)
+    names = ["range", "entries", "h", "p", "a", "b"]
+
+    def rows(ranges: list, packed_entries: list, found: np.ndarray) -> pa.RecordBatch:
+        """Packed entries, then windows found to be repeated, as runs of each piece."""
+        found = np.sort(found, order=["h", "p", "a"])
+        fresh = np.flatnonzero(np.concatenate([[True], (found["h"][1:] != found["h"][:-1]) | (found["p"][1:] != found["p"][:-1]) | (found["a"][1:] != found["a"][:-1] + 1)])) if len(found) else np.zeros(0, np.int64)
+        last = np.concatenate([fresh[1:], [len(found)]])[: len(fresh)] - 1
+        none, k = [None] * len(ranges), len(fresh)
+        longs = [pa.array(none + x.tolist(), pa.int64()) for x in (found["h"][fresh], found["p"][fresh], found["a"][fresh], found["a"][last] + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges + [None] * k, pa.int64()), pa.array(packed_entries + [None] * k, pa.binary()), *longs], names=names)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = []
             for h, p, data in zip(*(batch.column(c).to_pylist() for c in ("h", "p", "bytes"))):
                 grams = Text(data).grams(length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), h)), pa.array(np.full(len(grams), p)), pa.array(np.arange(len(grams))), _signed(grams)], names=["h", "p", "a", "w"])
-
-    windows = settled(cut.mapInArrow(run, "h long, p long, a long, w long"))
-    shared = settled(windows.groupBy("w").count().filter("count > 1").select("w"))
-    return windows.join(shared, "w").select("h", "p", "a", (F.col("a") + 1).alias("b"))
+                entries = np.empty(len(grams), _ENTRY)
+                entries["w"], entries["h"], entries["p"], entries["a"] = grams, h, p, np.arange(len(grams))
+                lists.append(entries)
+            entries = np.concatenate(lists) if lists else np.empty(0, _ENTRY)
+            entries = entries[np.argsort(entries["w"], kind="stable")]
+            repeated = _repeated(entries["w"])
+            single = entries[np.flatnonzero(np.concatenate([[True], entries["w"][1:] != entries["w"][:-1]]))] if len(entries) else entries
+            edges = np.searchsorted(single["w"], np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)) if parts > 1 else np.zeros(0, np.int64)
+            cuts = np.concatenate([[0], edges, [len(single)]])
+            used = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            yield rows(used, [single[cuts[i] : cuts[i + 1]].tobytes() for i in used], entries[repeated])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = np.concatenate([np.empty(0, _ENTRY), *[np.frombuffer(x.as_py(), _ENTRY) for batch in batches for x in batch.column("entries")]])
+        entries = entries[np.argsort(entries["w"], kind="stable")]
+        yield rows([], [], entries[_repeated(entries["w"])])
+
+    schema = "range long, entries binary, h long, p long, a long, b long"
+    told = settled(cut.mapInArrow(local, schema))
+    others = told.filter("range IS NOT NULL").repartition(parts, "range").mapInArrow(met, schema)
+    return told.filter("range IS NULL").unionByName(others).select("h", "p", "a", "b")
+
+
+def _repeated(ordered: np.ndarray) -> np.ndarray:
+    """Which of the sorted values occur more than once."""
+    same = np.concatenate([[False], ordered[1:] == ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+    return same | np.concatenate([same[1:], [False]]) if len(ordered) else same
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,8 +286,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     marks = classes.filter("times > 1").select("h", "p", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
     marks = marks.unionByName(_binned(_cut_pieces(texts, wanted.filter(F.col("kinds") <= MOST_PIECES).drop("kinds"), length), length))
     many = wanted.filter(F.col("kinds") > MOST_PIECES).drop("kinds")
-    if many.limit(1).count():
-        marks = marks.unionByName(_hashed_windows(_cut_pieces(texts, many, length), length))
+    if how_many := many.count():
+        marks = marks.unionByName(_hashed_windows(_cut_pieces(texts, many, length), length, how_many))
     marks = settled(marks)
     spans = rows.join(marks, ["h", "p"]).select("k1", "k2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + (length - 1)).alias("b")).alias("span"))
     return settled(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")))  # at most the windows of one document
