@@ -30,8 +30,9 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
 }
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
-# fixed values: character classes, each the complement that a replacement removes; white space, symbols and all others are counted besides
-CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^\p{N}]+", "mark": r"[^.,;:!?'\"()-]+"}
+# fixed values: character classes that are told apart once lower-case letters are out; white space, symbols and all others are counted besides
+LOWER = r"\p{Ll}+"
+CLASSES = {"upper": r"\p{Lu}+", "letter": r"[\p{Lt}\p{Lm}\p{Lo}]+", "digit": r"\p{N}+", "mark": r"[.,;:!?'\"()-]+"}
 LONGEST = max(len(w) for w in VOCABULARY)
 MIN_WORDS, MAX_REPEATED_PCT = 50, 50
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.3, 200
@@ -87,9 +88,12 @@ def _word_counts(text: Column, n_words: Column) -> Column:
     return let(counts, lambda c: F.concat(c, F.array(n_words - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
 
 
-def _class_counts(text: Column, spaces: Column, symbols: Column) -> Column:
-    counts = F.array(*[F.length(F.regexp_replace(text, pattern, "")).cast("long") for pattern in CLASSES.values()], spaces, symbols)
-    return let(counts, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
+def _class_counts(odd: Column, n_chars: Column, word_chars: Column, symbols: Column) -> Column:
+    """Lower-case letters, CLASSES, white space, symbols and all others.  `odd` is the text without white space and lower-case letters, so
+    that the other classes are looked for in a small part of it."""
+    n = F.length(odd).cast("long")
+    counts = F.array(word_chars - n, *[n - F.length(F.regexp_replace(odd, pattern, "")) for pattern in CLASSES.values()], n_chars - word_chars, symbols)
+    return let(counts, lambda c: F.concat(c, F.array(n_chars - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -98,10 +102,11 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     words = F.filter(F.split(F.col("t"), SPACES, -1), lambda w: w != "")
     out = docs.select(packed(docs, carry).alias("row"), F.col(f"`{lang}`").alias("lang"), t.alias("t"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = out.withColumn("n_chars0", F.length("t").cast("long")).withColumn("word_chars", F.length(F.regexp_replace("t", SPACES, "")).cast("long"))
-    out = out.withColumn("n_symbols", F.col("n_chars0") - F.length(F.translate("t", "#*$%&|<>", ""))).withColumn("n_words", F.regexp_count("t", F.lit(WORD)).cast("long"))
+    out = out.withColumn("n_chars0", F.length("t").cast("long")).withColumn("solid", F.regexp_replace("t", SPACES, ""))
+    out = out.withColumn("word_chars", F.length("solid").cast("long")).withColumn("odd", F.regexp_replace("solid", LOWER, ""))
+    out = out.withColumn("n_symbols", (F.length("odd") - F.length(F.translate("odd", "#*$%&|<>", ""))).cast("long")).withColumn("n_words", F.regexp_count("t", F.lit(WORD)).cast("long"))
     out = out.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words(words).alias("n_repeat_words"), "n_chars0",
-                     _class_counts(F.col("t"), F.col("n_chars0") - F.col("word_chars"), F.col("n_symbols")).alias("classes"), _word_counts(F.col("t"), F.col("n_words")).alias("words"))
+                     _class_counts(F.col("odd"), F.col("n_chars0"), F.col("word_chars"), F.col("n_symbols")).alias("classes"), _word_counts(F.col("t"), F.col("n_words")).alias("words"))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PCT * F.col("n_words")))
 
 
@@ -109,7 +114,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """counted rows -> histograms of each language over all its documents of at least MIN_WORDS words: at most one row a reference language
     is collected.  Reads only the columns of the histograms, so that the other counts aren't computed for it."""
     rows = rows.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
-    nc, nw = len(CLASSES) + 3, _slots()[0] + 1
+    nc, nw = len(CLASSES) + 4, _slots()[0] + 1
     sums = rows.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(nw)])
     found = {}
     for r in sums.collect():
@@ -173,10 +178,11 @@ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p +
     WHERE n > 1) GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, length(t)::BIGINT AS n_chars, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS digit,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper,
+    length(regexp_replace(t, '[^\p{{Ll}}]+', '', 'g')) AS lower, length(regexp_replace(t, '[^\p{{Lt}}\p{{Lm}}\p{{Lo}}]+', '', 'g')) AS letter, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS digit,
     length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS mark FROM w LEFT JOIN r USING (doc_id)),
-hist AS (SELECT doc_id, lang, n_words, 'char' AS kind, unnest(['upper', 'digit', 'mark', 'space', 'symbol', 'rest']) AS bin,
-      unnest([upper, digit, mark, n_chars - word_chars, n_symbols, word_chars - n_symbols - upper - digit - mark]) AS n FROM c
+hist AS (SELECT doc_id, lang, n_words, 'char' AS kind, unnest(['upper', 'lower', 'letter', 'digit', 'mark', 'space', 'symbol', 'rest']) AS bin,
+      unnest([upper, lower, letter, digit, mark, n_chars - word_chars, n_symbols, word_chars - n_symbols - upper - lower - letter - digit - mark]) AS n FROM c
     UNION ALL SELECT c.doc_id, c.lang, c.n_words, 'word', x.bin, count(y.word) FROM c JOIN (SELECT unnest([{_WORD_LIST}]) AS bin) x ON true
       LEFT JOIN (SELECT doc_id, unnest(list_transform(words, lambda v: lower(v))) AS word FROM w) y ON y.doc_id = c.doc_id AND y.word = x.bin GROUP BY ALL),
 h AS (SELECT * FROM hist UNION ALL SELECT doc_id, lang, n_words, 'word', '', n_words - sum(n) FROM hist WHERE kind = 'word' GROUP BY doc_id, lang, n_words),

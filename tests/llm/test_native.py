@@ -152,6 +152,20 @@ def test_quality_distance(spark):
         assert math.isclose(judged[r.doc_id].word_distance, min(distance(r.words, ref[1]) for ref in known.values()), abs_tol=1e-9)
 
 
+def test_quality_character_classes(spark):
+    text = "abc DE\u4e2d\u01c5 12. #\u2500\ufffd\x01@\U0001f600\n"
+    r = quality_rules.counted(frame(spark, [(1, text)])).first()
+    assert list(r.classes) == [3, 2, 2, 2, 1, 4, 1, 5] and r.n_symbols == 1 and r.word_chars == len(text) - 4
+
+
+def test_quality_rejects_texts_of_box_signs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clean = [r.doc_id for r in quality_rules.judged(docs, carry=["doc_id"]).filter("kept AND char_distance < 0.1 AND word_chars >= 200").limit(10).collect()]
+    boxed = docs.filter(F.col("doc_id").isin(clean)).withColumn("doc_id", F.col("doc_id") + 10**9).withColumn("text", F.regexp_replace("text", r"\p{Ll}", "\u2500"))
+    rows = quality_rules.judged(docs.unionByName(boxed.withColumn("lang", F.lit("xx"))), carry=["doc_id"]).filter(F.col("doc_id") >= 10**9).collect()
+    assert len(rows) == len(clean) == 10 and not any(r.kept for r in rows) and all(r.char_distance > 0.5 for r in rows)
+
+
 def test_fixity_audit(spark):
     good = [(f"f{k % 3}", 100 * k, bytes([k % 251]) * 50) for k in range(400)] + [(None, 1, b"x"), ("f0", None, b"y"), ("f9", 5, None)]
     bad = [r for r in good if r[1] not in (600, 30_000)] + [("f1", 7, b"new")]
