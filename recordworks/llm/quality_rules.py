@@ -111,9 +111,9 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list
 
 
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """counted rows -> histograms of each language over all its documents of at least MIN_WORDS words: at most one row a reference language
-    is collected.  Reads only the columns of the histograms, so that the other counts aren't computed for it."""
-    rows = rows.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= MIN_WORDS))
+    """counted rows -> histograms of each language over all its documents that pass the base rules: at most one row a reference language is
+    collected."""
+    rows = rows.filter(F.col("lang").isin(list(COMMON_WORDS)) & ~F.col("base_failed"))
     nc, nw = len(CLASSES) + 4, _slots()[0] + 1
     sums = rows.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(nw)])
     found = {}
@@ -141,11 +141,9 @@ def _distance(counts: Column, reference: list[float]) -> Column:
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """Each row with its counts, the verdict of the base rules, the distances to the nearest reference and whether it is kept.  When
-    few columns are carried the counts are written once and serve both the references and the verdict; else the references read the texts first."""
-    rows = counted(docs, text, lang, carry)
-    if carry is not None:
-        rows = settled(rows)
+    """Each row with its counts, the verdict of the base rules, the distances to the nearest reference and whether it is kept.  The
+    counts are written once, beside the carried columns, and serve both the references and the verdict."""
+    rows = settled(counted(docs, text, lang, carry))
     known = references(rows)
     if known:
         near = lambda name, i: F.array_min(F.array(*[_distance(F.col(name), ref[i]) for ref in known.values()]))
@@ -164,7 +162,7 @@ def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     """The rows that the rules keep, with their own columns."""
     names = docs.columns
     return judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-                  .select("row", "text", "lang"), carry=None).filter("kept").select("row.*")
+                  .select("row", "text", "lang"), carry=["row"]).filter("kept").select("row.*")
 
 _WORD_LIST = ", ".join(f"'{w}'" for w in VOCABULARY)
 _LANG_LIST = ", ".join(f"'{w}'" for w in COMMON_WORDS)
@@ -178,20 +176,20 @@ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p +
     WHERE n > 1) GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, length(t)::BIGINT AS n_chars, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PCT} * n_words AS base_failed, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper,
     length(regexp_replace(t, '[^\p{{Ll}}]+', '', 'g')) AS lower, length(regexp_replace(t, '[^\p{{Lt}}\p{{Lm}}\p{{Lo}}]+', '', 'g')) AS letter, length(regexp_replace(t, '[^\p{{N}}]+', '', 'g')) AS digit,
     length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS mark FROM w LEFT JOIN r USING (doc_id)),
-hist AS (SELECT doc_id, lang, n_words, 'char' AS kind, unnest(['upper', 'lower', 'letter', 'digit', 'mark', 'space', 'symbol', 'rest']) AS bin,
+hist AS (SELECT doc_id, lang, n_words, base_failed, 'char' AS kind, unnest(['upper', 'lower', 'letter', 'digit', 'mark', 'space', 'symbol', 'rest']) AS bin,
       unnest([upper, lower, letter, digit, mark, n_chars - word_chars, n_symbols, word_chars - n_symbols - upper - lower - letter - digit - mark]) AS n FROM c
-    UNION ALL SELECT c.doc_id, c.lang, c.n_words, 'word', x.bin, count(y.word) FROM c JOIN (SELECT unnest([{_WORD_LIST}]) AS bin) x ON true
+    UNION ALL SELECT c.doc_id, c.lang, c.n_words, c.base_failed, 'word', x.bin, count(y.word) FROM c JOIN (SELECT unnest([{_WORD_LIST}]) AS bin) x ON true
       LEFT JOIN (SELECT doc_id, unnest(list_transform(words, lambda v: lower(v))) AS word FROM w) y ON y.doc_id = c.doc_id AND y.word = x.bin GROUP BY ALL),
-h AS (SELECT * FROM hist UNION ALL SELECT doc_id, lang, n_words, 'word', '', n_words - sum(n) FROM hist WHERE kind = 'word' GROUP BY doc_id, lang, n_words),
-ref AS (SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE lang IN ({_LANG_LIST}) AND n_words >= {MIN_WORDS} GROUP BY lang, kind, bin),
+h AS (SELECT * FROM hist UNION ALL SELECT doc_id, lang, n_words, base_failed, 'word', '', n_words - sum(n) FROM hist WHERE kind = 'word' GROUP BY doc_id, lang, n_words, base_failed),
+ref AS (SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE lang IN ({_LANG_LIST}) AND NOT base_failed GROUP BY lang, kind, bin),
 own AS (SELECT doc_id, kind, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1) AS p FROM h),
 d AS (SELECT doc_id, own.kind, ref.lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0))
     AS x FROM own JOIN ref ON own.kind = ref.kind AND own.bin = ref.bin GROUP BY ALL),
 m AS (SELECT doc_id, min(x) FILTER (kind = 'char') AS char_distance, min(x) FILTER (kind = 'word') AS word_distance FROM d GROUP BY doc_id),
-v AS (SELECT c.*, char_distance, word_distance, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PCT} * n_words AS base_failed FROM c LEFT JOIN m USING (doc_id))
+v AS (SELECT c.*, char_distance, word_distance FROM c LEFT JOIN m USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
   NOT base_failed AND NOT (n_chars >= {MIN_CHARS} AND coalesce(char_distance, 0) > {MAX_CHAR_DISTANCE} OR n_words >= {MIN_COUNTED_WORDS} AND
     (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} OR coalesce(char_distance, 0) > {BOTH_CHAR_DISTANCE} AND coalesce(word_distance, 0) > {BOTH_WORD_DISTANCE})) AS kept FROM v"""

@@ -166,6 +166,15 @@ def test_quality_rejects_texts_of_box_signs(spark):
     assert len(rows) == len(clean) == 10 and not any(r.kept for r in rows) and all(r.char_distance > 0.5 for r in rows)
 
 
+def test_quality_references_leave_out_rejected_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(100)
+    spam = docs.limit(20).withColumns({"doc_id": F.col("doc_id") + 10**9, "lang": F.lit("en"), "text": F.repeat(F.lit("zq buy now "), F.lit(300))})
+    references = lambda d: quality_rules.references(quality_rules.counted(d))
+    docs = docs.localCheckpoint()
+    assert references(docs) == references(docs.unionByName(spam)) != {}
+    assert sorted(quality_rules.passing(docs).collect()) == sorted(docs.join(quality_rules.judged(docs, carry=["doc_id"]).filter("kept").select("doc_id"), "doc_id").select(*docs.columns).collect())
+
+
 def test_fixity_audit(spark):
     good = [(f"f{k % 3}", 100 * k, bytes([k % 251]) * 50) for k in range(400)] + [(None, 1, b"x"), ("f0", None, b"y"), ("f9", 5, None)]
     bad = [r for r in good if r[1] not in (600, 30_000)] + [("f1", 7, b"new")]
