@@ -3,7 +3,8 @@
 A document has two histograms: its characters by class, and its words by the common words of the reference languages (all
 other words in one bin).  The references are those histograms summed over all documents of a language that pass the base rules.
 The Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) to the nearest reference decides; each of the two rules
-has a minimum length below which it says nothing.  All of it is column expressions; only the references, one row for each
+has a minimum length below which it says nothing.  A text whose common words are rarer than in its nearest reference also goes when it is nearly as far from it as
+a text without any (`MISSING_WORDS`).  All of it is column expressions; only the references, one row for each
 language in `COMMON_WORDS`, come to the driver.
 
 Defined results: null text has no words and fails the base rules.  A language that is null or has no reference is judged like any
@@ -13,6 +14,7 @@ alike.  Other columns are carried; one with the name of a result column gives wa
 
 from __future__ import annotations
 
+import math
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,7 @@ LONGEST = max(len(w) for w in VOCABULARY)
 MIN_WORDS, MAX_REPEATED_PCT = 50, 50
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
 MAX_WORD_DISTANCE, MIN_COUNTED_WORDS = 0.5, 100
+MISSING_WORDS = 0.9  # of the distance that a text without common words has to its nearest reference; for texts with a lower share of them
 BOTH_CHAR_DISTANCE, BOTH_WORD_DISTANCE = 0.13, 0.28  # a text that is somewhat far in both
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 
@@ -140,6 +143,11 @@ def _distance(counts: Column, reference: list[float]) -> Column:
     return let(counts, of)
 
 
+def _bare(other: float) -> float:
+    """Distance of a text without common words to a reference in which all other words have the share `other`."""
+    return math.sqrt(max((math.log2(2 / (1 + other)) + 1 - other + (other * math.log2(2 * other / (1 + other)) if other else 0)) / 2, 0))
+
+
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """Each row with its counts, the verdict of the base rules, the distances to the nearest reference and whether it is kept.  The
     counts are written once, beside the carried columns, and serve both the references and the verdict."""
@@ -148,11 +156,15 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: list[
     if known:
         near = lambda name, i: F.array_min(F.array(*[_distance(F.col(name), ref[i]) for ref in known.values()]))
         rows = rows.withColumn("char_distance", near("classes", 0)).withColumn("word_distance", near("words", 1))
+        # each reference with its distance, the limit for missing words and its share of other words; the nearest counts
+        refs = [F.struct(_distance(F.col("words"), w), F.lit(MISSING_WORDS * _bare(w[-1])).alias("limit"), F.lit(w[-1]).alias("other")) for _, w in known.values()]
+        missing = let(F.array_min(F.array(*refs)), lambda m: (F.col("word_distance") > m["limit"]) & (F.element_at("words", -1) > m["other"] * F.col("n_words")))
     else:
+        missing = F.lit(False)
         rows = rows.withColumn("char_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
     far = (((F.col("n_chars0") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE))
            | ((F.col("n_words") >= MIN_COUNTED_WORDS)
-              & ((F.col("word_distance") > MAX_WORD_DISTANCE)
+              & ((F.col("word_distance") > MAX_WORD_DISTANCE) | missing
                  | ((F.col("char_distance") > BOTH_CHAR_DISTANCE) & (F.col("word_distance") > BOTH_WORD_DISTANCE)))))
     rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return unpacked(rows, "row", docs.columns if carry is None else carry, RESULTS)
@@ -186,10 +198,15 @@ hist AS (SELECT doc_id, lang, n_words, base_failed, 'char' AS kind, unnest(['upp
 h AS (SELECT * FROM hist UNION ALL SELECT doc_id, lang, n_words, base_failed, 'word', '', n_words - sum(n) FROM hist WHERE kind = 'word' GROUP BY doc_id, lang, n_words, base_failed),
 ref AS (SELECT lang, kind, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang, kind) AS q FROM h WHERE lang IN ({_LANG_LIST}) AND NOT base_failed GROUP BY lang, kind, bin),
 own AS (SELECT doc_id, kind, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1) AS p FROM h),
+bare AS (SELECT lang, q AS other, {MISSING_WORDS} * sqrt(greatest((log2(2 / (1 + q)) + 1 - q + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END) / 2, 0)) AS lim
+    FROM ref WHERE kind = 'word' AND bin = ''),
 d AS (SELECT doc_id, own.kind, ref.lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0))
     AS x FROM own JOIN ref ON own.kind = ref.kind AND own.bin = ref.bin GROUP BY ALL),
-m AS (SELECT doc_id, min(x) FILTER (kind = 'char') AS char_distance, min(x) FILTER (kind = 'word') AS word_distance FROM d GROUP BY doc_id),
-v AS (SELECT c.*, char_distance, word_distance FROM c LEFT JOIN m USING (doc_id))
+m AS (SELECT doc_id, min(x) FILTER (kind = 'char') AS char_distance, min(x) FILTER (kind = 'word') AS word_distance,
+    arg_min(lim, x) FILTER (kind = 'word') AS lim, arg_min(other, x) FILTER (kind = 'word') AS other FROM d JOIN bare USING (lang) GROUP BY doc_id),
+o AS (SELECT doc_id, n AS n_other FROM h WHERE kind = 'word' AND bin = ''),
+v AS (SELECT c.*, char_distance, word_distance, coalesce(word_distance > lim AND n_other > other * n_words, false) AS missing FROM c LEFT JOIN m USING (doc_id)
+    LEFT JOIN o USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance,
   NOT base_failed AND NOT (n_chars >= {MIN_CHARS} AND coalesce(char_distance, 0) > {MAX_CHAR_DISTANCE} OR n_words >= {MIN_COUNTED_WORDS} AND
-    (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} OR coalesce(char_distance, 0) > {BOTH_CHAR_DISTANCE} AND coalesce(word_distance, 0) > {BOTH_WORD_DISTANCE})) AS kept FROM v"""
+    (coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} OR missing OR coalesce(char_distance, 0) > {BOTH_CHAR_DISTANCE} AND coalesce(word_distance, 0) > {BOTH_WORD_DISTANCE})) AS kept FROM v"""

@@ -175,6 +175,16 @@ def test_quality_references_leave_out_rejected_texts(spark):
     assert sorted(quality_rules.passing(docs).collect()) == sorted(docs.join(quality_rules.judged(docs, carry=["doc_id"]).filter("kept").select("doc_id"), "doc_id").select(*docs.columns).collect())
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    swap = F.concat_ws(" ", F.transform(F.split("text", " "), lambda w: F.when(F.lower(w).isin(quality_rules.VOCABULARY), F.concat(F.substring(w, 1, 1), F.lit("q"))).otherwise(w)))
+    clean = quality_rules.judged(docs).filter("kept AND n_words >= 150 AND char_distance < 0.1").limit(10)
+    bare = clean.select(*docs.columns).withColumns({"doc_id": F.col("doc_id") + 10**9, "text": swap, "lang": F.lit("xx")})
+    rows = quality_rules.judged(docs.unionByName(bare), carry=["doc_id"]).filter(F.col("doc_id") >= 10**9).collect()
+    assert len(rows) == 10 and not any(r.kept for r in rows)
+    assert all(not r.base_failed and r.char_distance < quality_rules.BOTH_CHAR_DISTANCE and r.word_distance < quality_rules.MAX_WORD_DISTANCE for r in rows)
+
+
 def test_fixity_audit(spark):
     good = [(f"f{k % 3}", 100 * k, bytes([k % 251]) * 50) for k in range(400)] + [(None, 1, b"x"), ("f0", None, b"y"), ("f9", 5, None)]
     bad = [r for r in good if r[1] not in (600, 30_000)] + [("f1", 7, b"new")]
