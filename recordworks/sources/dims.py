@@ -6,6 +6,7 @@ import json
 import math
 import re
 from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,46 +95,14 @@ def currency_of(country: Column, spark: SparkSession) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------------------- gazetteer
-# A few large cities with their names in other languages, so that the jobs work without a file.  Real runs
-# pass a GeoNames dump or a JSON file to `read_gazetteer`.
-SEED_CITIES = {
-    "PT": {"Lisbon": ["Lisboa", "Lisbonne"], "Porto": ["Oporto"], "Setubal": ["Setúbal"]},
-    "GE": {"Tbilisi": ["Tiflis", "Тбилиси", "თბილისი"], "Batumi": ["Батуми", "ბათუმი"]},
-    "AZ": {"Baku": ["Bakı", "Баку"]},
-    "AM": {"Yerevan": ["Ереван", "Երևան"]},
-    "KZ": {"Almaty": ["Алматы", "Алма-Ата"], "Astana": ["Нур-Султан", "Nur-Sultan", "Астана"]},
-    "ES": {"Madrid": ["Мадрид"], "San Sebastian": ["Donostia"], "Valencia": ["València"], "Seville": ["Sevilla"]},
-    "DE": {"Munich": ["München"], "Berlin": ["Берлин"], "Cologne": ["Köln"], "Hamburg": []},
-    "FR": {"Paris": ["Париж"], "Lyon": []},
-    "NL": {"Amsterdam": [], "The Hague": ["Den Haag"], "Utrecht": []},
-    "PL": {"Warsaw": ["Warszawa"], "Wroclaw": ["Wrocław", "Breslau"], "Krakow": ["Kraków", "Cracow"]},
-    "GB": {"London": ["Greater London", "City of London"], "Manchester": [], "Belfast": [], "Edinburgh": []},
-    "IE": {"Dublin": ["Baile Átha Cliath"], "Cork": []},
-    "IT": {"Rome": ["Roma"], "Milan": ["Milano"]},
-    "AT": {"Vienna": ["Wien"]},
-    "CH": {"Zurich": ["Zürich"]},
-    "CZ": {"Prague": ["Praha"]},
-    "GR": {"Athens": ["Αθήνα"]},
-    "TR": {"Istanbul": ["İstanbul"]},
-    "EG": {"Cairo": ["القاهرة"]},
-    "AE": {"Dubai": ["دبي"], "Abu Dhabi": ["أبو ظبي"]},
-    "SA": {"Riyadh": ["الرياض"], "Khobar": ["Al Khobar"]},
-    "MY": {"Kuala Lumpur": ["KL"]},
-    "ID": {"Jakarta": [], "South Jakarta": ["Jakarta Selatan"]},
-    "SG": {"Singapore": ["新加坡"]},
-    "IN": {"Bengaluru": ["Bangalore"], "Gurugram": ["Gurgaon"], "New Delhi": [], "Mumbai": ["Bombay"]},
-    "JP": {"Tokyo": ["東京", "東京都"]},
-    "KR": {"Seoul": ["서울"]},
-    "CN": {"Beijing": ["北京"]},
-    "HK": {"Hong Kong": ["香港"]},
-    "US": {"New York": ["New York City", "NYC"], "Los Angeles": ["LA"], "San Francisco": ["SF"]},
-    "BR": {"Sao Paulo": ["São Paulo"], "Rio de Janeiro": []},
-    "MX": {"Mexico City": ["Ciudad de México", "CDMX"]},
-}
+@lru_cache(maxsize=1)
+def built_in_cities() -> dict[str, dict[str, list[str]]]:
+    """country -> canonical name -> other names, from the package's own file; real runs add a GeoNames dump or a JSON file."""
+    return json.loads(resources.files(__package__).joinpath("cities.json").read_text(encoding="utf-8"))
 
 
 def _seed_rows() -> list[tuple[str, str, str, int]]:
-    return [(country, name, canonical, 0) for country, cities in SEED_CITIES.items() for canonical, aliases in cities.items()
+    return [(country, name, canonical, 0) for country, cities in built_in_cities().items() for canonical, aliases in cities.items()
             for name in [canonical, *aliases]]
 
 

@@ -67,6 +67,18 @@ def test_gazetteer_files(spark, tmp_path):
     assert got == {c[:2]: c[2] for c in cases}
 
 
+def test_built_in_cities(spark):
+    places = city_dim(dims.read_gazetteer(spark))
+    cases = [("Barcelona", "ES", "Barcelona"), ("大阪", "JP", "Osaka"), ("Napoli", "IT", "Naples"), ("Казань", "RU", "Kazan"), ("Frankfurt a.M.", "DE", "Frankfurt"),
+             ("Zürich", "CH", "Zurich"), ("Unknownville", "PT", "Unknownville")]
+    df = spark.createDataFrame([c[:2] for c in cases], "city string, country string")
+    got = {r["city"]: r["canonical"] for r in canonical_city(df, "city", "country", places).collect()}
+    assert got == {c[0]: c[2] for c in cases}
+    assert sum(len(cities) for cities in dims.built_in_cities().values()) >= 339
+    known = {(r["country"], r["canonical"]) for r in dims.read_gazetteer(spark).collect()}
+    assert known == {(country, name) for country, cities in dims.built_in_cities().items() for name in cities}
+
+
 def test_exports(spark, tmp_path):
     rows = [("=HYPERLINK(1)", -500.0, ["a"]), ("+1+1", 1.0, []), ("@SUM(A1)", 2.0, None), ("\tx", 3.0, None), ("plain, \"quoted\"", 4.0, None)]
     df = spark.createDataFrame(rows, "make string, price double, tags array<string>").coalesce(1)
