@@ -52,10 +52,36 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read back.  Steps that need them several times start from the files:
-    nothing is computed twice, a lost executor costs no recomputation, and the plan stays short."""
-    path = shared_folder(df.sparkSession) + "/rows"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables between the steps of one job.  Each is written once to the shared folder and read back: nothing is computed twice, a
+    lost executor costs no recomputation, and plans stay short.  `drop` gives the disk back once the next step is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark)
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._written = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self._written}"
+        self._written += 1
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empties tables of this folder; frames built on them can't be computed any more."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            self.spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)  # works on any file system and through Spark Connect
 
+    def step(self, df: DataFrame, *used: DataFrame) -> DataFrame:
+        """`df` kept, then what it was made from dropped."""
+        table = self.keep(df)
+        self.drop(*used)
+        return table
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read back, for tables that live as long as the result."""
+    return Scratch(df.sparkSession).keep(df)
