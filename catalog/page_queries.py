@@ -28,13 +28,14 @@ def record_scan(spark, sf):
 
 # ----------------------------------------------------------------------------------------------------- feeds and sitemaps
 def _feeds(spark, sf):
-    """RSS, Atom or JSON feeds of at most 50 items per source, built from its documents; the feeds of one source are cut off."""
+    """RSS, Atom or JSON feeds of at most 50 items per source, built from its documents; the feeds of one source are cut off.  Titles of XML feeds are
+    CDATA with markup in it, between comments that hold markup too."""
     docs = T.table(spark, sf, "documents").select("doc_id", "source", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 50)).alias("feed"))
     kind = F.crc32("source") % 3
     link = F.concat(F.lit("https://x.example/"), "source", F.lit("/"), F.col("doc_id"))
-    item = (F.when(kind == 0, F.concat(F.lit("<item><title>T &amp; "), "doc_id", F.lit("</title><link>"), link, F.lit("</link><guid isPermaLink='false'>"), "doc_id", F.lit("</guid></item>")))
-            .when(kind == 1, F.concat(F.lit("<entry><title>T &amp; "), "doc_id", F.lit('</title><link href="'), link, F.lit('"/><id>'), "doc_id", F.lit("</id></entry>")))
-            .otherwise(F.to_json(F.struct(F.concat(F.lit("T & "), "doc_id").alias("title"), link.alias("url"), F.col("doc_id").cast("string").alias("id")))))
+    item = (F.when(kind == 0, F.concat(F.lit("<item><!-- <title>no</title></item> --><title><![CDATA[T & <b></item>]]> &amp; <![CDATA[<!-- ]]>"), "doc_id", F.lit("</title><link>"), link, F.lit("</link><guid isPermaLink='false'>"), "doc_id", F.lit("</guid></item>")))
+            .when(kind == 1, F.concat(F.lit('<entry xmlns:m="http://m"><title type="html"><![CDATA[T & <b></item>]]> &amp; <![CDATA[<!-- ]]>'), "doc_id", F.lit('</title><link href="'), link, F.lit('"/><id>'), "doc_id", F.lit("</id></entry>")))
+            .otherwise(F.to_json(F.struct(F.concat(F.lit("T & <b></item> & <!-- "), "doc_id").alias("title"), link.alias("url"), F.col("doc_id").cast("string").alias("id")))))
     grouped = docs.withColumn("item", item).groupBy("source", "feed").agg(F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
     texts = F.transform("items", lambda i: i["item"])
     body = F.when(F.crc32("source") % 3 == 2, F.array_join(texts, ",")).otherwise(F.array_join(texts, ""))
@@ -53,7 +54,7 @@ def feed_items(spark, sf):
                         F.try_element_at("fields", F.lit("url"))).alias("link"), F.col("error").isNotNull().alias("broken"))
 
 
-FEED_SQL = """SELECT source || '-' || (doc_id // 50) AS page_id, CAST(doc_id AS VARCHAR) AS item, 'T & ' || doc_id AS title, 'https://x.example/' || source || '/' || doc_id AS link,
+FEED_SQL = """SELECT source || '-' || (doc_id // 50) AS page_id, CAST(doc_id AS VARCHAR) AS item, 'T & <b></item> & <!-- ' || doc_id AS title, 'https://x.example/' || source || '/' || doc_id AS link,
   false AS broken FROM documents WHERE source <> 'src7' UNION ALL SELECT DISTINCT source || '-' || (doc_id // 50), NULL, NULL, NULL, true FROM documents WHERE source = 'src7'"""
 
 
@@ -132,6 +133,33 @@ def tree_search(spark, sf):
     return P.find_items(docs, ["id", "price"]).select("page_id", "item")
 
 
+def deep_tree_search(spark, sf):
+    """Objects at depth 1 to 40 of lists that are nested as deep as the key says."""
+    n = F.col("p_partkey") % 40
+    text = F.concat(F.repeat(F.lit("["), n), F.lit('{"id":'), "p_partkey", F.lit(',"sub":{"id":0,"price":1},"price":2}'), F.repeat(F.lit("]"), n))
+    return P.find_items(T.table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("json")), ["id", "price"]).select("page_id", "pos", "item")
+
+
+def api_rows(spark, sf):
+    """The JSON lane: records of answers with their address."""
+    answers = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://api.test/"), "o_custkey").alias("url"), F.to_json(F.struct(F.array(
+        F.struct("o_orderkey", "o_orderstatus"), F.struct((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("X").alias("o_orderstatus"))).alias("orders"))).alias("html"))
+    rows = lanes.adapt("json_api", answers).withColumn("d", F.parse_json("raw"))
+    return rows.select("page_id", "page_url", "pos", F.try_variant_get("d", "$.o_orderkey", "bigint").alias("o_orderkey"), F.try_variant_get("d", "$.o_orderstatus", "string").alias("status"))
+
+
+def state_rows(spark, sf):
+    """The lane of embedded state: half of the shops have none with the wanted keys, and fall back on their JSON-LD."""
+    key = F.when(F.col("page_id") % 2 == 0, F.lit('"price":5}')).otherwise(F.lit('"cost":5}'))
+    shops = _shops(spark, sf).withColumn("html", F.replace("html", F.lit('"price":5}'), key))
+    rows = lanes.adapt("embedded_json", shops, {"keys": ["id", "price"]}).withColumn("d", F.parse_json("raw"))
+    return rows.select("page_id", "page_url", F.try_variant_get("d", "$.id", "string").alias("id"), F.try_variant_get("d", "$.title", "string").alias("title"))
+
+
+STATE_SQL = """SELECT p_partkey AS page_id, 'https://shop.test/' || p_partkey AS page_url, CAST(p_partkey AS VARCHAR) AS id, NULL AS title FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT p_partkey, 'https://shop.test/' || p_partkey, NULL, unnest([p_name, 'Golf', 'A', 'B']) FROM part WHERE p_partkey % 2 = 1"""
+
+
 def json_records(spark, sf):
     answers = T.table(spark, sf, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 10000)).agg(F.sort_array(F.collect_list(F.struct("o_orderkey"))).alias("orders")).select(
         F.col("o_custkey").alias("page_id"), F.to_json(F.struct(F.lit(1).alias("page"), F.struct("orders").alias("data"))).alias("html"))
@@ -139,13 +167,13 @@ def json_records(spark, sf):
 
 
 def page_elements(spark, sf):
-    elements = P.select_elements(P.page_elements(_shops(spark, sf)), "div", "card")
+    elements = P.page_elements(_shops(spark, sf), "div", "card")
     return elements.select("page_id", F.try_element_at("attrs", F.lit("data-id")).alias("data_id"), "text", F.array_join("classes", " ").alias("classes"))
 
 
 def element_counts(spark, sf):
-    """Elements per page and tag over the real pages."""
-    return P.page_elements(_pages(spark, sf)).filter(F.col("tag").isin("title", "nav", "article", "h1")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    """Elements per page and tag over the real pages, all tags."""
+    return P.page_elements(_pages(spark, sf), text=None).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def card_rows(spark, sf):
@@ -289,7 +317,7 @@ def page_summary(spark, sf):
 
 
 SUMMARY_SQL = f"""SELECT page_id, regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*["'']?([\\w-]+)', 1) AS lang,
-  CAST(least(40, len(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1)))) AS INT) AS links,
+  CAST(len(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1))) AS INT) AS links,
   CAST(length({VISIBLE_SQL}) AS INT) AS shown, md5(substr(html, 101, 4000)) AS slice, length(html) AS html_total,
   CASE WHEN length(html) > 4100 THEN 4100 END AS next_offset FROM pages"""
 
@@ -315,11 +343,16 @@ QUERIES = {
     "jsonld_types": (jsonld_types, "SELECT p_partkey AS page_id, 'Product,ItemList,Car,LocalBusiness,Store' AS types FROM part"),
     "business_listings": (business_listings, "SELECT p_partkey AS page_id, 2 AS n FROM part"),
     "linked_data_rows": (linked_data_rows, LINKED_SQL),
-    "tree_search": (tree_search, """SELECT p_partkey AS page_id, '{"id": ' || p_partkey || ', "price": 5}' AS item FROM part"""),
+    "tree_search": (tree_search, """SELECT p_partkey AS page_id, '{"id":' || p_partkey || ',"price":5}' AS item FROM part"""),
+    "deep_tree_search": (deep_tree_search, """SELECT p_partkey AS page_id, unnest([0, 1])::INT AS pos, unnest(['{"id":' || p_partkey || ',"price":2,"sub":{"id":0,"price":1}}',
+        '{"id":0,"price":1}']) AS item FROM part"""),
+    "api_rows": (api_rows, """SELECT o_orderkey AS page_id, 'https://api.test/' || o_custkey AS page_url, unnest([0, 1])::INT AS pos, unnest([o_orderkey, -o_orderkey]) AS o_orderkey,
+        unnest([o_orderstatus, 'X']) AS status FROM orders"""),
+    "state_rows": (state_rows, STATE_SQL),
     "json_records": (json_records, "SELECT o_custkey AS page_id, o_orderkey FROM orders"),
     "page_elements": (page_elements, "SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS data_id, 'Seven bold' AS text, 'card big' AS classes FROM part"),
     "element_counts": (element_counts, """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id,
-        unnest(regexp_extract_all(html, '<(title|nav|article|h1)>', 1)) AS tag FROM pages) GROUP BY ALL"""),
+        unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS tag FROM pages) GROUP BY ALL"""),
     "card_rows": (card_rows, "SELECT p_partkey AS page_id, '/p/' || p_partkey AS link, p_name AS title FROM part"),
     "preview_rows": (preview_rows, "SELECT p_partkey AS page_id, 'https://shop.test/' || p_partkey AS link, 'OG ' || p_partkey AS title FROM part"),
     "feed_links": (feed_links, "SELECT p_partkey AS page_id, 'https://shop.test/feed/' || p_partkey || '.xml' AS feeds FROM part"),

@@ -43,17 +43,18 @@ def _row(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
-def _with_url(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    return rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+def _addressed(pages: DataFrame) -> DataFrame:
+    """The address of a page goes along with what is read from it, under the name that rows have for it."""
+    return pages.withColumn("page_url", F.col("url"))
 
 
 @register("feed")
 def feed(pages: DataFrame, mapping: dict) -> DataFrame:
-    items = P.feed_items(pages).filter("error IS NULL")
+    items = P.feed_items(_addressed(pages), carry=("page_url",)).filter("error IS NULL")
     names = {**FEED_FIELDS, **{k: v if isinstance(v, list) else [v] for k, v in mapping.items()}}
     fields = {field: F.coalesce(*[F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in options])
               for field, options in names.items()}
-    return _with_url(items.select("page_id", "pos", _row(fields).alias("raw")), pages).select("page_id", "page_url", "pos", "raw")
+    return items.select("page_id", "page_url", "pos", _row(fields).alias("raw"))
 
 
 @register("jsonld")
@@ -83,17 +84,21 @@ def linked_data(pages: DataFrame, mapping: dict) -> DataFrame:
 @register("json_api")
 def json_api(pages: DataFrame, mapping: dict) -> DataFrame:
     """Records of a JSON answer as they are; field names are mapped later by the normalisation's field map."""
-    return _with_url(P.json_items(pages).select("page_id", "pos", F.to_json("item").alias("raw")), pages).select(
-        "page_id", "page_url", "pos", "raw")
+    return P.json_items(_addressed(pages), carry=("page_url",)).select("page_id", "page_url", "pos", F.to_json("item").alias("raw"))
 
 
 @register("embedded_json")
 def embedded(pages: DataFrame, mapping: dict) -> DataFrame:
-    """Objects of the page state that carry the given keys (mapping['keys'])."""
+    """Objects of the page state that carry the given keys (mapping['keys']); a page whose state has none, or that has no state, gives the
+    items of its JSON-LD."""
     state = F.coalesce(P.next_state(F.col("html")), P.nuxt_state(F.col("html")))
-    docs = pages.select("page_id", F.to_json(state).alias("json")).filter("json IS NOT NULL")
-    items = P.find_items(docs, list(mapping.get("keys", ["id"])))
-    return _with_url(items.withColumnRenamed("item", "raw"), pages).select("page_id", "page_url", "pos", "raw")
+    docs = pages.select("page_id", F.col("url").alias("page_url"), "html", state.alias("state"))
+    found = P.objects_with(F.col("state"), list(mapping.get("keys", ["id"])), F.lit(P.MOST_LEVELS))
+    docs = docs.withColumn("found", F.when(F.col("state").isNotNull(), F.transform(found, lambda x: x["item"])))
+    items = docs.select("page_id", "page_url", F.posexplode("found").alias("pos", "raw"))
+    bare = docs.filter("found IS NULL OR size(found) = 0").select("page_id", F.col("page_url").alias("url"), "html")
+    rest = {k: v for k, v in mapping.items() if k != "keys"}
+    return items.unionByName(linked_data(bare, rest))
 
 
 @register("sitemap")
@@ -115,7 +120,7 @@ def cards(pages: DataFrame, mapping: dict) -> DataFrame:
     heading.  Cards and their parts are read from the page in one pass; a part belongs to the last card in front of it, which
     a running maximum over the page's own elements gives without joining elements to cards."""
     tag, cls = mapping.get("tag", "article"), mapping.get("cls")
-    elements = P.page_elements(pages)
+    elements = P.page_elements(_addressed(pages), sorted({tag, "a", "h1", "h2", "h3"}), carry=("page_url",))
     is_card = F.col("tag") == tag
     for name in (cls or "").split():
         is_card = is_card & F.array_contains("classes", name)
@@ -128,9 +133,8 @@ def cards(pages: DataFrame, mapping: dict) -> DataFrame:
         return F.min_by(F.when(condition, value), F.when(condition, F.col("pos")))
 
     own, href = F.col("pos") == F.col("card"), F.try_element_at("attrs", F.lit("href"))
-    rows = parts.groupBy("page_id", F.col("card")).agg(
+    rows = parts.groupBy("page_id", "page_url", "card").agg(
         first(own, F.col("text")).alias("text"), first(own, F.try_element_at("attrs", F.lit("data-id"))).alias("data_id"),
         first(F.col("tag") == "a", href).alias("href"), first(F.col("tag").isin("h1", "h2", "h3"), F.col("text")).alias("heading"))
     fields = {"source_id": F.coalesce("data_id", "href"), "url": F.col("href"), "title": F.coalesce("heading", "text")}
-    return _with_url(rows.select("page_id", F.col("card").alias("pos"), _row(fields).alias("raw")), pages).select(
-        "page_id", "page_url", "pos", "raw")
+    return rows.select("page_id", "page_url", F.col("card").alias("pos"), _row(fields).alias("raw"))
