@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordworks.functions import sites, text, values
 from recordworks.operators import classify
 from recordworks.plans import reports
+from recordworks.session import shared_folder
 from recordworks.sources import dims, lanes
 from recordworks.sources import pages as P
 
@@ -250,11 +251,20 @@ def registrable_domains(spark, sf):
 
 
 def domains_from_list(spark, sf):
-    """The same against a suffix list that Spark derives: every nation's name is a suffix of its own."""
-    listed = T.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.lit(".net")).alias("suffix"), F.lit("rule").alias("kind"))
-    rules = sites.suffix_rules(listed)
-    hosts = T.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("https://a.b"), F.col("c_custkey"), F.lit(".n"), F.col("c_nationkey"), F.lit(".net/x")).alias("url"))
-    return hosts.select("c_custkey", sites.registrable_domain(F.col("url"), rules).alias("domain"))
+    """The same against a suffix list in a file, which Spark derives from the customers: a rule, a wildcard, or a wildcard with an exception of each."""
+    n, kind = F.col("c_custkey"), F.col("c_custkey") % 3
+    customers = T.table(spark, sf, "customer")
+    line = (F.when(kind == 0, F.concat(F.lit("B"), n, F.lit(".test // rule"))).when(kind == 1, F.concat(F.lit("*.b"), n, F.lit(".test")))
+            .otherwise(F.concat(F.lit("*.b"), n, F.lit(".test !www.b"), n, F.lit(".test"))))
+    path = shared_folder(spark) + "/suffixes"
+    customers.select(line.alias("value")).write.text(path)
+    hosts = customers.select("c_custkey", F.concat(F.lit("https://u@a.www.b"), n, F.lit(".test:80/x")).alias("url"))
+    sized = sites.with_suffix_sizes(hosts, "url", sites.suffix_index(dims.read_suffixes(spark, path)))
+    return sized.select("c_custkey", sites.registrable_domain(F.col("url"), F.col("suffix_size")).alias("domain"), sites.site_key(F.col("url"), F.col("suffix_size")).alias("site"), "suffix_size")
+
+
+DOMAINS_SQL = """SELECT c_custkey, domain, domain AS site, [2, 3, 2][CAST(c_custkey % 3 + 1 AS INT)]::INT AS suffix_size FROM (SELECT c_custkey,
+  CASE WHEN c_custkey % 3 = 1 THEN 'a.' ELSE '' END || 'www.b' || c_custkey || '.test' AS domain FROM customer)"""
 
 
 def site_keys(spark, sf):
@@ -365,7 +375,7 @@ QUERIES = {
     "absolute_links": (absolute_links, ABSOLUTE_SQL),
     "registrable_domains": (registrable_domains, """SELECT page_id, regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_replace(h, '^www\\.', '') AS host FROM
         (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pages)"""),
-    "domains_from_list": (domains_from_list, "SELECT c_custkey, 'b' || c_custkey || '.n' || c_nationkey || '.net' AS domain FROM customer"),
+    "domains_from_list": (domains_from_list, DOMAINS_SQL),
     "site_keys": (site_keys, """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'github.com/own' || c_custkey WHEN 1 THEN 'u' || c_custkey || '.substack.com'
         WHEN 2 THEN 's' || c_custkey || '.co.uk' WHEN 3 THEN '127.0.0.1:' || (c_custkey + 1000) ELSE 'github.com' END AS site FROM customer"""),
     "challenge_pages": (challenge_pages, CHALLENGE_SQL),

@@ -242,11 +242,17 @@ def outside_regions(spark, sf):
 
 
 def region_dim(spark, sf):
-    known = dims.region_dims(spark)["token"].filter(F.col("token").isin("DACH", "BENELUX", "ANZ", "IBERIA", "UK"))
-    users = T.table(spark, sf, "customer").select("c_custkey", pick(F.col("c_custkey") % 5, ["DACH", "BENELUX", "ANZ", "IBERIA", "UK"]).alias("token"))
-    return users.join(F.broadcast(known), "token").select("c_custkey", "position", "code")
+    """Every region token of the dimension with the number of its countries, beside the customers that use it."""
+    known = dims.region_dims(spark)["token"]
+    used = T.table(spark, sf, "customer").select(pick(F.col("c_custkey") % 5, ["DACH", "BENELUX", "ANZ", "IBERIA", "UK"]).alias("token")).groupBy("token").agg(F.count("*").alias("customers"))
+    return known.groupBy("token").agg(F.count("*").alias("codes"), F.md5(F.array_join(F.sort_array(F.collect_list("code")), ",")).alias("digest")).join(
+        used, "token", "left").select("token", "codes", "digest", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
+REGION_SQL = f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({t!r}, {codes!r})" if "'" not in t else f'($${t}$$, {codes!r})' for t, codes in dims.region_tokens().items())}) v(token, codes)),
+  u AS (SELECT ['DACH', 'BENELUX', 'ANZ', 'IBERIA', 'UK'][CAST(c_custkey % 5 + 1 AS INT)] AS token, count(*) AS customers FROM customer GROUP BY ALL)
+SELECT t.token, len(codes) AS codes, md5(array_to_string(list_sort(codes), ',')) AS digest, coalesce(customers, 0) AS customers FROM t LEFT JOIN u ON u.token = t.token"""
+
 CITIES = ["Lisboa", "München", "г. Тбилиси", "Unknownville", "London EC2A 4NE", "Den Haag (Zuid-Holland)", "Berlin; Munich; Remote"]
 CITY_COUNTRY = ["PT", "DE", "GE", "PT", "GB", "NL", "DE"]
 CITY_NAMES = ["Lisbon", "Munich", "Tbilisi", "Unknownville", "London", "The Hague", "Berlin"]
@@ -269,6 +275,24 @@ def row_regions(spark, sf):
     return lookups.resolve_region(rows, ["location"], "regions", lookups.city_dim(dims.read_gazetteer(spark))).select("c_custkey", "region")
 
 
+PLACES = [("Lisboa", "Rua A", "x"), ("", "Shoreditch, London", "Dublin"), ("Nowhere", "Online", "Main St - Dublin"), ("", "", "Friedrichstr. 1 | Berlin"), ("Porto", "", ""), ("", "", "")]
+
+
+def event_places(spark, sf):
+    """City, location and address of each event looked up at once for sources of several regions: the region, the city's name and a conflict."""
+    k = F.col("event_id") % 6
+    rows = T.table(spark, sf, "events").select("event_id", *[pick(k, [p[i] for p in PLACES]).alias(n) for i, n in enumerate(("city", "location", "address"))],
+                                               F.when(F.col("event_id") % 2 == 0, F.array(F.lit("GB"), F.lit("IE"), F.lit("PT"))).otherwise(F.array(F.lit("IE"), F.lit("DE"))).alias("regions"))
+    looked = lookups.place_hits(rows, ["city", "location", "address"], lookups.city_dim(dims.read_gazetteer(spark)), ("city", "location", "address"))
+    hits = F.col("hits")
+    return looked.select("event_id", lookups.region_of(hits, [0, 1, 2], F.col("regions")).alias("region"), lookups.canonical_of(hits, 0, F.col("city"), F.lit("PT")).alias("name"),
+                         F.array_join(F.array_sort(lookups.homes_of(hits, 0)), ",").alias("homes"))
+
+
+EVENT_PLACES_SQL = f"""SELECT event_id, {pick_sql('event_id % 6', ['PT', 'IE', 'IE', 'DE', 'PT', None])} AS region,
+  {pick_sql('event_id % 6', ['Lisbon', '', 'Nowhere', '', 'Porto', ''])} AS name, {pick_sql('event_id % 6', ['PT', None, None, None, 'PT', None])} AS homes FROM events"""
+
+
 # -------------------------------------------------------------------------------------------------------- nested raw rows
 def mapped_fields(spark, sf):
     raw = T.table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(
@@ -349,10 +373,10 @@ QUERIES = {
     "region_expansion": (region_expansion, f"""SELECT s_suppkey, {pick_sql('s_suppkey % 7', ['GB,PT', 'PT', 'AM,AZ,GE,PT', 'GLOBAL,PT', 'PT', 'DE,PT', 'ES,PT'])} AS regions,
         CASE WHEN s_suppkey % 7 = 4 THEN 'Atlantis' ELSE '' END AS unknown FROM supplier"""),
     "outside_regions": (outside_regions, "SELECT c_custkey, 'N' || c_nationkey AS country FROM customer WHERE c_nationkey NOT IN (1, 2, 3, 7)"),
-    "region_dim": (region_dim, """WITH g AS (SELECT * FROM (VALUES (0, ['DE', 'AT', 'CH']), (1, ['BE', 'NL', 'LU']), (2, ['AU', 'NZ']), (3, ['ES', 'PT']), (4, ['GB'])) t(k, codes))
-        SELECT c_custkey, unnest(range(len(codes))) AS position, unnest(codes) AS code FROM customer JOIN g ON k = c_custkey % 5"""),
+    "region_dim": (region_dim, REGION_SQL),
     "city_names": (city_names, f"SELECT c_custkey, {pick_sql('c_custkey % 7', CITY_NAMES)} AS name FROM customer"),
     "city_conflicts": (city_conflicts, "SELECT c_custkey, c_custkey % 7 IN (0, 2, 4, 5) AS conflict FROM customer"),
+    "event_places": (event_places, EVENT_PLACES_SQL),
     "row_regions": (row_regions, "SELECT c_custkey, ['GB', 'IE', NULL, NULL][CAST(c_custkey % 4 + 1 AS INT)] AS region FROM customer"),
     "mapped_fields": (mapped_fields, "SELECT p_partkey, p_brand AS make, p_type AS kind, p_name AS title, 'GEL' AS currency FROM part"),
     "extra_keys": (extra_keys, """SELECT p_partkey, '{"shelf":"' || p_brand || '"}' AS extra FROM part"""),

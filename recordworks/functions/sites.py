@@ -1,4 +1,8 @@
-"""Hosts, registrable domains and site keys."""
+"""Hosts, registrable domains and site keys.
+
+The built-in suffixes are few and part of the expressions.  A public-suffix list of any size is a table (`sources.dims.read_suffixes`): `suffix_index`
+keeps it hash-partitioned by suffix, and `with_suffix_sizes` finds the longest match of each host by a join over the host's tails.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .core import let, look_up
 
-MAX_SUFFIX_RULES = 50_000
-
 
 @dataclass(frozen=True)
 class SuffixRules:
@@ -30,15 +32,6 @@ def builtin_suffixes() -> SuffixRules:
                        frozenset(t[1:] for t in tokens if t.startswith("!")))
 
 
-def suffix_rules(suffixes: DataFrame) -> SuffixRules:
-    """The rules of a suffix dimension (columns suffix, kind).  Its size is checked: the sets become part of the plan."""
-    rows = suffixes.select("suffix", "kind").limit(MAX_SUFFIX_RULES + 1).collect()
-    if len(rows) > MAX_SUFFIX_RULES:
-        raise ValueError(f"more than {MAX_SUFFIX_RULES} suffix rules")
-    by_kind = {kind: frozenset(r["suffix"] for r in rows if r["kind"] == kind) for kind in ("rule", "wildcard", "exception")}
-    return SuffixRules(by_kind["rule"], by_kind["wildcard"], by_kind["exception"], full=True)
-
-
 def raw_host(url: Column) -> Column:
     """Lower-case host without user, port and outer dots; internationalised names in their ASCII form."""
     low = F.lower(F.trim(F.coalesce(url, F.lit(""))))
@@ -85,12 +78,13 @@ def _suffix_size(host: Column, labels: Column, s: SuffixRules) -> Column:
     return F.when(F.coalesce(ruled, F.lit(1)) > 1, ruled).when(generic, 2).otherwise(F.coalesce(ruled, F.lit(1)))
 
 
-def domain_of_host(host: Column, suffixes: SuffixRules | None = None) -> Column:
-    """Public suffix plus one label; addresses and bare suffixes stay as they are."""
-    rules = suffixes or builtin_suffixes()
+def domain_of_host(host: Column, suffixes: SuffixRules | Column | None = None) -> Column:
+    """Public suffix plus one label; addresses and bare suffixes stay as they are.  `suffixes` may be a column with the number of labels in the
+    host's public suffix."""
+    rules = builtin_suffixes() if suffixes is None else suffixes
 
     def joined(labels: Column) -> Column:
-        return let(_suffix_size(host, labels, rules),
+        return let(_suffix_size(host, labels, rules) if isinstance(rules, SuffixRules) else F.coalesce(rules, F.lit(1)),
                    lambda n: F.when(F.size(labels) <= n, host)
                    .otherwise(F.array_join(F.slice(labels, F.size(labels) - n, n + 1), ".")))
 
@@ -98,7 +92,31 @@ def domain_of_host(host: Column, suffixes: SuffixRules | None = None) -> Column:
     return F.when((host == "") | is_address, host).otherwise(let(F.split(host, r"\."), joined))
 
 
-def registrable_domain(url: Column, suffixes: SuffixRules | None = None) -> Column:
+def suffix_index(suffixes: DataFrame) -> DataFrame:
+    """suffixes(suffix, kind) -> index(tail, exception, rule, wildcard): one row a suffix, partitioned by it."""
+    kinds = [F.bool_or(F.col("kind") == kind).alias(kind) for kind in ("exception", "rule", "wildcard")]
+    return suffixes.filter("suffix <> ''").groupBy(F.col("suffix").alias("tail")).agg(*kinds)
+
+
+def with_suffix_sizes(df: DataFrame, url: str, index: DataFrame, out: str = "suffix_size") -> DataFrame:
+    """`df` with the number of labels in the public suffix of each address's host.  Each different host is looked up once: it meets the index by its
+    tails (at most one row for each label), and the first tail from the left to which an exception, rule or wildcard applies
+    decides.  Sizes combine before the shuffle; a host of very many rows is a hot key only of the join back, which AQE splits."""
+    named = df.withColumn("__host", host_of(F.col(url)))
+    labels = F.split("__host", r"\.")
+    tails = (named.select("__host").filter("__host <> ''").distinct().select("__host", labels.alias("labels"))
+             .select("__host", "labels", F.size("labels").alias("n"), F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("i"))
+             .select("__host", "n", "i", F.array_join(F.slice("labels", F.col("i"), F.col("n") - F.col("i") + 1), ".").alias("tail")))
+    # (first label of the suffix's candidate, precedence, labels in the suffix) of each thing that applies; the least decides
+    n, i = F.col("n"), F.col("i")
+    applies = [F.when(F.col("exception"), F.struct(i.alias("at"), F.lit(0).alias("order"), (n - i).alias("size"))),
+               F.when(F.col("rule"), F.struct(i.alias("at"), F.lit(1).alias("order"), (n - i + 1).alias("size"))),
+               F.when(F.col("wildcard") & (i > 1), F.struct((i - 1).alias("at"), F.lit(2).alias("order"), (n - i + 2).alias("size")))]
+    sizes = tails.join(index, "tail").groupBy("__host").agg(F.min(F.array_min(F.array_compact(F.array(*applies)))).alias("best"))
+    return named.join(sizes, "__host", "left").withColumn(out, F.coalesce("best.size", F.lit(1))).drop("__host", "best")
+
+
+def registrable_domain(url: Column, suffixes: SuffixRules | Column | None = None) -> Column:
     return let(host_of(url), lambda host: domain_of_host(host, suffixes))
 
 
@@ -113,7 +131,7 @@ def owner_key(url: Column, host: Column) -> Column:
             .when(parent.isin(*K.OWNER_IN_SUBDOMAIN), host))
 
 
-def site_key(url: Column, suffixes: SuffixRules | None = None) -> Column:
+def site_key(url: Column, suffixes: SuffixRules | Column | None = None) -> Column:
     """One key per site: owner of a shared host, else the registrable domain; addresses and single labels keep the port."""
     port = F.regexp_extract(F.regexp_replace(F.trim(url), r"^[^/?#]*://", ""), r"^(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):(\d+)", 1)
 
@@ -126,10 +144,9 @@ def site_key(url: Column, suffixes: SuffixRules | None = None) -> Column:
 
 
 def slug(key: Column) -> Column:
-    """A site key as an identifier; a key without Latin letters or digits keeps apart from others by its hash."""
+    """A site key as an identifier; `source` for a key without Latin letters or digits (ids are told apart by numbers afterwards)."""
     text = F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    hashed = F.when(key.isNull() | (F.trim(key) == ""), "source").otherwise(F.concat(F.lit("source_"), F.substring(F.sha1(key), 1, 12)))
-    return F.coalesce(F.nullif(text, F.lit("")), hashed)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("source"))
 
 
 def path_of(url: Column) -> Column:

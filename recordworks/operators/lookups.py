@@ -1,7 +1,7 @@
 """Lookups against dimensions: exchange rates, cities, regions, source status.
 
-A dimension is broadcast only when its size is known to be bounded (`bounded_broadcast` checks the estimate, exchange rates are
-keyed by three-letter codes); otherwise the join shuffles and AQE splits skewed keys.
+Only exchange rates are broadcast by a hint: they are made one row per three-letter code first.  Joins with the gazetteer are left to AQE, which
+broadcasts what turned out small and splits skewed keys.
 """
 
 from __future__ import annotations
@@ -12,20 +12,25 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.core import look_up, rx
 from ..functions.text import city_key
-from ..sources.dims import bounded_broadcast, country_code, region_tokens
+from ..sources.dims import country_code, region_tokens
 
 
 # -------------------------------------------------------------------------------------------------------- exchange rates
+def unique_rates(fx: DataFrame, *codes: str) -> DataFrame:
+    """fx(currency, rate) made one row per three-letter code, so at most 26^3 rows, which is what may be broadcast.  Of several rates of a code
+    the highest counts.  `codes` keeps only those currencies."""
+    fine = fx.select(F.upper("currency").alias("currency"), "rate").filter(F.col("currency").rlike("^[A-Z]{3}$") & F.col("rate").isNotNull())
+    return (fine.filter(F.col("currency").isin(*codes)) if codes else fine).groupBy("currency").agg(F.max("rate").alias("rate"))
+
+
 def convert_fx(df: DataFrame, amount: str, source: str, target: str, fx: DataFrame, out: str) -> DataFrame:
     """Amounts in another currency, 2 decimals.  The same currency stays as it is even when it is unknown; a missing rate
-    gives NULL.  fx has one row per three-letter code."""
-    def rates(name: str) -> DataFrame:
-        return F.broadcast(fx.select(F.col("currency").alias(f"__{name}"), F.col("rate").alias(f"__{name}_rate")))
-
-    joined = (df.join(rates("src"), F.upper(F.col(source)) == F.col("__src"), "left")
-              .join(rates("dst"), F.upper(F.col(target)) == F.col("__dst"), "left"))
+    gives NULL."""
+    table = unique_rates(fx).agg(F.map_from_entries(F.collect_list(F.struct("currency", "rate"))).alias("__rates"))  # one row of at most 26^3 entries
+    joined = df.join(F.broadcast(table), how="left")
+    rate = lambda c: F.try_element_at("__rates", F.upper(F.col(c)))
     same = F.upper(F.col(source)) == F.upper(F.col(target))
-    value = F.when(same, F.col(amount)).otherwise(F.col(amount) / F.col("__src_rate") * F.col("__dst_rate"))
+    value = F.when(same, F.col(amount)).otherwise(F.col(amount) / rate(source) * rate(target))
     return joined.withColumn(out, F.round(value, 2)).select(*[c for c in df.columns if c != out], out)
 
 
@@ -48,65 +53,87 @@ def city_variants(name: Column) -> list[Column]:
     return [cleaned, bare, first]
 
 
-def _with_places(df: DataFrame, city: str, places: DataFrame) -> tuple[DataFrame, list[str]]:
-    """One left join per variant; `places` is broadcast when it is small."""
-    dim = bounded_broadcast(places)
-    maps = []
-    for i, variant in enumerate(city_variants(F.col(city))):
-        key, found = f"__k{i}", f"__p{i}"
-        df = (df.withColumn(key, city_key(variant))
-              .join(dim.select(F.col("key").alias(key), F.col("by_country").alias(found)), key, "left").drop(key))
-        maps.append(found)
-    return df, maps
+def place_hits(df: DataFrame, texts: list[str], places: DataFrame, parts: tuple[str, ...] = (), out: str = "hits") -> DataFrame:
+    """`df` with what the gazetteer knows of its place texts: array<struct<i, p, v, by_country>>, the place of the text in `texts`, its part (0 is the
+    whole text; the parts of an address follow for the texts named in `parts`), and the variant of the name.
+
+    All texts of a row are one question.  Different questions are looked up once through an inverted index of their name keys: one join against
+    the gazetteer, one join back.  Rows without any text meet nothing and are spread over all partitions."""
+    question = F.array(*[F.coalesce(F.col(t), F.lit("")) for t in texts])
+    blank = F.forall("__q", lambda t: F.trim(t) == "")
+    asked = df.withColumn("__q", question)
+    asked = asked.withColumn("__q", F.when(blank, F.array(F.concat(F.lit("\x01"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string")))).otherwise(F.col("__q")))
+
+    def pieces(text: Column, name: str) -> Column:
+        return F.concat(F.array(text), F.filter(F.transform(F.split(text, rx(K.ADDRESS_SPLIT, "")), F.trim), lambda x: x != "")) if name in parts else F.array(text)
+
+    def keyed(i: int, name: str) -> Column:
+        return F.flatten(F.transform(pieces(F.get("__q", F.lit(i)), name), lambda x, p: F.array(*[
+            F.struct(F.lit(i).alias("i"), p.alias("p"), F.lit(v).alias("v"), city_key(variant).alias("key")) for v, variant in enumerate(city_variants(x))])))
+
+    questions = asked.select("__q").filter(F.size("__q") == len(texts)).filter(~F.startswith(F.get("__q", F.lit(0)), F.lit("\x01"))).distinct()
+    keys = questions.select("__q", F.inline(F.concat(*[keyed(i, name) for i, name in enumerate(texts)]))).filter("key <> ''")
+    known = keys.join(places, "key").groupBy("__q").agg(F.array_sort(F.collect_list(F.struct("i", "p", "v", F.map_entries("by_country").alias("e")))).alias("found"))
+    found = known.select("__q", F.transform("found", lambda h: F.struct(h["i"].alias("i"), h["p"].alias("p"), h["v"].alias("v"), F.map_from_entries(h["e"]).alias("by_country"))).alias(out))
+    return asked.join(found, "__q", "left").drop("__q")
+
+
+def _maps(hits: Column, i: int) -> Column:
+    """The maps of the whole text `i`, in the order of its variants."""
+    return F.transform(F.filter(F.coalesce(hits, F.array().cast("array<struct<i:int,p:int,v:int,by_country:map<string,string>>>")),
+                                lambda h: (h["i"] == i) & (h["p"] == 0)), lambda h: h["by_country"])
+
+
+def canonical_of(hits: Column, i: int, city: Column, country: Column) -> Column:
+    """The canonical name of text `i` of the hits, `city`, in its country: the first variant the gazetteer knows there.  Without a country, only
+    when all countries agree on one name.  Unknown names stay cleaned."""
+    stated = F.coalesce(country, F.lit("")) != ""
+
+    def name(by_country: Column) -> Column:
+        names = F.array_distinct(F.map_values(by_country))
+        return F.when(stated, F.try_element_at(by_country, F.upper(country))).when(F.size(names) == 1, names[0])
+
+    first = F.get(F.array_compact(F.transform(_maps(hits, i), name)), F.lit(0))
+    return F.when(F.coalesce(F.trim(city), F.lit("")) == "", city).otherwise(F.coalesce(first, cleaned_city(city)))
+
+
+def homes_of(hits: Column, i: int) -> Column:
+    """The countries that know text `i` of the hits by its first known variant; NULL when none does."""
+    return F.map_keys(F.get(_maps(hits, i), F.lit(0)))
+
+
+def region_of(hits: Column, texts: list[int], regions: Column) -> Column:
+    """The one of `regions` that knows a text or a part of it; texts are tried in order."""
+    every = F.coalesce(hits, F.array().cast("array<struct<i:int,p:int,v:int,by_country:map<string,string>>>"))
+
+    def of(i: int) -> Column:
+        known = F.flatten(F.transform(F.filter(every, lambda h: h["i"] == i), lambda h: F.map_keys(h["by_country"])))
+        both = F.array_intersect(F.coalesce(regions, F.array().cast("array<string>")), known)
+        return F.when(F.size(both) == 1, F.get(both, F.lit(0)))
+
+    return F.coalesce(*map(of, texts))
 
 
 def canonical_city(df: DataFrame, city: str, country: str, places: DataFrame, out: str = "canonical", homes: str | None = None) -> DataFrame:
-    """The canonical name of a city in its country: the first variant the gazetteer knows there.  Without a country, only
-    when all countries agree on one name.  Unknown names stay cleaned.  `homes` adds the countries that know the city."""
-    joined, maps = _with_places(df, city, places)
-    columns = [F.col(m) for m in maps]
-    at_home = F.coalesce(*[F.try_element_at(m, F.upper(F.col(country))) for m in columns])
-
-    def agreed(m: Column) -> Column:
-        names = F.array_distinct(F.map_values(m))
-        return F.when(F.size(names) == 1, names[0])
-
-    anywhere = F.coalesce(*[agreed(m) for m in columns])
-    empty = F.coalesce(F.trim(F.col(city)), F.lit("")) == ""
-    stated = F.coalesce(F.col(country), F.lit("")) != ""
-    value = F.when(empty, F.col(city)).otherwise(
-        F.coalesce(F.when(stated, at_home).otherwise(anywhere), cleaned_city(F.col(city))))
-    added = {out: value}
+    """`canonical_of` for a table that has no hits yet.  `homes` adds the countries that know the city."""
+    looked = place_hits(df, [city], places, out="__hits")
+    added = {out: canonical_of(F.col("__hits"), 0, F.col(city), F.col(country))}
     if homes:
-        added[homes] = F.when(~empty, F.map_keys(F.coalesce(*columns)))
-    return joined.withColumns(added).drop(*maps)
+        added[homes] = homes_of(F.col("__hits"), 0)
+    return looked.withColumns(added).drop("__hits")
 
 
 def city_conflict(df: DataFrame, city: str, country: str, places: DataFrame, out: str = "conflict") -> DataFrame:
     """True when the countries that know the city do not include the stated one."""
-    joined, maps = _with_places(df, city, places)
-    homes = F.map_keys(F.coalesce(*[F.col(m) for m in maps]))
+    homes = homes_of(F.col("__hits"), 0)
     clash = F.coalesce((F.size(homes) > 0) & ~F.array_contains(homes, F.upper(F.col(country))), F.lit(False))
-    return joined.withColumn(out, clash).drop(*maps)
+    return place_hits(df, [city], places, out="__hits").withColumn(out, clash).drop("__hits")
 
 
 def resolve_region(df: DataFrame, texts: list[str], regions: str, places: DataFrame, out: str = "region") -> DataFrame:
-    """The one region of a source that knows a row's city, location or address part.  Texts are tried in order; each
-    distinct (text, regions) pair is resolved once and joined back, so repeated places cost one lookup."""
-    for i, name in enumerate(texts):
-        pairs = df.select(F.col(name).alias("__text"), F.col(regions).alias("__regions")).filter("__text <> ''").distinct()
-        parts = F.array_union(F.array("__text"), F.filter(F.transform(F.split("__text", rx(K.ADDRESS_SPLIT, "")), lambda p: F.trim(p)),
-                                                          lambda p: p != ""))
-        exploded = pairs.withColumn("__part", F.explode(parts))
-        looked, maps = _with_places(exploded, "__part", places)
-        known = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps])))
-        hits = (looked.withColumn("__hit", F.explode(F.array_intersect(known, F.col("__regions"))))
-                .groupBy("__text", "__regions").agg(F.min("__hit").alias("__low"), F.max("__hit").alias("__high")))
-        resolved = hits.filter("__low = __high").select(F.col("__text").alias(name), F.col("__regions").alias(regions),
-                                                        F.col("__low").alias(f"__found{i}"))
-        df = df.join(bounded_broadcast(resolved), [name, regions], "left")
-    found = [f"__found{i}" for i in range(len(texts))]
-    return df.withColumn(out, F.coalesce(*found)).drop(*found)
+    """The one region of a source that knows a row's city, location or address part.  Texts are tried in order; all of them are looked up at once."""
+    looked = place_hits(df, texts, places, parts=tuple(texts), out="__hits")
+    return looked.withColumn(out, region_of(F.col("__hits"), list(range(len(texts))), F.col(regions))).drop("__hits")
 
 
 # ---------------------------------------------------------------------------------------------------------------- regions

@@ -24,7 +24,7 @@ from ..functions.text import clean_text
 from ..functions.units import measure
 from ..functions.values import absolute_url, boolean, enum_of, matches, text_list
 from ..operators import quality
-from ..operators.lookups import canonical_city, city_dim, resolve_region
+from ..operators.lookups import canonical_of, city_dim, homes_of, place_hits, region_of, unique_rates
 from ..sources.dims import country_code, country_currency, currency_codes, currency_of
 from ..templates import Field, Template
 
@@ -134,7 +134,8 @@ def _extract(raw: DataFrame, template: Template, field_map: dict[str, str]) -> D
 
 
 def _regions(df: DataFrame, template: Template, ctx: Context, places: DataFrame | None) -> DataFrame:
-    """Country and default currency of each row.  A source of several regions never lends a row its first one: the row's own
+    """Country and default currency of each row, and in `__hits` what the gazetteer knows of its places: the cleaned city, and for sources of several
+    regions the texts that may tell the region.  All of it is one lookup.  A source of several regions never lends a row its first one: the row's own
     country or a city that only one of the regions knows decides."""
     spark = df.sparkSession
     if ctx.regions is not None:
@@ -144,6 +145,15 @@ def _regions(df: DataFrame, template: Template, ctx: Context, places: DataFrame
         given = None
         df = df.withColumn("__regions", F.array_distinct(F.filter(F.coalesce("regions", F.array().cast("array<string>")),
                                                                   lambda r: r != K.GLOBAL)))
+    texts = [n for n in PLACE_FIELDS if n in template.fields] if given is None or len(given) > 1 else []
+    city = ["__city"] if "city" in template.fields else []
+    if places is not None and (texts or city):
+        if city:
+            df = df.withColumn("__city", clean_text(_raw("city")))
+        several = F.size("__regions") > 1
+        needs = several & (country_code(_raw("country"), spark).isNull() if "country" in template.fields else F.lit(True))
+        df = df.withColumns({f"__at_{n}": F.when(needs, _raw(n)) for n in texts})
+        df = place_hits(df, [*city, *[f"__at_{n}" for n in texts]], places, tuple(f"__at_{n}" for n in texts), "__hits").drop(*[f"__at_{n}" for n in texts])
     explicit = F.lit(ctx.default_currency).cast("string")
     only = F.get("__regions", F.lit(0))
     if given is not None and len(given) <= 1:
@@ -154,15 +164,9 @@ def _regions(df: DataFrame, template: Template, ctx: Context, places: DataFrame
     stated = country_code(_raw("country"), spark) if "country" in template.fields else F.lit(None).cast("string")
     df = df.withColumns({"__several": several, "__stated": F.when(several, stated)})
     found = F.lit(None).cast("string")
-    texts = [n for n in PLACE_FIELDS if n in template.fields]
     if places is not None and texts:
-        # rows that need no lookup get a key of their own, so they spread over all partitions instead of meeting at NULL
-        needs = F.col("__several") & F.col("__stated").isNull()
-        keys = {f"__at_{n}": F.when(needs & (_raw(n) != ""), _raw(n)).otherwise(F.concat(F.lit("\x01"), F.xxhash64("raw").cast("string")))
-                for n in texts}
-        df = resolve_region(df.withColumns(keys), list(keys), "__regions", places, "__placed").drop(*keys)
-        found = F.col("__placed")
-    country = F.when(F.col("__several"), F.coalesce("__stated", found)).otherwise(only)
+        found = region_of(F.col("__hits"), [len(city) + i for i in range(len(texts))], F.col("__regions"))
+    country = F.when(F.col("__several"), F.coalesce(F.col("__stated"), found)).otherwise(only)
     df = df.withColumn("__region", country)
     currencies = F.array_distinct(F.transform("__regions", lambda r: currency_of(r, spark)))
     shared = F.when(F.col("__several") & (F.size(currencies) == 1), currencies[0])
@@ -317,8 +321,8 @@ def normalise_records(raw: DataFrame, template: Template, ctx: Context | None =
     if "city" in template.fields:
         df = df.withColumn("__city", F.col("city"))
         if places is not None:
-            df = df.withColumn("__where", F.coalesce("country", "__region"))
-            df = canonical_city(df, "__city", "__where", places, "city", "__homes")
+            where = F.coalesce("country", "__region")
+            df = df.withColumns({"city": canonical_of(F.col("__hits"), 0, F.col("__city"), where), "__homes": homes_of(F.col("__hits"), 0)})
     patterned = [f for f in template.fields.values() if f.pattern]
     bad = {f.name: F.col(f.name).isNotNull() & ~matches(F.col(f.name), f.pattern) for f in patterned}
     notes = [F.when(bad[n], F.concat(F.lit(f"{n}: '"), F.col(n), F.lit("' does not match the expected pattern; dropped"))) for n in bad]
@@ -376,8 +380,8 @@ def _reports(df: DataFrame, template: Template, ctx: Context, fx: DataFrame | No
     if fx is None:
         same = {f.name + "_report": F.when(currency == report, F.round(F.col(f.name), 2)) for f in amounts}
         return df.withColumns(same), F.when(currency == "USD", F.lit(1.0)), currency
-    known = {r["currency"]: r["rate"] for r in fx.filter(F.col("currency").isin(report, "USD")).collect()}
-    rates = F.broadcast(fx.select(F.col("currency").alias("__fx"), F.col("rate").alias("__rate")))
+    known = {r["currency"]: r["rate"] for r in unique_rates(fx, report, "USD").collect()}  # two rows at most
+    rates = F.broadcast(unique_rates(fx).select(F.col("currency").alias("__fx"), F.col("rate").alias("__rate")))
     df = df.withColumn("__money", currency).join(rates, F.upper("__money") == F.col("__fx"), "left")
     target, dollar = (F.lit(known.get(c)).cast("double") for c in (report, "USD"))
     values = {f.name + "_report": F.round(F.when(F.col("__money") == report, F.col(f.name)).otherwise(

@@ -34,23 +34,15 @@ def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------------------- countries
-@lru_cache(maxsize=4)
-def _countries(app: str) -> tuple[tuple[str, str, str], ...]:
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    java = spark._jvm.java.util
-    found = [("XK", "Kosovo", "EUR")]
-    for code in java.Locale.getISOCountries():
-        place = java.Locale("", code)
-        currency = java.Currency.getInstance(place)
-        if currency is not None:
-            name = place.getDisplayCountry(java.Locale.ENGLISH).replace(" & ", " and ").replace("St. ", "Saint ")
-            found.append((code, name, currency.getCurrencyCode()))
-    return tuple(sorted(found))
+@lru_cache(maxsize=1)
+def _countries() -> tuple[tuple[str, str, str], ...]:
+    known = json.loads(resources.files(__package__).joinpath("countries.json").read_text(encoding="utf-8"))
+    return tuple((code, name, currency) for code, (name, currency) in sorted(known.items()))
 
 
-def countries(spark: SparkSession) -> list[tuple[str, str, str]]:
-    """(ISO code, English name, currency) of every country, from the JDK's locale data."""
-    return list(_countries(spark.sparkContext.applicationId))
+def countries(spark: SparkSession | None = None) -> list[tuple[str, str, str]]:
+    """(ISO code, English name, currency) of every country that has a currency, from the package's own table."""
+    return list(_countries())
 
 
 def currency_codes(spark: SparkSession) -> list[str]:
@@ -61,7 +53,7 @@ def country_currency(spark: SparkSession) -> dict[str, str]:
     return {code: currency for code, _, currency in countries(spark)}
 
 
-def region_tokens(spark: SparkSession) -> dict[str, list[str]]:
+def region_tokens(spark: SparkSession | None = None) -> dict[str, list[str]]:
     """Every token a region can be given by (upper-case with underscores, or a lower-case name) -> its country codes."""
     known = countries(spark)
     groups = {name: list(members) for name, members in K.REGION_GROUPS.items()}
