@@ -295,6 +295,15 @@ ACCESS_SQL = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN CA
   WHEN 2 THEN 'ip_block' WHEN 3 THEN 'rate_limited' WHEN 4 THEN 'other' ELSE 'paywall' END AS access FROM pages"""
 
 
+def access_of_whole_pages(spark, sf):
+    """The access rules without limits: a mark anywhere in a page counts, however long the page is."""
+    long = F.concat(F.lit("<p>"), F.repeat("html", (F.lit(70_000) / F.length("html")).cast("int") + 1), F.lit("</p>"))
+    marked = _pages(spark, sf).select("page_id", F.concat(long, pick(F.col("page_id") % 3, ["", "<p>Please log in to continue</p>", "<p>Verify you are human: captcha</p>"])).alias("html"))
+    none = F.create_map(F.lit("server"), F.lit("nginx"))
+    return marked.select("page_id", classify.access_class(F.lit(200), none, F.col("html"), classify.WHOLE_PAGES).alias("whole"),
+                         classify.access_class(F.lit(200), none, F.col("html")).alias("limited"), classify.is_challenge(F.col("html"), F.lit("x"), classify.WHOLE_PAGES).alias("challenge"))
+
+
 def page_lanes(spark, sf):
     both = _pages(spark, sf).select("page_id", "url", "html").unionByName(_shops(spark, sf).select((-F.col("page_id") - 1).alias("page_id"), "url", "html"))
     landed = T.table(spark, sf, "pages").filter(F.col("page_id") % 2 == 0).select(
@@ -333,10 +342,15 @@ SUMMARY_SQL = f"""SELECT page_id, regexp_extract(html, '(?i)<html\\b[^>]*\\blang
 
 
 def gazetteer_use(spark, sf):
-    """Gazetteer rows that the engine derives from its seed, counted per country of the customers."""
-    seed = dims.read_gazetteer(spark).groupBy("country").agg(F.count("*").alias("names"))
-    customers = T.table(spark, sf, "customer").select("c_custkey", pick(F.col("c_custkey") % 3, ["PT", "DE", "ZZ"]).alias("country"))
-    return customers.join(F.broadcast(seed), "country", "left").select("c_custkey", (F.col("names") > 0).alias("known"))
+    """Every country of the built-in gazetteer with its cities, beside the customers there."""
+    seed = dims.read_gazetteer(spark).groupBy("country").agg(F.countDistinct("canonical").alias("cities"), F.min("canonical").alias("first"))
+    customers = T.table(spark, sf, "customer").groupBy(pick(F.col("c_custkey") % 3, ["PT", "DE", "ZZ"]).alias("country")).agg(F.count("*").alias("customers"))
+    return seed.join(customers, "country", "full").select("country", F.coalesce("cities", F.lit(0)).alias("cities"), "first", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+GAZETTEER_SQL = f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {len(cities)}, $${min(cities, key=lambda n: n.encode())}$$)" for c, cities in dims.built_in_cities().items())}) v(country, cities, first)),
+  u AS (SELECT ['PT', 'DE', 'ZZ'][CAST(c_custkey % 3 + 1 AS INT)] AS country, count(*) AS customers FROM customer GROUP BY 1)
+SELECT coalesce(g.country, u.country) AS country, coalesce(cities, 0)::BIGINT AS cities, first, coalesce(customers, 0) AS customers FROM g FULL JOIN u ON g.country = u.country"""
 
 
 QUERIES = {
@@ -380,8 +394,9 @@ QUERIES = {
         WHEN 2 THEN 's' || c_custkey || '.co.uk' WHEN 3 THEN '127.0.0.1:' || (c_custkey + 1000) ELSE 'github.com' END AS site FROM customer"""),
     "challenge_pages": (challenge_pages, CHALLENGE_SQL),
     "access_classes": (access_classes, ACCESS_SQL),
+    "access_of_whole_pages": (access_of_whole_pages, """SELECT page_id, ['ok', 'login', 'challenge'][CAST(page_id % 3 + 1 AS INT)] AS whole, 'ok' AS limited, page_id % 3 = 2 AS challenge FROM pages"""),
     "page_lanes": (page_lanes, LANES_SQL),
     "pattern_search": (pattern_search, GREP_SQL),
     "page_summary": (page_summary, SUMMARY_SQL),
-    "gazetteer_use": (gazetteer_use, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE true END AS known FROM customer"),
+    "gazetteer_use": (gazetteer_use, GAZETTEER_SQL),
 }

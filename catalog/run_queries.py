@@ -270,42 +270,85 @@ WITH c AS (SELECT c_name AS site, c_custkey AS arrival, c_acctbal < 0 AS blocked
 SELECT site, CASE WHEN blocked THEN CASE WHEN n <= 10 THEN 'blocked' ELSE 'rejected' END WHEN n <= 50 THEN 'added' ELSE 'deferred' END AS decision FROM c"""
 
 
+def admit_large(spark, sf):
+    """A budget of about half of all orders, with arrivals that many orders share: the cut is found without a sort."""
+    n = F.col("o_orderkey")
+    candidates = T.table(spark, sf, "orders").select(n.cast("string").alias("site"), (F.col("o_custkey") % 40).alias("arrival"), F.lit(None).cast("boolean").alias("blocked"))
+    total = candidates.count()
+    decided = coverage.admit(candidates, 0, total // 2)
+    return decided.groupBy("arrival").agg(F.count_if(F.col("decision") == "added").alias("added"), F.count_if(F.col("decision") == "deferred").alias("deferred"))
+
+
+ADMIT_LARGE_SQL = """WITH c AS (SELECT o_custkey % 40 AS arrival, count(*) AS n, sum(count(*)) OVER (ORDER BY o_custkey % 40) - count(*) AS before FROM orders GROUP BY 1),
+  t AS (SELECT count(*) // 2 AS room FROM orders)
+SELECT arrival, CAST(greatest(0, least(n, room - before)) AS BIGINT) AS added, CAST(n - greatest(0, least(n, room - before)) AS BIGINT) AS deferred FROM c, t"""
+
+
 def deferred_set(spark, sf):
     parts = T.table(spark, sf, "part").withColumn("site", F.concat_ws("-", "p_name", "p_partkey"))
     old, batch = parts.filter("p_size < 20").select("site"), parts.filter("p_size > 15").select("site")
     return coverage.readmit(coverage.defer(old, batch), parts.filter("p_retailprice < 950").select("site"))
 
 
-def merge_candidates(spark, sf):
+def _merged(spark, sf):
     registry = T.registry(spark, sf).select(
         F.col("source").alias("id"), F.concat(F.lit("site"), F.regexp_extract("source", r"0*(\d+)$", 1), F.lit(".example")).alias("site"),
         F.lit("u").alias("url"), "status", F.array(F.lit("PT")).alias("regions"), "angles",
         F.array().cast("array<struct<url:string,observation:string>>").alias("evidence"))
     n = F.col("o_orderkey")
     url = F.concat(F.lit("https://www.site"), (n % 3000).cast("string"), F.lit(".example/list/"), n.cast("string"))
+    seen = F.when(F.col("o_custkey") % 31 != 0, "seen")
     candidates = T.table(spark, sf, "orders").select(
         n.alias("arrival"), url.alias("url"), F.array(F.when(F.col("o_orderstatus") == "F", "Spain").otherwise("PT")).alias("regions"),
         F.array(F.when(F.col("o_custkey") % 50 == 0, "gossip").when(F.col("o_custkey") % 2 == 0, "official").otherwise("operators")).alias("angles"),
-        F.array(F.struct(url.alias("url"), F.when(F.col("o_custkey") % 31 != 0, "seen").alias("observation"))).alias("evidence"),
+        F.array(F.struct(url.alias("url"), seen.alias("observation"), F.when(n % 2 == 0, "2024-01-05").alias("seen_at")),
+                F.struct(F.concat(F.lit("https://press.test/"), n).alias("url"), F.lit("read").alias("observation"), F.lit("2024-01-06").alias("seen_at"))).alias("evidence"),
         F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("mirror_of"))
-    merged = coverage.merge_candidates(registry, candidates, ["PT", "ES"], 400)
-    return merged.registry.select("site", F.array_join("regions", ",").alias("regions"), F.array_join("angles", ",").alias("angles"), F.size("evidence").alias("proofs"))
+    return coverage.merge_candidates(registry, candidates, ["PT", "ES"], 400, now=T.NOW)
+
+
+def merge_candidates(spark, sf):
+    found = F.col("evidence")
+    count = lambda test: F.size(F.filter(found, test))
+    return _merged(spark, sf).registry.select(
+        "site", F.array_join("regions", ",").alias("regions"), F.array_join("angles", ",").alias("angles"), F.size(found).alias("proofs"), count(lambda e: e["on_domain"]).alias("own"),
+        count(lambda e: e["seen_at"] == "2024-01-30 00:00:00").alias("undated"), count(lambda e: e["seen_at"].isNull()).alias("timeless"))
+
+
+def merge_deferred(spark, sf):
+    return _merged(spark, sf).deferred.select("site", "arrival", F.array_join("regions", ",").alias("regions"), F.size("evidence").alias("proofs"))
+
+
+def merge_rejected(spark, sf):
+    return _merged(spark, sf).rejected.select("arrival", "reason")
+
+
+def merge_counts(spark, sf):
+    return _merged(spark, sf).counts
 
 
-MERGE_SQL = f"""
-WITH c AS (SELECT o_orderkey AS arrival, 'site' || (o_orderkey % 3000) || '.example' AS site, CASE WHEN o_orderstatus = 'F' THEN 'ES' ELSE 'PT' END AS region,
-    CASE WHEN o_custkey % 2 = 0 THEN 'official' ELSE 'operators' END AS angle FROM orders WHERE o_custkey % 50 <> 0 AND o_custkey % 31 <> 0),
+_MERGE_CTES = f"""
+WITH o AS (SELECT *, o_custkey % 50 = 0 AS gossip, o_custkey % 31 = 0 AS bare FROM orders),
+c AS (SELECT o_orderkey AS arrival, 'site' || (o_orderkey % 3000) || '.example' AS site, CASE WHEN o_orderstatus = 'F' THEN 'ES' ELSE 'PT' END AS region,
+    CASE WHEN o_custkey % 2 = 0 THEN 'official' ELSE 'operators' END AS angle FROM o WHERE NOT gossip AND NOT bare),
 reg AS (SELECT * FROM {T.REGISTRY_SQL}),
 new AS (SELECT site, min(arrival) AS first FROM c WHERE site NOT IN (SELECT site FROM reg) GROUP BY 1),
 room AS (SELECT 400 - count(*) FILTER (COALESCE(status, '') NOT IN ('rejected', 'blocked', 'lane_none')) AS n FROM reg),
-added AS (SELECT site FROM new QUALIFY row_number() OVER (ORDER BY first) <= (SELECT n FROM room)),
-entering AS (SELECT * FROM c WHERE site IN (SELECT site FROM reg) OR site IN (SELECT site FROM added)),
+added AS (SELECT site, first FROM new QUALIFY row_number() OVER (ORDER BY first) <= (SELECT n FROM room)),
+entering AS (SELECT * FROM c WHERE site IN (SELECT site FROM reg) OR site IN (SELECT site FROM added))"""
+MERGE_SQL = _MERGE_CTES + """,
 r AS (SELECT site, region, min(arrival) AS nth FROM (SELECT site, region, arrival FROM entering UNION ALL SELECT site, 'PT', -1 FROM reg) GROUP BY ALL),
 a AS (SELECT site, angle, min(arrival) AS nth FROM (SELECT site, angle, arrival FROM entering UNION ALL SELECT site, angles[1], -1 FROM reg) GROUP BY ALL)
-SELECT site, regions, angles, COALESCE(proofs, 0) AS proofs FROM
+SELECT site, regions, angles, COALESCE(proofs, 0)::INT AS proofs, COALESCE(own, 0)::INT AS own, COALESCE(undated, 0)::INT AS undated, 0 AS timeless FROM
   (SELECT site, string_agg(region, ',' ORDER BY nth) AS regions FROM r GROUP BY 1)
   JOIN (SELECT site, string_agg(angle, ',' ORDER BY nth) AS angles FROM a GROUP BY 1) USING (site)
-  LEFT JOIN (SELECT site, CAST(least(count(*), 30) AS INT) AS proofs FROM entering GROUP BY 1) USING (site)"""
+  LEFT JOIN (SELECT site, 2 * count(*) AS proofs, count(*) AS own, count(*) FILTER (arrival % 2 = 1) AS undated FROM entering GROUP BY 1) USING (site)"""
+_DEFERRED_SQL = """SELECT c.site, c.arrival, c.region AS regions, 2 AS proofs FROM c JOIN new n ON n.site = c.site AND n.first = c.arrival WHERE c.site NOT IN (SELECT site FROM added)"""
+MERGE_DEFERRED_SQL = _MERGE_CTES + " " + _DEFERRED_SQL
+MERGE_REJECTED_SQL = _MERGE_CTES + """ SELECT o_orderkey AS arrival, CASE WHEN gossip THEN 'unknown angle' ELSE 'evidence must include a URL on the site''s own domain with an observation' END AS reason
+  FROM o WHERE gossip OR bare UNION ALL SELECT arrival, 'max_sources reached; deferred' FROM c WHERE site IN (SELECT site FROM new) AND site NOT IN (SELECT site FROM added)"""
+MERGE_COUNTS_SQL = _MERGE_CTES + """ SELECT (SELECT count(*) FROM added) AS added, (SELECT count(*) FROM entering) - (SELECT count(*) FROM added) AS merged,
+  (SELECT count(*) FROM o) - (SELECT count(*) FROM entering) AS rejected"""
 
 
 def site_slugs(spark, sf):
@@ -362,8 +405,12 @@ QUERIES = {
         SELECT sources, empty_cells, dry_streak, sources >= 100000 AS budget_reached, dry_streak >= 2 AND empty_cells = 0 AND sources < 100000 AS saturated FROM s, e, d"""),
     "known_sites": (known_sites, f"SELECT DISTINCT site FROM {T.REGISTRY_SQL}"),
     "admit": (admit, ADMIT_SQL),
+    "admit_large": (admit_large, ADMIT_LARGE_SQL),
     "deferred_set": (deferred_set, "SELECT p_name || '-' || p_partkey AS site FROM part WHERE NOT p_retailprice < 950"),
     "merge_candidates": (merge_candidates, MERGE_SQL),
+    "merge_deferred": (merge_deferred, MERGE_DEFERRED_SQL),
+    "merge_rejected": (merge_rejected, MERGE_REJECTED_SQL),
+    "merge_counts": (merge_counts, MERGE_COUNTS_SQL),
     "site_slugs": (site_slugs, """WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size % 2 = 0 THEN '.x' ELSE '-x' END AS site FROM part),
         s AS (SELECT site, trim(regexp_replace(lower(site), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM n),
         k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY site) AS n FROM s)

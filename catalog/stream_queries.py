@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from recordworks.operators import sinks
 from recordworks.plans.cycle import run_cycle
 from recordworks.plans.normalise import Context
 from recordworks.session import shared_folder
+from recordworks.sources import pages as P
 from recordworks.streaming import jobs
 from recordworks.templates import template
 
@@ -59,7 +61,7 @@ def stream_walk_verdict(spark, sf):
         F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("page"), F.when(value < 2, 0).otherwise(10).alias("raw_count"),
         F.when(value < 40, 0).otherwise(F.floor(value / 20).cast("int")).alias("fresh_count"),
         F.when((F.col("event_type") == "error") & (value > 60), F.lit("boom")).alias("error"), (value < 1).alias("http_failed"), (value > 190).alias("done"))
-    return drain(jobs.stream_walk_verdict(pages, 2 ** 31 - 1, 60))
+    return drain(jobs.stream_walk_verdict(pages, 2 ** 31 - 1, 60, expires=False))
 
 
 def _verdict_sql():
@@ -71,7 +73,74 @@ def _verdict_sql():
 def stream_alerts(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "healthy").when(F.col("event_type") == "error", "zero").when(F.col("event_type") == "click", "stuck")
     events = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"))
-    return drain(jobs.stream_alerts(events.filter("kind IS NOT NULL"))).select("source", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return drain(jobs.stream_alerts(events.filter("kind IS NOT NULL"), expires=False)).select("source", "kind", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+#: alerts of a source and kind one after the other: the next is the first finding a day later, or of an incident the first behind a healthy run
+ALERTS_SQL = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS source, CASE event_type WHEN 'purchase' THEN 'healthy' WHEN 'error' THEN 'zero' WHEN 'click' THEN 'stuck' END AS kind, ts AS "at"
+    FROM events WHERE event_type IN ('purchase', 'error', 'click')),
+  f AS (SELECT f.source, f.kind, f."at", max(h."at") AS healthy FROM e f LEFT JOIN e h ON h.source = f.source AND h.kind = 'healthy' AND h."at" <= f."at" WHERE f.kind <> 'healthy' GROUP BY ALL),
+  a AS (SELECT source, kind, min("at") AS "at" FROM f GROUP BY ALL
+    UNION ALL SELECT a.source, a.kind, min(f."at") FROM a JOIN f ON f.source = a.source AND f.kind = a.kind AND f."at" > a."at"
+      AND (f."at" >= a."at" + INTERVAL 24 HOUR OR (f.kind = 'zero' AND f.healthy > a."at")) GROUP BY a.source, a.kind)
+SELECT source, kind, strftime("at", '%Y-%m-%d %H:%M:%S') AS "at" FROM a"""
+
+
+def stream_stuck(spark, sf):
+    """Heartbeats of the users' runs by the stream's own clock: a run whose newest heartbeat is older than its silence when the stream ends is stuck,
+    unless it ended.  Four in five runs beat all the time; the others stop after the fifth day."""
+    ts = F.col("ts").cast("timestamp")
+    beats = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.lit("s").alias("source"), "user_id", F.when((F.col("user_id") % 5 == 1) & (F.col("event_type") == "purchase"), "ok")
+                                                .otherwise("running").alias("status"), F.lit(3600).alias("time_budget_s"), ts.alias("ts"))
+    quiet = (F.col("user_id") % 5 != 0) | (F.dayofmonth("ts") <= 5)
+    stuck = drain(jobs.stream_stuck(beats.filter(quiet).drop("user_id"), delay="10 minutes"))
+    return stuck.select("run_id", F.date_format(F.timestamp_millis("last_heartbeat_ms"), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+STUCK_SQL = """WITH b AS (SELECT CAST(user_id AS VARCHAR) AS run_id, date_trunc('second', ts) AS shown, ts, user_id % 5 = 1 AND event_type = 'purchase' AS over FROM events WHERE user_id % 5 <> 0 OR day(ts) <= 5),
+  n AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, over DESC) = 1)
+SELECT run_id, strftime(shown, '%Y-%m-%d %H:%M:%S') AS at FROM n WHERE NOT over AND ts + INTERVAL 7200 SECOND < (SELECT max(ts) FROM b) - INTERVAL 10 MINUTE"""
+
+
+def alert_delivery(spark, sf):
+    """Alerts of the error events on two channels over two batches; one channel fails in the first batch and takes everything in the second."""
+    alerts = T.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("alert_id"), "user_id")
+    folder, calls = shared_folder(spark), []
+
+    def hook(batch):
+        calls.append(batch.count())
+        if len(calls) == 1:
+            raise ConnectionError("no answer")
+
+    channels = {"file": lambda batch: batch.write.mode("append").parquet(f"{folder}/alerts"), "hook": hook}
+    for batch in (0, 1, 1):  # the second batch is repeated
+        sinks.deliver_alerts(alerts.filter("user_id % 2 = 0") if batch == 0 else alerts, batch, channels, f"{folder}/ledger")
+    written = spark.read.parquet(f"{folder}/alerts").groupBy("alert_id").agg(F.count("*").alias("written"))
+    state = sinks.delivery_state(alerts, sinks.read_outcomes(spark, f"{folder}/ledger"), list(channels))
+    return state.join(written, "alert_id").select("alert_id", "channel", "delivered", "attempts", "written")
+
+
+DELIVERY_SQL = """SELECT CAST(event_id AS VARCHAR) AS alert_id, channel, true AS delivered, CASE WHEN channel = 'hook' AND user_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts, 1::BIGINT AS written
+  FROM events, (VALUES ('file'), ('hook')) c(channel) WHERE event_type = 'error'"""
+
+
+def exported_records(spark, sf):
+    """The record table written as JSON lines and as Parquet by project and source, and read back pruned to a source."""
+    folder, rows = shared_folder(spark), T.records(spark, sf).select("project", "source", "uid", "lang", "text", F.array("lang", F.lit(None).cast("string")).alias("tags"))
+    sinks.export(rows, "jsonl", f"{folder}/jsonl")
+    sinks.export(rows, "parquet", f"{folder}/parquet")
+    rows.write.partitionBy("project", "source").parquet(f"{folder}/table")
+    schema = rows.schema
+    parts = [spark.read.schema(schema).json(f"{folder}/jsonl").withColumn("form", F.lit("jsonl")), spark.read.parquet(f"{folder}/parquet").withColumn("form", F.lit("parquet"))]
+    parts += [P.read_records(spark, f"{folder}/table", "p", source).select(*schema.names).withColumn("form", F.lit("table")) for source in ("src3", "src4")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("form", "uid", "source", F.md5("text").alias("digest"), F.size("tags").alias("tags"))
+
+
+EXPORT_SQL = """SELECT form, CAST(doc_id AS VARCHAR) AS uid, source, md5(text) AS digest, 2::INT AS tags FROM documents, (VALUES ('jsonl'), ('parquet'), ('table')) f(form)
+  WHERE form <> 'table' OR source IN ('src3', 'src4')"""
 
 
 def _product(name):
@@ -82,17 +151,22 @@ def _product(name):
 def stream_ingest(spark, sf):
     folder = shared_folder(spark)
     raw = _stream(spark, sf, "part").select(F.col("p_brand").alias("source"), F.lit("r1").alias("run_id"), _product("part").alias("raw"))
-    query = jobs.stream_ingest(raw, f"{folder}/state", template=template("products"), ctx=Context(regions=["DE"], now=T.NOW), project="p",
-                               records_path=f"{folder}/records", quarantine_path=f"{folder}/quarantine")
-    query.awaitTermination()
-    stored = spark.read.parquet(f"{folder}/records").select("source", "source_id", "title", "price", "currency")
-    bad = spark.read.parquet(f"{folder}/quarantine").select("source", F.try_variant_get(F.parse_json("raw"), "$.source_id", "string").alias("source_id"),
-                                                            F.array_join("reasons", ";").alias("title"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("currency"))
+    log = jobs.RecordLog(f"{folder}/log", buckets=8)
+    job = {"template": template("products"), "ctx": Context(regions=["DE"], now=T.NOW), "project": "p", "log": log}
+    jobs.stream_ingest(raw, f"{folder}/state", **job).awaitTermination()
+    # a repeated batch changes nothing, a later one replaces rows of its keys, and a compaction in between changes no result
+    again = T.table(spark, sf, "part").select(F.col("p_brand").alias("source"), F.lit("r2").alias("run_id"), _product("part").alias("raw"))
+    jobs.ingest_batch(again, 0, **job)
+    log.compact(spark)
+    jobs.ingest_batch(again.filter("p_size <= 10").withColumn("raw", F.replace("raw", F.lit("€"), F.lit("$"))), 10 ** 6, **job)
+    stored = log.read(spark).select("source", "source_id", "title", "price", "currency")
+    bad = log.quarantined(spark).filter("batch < 1000000").select("source", F.try_variant_get(F.parse_json("raw"), "$.source_id", "string").alias("source_id"),
+                                                                  F.array_join("reasons", ";").alias("title"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("currency"))
     return stored.unionByName(bad)
 
 
 INGEST_SQL = """SELECT p_brand AS source, CAST(p_partkey AS VARCHAR) AS source_id, CASE WHEN p_size <> 7 THEN p_name ELSE 'missing required field price' END AS title,
-  CASE WHEN p_size <> 7 THEN p_retailprice END AS price, CASE WHEN p_size <> 7 THEN 'EUR' END AS currency FROM part"""
+  CASE WHEN p_size <> 7 THEN p_retailprice END AS price, CASE WHEN p_size <> 7 THEN CASE WHEN p_size <= 10 THEN 'USD' ELSE 'EUR' END END AS currency FROM part"""
 
 
 def _cycle(spark, sf):
@@ -167,5 +241,8 @@ QUERIES = {
     "stream_usage": (stream_usage, """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS source, count(*) AS requests,
         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) >= 4 AS over_budget FROM events GROUP BY 1, 2"""),
     "stream_walk_verdict": (stream_walk_verdict, _verdict_sql()),
-    "stream_alerts": (stream_alerts, None),
+    "stream_alerts": (stream_alerts, ALERTS_SQL),
+    "stream_stuck": (stream_stuck, STUCK_SQL),
+    "alert_delivery": (alert_delivery, DELIVERY_SQL),
+    "exported_records": (exported_records, EXPORT_SQL),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,23 +99,42 @@ def business_listings(html: Column, url: Column) -> Column:
     return F.when(n >= K.MIN_BUSINESS_LISTINGS, n).otherwise(F.lit(0))
 
 
-def is_challenge(html: Column, visible: Column | None = None) -> Column:
+@dataclass(frozen=True)
+class PageLimits:
+    """How much of a page the rules look at, in characters; None looks at all of it, or has no bound.  `head`: where a challenge phrase counts.
+    `small`: a larger page is no challenge, and is open when it was served without an error.  `body`: where login, payment and
+    challenge marks count.  `stub`: a page with less visible text is one with nothing but its scripts."""
+
+    head: int | None = K.CHALLENGE_HEAD_CHARS
+    small: int | None = K.CHALLENGE_MAX_CHARS
+    body: int | None = K.ACCESS_BODY_CHARS
+    stub: int = K.STUB_MAX_TEXT
+
+
+WHOLE_PAGES = PageLimits(head=None, small=None, body=None)
+
+
+def _start(text: Column, chars: int | None) -> Column:
+    return F.lower(text if chars is None else F.left(text, F.lit(chars)))
+
+
+def is_challenge(html: Column, visible: Column | None = None, limits: PageLimits = PageLimits()) -> Column:
     """A bot challenge: a challenge phrase near the top of a small page, or a bot-wall script on a page without text."""
     text = F.coalesce(html, F.lit(""))
     shown = visible_text(text) if visible is None else visible
-    head = F.lower(F.substring(text, 1, K.CHALLENGE_HEAD_CHARS))
-    stub = contains_any(F.lower(text), K.STUB_MARKERS) & (F.length(shown) < K.STUB_MAX_TEXT)
-    return (F.length(text) < K.CHALLENGE_MAX_CHARS) & (contains_any(head, K.CHALLENGE_MARKERS) | stub)
+    stub = contains_any(F.lower(text), K.STUB_MARKERS) & (F.length(shown) < limits.stub)
+    found = contains_any(_start(text, limits.head), K.CHALLENGE_MARKERS) | stub
+    return found if limits.small is None else (F.length(text) < limits.small) & found
 
 
-def access_class(status: Column, headers: Column, html: Column) -> Column:
+def access_class(status: Column, headers: Column, html: Column, limits: PageLimits = PageLimits()) -> Column:
     """What stands between the reader and the page: challenge, auth, login, paywall, ip_block, rate_limited, other or ok.
     headers is a MAP with lower-case names."""
-    body = F.lower(F.substring(F.coalesce(html, F.lit("")), 1, K.ACCESS_BODY_CHARS))
+    body = _start(F.coalesce(html, F.lit("")), limits.body)
     names = F.array(*[F.lit(h) for h in K.ACCESS_CHALLENGE_HEADERS])
     walled = F.coalesce(F.arrays_overlap(F.map_keys(headers), names), F.lit(False))
     guarded = F.contains(F.lower(F.coalesce(F.try_element_at(headers, F.lit("server")), F.lit(""))), F.lit("ddos-guard"))
-    large = (status < 400) & (F.length(html) >= K.CHALLENGE_MAX_CHARS) & ~walled
+    large = F.lit(False) if limits.small is None else (status < 400) & (F.length(html) >= limits.small) & ~walled
     return (F.when(F.coalesce(large, F.lit(False)), "ok")
             .when(walled | guarded | contains_any(body, K.ACCESS_CHALLENGE_BODY), "challenge")
             .when((status == 401) & F.try_element_at(headers, F.lit("www-authenticate")).isNotNull(), "auth")

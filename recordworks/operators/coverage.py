@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.core import moment
 from ..functions.sites import SuffixRules, host_of, site_key, slug
 from ..session import settled
-from ..sources.dims import bounded_broadcast
 from .keyed import first_per_key
 from .lookups import expand_regions
 from .records import merge_evidence
@@ -50,21 +51,37 @@ def angles_per_region(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("region").agg(covered.alias("covered"), todo.alias("todo"))
 
 
-def dry_streak(rounds: DataFrame, keys: list[str]) -> DataFrame:
-    """rounds(.., seq, added): trailing rounds that added nothing, per key.  The last productive round comes from an
-    aggregation, so no window over a whole history is needed."""
-    last = rounds.groupBy(*keys).agg(F.max(F.when(F.col("added") > 0, F.col("seq"))).alias("__last"))
-    after = F.col("__last").isNull() | (F.col("seq") > F.col("__last"))
-    return rounds.join(last, keys).groupBy(*keys).agg(F.count_if(after).alias("dry_streak"))
+BITMAP = 32_768  # bits of one bitmap of bitmap_construct_agg
+
+
+def dry_streak(rounds: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """rounds(.., seq BIGINT, added): trailing rounds that added nothing, per key, or one row for all without keys.
+
+    One pass with a state that combines before the shuffle: for each block of BITMAP numbers the bitmap of its dry rounds and its last
+    productive one.  Blocks are then added up from the last productive one on; a key has one entry for each block of its numbers.  Round numbers are
+    unique per key."""
+    seq = F.col("seq").cast("bigint")
+    fruitful = F.coalesce(F.col("added") > 0, F.lit(False))
+    marked = rounds.select(*(keys or []), F.floor(seq / BITMAP).alias("block"), F.pmod(seq, F.lit(BITMAP)).alias("at"), fruitful.alias("fruitful"))
+    blocks = marked.groupBy(*(keys or []), "block").agg(F.max(F.when(F.col("fruitful"), F.col("at"))).alias("last"),
+                                                        F.expr("bitmap_construct_agg(CASE WHEN NOT fruitful THEN at END)").alias("dry"))
+    # dry rounds behind the last productive one of a block: whole bytes, and the rest of its own byte
+    byte, bit = F.floor(F.col("last") / 8).cast("int"), F.pmod("last", F.lit(8)).cast("int")
+    own = F.conv(F.hex(F.substring("dry", byte + 1, F.lit(1))), 16, 10).cast("int")
+    rest = F.bit_count(F.call_function("shiftright", own, bit + 1)) + F.call_function("bitmap_count", F.substring("dry", byte + 2, F.lit(BITMAP // 8)))
+    counted = blocks.select(*(keys or []), F.struct("block", F.col("last").isNotNull().alias("fruitful"), F.coalesce(rest, F.call_function("bitmap_count", F.col("dry"))).cast("bigint").alias("n")).alias("b"))
+    lists = counted.groupBy(*(keys or [])).agg(F.collect_list("b").alias("blocks"))
+    start = F.array_max(F.transform(F.filter("blocks", lambda b: b["fruitful"]), lambda b: b["block"]))
+    behind = F.filter("blocks", lambda b: F.col("__start").isNull() | (b["block"] >= F.col("__start")))
+    return lists.withColumn("__start", start).select(*(keys or []), F.aggregate(behind, F.lit(0).cast("bigint"), lambda n, b: n + b["n"]).alias("dry_streak"))
 
 
 def coverage_verdict(sources: DataFrame, rounds: DataFrame, matrix: DataFrame, max_sources: int) -> DataFrame:
-    """One row: sources, empty_cells, dry_streak, budget_reached, saturated."""
+    """One row: sources, empty_cells, dry_streak, budget_reached, saturated.  Each table is read once and reduced in its own tasks first."""
     counted = sources.filter(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS))
-    streak = dry_streak(rounds.withColumn("__all", F.lit(1)), ["__all"])
     facts = (counted.agg(F.count("*").alias("v")).withColumn("name", F.lit("sources"))
              .unionByName(matrix.agg(F.count_if(F.col("sources") == 0).alias("v")).withColumn("name", F.lit("empty_cells")))
-             .unionByName(streak.select(F.col("dry_streak").alias("v")).withColumn("name", F.lit("dry_streak"))))
+             .unionByName(dry_streak(rounds).select(F.col("dry_streak").alias("v")).withColumn("name", F.lit("dry_streak"))))
     row = facts.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("v"))), F.lit(0)).alias(n)
                       for n in ("sources", "empty_cells", "dry_streak")])
     reached = F.col("sources") >= max_sources
@@ -76,30 +93,79 @@ def known_sites(sources: DataFrame) -> DataFrame:
     return sources.select("site").distinct().orderBy("site")
 
 
+RANGES = 1024  # counts that come to the driver in one round
+
+
+def _cut(rows: DataFrame, order: list[str], k: int) -> Column:
+    """A condition that holds for exactly the first k of `rows` by whole numbers `order` (for more than k only where rows agree in all of them).
+
+    Nothing is sorted: counts in RANGES ranges between the least and the greatest value tell in which range the cut falls, and that range is
+    divided again, until it is one value; then the next number divides the rows of that value.  A round is an aggregate of RANGES rows at most."""
+    below, same = F.lit(False), F.lit(True)
+    for name in order:
+        if k <= 0:
+            break
+        value, part = F.col(name), rows.filter(same)
+        low, high, n = part.agg(F.min(name), F.max(name), F.count(name)).first()
+        if n <= k:
+            return below | same  # all of them, an empty table included
+        while low < high:
+            width = -(-(high - low + 1) // RANGES)
+            counts = {r["r"]: r["n"] for r in part.filter(value.between(low, high)).groupBy(
+                F.floor((value.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            before, at = 0, 0
+            for at in sorted(counts):
+                if before + counts[at] > k:
+                    break
+                before += counts[at]
+            below, k = below | (same & value.between(low, low + at * width - 1)), k - before
+            low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+        same = same & (value == low)
+    return below if k <= 0 else below | same
+
+
 def admit(candidates: DataFrame, live: int, max_sources: int, recorded_blocked: int = 0) -> DataFrame:
     """candidates(site, arrival, blocked) -> decision: `added` in arrival order until the budget is used, `blocked` outside
-    the budget up to three times it, the rest `deferred` or `rejected`.
+    the budget up to three times it, the rest `deferred` or `rejected`.  Sites of the same arrival are taken by a hash of their names.
 
-    Only the budget's worth of rows is ordered (a top-k per map task, then one small merge); the rest needs no order."""
+    The place where the budget ends is found by counting (`_cut`), so a budget of any size needs no sort and no join, and every row is
+    decided where it is."""
     blocked = F.coalesce(F.col("blocked"), F.lit(False))
     room, room_blocked = max(0, max_sources - live), max(0, K.BLOCKED_FACTOR * max_sources - recorded_blocked)
-    chosen = (candidates.filter(~blocked).orderBy("arrival").limit(room).select("site", F.lit("added").alias("decision"))
-              .unionByName(candidates.filter(blocked).orderBy("arrival").limit(room_blocked).select("site", F.lit("blocked").alias("decision"))))
-    decided = F.coalesce("decision", F.when(blocked, F.lit("rejected")).otherwise(F.lit("deferred")))
-    return candidates.join(bounded_broadcast(chosen), "site", "left").withColumn("decision", decided)
+    keyed = candidates.withColumns({"__at": F.col("arrival").cast("bigint"), "__tie": F.xxhash64("site")})
+    fits, fits_blocked = (_cut(keyed.filter(kind), ["__at", "__tie"], n) if n else F.lit(False) for kind, n in ((~blocked, room), (blocked, room_blocked)))
+    decision = F.when(blocked, F.when(fits_blocked, "blocked").otherwise("rejected")).otherwise(F.when(fits, "added").otherwise("deferred"))
+    return keyed.withColumn("decision", decision).drop("__at", "__tie")
+
+
+def clean_evidence(evidence: Column, site: Column, now: Column, suffixes: SuffixRules | None = None) -> Column:
+    """array<struct<url, observation, seen_at, on_domain>>: entries without an address go, a missing time is `now`, and each entry tells whether
+    it lies on the candidate's own site."""
+    given = F.filter(evidence, lambda e: F.coalesce(e["url"], F.lit("")) != "")
+    return F.transform(given, lambda e: F.struct(e["url"].alias("url"), F.coalesce(e["observation"], F.lit("")).alias("observation"),
+                                                 F.coalesce(F.nullif(e["seen_at"], F.lit("")), now.cast("string")).alias("seen_at"), (site_key(e["url"], suffixes) == site).alias("on_domain")))
 
 
-def candidate_reasons(candidates: DataFrame, project_regions: list[str], suffixes: SuffixRules | None = None) -> DataFrame:
-    """Candidates with their site key, region codes and the first rule they break (NULL when none).  A candidate that states no region or angle
-    gets the project's regions and the usual angle."""
+def _with_seen_at(df: DataFrame) -> DataFrame:
+    """Evidence whose entries have no time yet gets an empty one."""
+    entry = df.schema["evidence"].dataType.elementType
+    if "seen_at" in entry.names:
+        return df
+    return df.withColumn("evidence", F.transform("evidence", lambda e: F.struct(e["url"].alias("url"), e["observation"].alias("observation"), F.lit(None).cast("string").alias("seen_at"))))
+
+
+def candidate_reasons(candidates: DataFrame, project_regions: list[str], suffixes: SuffixRules | None = None, now: Column | dt.datetime | None = None) -> DataFrame:
+    """Candidates with their site key, region codes, clean evidence and the first rule they break (NULL when none).  A candidate that states no
+    region or angle gets the project's regions and the usual angle."""
     site = site_key(F.col("url"), suffixes)
 
     def given(name: str, default: list[str]) -> Column:
         return F.when(F.size(F.coalesce(name, F.array().cast("array<string>"))) > 0, F.col(name)).otherwise(F.array(*map(F.lit, default)).cast("array<string>"))
 
     stated = {"url": F.trim(F.col("url")), "site": site, "regions": given("regions", project_regions), "angles": given("angles", [K.DEFAULT_ANGLE])}
-    df = expand_regions(candidates.withColumns(stated), "regions", "codes")
-    own = F.exists("evidence", lambda e: (site_key(e["url"], suffixes) == F.col("site")) & (F.coalesce(e["observation"], F.lit("")) != ""))
+    df = expand_regions(_with_seen_at(candidates).withColumns(stated), "regions", "codes")
+    df = df.withColumn("evidence", clean_evidence(F.col("evidence"), F.col("site"), moment(now), suffixes))
+    own = F.exists("evidence", lambda e: e["on_domain"] & (e["observation"] != ""))
     angles = F.array(*map(F.lit, ANGLES))
     project = F.array(*map(F.lit, [*project_regions, K.GLOBAL]))
     reason = (F.when(~F.col("url").rlike("^https?://"), "url must start with http:// or https://")
@@ -112,6 +178,19 @@ def candidate_reasons(candidates: DataFrame, project_regions: list[str], suffixe
     return df.withColumn("reason", F.coalesce(F.when(F.col("url").isNull(), F.lit("url must start with http:// or https://")), reason))
 
 
+EVIDENCE = "array<struct<url:string,observation:string,seen_at:string,on_domain:boolean>>"
+
+
+def _full_evidence(registry: DataFrame) -> DataFrame:
+    """A registry whose evidence may lack the times and the flags of its entries."""
+    have = registry.schema["evidence"].dataType.elementType.names
+    if {"seen_at", "on_domain"} <= set(have):
+        return registry
+    return registry.withColumn("evidence", F.transform("evidence", lambda e: F.struct(
+        e["url"].alias("url"), e["observation"].alias("observation"), (e["seen_at"] if "seen_at" in have else F.lit(None)).cast("string").alias("seen_at"),
+        (site_key(e["url"]) == F.col("site")).alias("on_domain"))))
+
+
 class Merged(NamedTuple):
     registry: DataFrame
     deferred: DataFrame
@@ -128,37 +207,38 @@ def _ordered_union(items: DataFrame, name: str) -> DataFrame:
 
 
 def merge_candidates(registry: DataFrame, candidates: DataFrame, project_regions: list[str], max_sources: int,
-                     suffixes: SuffixRules | None = None) -> Merged:
+                     suffixes: SuffixRules | None = None, now: Column | dt.datetime | None = None) -> Merged:
     """Candidates into the registry: known sites gain regions, angles and evidence, new sites are admitted by budget.
 
-    registry(id, site, url, status, regions, angles, evidence ARRAY<STRUCT<url, observation>>),
-    candidates(arrival, url, regions, angles, evidence, blocked, mirror_of)."""
+    registry(id, site, url, status, regions, angles, evidence ARRAY<STRUCT<url, observation, seen_at, on_domain>>),
+    candidates(arrival, url, regions, angles, evidence ARRAY<STRUCT<url, observation[, seen_at]>>, blocked, mirror_of)."""
     # the checked candidates feed every output below, so they are computed once
-    checked = settled(candidate_reasons(candidates, project_regions, suffixes).select(
+    checked = settled(candidate_reasons(candidates, project_regions, suffixes, now).select(
         "arrival", "url", "site", "codes", "angles", "evidence", "blocked", "reason"))
     rejected = checked.filter("reason IS NOT NULL").select("arrival", "url", "reason")
     fine = checked.filter("reason IS NULL").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     known = registry.select("site", "id", F.lit(True).alias("known"))
-    first = first_per_key(fine, ["site"], [F.col("arrival")]).join(bounded_broadcast(known), "site", "left")
+    first = first_per_key(fine, ["site"], [F.col("arrival")]).join(known, "site", "left")
     budget = registry.agg(F.count_if(~F.coalesce("status", F.lit("")).isin(*K.OFF_BUDGET_STATUS)).alias("live"),
                           F.count_if(F.col("status") == "blocked").alias("blocked")).first()
     decided = admit(first.filter("known IS NULL"), budget["live"], max_sources, budget["blocked"]).select("site", "decision")
-    placed = fine.join(bounded_broadcast(known.drop("id")), "site", "left").join(decided, "site", "left").withColumn(
+    placed = fine.join(known.drop("id"), "site", "left").join(decided, "site", "left").withColumn(
         "decision", F.when(F.col("known"), F.lit("merged")).otherwise(F.col("decision")))
     entering = placed.filter(F.col("decision").isin("merged", "added", "blocked"))
-    before = registry.select("site", F.lit(-1).cast("bigint").alias("at"), "regions", "angles", "evidence")
+    before = _full_evidence(registry).select("site", F.lit(-1).cast("bigint").alias("at"), "regions", "angles", "evidence")
     after = entering.select("site", F.col("arrival").cast("bigint").alias("at"), F.col("codes").alias("regions"), "angles", "evidence")
     both = before.unionByName(after)
     proof = both.select("site", "at", F.posexplode("evidence").alias("pos", "e")).select(
         "site", F.struct("at", "pos").alias("seq"), F.col("e.url").alias("url"),
-        F.coalesce("e.observation", F.lit("")).alias("observation"))
+        F.struct(F.coalesce("e.observation", F.lit("")).alias("observation"), "e.seen_at", "e.on_domain").alias("observation"))
     evidence = merge_evidence(proof.filter("url IS NOT NULL")).select("site", F.transform(
-        "evidence", lambda e: F.struct(e["url"].alias("url"), e["observation"].alias("observation"))).alias("evidence"))
+        "evidence", lambda e: F.struct(e["url"].alias("url"), e["observation"]["observation"].alias("observation"), e["observation"]["seen_at"].alias("seen_at"),
+                                       e["observation"]["on_domain"].alias("on_domain"))).alias("evidence"))
     new = first.filter("known IS NULL").join(decided.filter(F.col("decision").isin("added", "blocked")), "site").select(
         "site", F.lit(None).cast("string").alias("id"), "url", F.when(F.col("decision") == "blocked", "blocked").otherwise("candidate").alias("status"))
     base = registry.select("site", "id", "url", "status").unionByName(new)
     out = base.join(_ordered_union(both, "regions"), "site", "left").join(_ordered_union(both, "angles"), "site", "left").join(evidence, "site", "left")
-    none = F.array().cast(registry.schema["evidence"].dataType)
+    none = F.array().cast(EVIDENCE)
     out = with_slugs(out).select("id", "site", "url", "status", "regions", "angles", F.coalesce("evidence", none).alias("evidence"))
     deferred = first_per_key(placed.filter(F.col("decision") == "deferred"), ["site"], [F.col("arrival")]).select(
         "site", "url", F.col("codes").alias("regions"), "angles", "evidence", "blocked", "arrival")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..sources.dims import bounded_broadcast
+from ..session import Scratch
 from .keyed import latest_per_key, top_per_key
 
 RECORD_KEY = ["project", "uid"]
@@ -47,28 +47,39 @@ class Finalised(NamedTuple):
     summary: DataFrame
 
 
+MAX_VERDICTS = 1_000_000  # rows of a verdict table (a few dozen bytes each) that may be broadcast; more are joined by shuffle
+
+
+def _per_source(target: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`target` beside the row of its source in a written table of one row a source.  Its rows are counted, not estimated: up to MAX_VERDICTS of them
+    are broadcast, so that records don't move; beyond that the join shuffles and AQE splits hot sources."""
+    small = verdicts.limit(MAX_VERDICTS + 1).count() <= MAX_VERDICTS
+    return target.join(F.broadcast(verdicts) if small else verdicts, "source", "left")
+
+
 def finalize(target: DataFrame, runs: DataFrame, now: Column, prune_after_days: float) -> Finalised:
     """The never-wipe rule for finished runs, at most one per source: runs(source, run_id, started_at, complete, stored,
     baseline).  A complete walk that stored at least 60 % of the baseline removes rows of other runs last seen before it
     started; any other walk only removes rows unseen for `prune_after_days`.  A missing baseline is the number of rows
-    that other runs left."""
-    sized = runs.select("source", F.col("run_id").alias("__run"), F.col("started_at").alias("__started"), "complete", "stored",
-                        F.col("baseline").alias("__baseline"))
-    per_source = bounded_broadcast(sized)
-    tagged = target.join(per_source, "source", "left")
-    others = tagged.filter(F.col("__run").isNotNull()).groupBy("source").agg(
+    that other runs left: only such sources' records are read for it.
+
+    Verdicts are a written table; the records are judged in one scan, whose result serves the new table and the counts."""
+    scratch = Scratch(target.sparkSession)
+    sized = scratch.keep(runs.select("source", F.col("run_id").alias("__run"), F.col("started_at").alias("__started"), "complete", "stored",
+                                     F.nullif("baseline", F.lit(0)).alias("__baseline")))
+    unknown = sized.filter("__baseline IS NULL").select("source", "__run")
+    others = _per_source(target.select("source", "run_id"), unknown).filter(F.col("__run").isNotNull()).groupBy("source").agg(
         F.count_if(F.col("run_id") != F.col("__run")).alias("__others"))
     verdicts = sized.join(others, "source", "left").select(
-        "source", "__run", "__started", "stored", "complete",
-        F.coalesce(F.nullif("__baseline", F.lit(0)), F.coalesce("__others", F.lit(0))).alias("__base"))
+        "source", "__run", "__started", "stored", "complete", F.coalesce("__baseline", "__others", F.lit(0)).alias("__base"))
     replaces = F.col("complete") & (F.col("stored") > 0) & (F.col("stored") >= K.REPLACE_MIN_FRACTION * F.col("__base"))
-    verdicts = verdicts.withColumn("__replace", F.coalesce(replaces, F.lit(False)))
+    verdicts = scratch.keep(verdicts.withColumn("__replace", F.coalesce(replaces, F.lit(False))))
     cutoff = F.timestamp_micros((F.unix_micros(now) - F.lit(int(prune_after_days * 86400 * 1000000))).cast("bigint"))
     seen = F.col("last_seen").cast("timestamp")
-    judged = target.join(bounded_broadcast(verdicts.select("source", "__run", "__started", "__replace")), "source", "left").withColumn(
-        "__gone", F.coalesce(F.when(F.col("__replace"), (F.col("run_id") != F.col("__run")) & (seen < F.col("__started").cast("timestamp")))
-                             .when(F.col("__run").isNotNull(), seen < cutoff), F.lit(False)))
-    pruned = judged.groupBy("source").agg(F.count_if("__gone").alias("pruned"))
+    gone = F.coalesce(F.when(F.col("__replace"), (F.col("run_id") != F.col("__run")) & (seen < F.col("__started").cast("timestamp")))
+                      .when(F.col("__run").isNotNull(), seen < cutoff), F.lit(False))
+    judged = scratch.keep(_per_source(target, verdicts.select("source", "__run", "__started", "__replace")).select(*target.columns, gone.alias("__gone")))
+    pruned = judged.filter("__gone").groupBy("source").agg(F.count(F.lit(1)).alias("pruned"))
     summary = verdicts.join(pruned, "source", "left").select(
         "source", F.when(F.col("__replace"), "replace").otherwise("upsert").alias("write_mode"),
         F.coalesce("pruned", F.lit(0)).alias("pruned"),
@@ -131,9 +142,3 @@ def merge_evidence(evidence: DataFrame, keep: int | None = None) -> DataFrame:
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions present in `df` (dynamic partition overwrite)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
-
-
-def touched_partitions(spark: SparkSession, path: str, batch: DataFrame, by: list[str]) -> DataFrame:
-    """The part of a stored table that shares a partition with the batch (partition pruning at run time)."""
-    touched = bounded_broadcast(batch.select(*by).distinct())
-    return spark.read.parquet(path).join(touched, by, "left_semi")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import read_or_empty
 
 
 def csv_safe(text: Column) -> Column:
@@ -70,21 +71,56 @@ def typed_columns(df: DataFrame, kinds: dict[str, str], values: str = "v") -> Da
     return df.select(*[F.try_variant_get(values, f'$["{n}"]', k.lower()).alias(n) for n, k in kinds.items()])
 
 
-def deliver_alerts(batch: DataFrame, channels: dict[str, Callable[[DataFrame], None]]) -> dict[str, bool]:
-    """Hand a batch of pending alerts to every channel on its own: one that fails does not stop the others.  The result goes
-    into the outcome table; undelivered alerts stay pending (at least once)."""
-    outcome = {}
-    for name, send in channels.items():
-        try:
-            send(batch)
-            outcome[name] = True
-        except Exception:  # a channel's own failure is an outcome, not an error of the job
-            outcome[name] = False
-    return outcome
+# ------------------------------------------------------------------------------------------------------------------ delivery
+OUTCOME = "alert_id string, channel string, batch long, delivered boolean, error string, attempted_at timestamp"
+
+
+def read_outcomes(spark: SparkSession, ledger: str) -> DataFrame:
+    """The outcome ledger: one row for each attempt to deliver an alert on a channel; empty before the first attempt."""
+    return read_or_empty(spark, ledger, OUTCOME)
 
 
-def delivery_outcomes(batch: DataFrame, outcome: dict[str, bool], now: Column) -> DataFrame:
-    """One row per alert of the batch: delivered when every channel took it."""
-    return batch.select("alert_id", F.lit(all(outcome.values())).alias("delivered"), now.alias("attempted_at"))
+def pending_on(alerts: DataFrame, outcomes: DataFrame, channel: str, max_attempts: int | None = None) -> DataFrame:
+    """Alerts that a channel has not taken yet, and, with a bound, has not been offered that often."""
+    mine = outcomes.filter(F.col("channel") == channel).groupBy("alert_id").agg(F.bool_or("delivered").alias("taken"), F.count(F.lit(1)).alias("attempts"))
+    settled_for = mine.filter("taken" if max_attempts is None else F.col("taken") | (F.col("attempts") >= max_attempts))
+    return alerts.join(settled_for.select("alert_id"), "alert_id", "left_anti")
 
 
+def deliver_alerts(alerts: DataFrame, batch_id: int, channels: dict[str, Callable[[DataFrame], None]], ledger: str, now: Column | None = None,
+                   max_attempts: int | None = None) -> None:
+    """Offer pending alerts(alert_id, ..) to every channel on its own and note in the ledger what came of it, alert by alert and channel by channel.
+
+    A channel gets what the ledger doesn't say it has taken, so another channel's failure never sends it an alert again, and repeating a batch after a
+    failure sends only what was not noted.  The outcome of a channel is written before the next channel is tried."""
+    spark = alerts.sparkSession
+    for name, send in channels.items():
+        batch = pending_on(alerts, read_outcomes(spark, ledger), name, max_attempts).persist()
+        try:
+            if not batch.limit(1).count():
+                continue
+            problem = None
+            try:
+                send(batch)
+            except Exception as failure:  # a channel's own failure is an outcome, not an error of the job
+                problem = f"{type(failure).__name__}: {failure}"
+            rows = batch.select(F.col("alert_id").cast("string").alias("alert_id"), F.lit(name).alias("channel"), F.lit(batch_id).cast("long").alias("batch"), F.lit(problem is None).alias("delivered"),
+                                F.lit(problem).cast("string").alias("error"), (F.current_timestamp() if now is None else now).alias("attempted_at"))
+            rows.write.mode("append").parquet(ledger)
+        finally:
+            batch.unpersist()
+
+
+def stream_delivery(alerts: DataFrame, checkpoint: str, channels: dict[str, Callable[[DataFrame], None]], ledger: str, backlog: DataFrame | None = None):
+    """Deliver a stream of alerts.  What an earlier batch could not deliver is in `backlog` (a table of all alerts) and is offered again with each batch."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        deliver_alerts(batch if backlog is None else batch.unionByName(backlog, allowMissingColumns=True).dropDuplicates(["alert_id"]), batch_id, channels, ledger)
+
+    return alerts.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+def delivery_state(alerts: DataFrame, outcomes: DataFrame, channels: list[str]) -> DataFrame:
+    """alerts(alert_id, ..) x channels -> delivered, attempts: one row for each channel of each alert."""
+    tried = outcomes.groupBy("alert_id", "channel").agg(F.bool_or("delivered").alias("delivered"), F.count(F.lit(1)).alias("attempts"))
+    wanted = alerts.select("alert_id", F.explode(F.array(*map(F.lit, channels))).alias("channel"))
+    return wanted.join(tried, ["alert_id", "channel"], "left").fillna({"delivered": False, "attempts": 0})

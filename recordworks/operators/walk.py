@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import settled
 from .keyed import top_per_key
 
 BLOCK = 10_000
@@ -25,7 +26,7 @@ def dedup_walk(rows: DataFrame, max_rows: int | None = None, key: str = "key") -
     fresh = rows.groupBy("run_id", key).agg(first).select("row.*")
     if max_rows is None:
         return fresh
-    blocked = fresh.withColumn("__block", F.floor(F.col("pos") / BLOCK))
+    blocked = settled(fresh.withColumn("__block", F.floor(F.col("pos") / BLOCK)))  # the first rows are found once, and read for the sums and the cut
     sizes = blocked.groupBy("run_id", "page", "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("run_id").orderBy("page", "__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("run_id", "page", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

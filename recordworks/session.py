@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps timestamps comparable; AQE re-plans joins and splits skewed partitions at run time
@@ -52,6 +53,16 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The files of a table; no rows while nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class Scratch:
     """Tables between the steps of one job.  Each is written once to the shared folder and read back: nothing is computed twice, a
     lost executor costs no recomputation, and plans stay short.  `drop` gives the disk back once the next step is written."""

@@ -6,43 +6,112 @@ The DataFrame functions are the batch ones; state lives in Spark's state store.
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 from ..operators import records as R
 from ..plans.normalise import Context, accepted, normalise_records, quarantined
+from ..session import read_or_empty
 from ..templates import Template
 
 
 # ------------------------------------------------------------------------------------------------------------------ ingest
-def ingest_batch(batch: DataFrame, batch_id: int, template: Template, ctx: Context, records_path: str, quarantine_path: str,
-                 project: str, gazetteer: DataFrame | None = None, fx: DataFrame | None = None) -> None:
-    """Normalise one micro-batch of raw(source, run_id, raw) and store it.  Both writes can be repeated after a failure: the
-    records are upserted by uid, the quarantine of a batch replaces its own partition."""
-    spark = batch.sparkSession
+LEDGER = "batch long, rows long, bad long, base_upto long"
+
+
+@dataclass(frozen=True)
+class RecordLog:
+    """A record table as a log of keyed deltas: each micro-batch adds its own small files, reading merges them, and compaction writes a new
+    base from time to time.  What a ledger row doesn't vouch for (a batch or base cut off while it was written) is not read.
+
+    Layout below `path`: delta/batch=<n>, quarantine/batch=<n>, base/upto=<n>/bucket=<b>, ledger."""
+
+    path: str
+    buckets: int = 64
+
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        return read_or_empty(spark, f"{self.path}/ledger", LEDGER)
+
+    def has(self, spark: SparkSession, batch_id: int) -> bool:
+        return self.ledger(spark).filter((F.col("batch") == batch_id) & F.col("base_upto").isNull()).limit(1).count() > 0
+
+    def append(self, rows: DataFrame, bad: DataFrame, batch_id: int) -> None:
+        """Store a batch once: its files replace what an attempt that failed has left, and a batch in the ledger isn't stored again."""
+        spark = rows.sparkSession
+        if self.has(spark, batch_id):
+            return
+        rows.withColumn("bucket", self._bucket()).hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch_id}")
+        bad.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
+        counts = [spark.read.schema(df.schema).parquet(f"{self.path}/{name}/batch={batch_id}").count() for name, df in (("delta", rows), ("quarantine", bad))]
+        self._note(spark, batch_id, *counts, None)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The table as of the last batch in the ledger: of a key's rows the newest counts, with the first time it was seen.  Newest rows and first
+        times combine before the shuffle, so a key of very many versions sends one row a task."""
+        found = self._since(spark)
+        if found is None:
+            raise ValueError(f"no batch in {self.path}")
+        rows = [c for c in found.columns if c not in ("batch", "bucket")]
+        newest = found.groupBy("bucket", *R.RECORD_KEY).agg(F.max_by(F.struct(*rows), F.struct("batch", "seq")).alias("r"), F.min("first_seen").alias("first"))
+        return newest.select(*[F.col("first").alias(c) if c == "first_seen" else F.col(f"r.{c}").alias(c) for c in rows if c != "seq"])
+
+    def quarantined(self, spark: SparkSession) -> DataFrame:
+        done = self.ledger(spark).filter("base_upto IS NULL").select("batch")
+        return spark.read.parquet(f"{self.path}/quarantine").join(done, "batch", "left_semi")
+
+    def compact(self, spark: SparkSession) -> None:
+        """A new base of all batches so far.  Readers keep the old one until the ledger names the new."""
+        upto = self.ledger(spark).agg(F.max("batch")).first()[0]
+        if upto is None or upto == self._base(spark):
+            return
+        table = self.read(spark).withColumns({"bucket": self._bucket(), "seq": F.lit(-1).cast("long")})
+        table.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/upto={upto}")
+        self._note(spark, upto, 0, 0, upto)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("uid"), F.lit(self.buckets)).cast("int")
+
+    def _base(self, spark: SparkSession) -> int | None:
+        return self.ledger(spark).agg(F.max("base_upto")).first()[0]
+
+    def _since(self, spark: SparkSession) -> DataFrame | None:
+        base = self._base(spark)
+        done = self.ledger(spark).filter("base_upto IS NULL").select("batch")
+        fresh = done if base is None else done.filter(F.col("batch") > base)
+        parts = []
+        if base is not None:
+            parts.append(spark.read.parquet(f"{self.path}/base/upto={base}").withColumn("batch", F.lit(-1).cast("long")))
+        if fresh.limit(1).count():
+            delta = spark.read.parquet(f"{self.path}/delta")
+            parts.append(delta.withColumn("batch", F.col("batch").cast("long")).join(fresh, "batch", "left_semi"))
+        return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _note(self, spark: SparkSession, batch: int, rows: int, bad: int, base: int | None) -> None:
+        spark.createDataFrame([(batch, rows, bad, base)], LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, template: Template, ctx: Context, log: RecordLog, project: str, gazetteer: DataFrame | None = None, fx: DataFrame | None = None) -> None:
+    """Normalise one micro-batch of raw(source, run_id, raw) and add it to the log.  Nothing stored before is read or rewritten; repeating a batch
+    changes nothing."""
+    if log.has(batch.sparkSession, batch_id):
+        return
     now = F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
     checked = normalise_records(batch, template, ctx, gazetteer, fx).persist()
     try:
         # the last row of a batch wins; without a `seq` column the order is by content, which a repeated batch reproduces
-        seq = F.col("seq") if "seq" in batch.columns else F.xxhash64("raw").alias("seq")
+        seq = (F.col("seq").cast("long") if "seq" in batch.columns else F.xxhash64("raw")).alias("seq")
         fresh = accepted(checked).withColumns({"project": F.lit(project), "first_seen": now, "last_seen": now})
-        by = ["project", "source"]
-        stored = [c for c in fresh.columns if c not in ("raw", "seq")]
-        try:
-            target = R.touched_partitions(spark, records_path, fresh, by).select(*stored)
-        except Exception as missing:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            target = fresh.filter(F.lit(False)).select(*stored)
-        R.write_partitions(R.upsert(target, fresh.select(*stored, seq), now), records_path, by)
+        fresh = fresh.select(*[c for c in fresh.columns if c not in ("raw", "seq")], seq)
         bad = R.quarantine_rows(quarantined(checked).withColumn("project", F.lit(project)), now)
-        R.write_partitions(bad.withColumn("batch", F.lit(batch_id)), quarantine_path, ["batch"])
+        log.append(R.latest_per_key(fresh, R.RECORD_KEY, [F.col("seq")]), bad, batch_id)
     finally:
         checked.unpersist()
 
@@ -80,21 +149,28 @@ def stream_usage(requests: DataFrame, daily_requests: int, event_time: str = "ts
 
 
 # ------------------------------------------------------------------------------------------------------------ walk verdicts
+STATE_TTL_MS = 7 * 86_400_000  # how long state that no row touches is kept
 WALK_SCHEMA = "run_id string, stopped string, complete boolean, pages int, rows long, page_errors int, http_failures int"
 _WALK_STATE = "dry int, errors int, http_failures int, rows long, pages int, stopped boolean"
 
 
+def _in_order(frames: Iterator[pd.DataFrame], *by: str) -> Iterator[Any]:
+    """The rows of a key in order.  Frames come one after the other and are merged as they are; only their rows are kept, sorted frame by frame."""
+    return heapq.merge(*[list(frame.sort_values(list(by), kind="stable").itertuples(index=False)) for frame in frames], key=lambda row: tuple(getattr(row, c) for c in by))
+
+
 class WalkVerdict(StatefulProcessor):
-    """Follows the pages of a run and emits one verdict when it stops.  The state is six numbers per run."""
+    """Follows the pages of a run and emits one verdict when it stops.  The state is six numbers per run while it walks; of a run that has stopped only
+    that is kept, for STATE_TTL_MS, so that its late pages don't start it again.  A run without pages for that long is forgotten."""
 
-    def __init__(self, max_pages: int, max_rows: int) -> None:
-        self.max_pages, self.max_rows = max_pages, max_rows
+    def __init__(self, max_pages: int, max_rows: int, expires: bool) -> None:
+        self.max_pages, self.max_rows, self.expires = max_pages, max_rows, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("walk", _WALK_STATE)
+        self.state = handle.getValueState("walk", _WALK_STATE, STATE_TTL_MS) if self.expires else handle.getValueState("walk", _WALK_STATE)
 
     def _stop(self, dry: int, errors: int, rows: int, page: Any) -> tuple[str | None, int, int, int]:
-        if page.error is not None:
+        if isinstance(page.error, str):
             errors += 1
             return ("errors" if errors >= K.MAX_PAGE_ERRORS else None), dry, errors, rows
         rows = min(self.max_rows, rows + int(page.fresh_count))
@@ -109,22 +185,21 @@ class WalkVerdict(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         dry, errors, failures, total, last, stopped = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, False)
-        pages = pd.concat(list(rows)).astype({"error": object}).sort_values("page")
-        pages["error"] = pages["error"].where(pages["error"].notna(), None)
+        if stopped:
+            return
         verdict = None
-        for page in pages.itertuples():
-            if stopped:
-                break
+        for page in _in_order(rows, "page"):
             last = int(page.page)
             failures += int(page.http_failed)
             reason, dry, errors, total = self._stop(dry, errors, total, page)
             if reason is None and last >= self.max_pages:
                 reason = "max_pages"
             if reason:
-                stopped = True
                 complete = reason in ("done", "empty_page", "repeating") and errors == 0 and failures == 0
                 verdict = pd.DataFrame([[key[0], reason, complete, last, total, errors, failures]],
                                        columns=[c.split()[0] for c in WALK_SCHEMA.split(", ")])
+                dry, errors, failures, total, last, stopped = 0, 0, 0, 0, 0, True
+                break
         self.state.update((dry, errors, failures, total, last, stopped))
         if verdict is not None:
             yield verdict
@@ -133,60 +208,69 @@ class WalkVerdict(StatefulProcessor):
         pass
 
 
-def stream_walk_verdict(pages: DataFrame, max_pages: int, max_rows: int) -> DataFrame:
-    """pages(run_id, page, raw_count, fresh_count, error, http_failed, done) -> verdicts as walks stop."""
+def stream_walk_verdict(pages: DataFrame, max_pages: int, max_rows: int, expires: bool = True) -> DataFrame:
+    """pages(run_id, page, raw_count, fresh_count, error, http_failed, done) -> verdicts as walks stop.  State that expires needs the cluster's clock, with
+    which an available-now stream never ends; such a stream runs without."""
     return pages.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=WalkVerdict(max_pages, max_rows), outputStructType=WALK_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=WalkVerdict(max_pages, max_rows, expires), outputStructType=WALK_SCHEMA, outputMode="Append", timeMode="ProcessingTime" if expires else "None")
 
 
 # --------------------------------------------------------------------------------------------------------------- stuck runs
-STATE_TTL_MS = 7 * 86_400_000
 STUCK_SCHEMA = "run_id string, source string, last_heartbeat_ms long"
 
 
 class StuckRuns(StatefulProcessor):
-    """A timer per running run; a heartbeat moves it, the end of the run removes it, silence lets it fire.  The newest event time and the
-    end are kept for STATE_TTL_MS, so that a late heartbeat doesn't start an ended run again."""
+    """A timer per running run; a heartbeat moves it, the end of the run removes it, silence lets it fire.  The clock is the cluster's, or with `event_time`
+    the stream's own (its watermark), which a replay reproduces.  The newest event time and the end are kept, with the cluster's clock for STATE_TTL_MS, else
+    by a timer of that length, so that a late heartbeat doesn't start an ended run again."""
 
-    def __init__(self, shortest_s: int) -> None:
-        self.shortest_s = shortest_s
+    def __init__(self, shortest_s: int, event_time: bool) -> None:
+        self.shortest_s, self.event_time = shortest_s, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("beat", "source string, at long, seen double, ended boolean", STATE_TTL_MS)
+        schema = "source string, at long, seen double, ended boolean"
+        self.state = handle.getValueState("beat", schema) if self.event_time else handle.getValueState("beat", schema, STATE_TTL_MS)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        beats = pd.concat(list(rows)).sort_values("ts")
         source, at, seen, ended = self.state.get() if self.state.exists() else ("", 0, float("-inf"), False)
-        newest = beats.iloc[-1]
+        newest = None
+        for frame in rows:  # of heartbeats of the same time the end of the run counts
+            best = frame.assign(over=frame["status"] != "running").sort_values(["ts", "over"]).iloc[-1]
+            if newest is None or (best["ts"], best["over"]) > (newest["ts"], newest["over"]):
+                newest = best
         ts = pd.Timestamp(newest["ts"]).timestamp()
         if ended or ts < seen:
             return iter([])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if newest["status"] == "running":
-            now = timerValues.getCurrentProcessingTimeInMs()
+        now = int(ts * 1000) if self.event_time else int(timerValues.getCurrentProcessingTimeInMs())
+        if newest["over"]:
+            self.state.update((newest["source"], int(at), ts, True))
+            if self.event_time:
+                self.handle.registerTimer(now + STATE_TTL_MS)
+        else:
             silence = max(2 * int(newest["time_budget_s"]), self.shortest_s) * 1000
-            self.state.update((newest["source"], int(now), ts, False))
+            self.state.update((newest["source"], now, ts, False))
             self.handle.registerTimer(now + silence)
-        else:
-            self.state.update((newest["source"], int(at), ts, True))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         source, at, _, ended = self.state.get() if self.state.exists() else ("", 0, 0.0, True)
+        self.state.clear()
         if not ended:
-            self.state.clear()
             yield pd.DataFrame([[key[0], source, at]], columns=["run_id", "source", "last_heartbeat_ms"])
 
     def close(self) -> None:
         pass
 
 
-def stream_stuck(heartbeats: DataFrame, shortest_s: int = K.STUCK_MIN_SECONDS) -> DataFrame:
-    """heartbeats(run_id, source, status, time_budget_s, ts) -> runs silent for twice their budget (at least `shortest_s`)."""
-    return heartbeats.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=StuckRuns(shortest_s), outputStructType=STUCK_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+def stream_stuck(heartbeats: DataFrame, shortest_s: int = K.STUCK_MIN_SECONDS, delay: str | None = None) -> DataFrame:
+    """heartbeats(run_id, source, status, time_budget_s, ts) -> runs silent for twice their budget (at least `shortest_s`), by the cluster's clock, or with a
+    `delay` by the stream's own time, which runs that far behind the newest heartbeat."""
+    timed = heartbeats if delay is None else heartbeats.withWatermark("ts", delay)
+    return timed.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=StuckRuns(shortest_s, delay is not None), outputStructType=STUCK_SCHEMA, outputMode="Append", timeMode="ProcessingTime" if delay is None else "EventTime")
 
 
 # ------------------------------------------------------------------------------------------------------------------- alerts
@@ -194,19 +278,23 @@ ALERT_SCHEMA = "source string, kind string, at timestamp"
 
 
 class Incidents(StatefulProcessor):
-    """One alert per source, kind and incident: again after a day, or after a healthy run has ended the incident."""
+    """One alert per source, kind and incident: again after a day, or after a healthy run has ended the incident.  Of events of the same time healthy
+    runs come first.  The last alerts and the last healthy run are kept for STATE_TTL_MS, much longer than the day for which they matter."""
+
+    def __init__(self, expires: bool) -> None:
+        self.expires = expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last_alert", "kind string", "at double")
-        self.healthy = handle.getValueState("healthy", "at double")
+        kept = (STATE_TTL_MS,) if self.expires else ()
+        self.last = handle.getMapState("last_alert", "kind string", "at double", *kept)
+        self.healthy = handle.getValueState("healthy", "at double", *kept)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("at", kind="stable")
         out = []
-        for event in events.itertuples():
+        for event in _in_order((frame.assign(order=(frame["kind"] != "healthy") * 1) for frame in rows), "at", "order", "kind"):
             at = event.at.timestamp()
             if event.kind == "healthy":
-                self.healthy.update((at,))
+                self.healthy.update((max(at, self.healthy.get()[0]) if self.healthy.exists() else at,))
                 continue
             before = self.last.getValue((event.kind,))[0] if self.last.containsKey((event.kind,)) else None
             over = (event.kind in _INCIDENTS and before is not None and self.healthy.exists() and self.healthy.get()[0] > before)
@@ -223,10 +311,10 @@ class Incidents(StatefulProcessor):
 _INCIDENTS = frozenset(K.INCIDENT_KINDS)
 
 
-def stream_alerts(events: DataFrame) -> DataFrame:
-    """events(source, kind, at): findings, and `healthy` for a healthy run -> the alerts to raise."""
+def stream_alerts(events: DataFrame, expires: bool = True) -> DataFrame:
+    """events(source, kind, at): findings, and `healthy` for a healthy run -> the alerts to raise.  `expires` as for walks."""
     return events.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=Incidents(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=Incidents(expires), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="ProcessingTime" if expires else "None")
 
 
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -176,16 +176,85 @@ def test_overlapping_replace_spares_refreshed_rows(spark):
     assert done.records.count() == 9 and done.summary.first()["write_mode"] == "replace" and done.summary.first()["pruned"] == 1
 
 
-def test_delivery_keeps_channels_apart(spark):
-    batch = spark.createDataFrame([("a1",)], "alert_id string")
-    seen = []
-
-    def broken(_):
-        raise OSError("disk full")
-
-    outcome = sinks.deliver_alerts(batch, {"file": broken, "hook": lambda df: seen.append(df.count())})
-    assert outcome == {"file": False, "hook": True} and seen == [1]
-    assert sinks.delivery_outcomes(batch, outcome, F.current_timestamp()).first()["delivered"] is False
+def test_delivery_keeps_channels_apart(spark, tmp_path):
+    """A channel that took an alert never gets it again, whatever happens to the others and however often a batch is repeated."""
+    alerts, ledger = spark.createDataFrame([("a1",), ("a2",), ("a3",)], "alert_id string"), str(tmp_path / "ledger")
+    seen = {"file": [], "hook": []}
+
+    def send(name, fails):
+        def run(df):
+            seen[name].append(sorted(r[0] for r in df.collect()))
+            if fails and fails.pop():
+                raise OSError("disk full")
+        return run
+
+    channels = {"file": send("file", [False, True]), "hook": send("hook", [])}
+    sinks.deliver_alerts(alerts.filter("alert_id <> 'a3'"), 0, channels, ledger)
+    for batch in (1, 1, 2):
+        sinks.deliver_alerts(alerts, batch, channels, ledger)
+    assert seen == {"file": [["a1", "a2"], ["a1", "a2", "a3"]], "hook": [["a1", "a2"], ["a3"]]}
+    state = {(r.alert_id, r.channel): (r.delivered, r.attempts) for r in sinks.delivery_state(alerts, sinks.read_outcomes(spark, ledger), ["file", "hook", "mail"]).collect()}
+    assert state["a1", "file"] == (True, 2) and state["a1", "hook"] == (True, 1) and state["a3", "file"] == (True, 1) and state["a3", "mail"] == (False, 0)
+    dead = {"mail": send("file", [True] * 5)}
+    for batch in range(5):
+        sinks.deliver_alerts(alerts, batch, dead, ledger, max_attempts=3)
+    assert sinks.read_outcomes(spark, ledger).filter("channel = 'mail'").count() == 9
+
+
+def test_streaks(spark):
+    rng = random.Random(11)
+    rows = [(f"k{k}", seq, rng.choice([0, 0, 0, 1, None]) if k else 0) for k in range(6) for seq in sorted(rng.sample(range(-50, 200_000), 400))]
+    want = {}
+    for key, _, added in sorted(rows):
+        want[key] = 0 if added else want.get(key, 0) + 1
+    df = spark.createDataFrame(rows, "key string, seq long, added int").repartition(7)
+    assert {r.key: r.dry_streak for r in coverage.dry_streak(df, ["key"]).collect()} == want and want["k0"] == 400
+    assert coverage.dry_streak(df.filter("key = 'k3'").drop("key")).first()[0] == want["k3"]
+
+
+def test_admission_cuts(spark):
+    rng = random.Random(3)
+    rows = [(f"s{i}", rng.choice([-(10**15), 5, 5, 5, 7, 8, 10**15, rng.randint(0, 10**6)]), rng.random() < 0.3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "site string, arrival long, blocked boolean")
+    for budget in (0, 1, 400, 1111, 10**6):
+        got = {r.site: r.decision for r in coverage.admit(df, 0, budget).collect()}
+        open_, shut = (sorted(r[1] for r in rows if r[2] is kind) for kind in (False, True))
+        taken = sorted(r[1] for r in rows if got[r[0]] == "added")
+        assert taken == open_[:budget] and sorted(r[1] for r in rows if got[r[0]] == "blocked") == shut[: 3 * budget]
+    assert coverage.admit(df.limit(0), 0, 5).count() == 0
+
+
+def test_evidence_times_and_places(spark):
+    schema = "arrival int, url string, regions array<string>, angles array<string>, evidence array<struct<url: string, observation: string, seen_at: string>>, blocked boolean, mirror_of string"
+    proof = [("https://a.example.de/x", "seen", None), ("https://b.test/", None, "2026-01-01"), (None, "x", None), ("", "x", None)]
+    row = coverage.candidate_reasons(spark.createDataFrame([(1, "https://example.de/", ["DE"], None, proof, None, None)], schema), ["DE"], now=dt.datetime(2026, 2, 3)).first()
+    assert [tuple(e) for e in row["evidence"]] == [("https://a.example.de/x", "seen", "2026-02-03 00:00:00", True), ("https://b.test/", "", "2026-01-01", False)]
+
+
+def test_record_log(spark, tmp_path):
+    """Newest rows count, repeated batches and batches cut off before their ledger row change nothing, compaction changes no result."""
+    schema = "project string, uid string, source string, title string, first_seen timestamp, last_seen timestamp, seq long"
+    at = lambda day: dt.datetime(2026, 1, day)
+    rows = lambda title, day, *ids: spark.createDataFrame([("p", i, "s", title, at(day), at(day), 0) for i in ids], schema)
+    bad = spark.createDataFrame([("s", "{}")], "source string, raw string")
+    log = jobs.RecordLog(str(tmp_path / "log"), buckets=3)
+    log.append(rows("one", 1, "a", "b", "c"), bad, 0)
+    log.append(rows("two", 2, "b"), bad.limit(0), 1)
+    assert len(list((tmp_path / "log" / "delta" / "batch=1").glob("part-*"))) == 1  # a batch of one row is one small file
+    log.append(rows("again", 9, "a", "b"), bad, 1)
+    state = lambda: {r.uid: (r.title, r.first_seen.day, r.last_seen.day) for r in log.read(spark).collect()}
+    want = {"a": ("one", 1, 1), "b": ("two", 1, 2), "c": ("one", 1, 1)}
+    assert state() == want
+    rows("lost", 8, "z").withColumn("bucket", F.lit(0)).write.parquet(str(tmp_path / "log" / "delta" / "batch=2"))  # no ledger row
+    rows("lost", 8, "z").withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "log" / "base" / "upto=7"))
+    assert state() == want
+    log.compact(spark)
+    assert state() == want and log.ledger(spark).filter("base_upto = 1").count() == 1
+    log.append(rows("three", 3, "c", "d"), bad, 2)
+    assert state() == want | {"c": ("three", 1, 3), "d": ("three", 3, 3)} and log.quarantined(spark).count() == 2
+    log.compact(spark)
+    log.compact(spark)
+    assert state() == want | {"c": ("three", 1, 3), "d": ("three", 3, 3)} and log.ledger(spark).filter("base_upto IS NOT NULL").count() == 2
 
 
 def test_cadence(spark):
@@ -205,7 +274,7 @@ def test_incidents_alert_twice(spark, tmp_path):
     kinds = ["zero", "zero", "zero", "healthy", "zero", "zero"]
     rows = [("s", k, start + dt.timedelta(minutes=10 * i)) for i, k in enumerate(kinds)]
     stream = _files(spark, tmp_path, "events", rows, "source string, kind string, at timestamp")
-    assert jobs.run_to_memory(jobs.stream_alerts(stream), "incidents", str(tmp_path / "c")).count() == 2
+    assert jobs.run_to_memory(jobs.stream_alerts(stream, expires=False), "incidents", str(tmp_path / "c")).count() == 2
 
 
 def test_silent_runs_fire_their_timer(spark, tmp_path):
@@ -222,6 +291,21 @@ def test_silent_runs_fire_their_timer(spark, tmp_path):
     assert [r["run_id"] for r in spark.table("stuck").collect()] == ["r1"]
 
 
+def test_stopped_walks_stay_stopped(spark, tmp_path):
+    """With expiring state, by the cluster's clock: a page that comes after a run has stopped starts nothing."""
+    rows = [("r", 1, 5, 5, None, False, True), ("r", 2, 5, 5, None, False, True), ("q", 1, 0, 0, None, False, False)]
+    stream = _files(spark, tmp_path, "pages", rows, "run_id string, page int, raw_count int, fresh_count int, error string, http_failed boolean, done boolean")
+    query_ = (jobs.stream_walk_verdict(stream, 9, 99).writeStream.format("memory").queryName("walks").outputMode("append")
+              .option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start())
+    import time
+    for _ in range(60):
+        time.sleep(1)
+        if spark.table("walks").count() >= 2 and (query_.lastProgress or {}).get("batchId", 0) > 3:
+            break
+    query_.stop()
+    assert sorted((r["run_id"], r["stopped"], r["pages"]) for r in spark.table("walks").collect()) == [("q", "empty_page", 1), ("r", "done", 1)]
+
+
 def test_registry_ids_stay_unique(spark):
     rows = [("foo_com", "foo.com"), ("foo_com_2", "foo2.example"), (None, "foo-com"), (None, "foo_com"), (None, "foo com 4"), (None, "пример.рф"), (None, "例え.jp")]
     got = [r["id"] for r in coverage.with_slugs(spark.createDataFrame(rows, "id string, site string")).collect()]
