@@ -338,6 +338,55 @@ SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'https://cars.example.kz/cars/'
     CASE WHEN o_totalprice / 500 < 100 THEN 'price=' || CAST(o_totalprice AS VARCHAR) || ' KZT is below 100 USD' END) AS reasons
 FROM orders"""
 
+def _offers(spark, sf, source, **fields):
+    """Raw rows of other record types, one for each order."""
+    n = F.col("o_orderkey")
+    body = F.struct(n.cast("string").alias("source_id"), F.concat(F.lit("https://x.test/"), n).alias("url"), *[c.alias(k) for k, c in fields.items()])
+    return _orders(spark, sf).select(F.lit(source).alias("source"), F.to_json(body).alias("raw"), F.array(F.lit("FR"), F.lit("IT")).alias("regions"))
+
+
+def normalise_rents(spark, sf):
+    """Rents quoted per month, per week in a field of its own, or without a period."""
+    n, k = F.col("o_custkey") % 1000 + 1500, F.col("o_orderkey") % 3
+    raw = _offers(spark, sf, "rents", title=F.lit("Mieszkanie"), price=F.when(k == 0, F.concat(n, F.lit(" zł / miesiąc"))).otherwise(n.cast("string")), rent_period=F.when(k == 1, "weekly"),
+                  area=F.concat(F.col("o_custkey") % 90 + 20, F.lit(" m²")), property_type=F.lit("wohnung"), city=F.lit("Kraków"))
+    rates = dims.fx_dim(dims.small_table(spark, [("PLN", 4.0)], "currency string, rate double"))
+    out = normalise_records(raw, template("real_estate_rent"), Context(regions=["PL"], now=dt.datetime(2026, 10, 1)), dims.read_gazetteer(spark), rates)
+    return out.select("source_id", "rent_period", "price_per_month", "currency", "area", "property_type", "city", F.array_join("reasons", "; ").alias("reasons"))
+
+
+RENTS_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS source_id, CASE WHEN o_orderkey % 3 = 1 THEN 'week' ELSE 'month' END AS rent_period,
+  CASE WHEN o_orderkey % 3 = 1 THEN round((o_custkey % 1000 + 1500) * 52 / 12, 2) ELSE CAST(o_custkey % 1000 + 1500 AS DOUBLE) END AS price_per_month, 'PLN' AS currency,
+  CAST(o_custkey % 90 + 20 AS DOUBLE) AS area, 'apartment' AS property_type, 'Krakow' AS city, '' AS reasons FROM orders"""
+
+
+def normalise_jobs(spark, sf):
+    """Salaries of sources of several regions: the city or the location tells the country; the currency is the one that all regions share."""
+    n, k = F.col("o_custkey") % 50 + 20, F.col("o_orderkey") % 4
+    raw = _offers(spark, sf, "jobs", title=F.lit("Nurse"), salary_min=F.when(k < 2, F.concat(n, F.lit(" 00 € pro Monat"))).when(k == 2, F.concat(n, F.lit("000"))),
+                  city=F.when(k == 0, "Milano").when(k == 1, "Nowhere"), location=F.when(k == 2, "Rue X, Paris"))
+    out = normalise_records(raw, template("jobs"), Context(now=dt.datetime(2026, 10, 1)), dims.read_gazetteer(spark), None)
+    return out.select("source_id", "salary_period", "salary_min_annual", "currency", "country", "city")
+
+
+JOBS_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS source_id, ['month', 'month', 'year', NULL][CAST(o_orderkey % 4 + 1 AS INT)] AS salary_period,
+  CASE WHEN o_orderkey % 4 < 2 THEN (o_custkey % 50 + 20) * 1200.0 WHEN o_orderkey % 4 = 2 THEN (o_custkey % 50 + 20) * 1000.0 END::DOUBLE AS salary_min_annual, CASE WHEN o_orderkey % 4 < 3 THEN 'EUR' END AS currency,
+  ['IT', NULL, 'FR', NULL][CAST(o_orderkey % 4 + 1 AS INT)] AS country, ['Milan', 'Nowhere', NULL, NULL][CAST(o_orderkey % 4 + 1 AS INT)] AS city FROM orders"""
+
+
+def normalise_events(spark, sf):
+    """Events with dates in words, some ended, in a project of two countries."""
+    k = F.col("o_orderkey") % 3
+    raw = _offers(spark, sf, "events", title=F.concat(F.lit("Fair "), "o_custkey"), starts_at=F.when(k == 0, "3 March 2033 20:00").when(k == 1, "2033-03-04").otherwise("2020-01-05"),
+                  country=F.when(k == 1, "Portugal").otherwise("Austria"), price_min=F.lit("12 €"))
+    out = normalise_records(raw, template("events"), Context(regions=["AT"], project_regions=["AT", "CZ"], now=dt.datetime(2026, 10, 1)), dims.read_gazetteer(spark), None)
+    return out.select("source_id", "title", F.substring("starts_at", 1, 10).alias("day"), "country", "price_min", "currency", F.array_join("reasons", "; ").alias("reasons"))
+
+
+EVENTS_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS source_id, 'Fair ' || o_custkey AS title, ['2033-03-03', '2033-03-04', '2020-01-05'][CAST(o_orderkey % 3 + 1 AS INT)] AS day,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'PT' ELSE 'AT' END AS country, 12.0::DOUBLE AS price_min, 'EUR' AS currency,
+  ['', 'country PT is outside the project''s regions (AT, CZ)', 'event already ended (2020-01-05)'][CAST(o_orderkey % 3 + 1 AS INT)] AS reasons FROM orders"""
+
 _M = "o_orderkey % 8"
 QUERIES = {
     "number_roundtrip": (number_roundtrip, "SELECT o_orderkey, o_totalprice AS value FROM orders"),
@@ -381,4 +430,7 @@ QUERIES = {
     "mapped_fields": (mapped_fields, "SELECT p_partkey, p_brand AS make, p_type AS kind, p_name AS title, 'GEL' AS currency FROM part"),
     "extra_keys": (extra_keys, """SELECT p_partkey, '{"shelf":"' || p_brand || '"}' AS extra FROM part"""),
     "normalise_vehicles": (normalise_vehicles, NORMALISE_SQL),
+    "normalise_rents": (normalise_rents, RENTS_SQL),
+    "normalise_jobs": (normalise_jobs, JOBS_SQL),
+    "normalise_events": (normalise_events, EVENTS_SQL),
 }
