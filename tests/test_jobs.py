@@ -107,8 +107,8 @@ def test_gazetteer_files(spark, tmp_path):
 
 def test_built_in_cities(spark):
     places = city_dim(dims.read_gazetteer(spark))
-    cases = [("Sevilla", "ES", "Seville"), ("京都", "JP", "Kyoto"), ("Torino", "IT", "Turin"), ("Казань", "RU", "Kazan"), ("Köln", "DE", "Cologne"),
-             ("Zürich", "CH", "Zurich"), ("Nowhere upon Sea", "PT", "Nowhere upon Sea")]
+    cases = [("Sevilla", "ES", "Seville"), ("京都", "JP", "Kyoto"), ("Torino", "IT", "Turin"), ("Екатеринбург", "RU", "Yekaterinburg"), ("Köln", "DE", "Cologne"),
+             ("Basel", "CH", "Basel"), ("Nowhere upon Sea", "PT", "Nowhere upon Sea")]
     df = spark.createDataFrame([c[:2] for c in cases], "city string, country string")
     got = {r["city"]: r["canonical"] for r in canonical_city(df, "city", "country", places).collect()}
     assert got == {c[0]: c[2] for c in cases}
