@@ -7,8 +7,8 @@ the id and weighted back to the classes' shares.  Because average and layer are
 bucket: the model that goes to the tasks has BUCKETS floats whatever the input.
 
 Defined results: null and empty texts have no features and get the score of the bias alone.  Rows with a null id are scored but never
-learned from, and count as not held out.  Labels that are null, and ids without a document, are ignored; rows that repeat an id are
-each a sample.  Without labels of both classes every score is the share of class 1 among those there are (0.5 without any).
+learned from, and count as not held out.  Labels that are null, and ids without a document, are ignored.  An id is one sample, however many
+rows repeat it: with its least label and least text.  Very long texts are read as a whole and weigh as much as short ones.  Ties don't arise.  Without labels of both classes every score is the share of class 1 among those there are (0.5 without any).
 Other columns are carried; one with the name of a result column gives way to it.
 """
 
@@ -87,11 +87,12 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """The model of the labelled rows outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter(
-        F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("id")) != 0))
+        F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("id")) != 0)).groupBy("id").agg(F.min("label").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for c in (0, 1)]  # at most max_rows in all
     chosen = chosen[0].unionByName(chosen[1])
-    rows = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    rows = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text an id, chosen in the tasks first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +100,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for value in batch.column("text"):
                 buckets, n = np.unique(features(value.as_py().encode("utf-8")), return_counts=True)
                 out.append((buckets.astype(np.int32).tobytes(), (n / max(n.sum(), 1)).astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
-                                             names=["label", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
+                                             names=["key", "label", "buckets", "shares"])
 
-    got = rows.mapInArrow(run, "label int, buckets binary, shares binary").orderBy(F.xxhash64("buckets")).collect()  # bounded by max_rows and BUCKETS
+    rows = rows.select(F.xxhash64("id", "text").alias("key"), "label", "text")
+    got = sorted(rows.mapInArrow(run, "key long, label int, buckets binary, shares binary").collect(), key=lambda r: r["key"])  # max_rows rows of at most BUCKETS counts
     samples = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in got]
     all_rows = max(sum(totals.values()), 1)
     return fit([s for s in samples if len(s[0])], (totals.get(0, 0) / all_rows, totals.get(1, 0) / all_rows))

@@ -186,6 +186,17 @@ def test_classifier_held_out(spark):
     assert len(edge) == len(texts()) and len(blank) == 1 and all(not r.held_out for r in edge if r.doc_id is None)
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """An id that very many rows repeat, or that has two labels, is one sample."""
+    taken = []
+    monkeypatch.setattr(classifier, "fit", lambda samples, shares: taken.append((samples, shares)))
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7L ELSE id + 10 END AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1), (7, 1), *[(i, i % 2) for i in range(10, 400)], (11, 1), (12, None)], "doc_id long, quality int")
+    classifier.train(docs, labels, max_rows=40)
+    samples, shares = taken[0]
+    assert 20 < len(samples) <= 40 and sum(s[2] for s in samples) <= 20 and abs(sum(shares) - 1) < 1e-9
+
+
 def test_classifier_without_labels(spark):
     model = classifier.train(frame(spark), spark.createDataFrame([], "doc_id long, quality int"))
     assert model.score(b"anything") == 0.5
