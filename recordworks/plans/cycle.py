@@ -13,7 +13,6 @@ from ..functions.core import moment
 from ..operators import records as R
 from ..operators import walk as W
 from ..session import settled
-from ..sources.dims import bounded_broadcast
 from ..templates import Template
 from .normalise import Context, accepted, normalise_records, quarantined
 
@@ -54,7 +53,7 @@ def run_cycle(events: DataFrame, target: DataFrame, sources: DataFrame, history:
     at = moment(now)
     walked = settled(fresh_rows(events.filter("error IS NULL"), max_rows))
     walks = settled(verdicts(events, walked, max_pages, max_rows))
-    reached = bounded_broadcast(walks.select("run_id", F.col("pages").alias("__last")))
+    reached = walks.select("run_id", F.col("pages").alias("__last"))
     fresh = walked.join(reached, "run_id").filter("page <= __last").drop("__last")
     checked = settled(normalise_records(fresh.drop("key"), template, ctx, gazetteer, fx))
     good = accepted(checked)

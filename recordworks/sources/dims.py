@@ -15,17 +15,9 @@ from .. import constants as K
 from ..functions.core import look_up
 from ..functions.text import city_key
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_RATES = 26 ** 3
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's own size estimate is under the limit; otherwise the join is left to
-    shuffle (and to AQE)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size) <= limit else df
-
-
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A few constant rows as a DataFrame that stays inside the JVM (no Python worker)."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -159,5 +151,5 @@ def read_fx(spark: SparkSession, path: str) -> DataFrame:
     return fx_dim(doc.select(F.explode("d.rates").alias("currency", "rate")), base)
 
 
-__all__ = ["bounded_broadcast", "countries", "currency_codes", "country_currency", "region_tokens", "region_dims", "country_code",
+__all__ = ["countries", "currency_codes", "country_currency", "region_tokens", "region_dims", "country_code",
            "currency_of", "small_table", "read_gazetteer", "read_suffixes", "check_rates", "fx_dim", "read_fx"]
