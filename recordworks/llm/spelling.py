@@ -6,7 +6,8 @@ runs to that word's end.  States (word, node, rest of the word, edits) advance o
 
 - without an edit a state is the word's own path, and these states also make the edges of the next level;
 - two words one edit apart part at a node of the trie, so an edit happens only at a node, by going from there into another edge than the
-  word's own: the character is replaced, one is inserted, or one is left out.  After it, a state must match labels exactly and has one way;
+  word's own: the character is replaced, one is inserted, or one is left out.  After it, a state must match labels exactly and has one way.  Of two
+  words that part at a node, the one whose next character is less goes to the other;
 - a state with an edit that arrives at the end of a word with nothing left names a neighbour.
 
 An edit near the root would branch into everything.  Each word is therefore walked twice, through the trie of the words and through that of
@@ -109,7 +110,7 @@ def near_words(words: DataFrame, scratch: Scratch, least_length: int = 7) -> Dat
                   .select("wid", "child", "depth", "label", _tail("rest", F.length("label")).alias("rest"), "edits", "free", "leaf", "word"))
         others = edges.withColumnsRenamed({"node": "at", "depth": "down", "ch": "other"})
         turned = (states.filter("edits = 0 AND depth >= free")
-                  .join(others, (F.col("node") == F.col("at")) & (F.col("depth") == F.col("down")) & (F.col("ch") != F.col("other")) & (tests[0] | tests[1] | tests[2]))
+                  .join(others, (F.col("node") == F.col("at")) & (F.col("depth") == F.col("down")) & (F.col("ch") < F.col("other")) & (tests[0] | tests[1] | tests[2]))
                   .select("wid", "child", "depth", "label", F.explode(F.array_compact(lefts)).alias("rest"), F.lit(1).alias("edits"), "free", "leaf", "word"))
         moved = scratch.keep(onward.unionByName(turned).filter("edits = 1 OR NOT leaf")
                              .select("wid", F.col("child").alias("node"), (F.col("depth") + F.length("label")).alias("depth"), "rest", "edits", "free", "leaf", "word"))
@@ -119,7 +120,7 @@ def near_words(words: DataFrame, scratch: Scratch, least_length: int = 7) -> Dat
     scratch.drop(level)
     pairs = words.select("wid", F.col("wid").alias("other")).limit(0)
     for part in found:
-        pairs = pairs.unionByName(part)
+        pairs = pairs.unionByName(part).unionByName(part.select(F.col("other").alias("wid"), F.col("wid").alias("other")))
     return scratch.step(pairs.distinct(), *found)
 
 
