@@ -5,8 +5,8 @@ A document is the set of its distinct word shingles.  Equal sets are one node fr
 1. Candidate groups without loss.  The hash space is cut into segments, as many as sets of a size class need.  Two sets that link differ
    in at most d shingles, so among the first d + 1 segments in which a set has shingles at least one is equal in the other.  Each set emits
    the hashes of those segments; sets that share one are a group.  Groups of the same members count once.
-2. Hubs.  The least set of each group is its hub.  A member whose signature (a bitmap of its shingles, 2 to 4 bits for each) leaves room for a link with the
-   hub is joined with it, together with the hub's other such members, in chunks of about CHUNK sets.  That settles groups of near copies.
+2. Hubs.  The least set of each group is its hub.  A member whose signature (a bitmap of its shingles, 2 to 4 bits for each) leaves room for a link with
+   hubs is joined with the least of them, together with that hub's other such members, in chunks of about CHUNK sets.  That settles groups of near copies.
 3. Signature trees.  In each group whose members are not yet one component, sets are the leaves of trees, one for each width of bitmaps, whose nodes hold
    the OR of their bitmaps and the range of their sizes.  Two trees are traversed together from the roots down; a pair of nodes is dropped when its ranges
    of sizes or its greatest possible overlap can't reach the threshold, or when both lie in one component.  Members with a partner that
@@ -394,7 +394,8 @@ def _classes(docs: DataFrame, k: int, pct: int, doc_id: str, text: str, carry: l
     # hubs
     right = sigs.select(F.col("sid").alias("hub"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
     stars = members.filter("sid <> hub").select("sid", "hub").distinct().join(sigs.select("sid", "n", "bits"), "sid").join(right, "hub")
-    stars = scratch.keep(_near_hubs(stars, pct))
+    # of a set's hubs the least: hubs have hubs of their own, and a set in many groups isn't joined in each of them
+    stars = scratch.keep(_near_hubs(stars, pct).groupBy("sid").agg(F.min("hub").alias("hub")))
     hubs = scratch.keep(stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")))
     chunk = stars.join(hubs, "hub").select(F.col("hub").alias("g1"), F.pmod(F.xxhash64("sid"), "chunks").alias("g2"), "sid")
     chunk = chunk.unionByName(hubs.select(F.col("hub").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("g2"), F.col("hub").alias("sid")))
