@@ -10,7 +10,7 @@ A document is the set of its distinct word shingles.  Equal sets are one node fr
 3. Signature trees.  In each group whose members are not yet one component, sets are the leaves of trees, one for each width of bitmaps, whose nodes hold
    the OR of their bitmaps and the range of their sizes.  Two trees are traversed together from the roots down; a pair of nodes is dropped when its ranges
    of sizes or its greatest possible overlap can't reach the threshold, or when both lie in one component.  Members with a partner that
-   is left go on, in groups of those that such pairs connect; the others (documents that share a passage, but not enough) are done without
+   is left go on, in groups of those that such pairs connect over all groups, or within one where they are more than CHUNK; the others (documents that share a passage, but not enough) are done without
    their texts having been read.
 4. What goes on is joined by trees over the sets themselves, in which each pair that is left is decided, and pairs of one component are passed over.
 
@@ -336,8 +336,8 @@ def _joined_chunks(groups: DataFrame, k: int, pct: int) -> DataFrame:
 
 
 def _active(groups: DataFrame, pct: int) -> DataFrame:
-    """groups(g1, g2, side, sid, known, n, bits, inside) -> (g1, g2, side, sid, known, inside) of the members whose signature leaves room for a link,
-    in smaller groups: members that such pairs connect."""
+    """groups(g1, g2, side, sid, known, n, bits, inside) -> (g1, g2, part, side, sid, known, inside) of the members whose signature leaves room for a link,
+    in smaller groups: members that such pairs connect, of which `part` is the least."""
 
     def done(group: list) -> list[tuple]:
         sides = [[(x.sid, x.known, x.n, x.bits) for x in part] for side in (0, 1) if (part := [x for x in group if x.side == side])]
@@ -346,7 +346,7 @@ def _active(groups: DataFrame, pct: int) -> DataFrame:
 
     columns = ["g1", "g2", "part", "side", "sid", "known", "inside"]
     rows = _by_group(groups, done, columns, ", ".join(f"{c} long" for c in columns))
-    return rows.select("g1", F.xxhash64("g2", "part").alias("g2"), "side", "sid", "known", (F.col("inside") == 1).alias("inside"))
+    return rows.select("g1", F.xxhash64("g2", "part").alias("g2"), "part", "side", "sid", "known", (F.col("inside") == 1).alias("inside"))
 
 
 def _near_hubs(pairs: DataFrame, pct: int) -> DataFrame:
@@ -410,9 +410,17 @@ def _classes(docs: DataFrame, k: int, pct: int, doc_id: str, text: str, carry: l
     opened = scratch.step(opened, named)
     single = opened.filter("chunks = 1").select(F.col("key").alias("g1"), F.lit(-1).cast("long").alias("g2"), F.lit(0).alias("side"), "sid", "known", F.lit(True).alias("inside"))
     active = scratch.keep(_active(single.unionByName(_chunk_pairs(opened, scratch)).join(sigs.select("sid", "n", "bits"), "sid"), pct))
-    # groups of which the same members are left count once
-    marks = active.groupBy("g1", "g2").agg(F.sum(F.xxhash64("sid", "side").cast("decimal(38,0)")).alias("mark"), F.min("sid").alias("a"), F.max("sid").alias("b"), F.count(F.lit(1)).alias("m"))
-    last, texts = with_texts(active.join(scratch.keep(marks.dropDuplicates(["mark", "a", "b", "m"]).select("g1", "g2")), ["g1", "g2"]))
+    # what such pairs connect over all groups: up to CHUNK sets are one group, and a text goes on once however many groups it is in
+    joined = components(active.select(F.col("sid").alias("u"), F.col("part").alias("v")), scratch)
+    sizes = scratch.keep(joined.groupBy("root").agg(F.count(F.lit(1)).alias("m")))
+    active = scratch.step(active.join(joined.join(sizes, "root").withColumnRenamed("node", "sid"), "sid"), active, joined, sizes)
+    once = active.filter(F.col("m") <= CHUNK).groupBy("root", "sid").agg(F.min("known").alias("known"))
+    once = once.select(F.col("root").alias("g1"), F.lit(-2).cast("long").alias("g2"), F.lit(0).cast("long").alias("side"), "sid", "known", F.lit(True).alias("inside"))
+    # larger ones stay in their groups, of which those with the same members left count once
+    large = active.filter(F.col("m") > CHUNK).drop("part", "root", "m")
+    marks = large.groupBy("g1", "g2").agg(F.sum(F.xxhash64("sid", "side").cast("decimal(38,0)")).alias("mark"), F.min("sid").alias("a"), F.max("sid").alias("b"), F.count(F.lit(1)).alias("m"))
+    large = large.join(scratch.keep(marks.dropDuplicates(["mark", "a", "b", "m"]).select("g1", "g2")), ["g1", "g2"])
+    last, texts = with_texts(once.unionByName(large))
     links = scratch.step(links.unionByName(_joined_chunks(last, k, pct)), links, opened, active, texts, sigs)
     roots = components(links, scratch)
     return scratch.step(rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), rows, links, roots)
