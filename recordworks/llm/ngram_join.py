@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles.  Equal sets are one node fr
 
 1. Candidate groups without loss.  The hash space is cut into segments, as many as sets of a size class need.  Two sets that link differ
    in at most d shingles, so among the first d + 1 segments in which a set has shingles at least one is equal in the other.  Each set emits
-   the hashes of those segments; sets that share one are a group.  Groups of the same members count once.
+   the hashes of those segments; sets that share one are a group.  Groups of the same members count once.  Hashes of one row are sorted out by themselves,
+   before any set meets another.
 2. Hubs.  The least set of each group is its hub.  A member whose signature (a bitmap of its shingles, 2 to 4 bits for each) leaves room for a link with
    hubs is joined with the least of them, together with that hub's other such members, in chunks of about CHUNK sets.  That settles groups of near copies.
 3. Signature trees.  In each group whose members are not yet one component, sets are the leaves of trees, one for each width of bitmaps, whose nodes hold
@@ -375,11 +376,13 @@ def _classes(docs: DataFrame, k: int, pct: int, doc_id: str, text: str, carry: l
     small_batches(docs.sparkSession)
     sets = scratch.keep(_sets(docs, text, k, pct, carry, doc_id))
     keyed = sets.filter("sid IS NOT NULL").select("sid", F.explode("keys").alias("key"))
-    groups = (keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("rows"), F.bit_xor("sid").alias("mark"))
+    # most keys are of one row; they are told apart by the keys alone, and only the rest meets with its sets
+    again = scratch.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key"))
+    shared = scratch.step(maybe_in(keyed, "key", again, again.count()).join(again, "key").select("key", "sid").distinct(), again)
+    groups = (shared.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("sets"), F.bit_xor("sid").alias("mark"))
               .filter("hub <> last"))
-    groups = scratch.keep(groups.dropDuplicates(["hub", "last", "rows", "mark"]).select("key", "hub"))
-    n_groups = groups.count()
-    members = scratch.keep(maybe_in(keyed, "key", groups.select("key"), n_groups).join(groups, "key").select("key", "sid", "hub").distinct())
+    groups = scratch.keep(groups.dropDuplicates(["hub", "last", "sets", "mark"]).select("key", "hub"))
+    members = scratch.step(shared.join(groups, "key").select("key", "sid", "hub"), shared)
     own = maybe_in(sets.filter("sid IS NOT NULL").select("sid", "k1", "k2", "n", "bits"), "sid", members.select("sid"), members.count())
     sigs = scratch.keep(own.groupBy("sid").agg(F.min(F.struct("k1", "k2", "n", "bits")).alias("x")).select("sid", "x.*"))
     rows = scratch.step(sets.drop("keys", "bits"), sets, groups)
