@@ -17,7 +17,7 @@ _RUN = ["status", "rows_stored", "started_at", "heartbeat_at", "finished_at", "s
 
 def last_finished_run(runs: DataFrame, now: Column) -> DataFrame:
     """Latest finished run per source; runs stamped ahead of the clock are ignored."""
-    limit = F.timestamp_seconds(F.unix_seconds(now) + K.SKEW_SECONDS)
+    limit = F.timestamp_micros(F.unix_micros(now) + K.SKEW_SECONDS * 1_000_000)
     finished = runs.filter((F.col("status") != "running") & (F.col("started_at").cast("timestamp") <= limit))
     return latest_per_key(finished, ["source"], [F.col("started_at"), F.col("run_id")])
 
@@ -33,6 +33,11 @@ def _seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def _micros(ts: Column) -> Column:
+    """Exact time: whole seconds would move a heartbeat by up to one of them, and so across a limit."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def _found(condition: Column, kind: str, key: Column | None = None, detail: Column | None = None) -> Column:
     empty = F.lit(None).cast("string")
     return F.when(condition, F.struct(F.lit(kind).alias("kind"), (empty if key is None else key).alias("key"),
@@ -42,19 +47,19 @@ def _found(condition: Column, kind: str, key: Column | None = None, detail: Colu
 def health_findings(runs: DataFrame, sources: DataFrame, now: Column, cadence: float = K.DEFAULT_CADENCE_HOURS) -> DataFrame:
     """findings(source, kind, key, detail) of sources(source, enabled, status, time_budget_s, cadence_hours, updated_at).
     Skewed runs are set aside first; disabled sources can only be skewed, stuck or awaiting review."""
-    at = _seconds(now)
+    at, second = _micros(now), 1_000_000
     state = sources.join(recent_runs(runs), "source", "left")
 
     def ahead(r: Column) -> Column:
-        return _seconds(F.coalesce(r["heartbeat_at"], r["started_at"], now)) > at + K.SKEW_SECONDS
+        return _micros(F.coalesce(r["heartbeat_at"], r["started_at"], now)) > at + K.SKEW_SECONDS * second
 
-    limit = F.greatest(2 * F.coalesce("time_budget_s", F.lit(0)), F.lit(K.STUCK_MIN_SECONDS))
+    limit = F.greatest(2 * F.coalesce("time_budget_s", F.lit(0)), F.lit(K.STUCK_MIN_SECONDS)).cast("bigint")
     state = state.withColumns({
         "skewed": F.filter("recent", ahead),
         "steady": F.filter("recent", lambda r: ~ahead(r)),
     }).withColumns({
         "done": F.filter("steady", lambda r: r["status"] != "running"),
-        "stuck": F.filter("steady", lambda r: (r["status"] == "running") & (at - _seconds(r["heartbeat_at"]) > limit)),
+        "stuck": F.filter("steady", lambda r: (r["status"] == "running") & (at - _micros(r["heartbeat_at"]) > limit * second)),
         "good": F.filter("steady", lambda r: r["status"].isin("ok", "partial", "degraded")),
         "hours": F.coalesce(F.col("cadence_hours").cast("double"), F.lit(float(cadence))),
     })
@@ -62,14 +67,14 @@ def health_findings(runs: DataFrame, sources: DataFrame, now: Column, cadence: f
     first = F.get("done", F.lit(0))
     nothing = F.forall(F.slice("done", 1, 2), lambda r: F.coalesce(r["rows_stored"], F.lit(0)) == 0)
     failed = F.forall(F.slice("done", 1, 3), lambda r: r["status"] == "error")
-    reference = F.coalesce(_seconds(F.get("good", F.lit(0))["started_at"]), _seconds(F.col("updated_at")))
+    reference = F.coalesce(F.get("good", F.lit(0))["started_at"], F.col("updated_at").cast("timestamp"))
     single = F.array_compact(F.array(
         _found(F.size("skewed") > 0, "clock_skew", None, F.get("skewed", F.lit(0))["run_id"]),
         _found(F.col("status") == "review_stale", "review_stale"),
         _found(enabled & (F.size(done) >= 2) & nothing, "zero", None, first["stopped"]),
         _found(enabled & (first["status"] == "degraded"), "degraded", None, first["rows_stored"]),
         _found(enabled & (F.size(done) >= 3) & failed, "error_streak", None, first["error"]),
-        _found(enabled & (F.col("hours") > 0) & (at - reference > 2 * 3600 * F.col("hours")), "stale", None, reference),
+        _found(enabled & (F.col("hours") > 0) & (at - _micros(reference) > 2 * 3600 * second * F.col("hours")), "stale", None, _seconds(reference)),
     ))
     stuck = F.transform(F.coalesce("stuck", F.array().cast(state.schema["stuck"].dataType)),
                         lambda r: F.struct(F.lit("stuck").alias("kind"), r["run_id"].cast("string").alias("key"),
@@ -119,7 +124,7 @@ def suppress_alerts(findings: DataFrame, alerts: DataFrame, runs: DataFrame, now
     its last alert, unless a healthy run has ended that incident since."""
     recent = _seconds(now) - K.REALERT_HOURS * 3600
     alerts = alerts.withColumn("__at", F.col("created_at").cast("timestamp"))
-    keyed = (alerts.filter(F.col("key").isNotNull() & (F.unix_seconds("__at") > recent))
+    keyed = (alerts.filter(F.col("key").isNotNull() & (F.unix_micros("__at") > _micros(now) - K.REALERT_HOURS * 3600 * 1_000_000))
              .select("source", "kind", "key").distinct().withColumn("__seen", F.lit(True)))
     last = alerts.groupBy("source", "kind").agg(F.max("__at").alias("__last"))
     healthy = runs.filter(F.col("status").isin("ok", "partial")).groupBy("source").agg(
