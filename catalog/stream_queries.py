@@ -208,7 +208,11 @@ def cycle_stops(spark, sf):
     on page 2, Brand#3 fails on its second and third page, Brand#5 gets no answer; four pages are allowed, and all brands have more."""
     page = (F.floor((F.col("p_partkey") - 1) / 50) + 1).cast("int")
     brand, n = F.col("p_brand"), F.col("page")
-    events = (T.table(spark, sf, "part").withColumns({"raw": _product("part"), "page": page}).groupBy("p_brand", "page").agg(F.collect_list("raw").alias("raws"))
+    part = T.table(spark, sf, "part").withColumns({"raw": _product("part"), "page": page}).select("p_brand", "page", "raw")
+    # what ends a walk is a fetched page of its own, whether or not parts of the brand fall on it
+    ends = F.when(brand.isin("Brand#1", "Brand#2"), F.array(F.lit(2))).when(brand == "Brand#3", F.array(F.lit(2), F.lit(3))).when(brand == "Brand#5", F.array(F.lit(1)))
+    fetched = part.unionByName(part.select("p_brand").distinct().select("p_brand", F.explode(ends).alias("page"), F.lit(None).cast("string").alias("raw")))
+    events = (fetched.groupBy("p_brand", "page").agg(F.collect_list("raw").alias("raws"))
               .select(F.concat(F.lit("run-"), brand).alias("run_id"), brand.alias("source"), "page",
                       F.when(((brand == "Brand#1") & (n == 2)) | (brand == "Brand#5"), F.array().cast("array<string>")).otherwise(F.col("raws")).alias("rows"),
                       F.when((brand == "Brand#3") & n.isin(2, 3), F.concat(F.lit("problem on page "), 5 - n)).alias("error"),
