@@ -90,7 +90,8 @@ def _measured(kind, options):
     def build(spark, sf):
         shown = pick(F.col("l_orderkey") % len(options), [F.concat(F.lit("ca. "), F.col("l_quantity").cast("int"), F.lit(s)) for s, _, _ in options])
         parsed = units.measure(kind, shown)
-        return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("m")).select("l_orderkey", "l_linenumber", "m.value", "m.unit")
+        rows = T.spread(T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber")
+        return rows.select("l_orderkey", "l_linenumber", parsed.alias("m")).select("l_orderkey", "l_linenumber", "m.value", "m.unit")
     return build
 
 
@@ -314,7 +315,7 @@ def _raw_vehicles(spark, sf):
         F.concat(_grouped(p, " ", ","), F.lit(" ₸")).alias("price"), F.concat(F.lit("Year "), F.year("o_orderdate")).alias("year"),
         F.concat(F.col("o_custkey") % 300, F.lit(" тыс. км")).alias("mileage"), pick(F.col("o_orderkey") % 7, FUEL).alias("fuel_type"),
         F.lit("Алматы").alias("city"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("posted_at"))
-    return _orders(spark, sf).select(F.concat(F.lit("src"), F.col("o_custkey") % 20).alias("source"), F.to_json(body).alias("raw"))
+    return T.spread(_orders(spark, sf), "o_orderkey").select(F.concat(F.lit("src"), F.col("o_custkey") % 20).alias("source"), F.to_json(body).alias("raw"))
 
 
 def normalised(spark, sf):
@@ -342,7 +343,7 @@ def _offers(spark, sf, source, **fields):
     """Raw rows of other record types, one for each order."""
     n = F.col("o_orderkey")
     body = F.struct(n.cast("string").alias("source_id"), F.concat(F.lit("https://x.test/"), n).alias("url"), *[c.alias(k) for k, c in fields.items()])
-    return _orders(spark, sf).select(F.lit(source).alias("source"), F.to_json(body).alias("raw"), F.array(F.lit("FR"), F.lit("IT")).alias("regions"))
+    return T.spread(_orders(spark, sf), "o_orderkey").select(F.lit(source).alias("source"), F.to_json(body).alias("raw"), F.array(F.lit("FR"), F.lit("IT")).alias("regions"))
 
 
 def normalise_rents(spark, sf):
