@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import catalog
 from catalog import tables as T
-from recordworks.operators import health
+from recordworks.operators import classify, health
 
 NOW = dt.datetime(2024, 1, 30)
 RUN = "source string, run_id long, status string, rows_stored long, started_at timestamp, heartbeat_at timestamp, finished_at timestamp, stopped string, error string"
@@ -45,3 +45,13 @@ def test_stops_on_pages_without_parts(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     T.table(spark, "/root/testdata/sf0.001", "events").write.parquet(f"{tmp_path}/events.parquet")
     _against_sql(spark, tmp_path, "cycle_stops", ["part"])
+
+
+@pytest.mark.parametrize("context, most", [(20, None), (3000, None), (0, 3)])
+def test_snippets_of_many_matches(spark, context, most):
+    """Thousands of matches on a page, beyond one block of characters and of matches; before, every match searched the page anew."""
+    import re
+    html = "\U0001F600 ".join(f"The cat {i} thaw" for i in range(3000)) + "é"
+    got = classify.grep_pages(spark.createDataFrame([(1, html), (2, "none"), (3, None)], "page_id int, html string"), r"th[ae]\w*", context, most).collect()
+    want = [(m.start(), html[max(0, m.start() - context):m.end() + context]) for m in re.finditer(r"(?i)th[ae]\w*", html)]
+    assert [(r["page_id"], r["matches"]) for r in got] == [(1, 6000)] and [tuple(s) for s in got[0]["snippets"]] == want[:most]
