@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import catalog
 from catalog import tables as T
+from recordworks.functions.text import visible_text
 from recordworks.operators import classify, health
 
 NOW = dt.datetime(2024, 1, 30)
@@ -55,3 +56,13 @@ def test_snippets_of_many_matches(spark, context, most):
     got = classify.grep_pages(spark.createDataFrame([(1, html), (2, "none"), (3, None)], "page_id int, html string"), r"th[ae]\w*", context, most).collect()
     want = [(m.start(), html[max(0, m.start() - context):m.end() + context]) for m in re.finditer(r"(?i)th[ae]\w*", html)]
     assert [(r["page_id"], r["matches"]) for r in got] == [(1, 6000)] and [tuple(s) for s in got[0]["snippets"]] == want[:most]
+
+
+def test_entities_that_a_page_is_cut_in(spark):
+    """With `closed` what is left of an entity stays; without, it is decoded as a browser does."""
+    page = "<html><title>A &amp;&lt;b&amp</title><body>x &gt; y &copy z &#65 &#66; <a href='/?a&amp;b&amp'>l</a> &amp</body></html>"
+    html = F.col("html")
+    row = spark.createDataFrame([(page,)], "html string").select(
+        *[f(html, closed=c).alias(f"{n}{int(c)}") for c in (True, False) for n, f in (("text", visible_text), ("links", classify.page_links), ("meta", classify.page_meta))]).first()
+    assert row["text1"] == "A &<b&amp x > y &copy z &#65 B l &amp" and row["links1"] == ["/?a&b&amp"] and row["meta1"]["title"] == "A &<b&amp"
+    assert row["text0"] == "A &<b& x > y © z A B l &" and row["links0"] == ["/?a&b&"] and row["meta0"]["title"] == "A &<b&"
