@@ -51,29 +51,27 @@ def angles_per_region(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("region").agg(covered.alias("covered"), todo.alias("todo"))
 
 
-BITMAP = 32_768  # bits of one bitmap of bitmap_construct_agg
-
-
 def dry_streak(rounds: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """rounds(.., seq BIGINT, added): trailing rounds that added nothing, per key, or one row for all without keys.
 
-    One pass with a state that combines before the shuffle: for each block of BITMAP numbers the bitmap of its dry rounds and its last
-    productive one.  Blocks are then added up from the last productive one on; a key has one entry for each block of its numbers.  Round numbers are
-    unique per key."""
-    seq = F.col("seq").cast("bigint")
+    The last productive round of each key, then the dry rounds behind it are counted.  Both combine before the shuffle, and a task holds two
+    numbers for each of its keys, however their round numbers are spread."""
+    names = keys or []
     fruitful = F.coalesce(F.col("added") > 0, F.lit(False))
-    marked = rounds.select(*(keys or []), F.floor(seq / BITMAP).alias("block"), F.pmod(seq, F.lit(BITMAP)).alias("at"), fruitful.alias("fruitful"))
-    blocks = marked.groupBy(*(keys or []), "block").agg(F.max(F.when(F.col("fruitful"), F.col("at"))).alias("last"),
-                                                        F.expr("bitmap_construct_agg(CASE WHEN NOT fruitful THEN at END)").alias("dry"))
-    # dry rounds behind the last productive one of a block: whole bytes, and the rest of its own byte
-    byte, bit = F.floor(F.col("last") / 8).cast("int"), F.pmod("last", F.lit(8)).cast("int")
-    own = F.conv(F.hex(F.substring("dry", byte + 1, F.lit(1))), 16, 10).cast("int")
-    rest = F.bit_count(F.call_function("shiftright", own, bit + 1)) + F.call_function("bitmap_count", F.substring("dry", byte + 2, F.lit(BITMAP // 8)))
-    counted = blocks.select(*(keys or []), F.struct("block", F.col("last").isNotNull().alias("fruitful"), F.coalesce(rest, F.call_function("bitmap_count", F.col("dry"))).cast("bigint").alias("n")).alias("b"))
-    lists = counted.groupBy(*(keys or [])).agg(F.collect_list("b").alias("blocks"))
-    start = F.array_max(F.transform(F.filter("blocks", lambda b: b["fruitful"]), lambda b: b["block"]))
-    behind = F.filter("blocks", lambda b: F.col("__start").isNull() | (b["block"] >= F.col("__start")))
-    return lists.withColumn("__start", start).select(*(keys or []), F.aggregate(behind, F.lit(0).cast("bigint"), lambda n, b: n + b["n"]).alias("dry_streak"))
+    marked = rounds.select(*names, F.col("seq").cast("bigint").alias("__seq"), fruitful.alias("__fruitful"))
+    last = marked.groupBy(*names).agg(F.max(F.when(F.col("__fruitful"), F.col("__seq"))).alias("__last"))
+    dry = marked.filter(~F.col("__fruitful")).select(*names, "__seq")
+
+    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        if not names:
+            return left.crossJoin(F.broadcast(right))  # one row
+        other = right.select(*[F.col(n).alias(f"__{n}") for n in names], *[c for c in right.columns if c not in names])
+        same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]
+        return left.join(other, same, how).drop(*[f"__{n}" for n in names])
+
+    behind = beside(dry, last, "inner").filter(F.col("__last").isNull() | (F.col("__seq") > F.col("__last")))
+    counts = behind.groupBy(*names).agg(F.count("__seq").alias("__n"))
+    return beside(last, counts, "left").select(*names, F.coalesce("__n", F.lit(0)).alias("dry_streak"))
 
 
 def coverage_verdict(sources: DataFrame, rounds: DataFrame, matrix: DataFrame, max_sources: int) -> DataFrame:
