@@ -290,17 +290,29 @@ class Incidents(StatefulProcessor):
         self.healthy = handle.getValueState("healthy", "at double", *kept)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = sorted((at, kind != "healthy", kind) for frame in rows
+                        for at, kind in zip(frame["at"].to_numpy("datetime64[us]").astype("int64").tolist(), frame["kind"].tolist()))
+        # each call of a state is a message to the JVM and back: it is read once for all events of a batch, and what changed is written once
+        stored = {kind: self.last.getValue((kind,)) for kind in {kind for _, finding, kind in events if finding}}
+        last = {kind: value[0] for kind, value in stored.items() if value is not None}
+        healthy = self.healthy.get()
+        known, well = dict(last), healthy[0] if healthy is not None else None
         out = []
-        for event in _in_order((frame.assign(order=(frame["kind"] != "healthy") * 1) for frame in rows), "at", "order", "kind"):
-            at = event.at.timestamp()
-            if event.kind == "healthy":
-                self.healthy.update((max(at, self.healthy.get()[0]) if self.healthy.exists() else at,))
+        for micros, _, kind in events:
+            at = micros / 1e6
+            if kind == "healthy":
+                well = at if well is None else max(at, well)
                 continue
-            before = self.last.getValue((event.kind,))[0] if self.last.containsKey((event.kind,)) else None
-            over = (event.kind in _INCIDENTS and before is not None and self.healthy.exists() and self.healthy.get()[0] > before)
+            before = last.get(kind)
+            over = kind in _INCIDENTS and before is not None and well is not None and well > before
             if before is None or over or at - before >= K.REALERT_HOURS * 3600:
-                self.last.updateValue((event.kind,), (at,))
-                out.append((key[0], event.kind, event.at))
+                last[kind] = at
+                out.append((key[0], kind, pd.Timestamp(micros, unit="us")))
+        for kind, at in last.items():
+            if known.get(kind) != at:
+                self.last.updateValue((kind,), (at,))
+        if not all(finding for _, finding, _ in events):
+            self.healthy.update((well,))
         if out:
             yield pd.DataFrame(out, columns=["source", "kind", "at"])
 

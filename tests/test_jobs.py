@@ -5,6 +5,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from recordworks.operators import classify, coverage, health, query, sinks, walk
@@ -277,6 +278,49 @@ def test_incidents_alert_twice(spark, tmp_path):
     assert jobs.run_to_memory(jobs.stream_alerts(stream, expires=False), "incidents", str(tmp_path / "c")).count() == 2
 
 
+class _CountedState:
+    """A state that counts the messages it would send."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getValue(self, key):
+        return self._called(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self.held[key] = self._called(value)
+
+    def containsKey(self, key):
+        return self._called(key in self.held)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def exists(self):
+        return self.containsKey(())
+
+
+def test_incidents_read_their_state_once_a_batch():
+    """A thousand events of a source cost a handful of state calls, and batches of any size raise the same alerts."""
+    events = pd.DataFrame([("s", ["zero", "healthy", "stuck"][i % 3 if i % 90 < 45 else 0], dt.datetime(2026, 1, 1) + dt.timedelta(minutes=7 * i)) for i in range(1000)],
+                          columns=["source", "kind", "at"])
+    raised = []
+    for size in (1000, 1):
+        alerts = jobs.Incidents(False)
+        alerts.last, alerts.healthy = _CountedState(), _CountedState()
+        found = [out for at in range(0, 1000, size) for out in alerts.handleInputRows(("s",), iter([events.iloc[at : at + size]]), None)]
+        raised.append(sorted(tuple(r) for out in found for r in out.itertuples(index=False)))
+        assert size == 1 or alerts.last.calls + alerts.healthy.calls <= 6
+    assert raised[0] == raised[1] and len(raised[0]) > 100
+
+
 def test_silent_runs_fire_their_timer(spark, tmp_path):
     rows = [("r1", "s1", "running", 0, dt.datetime(2026, 1, 1)), ("r2", "s2", "ok", 0, dt.datetime(2026, 1, 1))]
     stream = _files(spark, tmp_path, "beats", rows, "run_id string, source string, status string, time_budget_s int, ts timestamp")
