@@ -104,7 +104,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, template: Template, ctx: Conte
     if log.has(batch.sparkSession, batch_id):
         return
     now = F.lit(dt.datetime.now(dt.timezone.utc)).cast("timestamp")
-    checked = normalise_records(batch, template, ctx, gazetteer, fx).persist()
+    # a batch of compact files is read by few tasks, but every row takes long to parse: its rows are dealt over all partitions first
+    dealt = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    checked = normalise_records(dealt, template, ctx, gazetteer, fx).persist()
     try:
         # the last row of a batch wins; without a `seq` column the order is by content, which a repeated batch reproduces
         seq = (F.col("seq").cast("long") if "seq" in batch.columns else F.xxhash64("raw")).alias("seq")

@@ -13,7 +13,9 @@ from recordworks.operators import records as R
 from recordworks.sources import dims, pages
 from recordworks.operators.lookups import canonical_city, city_dim
 from recordworks.plans import cycle
+from recordworks.plans.normalise import Context
 from recordworks.streaming import jobs
+from recordworks.templates import template
 
 FILLER = "<section>" + "Bicycles, boats and barns on offer. " * 70 + "</section>" + "".join(f"<a href='/l/{i}'>offer {i}</a>" for i in range(18))
 
@@ -321,6 +323,16 @@ def test_incidents_read_their_state_once_a_batch():
     assert raised[0] == raised[1] and len(raised[0]) > 100
 
 
+def test_ingest_deals_its_rows(spark, tmp_path, monkeypatch):
+    """A batch read by one task is parsed by as many as a shuffle has partitions."""
+    seen, real = [], jobs.normalise_records
+    monkeypatch.setattr(jobs, "normalise_records", lambda batch, *rest: seen.append(batch.rdd.getNumPartitions()) or real(batch, *rest))
+    raw = spark.createDataFrame([("s", "r", f'{{"title":"t{i}","url":"https://x.test/{i}","price":"€ 3"}}') for i in range(50)], "source string, run_id string, raw string").coalesce(1)
+    log = jobs.RecordLog(str(tmp_path / "log"), buckets=2)
+    jobs.ingest_batch(raw, 0, template("products"), Context(regions=["DE"], now=dt.datetime(2026, 1, 1)), log, "p")
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and log.read(spark).count() == 50
+
+
 def test_silent_runs_fire_their_timer(spark, tmp_path):
     rows = [("r1", "s1", "running", 0, dt.datetime(2026, 1, 1)), ("r2", "s2", "ok", 0, dt.datetime(2026, 1, 1))]
     stream = _files(spark, tmp_path, "beats", rows, "run_id string, source string, status string, time_budget_s int, ts timestamp")
