@@ -1,7 +1,7 @@
 """Lookups against dimensions: exchange rates, cities, regions, source status.
 
-Only exchange rates are broadcast by a hint: they are made one row per three-letter code first.  Joins with the gazetteer are left to AQE, which
-broadcasts what turned out small and splits skewed keys.
+Exchange rates are broadcast by a hint: they are made one row per three-letter code first.  So is what the gazetteer knows of a table's different
+places, once it is counted (FOUND).  Other joins with the gazetteer are left to AQE, which broadcasts what turned out small and splits skewed keys.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.core import look_up, rx
 from ..functions.text import city_key
+from ..session import settled
 from ..sources.dims import country_code, region_tokens
 
 
@@ -53,12 +54,16 @@ def city_variants(name: Column) -> list[Column]:
     return [cleaned, bare, first]
 
 
+FOUND = 100_000  # known different questions that may be broadcast
+
+
 def place_hits(df: DataFrame, texts: list[str], places: DataFrame, parts: tuple[str, ...] = (), out: str = "hits") -> DataFrame:
     """`df` with what the gazetteer knows of its place texts: array<struct<i, p, v, by_country>>, the place of the text in `texts`, its part (0 is the
     whole text; the parts of an address follow for the texts named in `parts`), and the variant of the name.
 
     All texts of a row are one question.  Different questions are looked up once through an inverted index of their name keys: one join against
-    the gazetteer, one join back.  Rows without any text meet nothing and are spread over all partitions."""
+    the gazetteer, one join back.  What was found is written and counted first: up to FOUND questions are broadcast, so that the rows of a very common
+    place stay where they are instead of meeting in one task.  Rows without any text meet nothing and are spread over all partitions."""
     question = F.array(*[F.coalesce(F.col(t), F.lit("")) for t in texts])
     blank = F.forall("__q", lambda t: F.trim(t) == "")
     asked = df.withColumn("__q", question)
@@ -74,8 +79,9 @@ def place_hits(df: DataFrame, texts: list[str], places: DataFrame, parts: tuple[
     questions = asked.select("__q").filter(F.size("__q") == len(texts)).filter(~F.startswith(F.get("__q", F.lit(0)), F.lit("\x01"))).distinct()
     keys = questions.select("__q", F.inline(F.concat(*[keyed(i, name) for i, name in enumerate(texts)]))).filter("key <> ''")
     known = keys.join(places, "key").groupBy("__q").agg(F.array_sort(F.collect_list(F.struct("i", "p", "v", F.map_entries("by_country").alias("e")))).alias("found"))
-    found = known.select("__q", F.transform("found", lambda h: F.struct(h["i"].alias("i"), h["p"].alias("p"), h["v"].alias("v"), F.map_from_entries(h["e"]).alias("by_country"))).alias(out))
-    return asked.join(found, "__q", "left").drop("__q")
+    found = settled(known.select("__q", F.transform("found", lambda h: F.struct(h["i"].alias("i"), h["p"].alias("p"), h["v"].alias("v"), F.map_from_entries(h["e"]).alias("by_country"))).alias(out)))
+    few = found.limit(FOUND + 1).count() <= FOUND
+    return asked.join(F.broadcast(found) if few else found, "__q", "left").drop("__q")
 
 
 def _maps(hits: Column, i: int) -> Column:

@@ -66,3 +66,20 @@ def test_entities_that_a_page_is_cut_in(spark):
         *[f(html, closed=c).alias(f"{n}{int(c)}") for c in (True, False) for n, f in (("text", visible_text), ("links", classify.page_links), ("meta", classify.page_meta))]).first()
     assert row["text1"] == "A &<b&amp x > y &copy z &#65 B l &amp" and row["links1"] == ["/?a&b&amp"] and row["meta1"]["title"] == "A &<b&amp"
     assert row["text0"] == "A &<b& x > y © z A B l &" and row["links0"] == ["/?a&b&"] and row["meta0"]["title"] == "A &<b&"
+
+
+def test_rows_of_a_common_place_stay_where_they_are(spark):
+    """What is known of the different places is broadcast without a static estimate, so a place of very many rows doesn't fill one task."""
+    from recordworks.operators.lookups import city_dim, place_hits
+    from recordworks.sources import dims
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).select("id", F.when(F.col("id") % 4 > 0, "Milano").alias("city"))
+        looked = place_hits(rows, ["city"], city_dim(dims.read_gazetteer(spark)))
+        assert looked.filter("size(hits) > 0").count() == 1500
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
