@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by backtracking over longest matches.
 
 Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over the vocabulary finds the longest token at every place
-of a piece in one pass.  The encoder takes the longest token; when the token and the one before it would not stay apart under
+of a piece in one pass; in a piece of up to SHORT bytes they are looked up where a token starts, which costs less than starting the automaton.  The encoder takes the longest token; when the token and the one before it would not stay apart under
 the merges, it tries the next shorter prefix, and goes back a token when none is left.  A place from which no encoding goes on is
 marked, so each is given up once and the work is linear.  Whether two adjacent tokens stay apart is decided by merging their
 joint bytes once and is then remembered.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from .base import packed, small_batches, unpacked, whole
 
 RESULTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 PIECES = 500_000  # pieces a worker remembers
+SHORT = 32
 
 
 class Encoder:
@@ -36,6 +38,10 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self._sizes = {i: len(t) for t, i in ranks.items()}
+        self._most: dict[bytes, int] = {}  # size of the longest token with these three bytes in front
+        for token in ranks:
+            if len(token) > 2:
+                self._most[token[:3]] = max(len(token), self._most.get(token[:3], 0))
         self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, i in ranks.items():
             self._automaton.add_word(token.decode("latin-1"), i)
@@ -99,24 +105,33 @@ class Encoder:
             self._shorter[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), -1)
         return self._shorter[token]
 
+    def _longest(self, piece: bytes, at: int) -> int:
+        """The longest token at a place."""
+        get, end = self.ranks.get, min(len(piece), at + self._most.get(piece[at : at + 3], 2))
+        while (token := get(piece[at:end])) is None:
+            end -= 1
+        return token
+
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
         n = len(piece)
-        longest = [0] * n
         sizes, apart = self._sizes, self.apart
-        for end, token in self._automaton.iter(piece.decode("latin-1")):  # longer tokens at a start end later
-            longest[end + 1 - sizes[token]] = token
+        longest = None
+        if n > SHORT:
+            longest = [0] * n
+            for end, token in self._automaton.iter(piece.decode("latin-1")):  # longer tokens at a start end later
+                longest[end + 1 - sizes[token]] = token
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, last, token = 0, -1, longest[0] if n else -1
+        at, last, token = 0, -1, -1 if not n else longest[0] if longest else self._longest(piece, 0)
         while at < n:
             end = at + sizes[token]
             if open_at[end] and (last < 0 or apart(last, token)):
                 out.append(token)
                 at, last = end, token
                 if at < n:
-                    token = longest[at]
+                    token = longest[at] if longest else self._longest(piece, at)
                 continue
             token = self._prefix(token)
             if token < 0:  # no token from here fits the one before: back to it, and shorten it
@@ -128,30 +143,71 @@ class Encoder:
 
 
 class _Pieces(dict):
-    """piece -> its ids in decimal, joined by spaces.  Forgets everything when full."""
+    """piece -> its ids in decimal, joined by spaces, and the bytes that these ids decode to.  Forgets everything when full."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self._encoder = encoder
 
-    def __missing__(self, piece: str) -> str:
-        ids = " ".join(map(str, self._encoder.encode(piece.encode("utf-8"))))
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        ids = self._encoder.encode(piece.encode("utf-8"))
+        found = " ".join(map(str, ids)), b"".join([self._encoder.tokens[i] for i in ids])
         if len(piece) <= 64:
             if len(self) >= PIECES:
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = found
+        return found
+
+
+_CLASSES = {r"\p{L}", r"\p{N}", r"\s", r"\S"}
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for `re`, which is about twice as fast, with its classes written out as `regex` has them below U+10000; None when it has
+    more than letters, numbers and spaces.  Only for texts of that plane."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = {}
+    for name in _CLASSES - {r"\S"}:
+        runs: list[list[int]] = []
+        for code in map(ord, regex.findall(name, plane, flags=regex.V1)):
+            if runs and runs[-1][1] == code - 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+        ranges[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|\[\^?|\]|&&|--|\|\||~~|\(\?.|.", pattern, flags=re.DOTALL):
+        if part in _CLASSES and not (inside and part == r"\S"):
+            body = ranges[part.lower() if part == r"\S" else part]
+            out.append(body if inside else f"[^{body}]" if part == r"\S" else f"[{body}]")
+        elif part[0] == "\\" or (part[0] == "[" and inside) or part in ("&&", "--", "||", "~~") or (part[:2] == "(?" and part not in ("(?!", "(?=", "(?:")):
+            return None
+        else:
+            inside = part[0] == "[" or (inside and part != "]")
+            out.append(part)
+    return re.compile("".join(out))
 
 
 @lru_cache(2)
 def _codec(lines: bytes, pattern: str):
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
+    whole_range, plain = regex.compile(pattern, flags=regex.V1), plain_pattern(pattern)
+
+    def split(text: str) -> list[str]:
+        return (plain if plain and len(text.encode("utf-16-le")) == 2 * len(text) else whole_range).findall(text)
+
     pieces = _Pieces(Encoder(ranks))
-    return pieces, {str(i): t for t, i in ranks.items()}, regex.compile(pattern, flags=regex.V1)
+    return pieces, pieces._encoder.tokens, split
+
+
+def encode_text(text: str, pieces: _Pieces, split) -> str:
+    return coded(text, pieces, split)[0]
 
 
-def encode_text(text: str, pieces: _Pieces, pattern) -> str:
-    return " ".join([pieces[p] for p in pattern.findall(text)])
+def coded(text: str, pieces: _Pieces, split) -> tuple[str, bytes]:
+    """(ids in decimal, joined by spaces; the bytes they decode to)"""
+    found = [pieces[p] for p in split(text)]
+    return " ".join([ids for ids, _ in found]), b"".join([data for _, data in found])
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -166,15 +222,14 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
                            T.StructField("decoded_sha256", T.StringType())] + [T.StructField("ids", T.StringType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, decode, splitter = _codec(lines.value, pattern)
+        pieces, _, splitter = _codec(lines.value, pattern)
         for batch in batches:
             counts, digests, decoded, texts = [], [], [], []
             for value in batch.column("text"):
-                ids = encode_text(value.as_py(), pieces, splitter)
-                parts = ids.split(" ") if ids else []
-                counts.append(len(parts))
+                ids, data = coded(value.as_py(), pieces, splitter)
+                counts.append(ids.count(" ") + 1 if ids else 0)
                 digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([decode[i] for i in parts])).hexdigest())
+                decoded.append(hashlib.sha256(data).hexdigest())
                 if with_ids:
                     texts.append(ids)
             columns = [batch.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]

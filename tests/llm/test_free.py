@@ -227,3 +227,20 @@ def test_pipeline_decisions(spark):
     assert ids(single) == sorted(first.values())
     left = [(i, rows[i]) for i in sorted(first.values())]
     assert ids(corpus_pipeline.drop_near_copies(spark, single, sf)) == sorted(set(components(left, 5, 80)[1]))
+
+
+def test_bpe_plain_pattern_splits_alike():
+    """The pattern written out for `re` cuts every character below U+10000, and runs of mixed ones, as `regex` does; others are left to `regex`."""
+    import regex
+
+    plain, full = bpe.plain_pattern(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN, flags=regex.V1)
+    assert plain is not None and bpe.plain_pattern(r"\d+") is None and bpe.plain_pattern(r"(?i)a|\p{L}") is None
+    plane = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)]]
+    spaced = " ".join(plane) + "".join(f"a{c}1{c} " for c in plane)
+    assert plain.findall(spaced) == full.findall(spaced)
+    rng, odd = random.Random(5), "a é１2٣\x1c\x1f\x85\xa0\u2028\u3000\n\t's't!漢_ʰ"
+    for _ in range(3000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(1, 30)))
+        assert plain.findall(text) == full.findall(text)
+    _, _, split = bpe._codec(open(RANK_FILE, "rb").read(), public_tokenizers.PATTERN)
+    assert split("x \U0001D400\U0001D401y") == full.findall("x \U0001D400\U0001D401y")
