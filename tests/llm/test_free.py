@@ -244,3 +244,24 @@ def test_bpe_plain_pattern_splits_alike():
         assert plain.findall(text) == full.findall(text)
     _, _, split = bpe._codec(open(RANK_FILE, "rb").read(), public_tokenizers.PATTERN)
     assert split("x \U0001D400\U0001D401y") == full.findall("x \U0001D400\U0001D401y")
+
+
+def test_suffix_cores_lose_no_repeat():
+    """Pieces of one anchor that share less than a window leave the bin, and what is left has every repeat."""
+    rng, kept, whole = random.Random(3), 0, 0
+    for k in range(60):
+        anchor = bytes(rng.choices(range(97, 123), k=64))
+        sides = [bytes(rng.choices(range(97, 123), k=336)) for _ in range(4)]
+        texts = []
+        for _ in range(rng.randint(2, 8)):  # up to a few bytes around the window's length are shared
+            left, right = rng.randint(0, 336), rng.randint(0, 336)
+            other = bytes(rng.choices(range(97, 123), k=672))
+            texts.append(other[:336] + rng.choice(sides[:2])[336 - left :] + anchor + rng.choice(sides[2:])[:right] + other[336:])
+        texts = [t for t in dict.fromkeys(texts) if len(t) >= 400]
+        h = int(suffix_dedup.Text(anchor).grams(64).view("int64")[0])
+        spans = suffix_dedup.cores_shared(texts, h, 400)
+        want = [x.tolist() for x in suffix_dedup.repeated_in(texts, 400)] if texts else []
+        part = [(a, x.tolist()) for (a, _), x in zip(spans, suffix_dedup.repeated_in([t[a:b] for t, (a, b) in zip(texts, spans)], 400))] if texts else []
+        assert [[a + x for x in found] for a, found in part] == want
+        kept, whole = kept + sum(b - a for a, b in spans), whole + sum(map(len, texts))
+    assert kept < whole / 2
