@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from recordworks.llm import block_dedup, bpe, classifier, ngram_join, suffix_dedup
+from recordworks.llm import block_dedup, bpe, classifier, ngram_join, queries, suffix_dedup
 
 from .edge import empty, frame, texts
 
@@ -265,3 +265,49 @@ def test_suffix_cores_lose_no_repeat():
         assert [[a + x for x in found] for a, found in part] == want
         kept, whole = kept + sum(b - a for a, b in spans), whole + sum(map(len, texts))
     assert kept < whole / 2
+
+
+def test_planted_passages_at_the_querys_length(spark, tmp_path):
+    """The registered query on planted passages of over 50 words: caught from 400 bytes on, left alone below, and each row as brute force has it."""
+    rng = random.Random(9)
+    fresh = lambda n, letters="abcdefghijklmnoprst": "".join(rng.choices(letters, k=n))
+
+    def passage(size, letters="abcdefg", most=5):  # words of a few letters, filled to `size` bytes
+        out = ""
+        while len(out.encode()) < size - 8:
+            out += fresh(min(most, size // 65 - 1), letters) + " "
+        return out + fresh(size - len(out.encode()), "xyz")
+
+    passages = [passage(n) for n in (300, 399, 400, 401, 460, 1300)] + [passage(398, "aé漢", 2)[:-1] + "é", passage(399, "aé漢", 2)[:-1] + "é"]
+    assert all(len(WORD.findall(p)) > 50 for p in passages) and [len(p.encode()) for p in passages[-2:]] == [399, 400]
+    rows, caught = [], {}
+
+    def plant(text, size):
+        caught[len(rows)] = size >= 400
+        rows.append(text)
+
+    for p in passages:  # in two texts, twice in one text, at both ends; the bytes beside a passage differ
+        n = len(p.encode())
+        plant(fresh(700) + "A" + p + "B" + fresh(700), n)
+        plant(fresh(50) + "C" + p + "D" + fresh(900), n)
+        plant("E" + p + "F" + fresh(300) + "G" + p + "H", n)
+        plant(p, n)
+    hub = passage(420)
+    for k in range(300):  # more different pieces than one bin takes
+        plant(fresh(400) + chr(33 + k % 15) + hub + chr(65 + k // 15) + fresh(400), 420)
+    plant(fresh(5000), 0)
+    plant("one two", 0)
+    data = [t.encode() for t in rows]
+    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, d in enumerate(data):
+        gone = np.zeros(len(d) + 1, bool)
+        for at in range(len(d) - 399):
+            if seen[d[at : at + 400]] > 1:
+                gone[at : at + 400] = True
+        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        r = got[i]
+        assert (r.n_removed > 0) == caught[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(d), int(gone.sum()), runs, sha(bytes(b for b, g in zip(d, gone) if not g)))
