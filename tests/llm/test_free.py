@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordworks.llm import block_dedup, bpe, classifier, ngram_join, queries, suffix_dedup
@@ -267,6 +268,27 @@ def test_suffix_cores_lose_no_repeat():
     assert kept < whole / 2
 
 
+def test_suffix_bins_are_dealt_by_their_bytes(spark, monkeypatch):
+    """What one task of the bins gets stays the same however many pieces there are, and all repeats are found."""
+    rng, seen, binned = random.Random(21), [], suffix_dedup._binned
+    fresh = lambda n: "".join(rng.choices("abcdefghijklmnoprst", k=n))
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "_binned", lambda cut, *more: seen.append((cut, binned(cut, *more))) or seen[-1][1])
+    for pairs in (20, 200):
+        rows = []
+        for _ in range(pairs):
+            shared = fresh(420)
+            rows += [fresh(400) + "A" + shared + "B" + fresh(400), fresh(400) + "C" + shared + "D" + fresh(400)]
+        spans = suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+        found = [sorted((s.a, s.b) for s in r.spans) for r in spans.collect()]
+        assert len(found) == len(rows) and all(min(f)[0] == 401 and max(b for _, b in f) == 821 for f in found)
+        cut, marks = seen.pop()
+        sizes = cut.select("h", "p", F.length("bytes").alias("size"))
+        tasks = marks.select("h", "p", F.spark_partition_id().alias("task")).distinct().join(sizes, ["h", "p"]).groupBy("task").agg(F.sum("size").alias("size"))
+        most, total = tasks.agg(F.max("size"), F.sum("size")).first()
+        assert most < 60_000 and total > pairs * 800
+
+
 def test_planted_passages_at_the_querys_length(spark, tmp_path):
     """The registered query on planted passages of over 50 words: caught from 400 bytes on, left alone below, and each row as brute force has it."""
     rng = random.Random(9)
